@@ -7,7 +7,8 @@ gets the extra copy is drawn with the cube method, balanced on sizes and documen
 three documents with fractional probabilities move along the null space of the two
 constraints until one of them is 0 or 1; its place goes to the next document. That flight runs
 in every (source, salt) stream with three documents of memory and leaves at most two
-undecided; those few fly again per source, and the last two land at the nearest whole number.
+undecided; those few fly again per source, and the last two land at the nearest whole number, made up
+for among the last few hundred.
 
 Draws come from hashes of the document, so reruns agree. Defined cases: null texts have size
 0; a null id or source is a value of its own (its source comes last); repeated rows are
@@ -17,6 +18,7 @@ rows; input columns named ``size``, ``source_size``, ``target``, ``copies`` or `
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .shared import put, saved, text_of, with_columns, word_count
 
-ROWS_PER_STREAM = 100_000
+ROWS_PER_STREAM, STREAMS = 10_000, 64
 EPS = 1e-9
 
 
@@ -95,16 +97,30 @@ class Flight:
         return self.open
 
 
-def _fly(df: DataFrame, by: list[str], last: bool) -> DataFrame:
-    """__p moved to 0 or 1 in each stream of equal ``by`` (rows come sorted by it); the last flight lands."""
+def repair(units: list[list], missing: float) -> None:
+    """Turns units over, the one that helps most first, while that brings the sum of sizes nearer
+    to what is missing (a large document that landed is made up for by smaller ones)."""
+    for _ in range(len(units)):
+        best = min(units, key=lambda x: abs(missing - x[1] * (1 - 2 * x[0])), default=None)
+        if best is None or abs(missing - best[1] * (1 - 2 * best[0])) >= abs(missing):
+            return
+        missing -= best[1] * (1 - 2 * best[0])
+        best[0] = 1 - best[0]
+
+
+def _units(batch: pa.RecordBatch, by: list[str]) -> Iterator[tuple[int, tuple, list]]:
+    column = lambda c: batch.column(batch.schema.names.index(c)).to_pylist()
+    for i, (p, size, draw, *key) in enumerate(zip(column("__p"), column("__size"), column("__draw"), *map(column, by))):
+        yield i, tuple(key), [p, size, draw, i]
+
+
+def _fly(df: DataFrame, by: list[str]) -> DataFrame:
+    """__p moved towards 0 or 1 in each stream of equal ``by`` (rows come sorted by it); two rows of a stream may stay between."""
 
     def fly(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flight, now, waiting = Flight(), None, {}
+        flight, now = Flight(), None
         for batch in batches:
             p = batch.column(batch.schema.names.index("__p")).to_numpy().copy()
-            size = batch.column(batch.schema.names.index("__size")).to_numpy()
-            draw = batch.column(batch.schema.names.index("__draw")).to_numpy()
-            keys = list(zip(*(batch.column(batch.schema.names.index(c)).to_pylist() for c in by)))
             ready = np.ones(len(p), bool)
             late: list[tuple[pa.RecordBatch, float]] = []
 
@@ -115,25 +131,55 @@ def _fly(df: DataFrame, by: list[str], last: bool) -> DataFrame:
                     else:
                         late.append((at[0], value))
 
-            for i, key in enumerate(keys):
+            for i, key, unit in _units(batch, by):
                 if key != now:
-                    settle(flight.land() if last else flight.open)
+                    settle(flight.open)
                     flight, now = Flight(), key
                 ready[i] = False
-                settle(flight.add([float(p[i]), int(size[i]), float(draw[i]), i]))
-            for unit in flight.open:  # their rows go on alone, the batch can leave
+                settle(flight.add(unit))
+            for unit in flight.open:  # their rows wait alone, so that the batch can leave
                 if isinstance(unit[3], int):
-                    ready[unit[3]] = False
                     unit[3] = (batch.slice(unit[3], 1),)
             yield put(batch, ["__p"], [pa.array(p)]).filter(pa.array(ready))
             for row, value in late:
                 yield put(row, ["__p"], [pa.array([value])])
-        for value, _, _, at in flight.land() if last else flight.open:
+        for value, _, _, at in flight.open:
             yield put(at[0], ["__p"], [pa.array([value])])
 
     return df.mapInArrow(fly, with_columns(df, "__p double"))
 
 
+def _land(df: DataFrame, by: list[str], kept: int = 512) -> DataFrame:
+    """The last flight, over the few rows that streams left: all __p to 0 or 1. The last ``kept``
+    rows of a source stay at hand to make up for what landing adds or takes away."""
+
+    def land(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        flight, now, held, missing = Flight(), None, deque(), 0.0
+
+        def row(unit: list) -> pa.RecordBatch:
+            return put(unit[3], ["__p"], [pa.array([unit[0]])])
+
+        def finish() -> Iterator[pa.RecordBatch]:
+            units = [*held, *flight.land()]
+            repair(units, missing - sum(x[0] * x[1] for x in units))
+            yield from map(row, units)
+
+        for batch in batches:
+            for i, key, unit in _units(batch, by):
+                if key != now:
+                    yield from finish()
+                    flight, now, held, missing = Flight(), key, deque(), 0.0
+                missing += unit[0] * unit[1]
+                unit[3] = batch.slice(i, 1)
+                held.extend(flight.add(unit))
+                while len(held) > kept:
+                    missing -= held[0][0] * held[0][1]
+                    yield row(held.popleft())
+        yield from finish()
+
+    return df.mapInArrow(land, with_columns(df, "__p double"))
+
+
 def source_targets(sizes: DataFrame, max_repeat: float, weight_cycle: tuple[float, ...]) -> DataFrame:
     """source, source_size, target, salts: one row for each source. Shares go round by rank of the
     source, so these rows (some tens of bytes for each source) pass the driver; documents do not."""
@@ -142,7 +188,7 @@ def source_targets(sizes: DataFrame, max_repeat: float, weight_cycle: tuple[floa
     rows.sort(key=lambda r: (r.source is None, r.source or ""))
     weights = [weight_cycle[i % len(weight_cycle)] for i in range(len(rows))]
     out = targets([(r.source, r.n) for r in rows], weights, max_repeat)
-    data = [(r.source, int(r.n), float(t), max(16, -(-r.rows // ROWS_PER_STREAM))) for r, t in zip(rows, out)]
+    data = [(r.source, int(r.n), float(t), max(STREAMS, -(-r.rows // ROWS_PER_STREAM))) for r, t in zip(rows, out)]
     return spark.createDataFrame(data, "source string, source_size long, target double, salts int")
 
 
@@ -171,9 +217,9 @@ def mix_sources(
     # the largest documents are decided first, so what is left to land is small
     order = [F.desc("__size"), "__h"]
     first = rows.repartition("__source", "__salt").sortWithinPartitions("__source", "__salt", *order)
-    first = saved(_fly(first, ["__source", "__salt"], last=False), "mix-flight")
+    first = saved(_fly(first, ["__source", "__salt"]), "mix-flight")
     undecided = (F.col("__p") > 0) & (F.col("__p") < 1)
     second = first.where(undecided).repartition("__source").sortWithinPartitions("__source", *order)
-    done = first.where(~undecided).unionByName(_fly(second, ["__source"], last=True))
+    done = first.where(~undecided).unionByName(_land(second, ["__source"]))
     copies = (F.col("__whole") + F.col("__p").cast("int")).alias("copies")
     return done.select(*keep, F.col("__size").alias("size"), "source_size", "target", copies, (copies * F.col("__size")).alias("taken"))

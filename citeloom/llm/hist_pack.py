@@ -20,58 +20,101 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import BROADCAST_BYTES, saved
 
-CACHED_WORDS, CACHED_CHARS = 400_000, 48
+CACHED_WORDS, CACHED_CHARS, PORTION_BYTES = 700_000, 48, 4 << 20
+#: A character that a tokenizer gives an id of its own; words are joined by it to be encoded together.
+MARK = "°"
 
 
 class WordEncoder:
     """Ids of whole texts by a tokenizer that drops white space: words between spaces are
     encoded alone and remembered, which gives the same ids as the text at once."""
 
+    _of_process: dict[str, WordEncoder] = {}
+
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.known = Tokenizer.from_file(path), {}
-
-    def _encode(self, words: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(words, add_special_tokens=False)]
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        out = []
-        for text in texts:
-            words = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-            new = [w for w in {*words} if w not in self.known]
-            if len(self.known) + len(new) > CACHED_WORDS:
-                self.known = {}
-                new = [*{*words}]
-            once = {}
-            for word, ids in zip(new, self._encode(new)) if new else ():
-                (self.known if len(word) <= CACHED_CHARS else once)[word] = ids
-            if once:
-                out.append(b"".join(once[w] if w in once else self.known[w] for w in words))
-            else:
-                out.append(b"".join(map(self.known.__getitem__, words)))
+        self.mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids
+
+    @classmethod
+    def of(cls, path: str) -> WordEncoder:
+        """The worker process's own, so that its words outlive a task."""
+        if path not in cls._of_process:
+            cls._of_process[path] = cls(path)
+        return cls._of_process[path]
+
+    def _alone(self, words: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def _encode(self, words: list[str]) -> dict[str, bytes]:
+        together = [w for w in words if MARK not in w] if len(self.mark) == 1 else []
+        out: dict[str, bytes] = {}
+        for at in range(0, len(together), 2000):
+            part = together[at : at + 2000]
+            ids = np.array(self.tokenizer.encode_batch_fast([f" {MARK} ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.append(np.flatnonzero(ids == self.mark[0]), len(ids)).tolist()
+            raw, start = ids.tobytes(), 0
+            if len(ends) == len(part):
+                for word, end in zip(part, ends):
+                    out[word] = raw[4 * start : 4 * end]
+                    start = end + 1
+        rest = [w for w in words if w not in out]
+        out.update(zip(rest, self._alone(rest)) if rest else ())
         return out
 
+    def __call__(self, texts: pa.Array) -> list[np.ndarray]:
+        """The ids of each text. Words are split and numbered by Arrow; Python sees each distinct one once."""
+        split = pc.ascii_split_whitespace(texts)
+        numbered = split.flatten().dictionary_encode()
+        words = numbered.dictionary.to_pylist()
+        new = [w for w in words if w not in self.known]
+        if len(self.known) + len(new) > CACHED_WORDS:
+            self.known, new = {}, words
+        found = self._encode(new)
+        self.known.update((w, ids) for w, ids in found.items() if len(w) <= CACHED_CHARS)
+        own = [self.known[w] if w in self.known else found[w] for w in words]
+        sizes = np.fromiter(map(len, own), np.int64, len(own)) // 4
+        starts = np.cumsum(sizes) - sizes
+        ids = np.frombuffer(b"".join(own), "<u4")
+        word = numbered.indices.to_numpy(zero_copy_only=False)
+        ends = np.concatenate([[0], np.cumsum(sizes[word])])
+        flat = ids[np.repeat(starts[word] - ends[:-1], sizes[word]) + np.arange(ends[-1])]
+        cuts = ends[split.offsets.to_numpy() - split.offsets[0].as_py()]
+        return [flat[i:j] for i, j in zip(cuts, cuts[1:])]
+
+
+def portions(texts: pa.Array, size: int) -> Iterator[tuple[int, int]]:
+    """Ranges of rows of about ``size`` bytes of text each."""
+    ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
+    start = 0
+    while start < len(ends):
+        base = ends[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, base + size, side="right")))
+        yield start, stop
+        start = stop
+
 
 def cut_pieces(docs: DataFrame, tokenizer_path: str, seq_len: int, end_id: int, doc_id: str, text: str) -> DataFrame:
     """doc_id, start, length, doc_tokens, task, nth (among the task's pieces of that length), ids (little-endian)."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = WordEncoder(tokenizer_path), np.array([end_id], "<u4").tobytes()
+        encode, end = WordEncoder.of(tokenizer_path), np.array([end_id], "<u4").tobytes()
         task, counts = TaskContext.get().partitionId(), [0] * (seq_len + 1)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            texts = pc.fill_null(batch.column(1), "")
+            for a, b in portions(texts, PORTION_BYTES):
                 cols: tuple[list, ...] = ([], [], [], [], [], [], [])
-                for id_, ids in zip(part.column(0).to_pylist(), encode([v or "" for v in part.column(1).to_pylist()])):
-                    ids += end
+                for id_, ids in zip(batch.column(0).slice(a, b - a).to_pylist(), encode(texts.slice(a, b - a))):
+                    ids = ids.tobytes() + end
                     total = len(ids) // 4
                     for start in range(0, total, seq_len):
                         length = min(seq_len, total - start)

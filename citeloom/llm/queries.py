@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import crf_pii, cube_mix, fm_quality, hist_pack, kd_shards, line_dedup, syncmers, warc_index
+from . import cross_polytope, crf_pii, cube_mix, fm_quality, hist_pack, jaccard_join, kd_shards, line_dedup, syncmers, warc_index
 from .shared import table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -18,6 +18,10 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op2_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cross_polytope.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = hist_pack.pack(table(spark, sf_dir, "documents"), TOKENIZER)
     return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -34,6 +38,11 @@ def op5_pii_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *counts, F.sha2("base_spans", 256).alias("base_sha256"), "spans")
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = jaccard_join.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), words=4, percent=85)
+    return out.select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
+
+
 def op7_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = warc_index.round_trip(table(spark, sf_dir, "pages"))
     return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -77,7 +86,7 @@ FROM b
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_line_dedup, op3_packing, op4_kd_sharding, op5_pii_crf, op7_warc_index, op8_syncmer_fingerprints, op9_fm_quality, op10_cube_mix)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_cross_polytope, op3_packing, op4_kd_sharding, op5_pii_crf, op6_jaccard_join, op7_warc_index, op8_syncmer_fingerprints, op9_fm_quality, op10_cube_mix)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -25,7 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 K, S, SIZE = 24, 8, 64
-ROWS_PER_PART, BYTES_PER_PART = 500_000, 512 << 20
+#: Ranges of ids: small ones for even tasks, larger ones where there would be too many edges for the driver.
+SMALL_PART, LARGE_PART, SMALL_PARTS = 16 << 20, 1 << 30, 50_000
 NO_ID, NAMES = -(1 << 63), ["part", "id", "key", "text", "halo"]
 
 
@@ -138,8 +139,8 @@ def compare_with_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     rows = rows.select("id", F.coalesce("id", F.lit(NO_ID).cast("long")).alias("key"), "text")
     if parts is None:
-        n, size = rows.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
-        parts = max(24, -(-n // ROWS_PER_PART), -(-size // BYTES_PER_PART))
+        size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+        parts = max(24, min(SMALL_PARTS, -(-size // SMALL_PART)), -(-size // LARGE_PART))
     edges = _edges(rows.select("key"), parts)
     heads = _heads(rows.select("key"), edges)
     order = sorted(heads, reverse=True)
