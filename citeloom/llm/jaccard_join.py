@@ -65,9 +65,10 @@ class Shingler:
         words = (text or "").encode("utf-8", "replace").lower().split()
         if not words:
             return np.zeros(0, U64)
-        new = {*words} - self.known.keys()
-        if len(self.known) + len(new) > 1_000_000:
-            self.known, new = {}, {*words}
+        known = self.known
+        new = [w for w in {*words} if w not in known]
+        if len(known) + len(new) > 1_000_000:
+            self.known, new = {}, [*{*words}]
         self.known.update((w, xxhash.xxh3_64_intdigest(w)) for w in new)
         h = np.fromiter(map(self.known.__getitem__, words), U64, len(words))
         n = min(self.n, len(h))
@@ -192,11 +193,14 @@ class Join:
 
     def __init__(self, docs: DataFrame, doc_id: str, text: str, words: int, percent: int):
         self.docs, self.doc_id, self.text, self.words, self.percent = docs.where(F.col(doc_id).isNotNull()), doc_id, text, words, percent
-        sizes = Bands(percent)
-        edges = F.array(*(F.lit(e).cast("long") for e in sizes.edges))
-        n = word_count(F.coalesce(F.col(text), F.lit("")))
-        counted = self.docs.select(F.size(F.filter(edges, lambda e: e <= n)).alias("band")).groupBy("band").agg(F.count("*").alias("n")).collect()
-        self.bands = Bands(percent, {r.band - 1: r.n for r in counted})
+        # how many documents a band has, by their words: an estimate is enough to weigh allocations
+        scale = F.floor(F.log(word_count(F.coalesce(F.col(text), F.lit(""))) + F.lit(1.0)) * 16)
+        counted = self.docs.groupBy(scale.alias("scale")).agg(F.count("*").alias("n")).collect()
+        sizes, counts = Bands(percent), {}
+        for r in counted:
+            band = sizes.band(max(1, round(np.exp((r.scale + 0.5) / 16))))
+            counts[band] = counts.get(band, 0) + r.n
+        self.bands = Bands(percent, counts)
         self.all = saved(signatures(docs, doc_id, text, words, self.bands), "jaccard-sets")
         self.classes = self.all.where("n > 0 AND id IS NOT NULL").groupBy("cls")
 
