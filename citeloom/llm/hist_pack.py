@@ -19,6 +19,7 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
@@ -192,22 +193,22 @@ def pack(docs: DataFrame, tokenizer_path: str, seq_len: int = 2048, end_id: int
     if before.count() * 32 <= broadcast_bytes:
         before = F.broadcast(before)
 
-    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            names = batch.schema.names
-            length, rank = (batch.column(names.index(c)).to_numpy() for c in ("length", "rank"))
-            sequence, offset = np.zeros(len(rank), np.int64), np.zeros(len(rank), np.int64)
-            for value in np.unique(length):
-                own = np.flatnonzero(length == value)
-                first, _, times, start, at = held.value[int(value)]
-                run = np.searchsorted(first, rank[own], side="right") - 1
-                nth = rank[own] - first[run]
-                sequence[own], offset[own] = start[run] + nth // times[run], at[run] + nth % times[run] * value
-            kept = [i for i, n in enumerate(names) if n != "rank"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), pa.array(sequence), pa.array(offset)], names=[*(names[i] for i in kept), "sequence_id", "offset"])
-
-    ranked = pieces.join(before, ["length", "task"]).select("doc_id", "start", "length", "doc_tokens", "ids", (F.col("before") + F.col("nth")).alias("rank"))
-    return ranked.mapInArrow(assign, "doc_id long, start long, length long, doc_tokens long, ids binary, sequence_id long, offset long")
+    def place(length: pd.Series, rank: pd.Series) -> pd.DataFrame:
+        length, rank = length.to_numpy(), rank.to_numpy()
+        sequence, offset = np.zeros(len(rank), np.int64), np.zeros(len(rank), np.int64)
+        order = np.argsort(length, kind="stable")
+        for own in np.split(order, np.flatnonzero(np.diff(length[order])) + 1) if len(order) else ():
+            value = int(length[own[0]])
+            first, _, times, start, at = held.value[value]
+            run = np.searchsorted(first, rank[own], side="right") - 1
+            nth = rank[own] - first[run]
+            sequence[own], offset[own] = start[run] + nth // times[run], at[run] + nth % times[run] * value
+        return pd.DataFrame({"sequence_id": sequence, "offset": offset})
+
+    # ids stay with Spark; only lengths and ranks go to Python
+    put = F.pandas_udf(place, "sequence_id long, offset long")
+    ranked = pieces.join(before, ["length", "task"]).withColumn("__at", put("length", F.col("before") + F.col("nth")))
+    return ranked.select("doc_id", "start", "length", "doc_tokens", "ids", "__at.sequence_id", "__at.offset")
 
 
 def sequences(pieces: DataFrame) -> DataFrame:

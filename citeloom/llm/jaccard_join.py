@@ -7,8 +7,9 @@ Candidates. Sizes are cut into bands. Two sets of Jaccard index t or more, the s
 band k, at most U) and the larger one, differ in at most H = U (1 - t) / t elements. The universe is
 cut by hash into m segments, and each band has the cheaper of two allocations (``allocate``):
 
-* subsets: m = H + 2 segments. At most H of them can differ, so two at least are equal, and a
-  pair has to share two segment keys;
+* subsets: m = H + 2 + SLACK segments. At most H of them can differ, so 2 + SLACK at least are
+  equal. A set leaves out its keys with large buckets (empty segments, common passages) if those are
+  not more than SLACK; a pair still has to share two other keys. A set with more of them keeps all;
 * deletions: m = H / 2 + 1 segments, indexed with their one-deletion neighbourhoods. One of them at
   least differs in one element or none, so a pair shares the key of a segment or of a segment less one element.
 
@@ -41,7 +42,7 @@ from pyspark.sql import functions as F
 from .shared import saved, word_count
 
 BUCKET, BLOCK = 32, 384
-BAND_RATIO = 1.5
+BAND_RATIO, SLACK = 1.35, 4
 #: Ids of documents to verify that are few enough to be sent to all tasks (8 bytes each).
 BROADCAST_IDS = 1_000_000
 U64 = np.uint64
@@ -107,7 +108,7 @@ class Bands:
         if not h:
             return 0, False  # only equal sets, which are one class
         chance = lambda m: m * np.exp(-2 * size / m)  # noqa: E731  segments empty on both sides
-        subsets, deletions = h + 2, h // 2 + 1
+        subsets, deletions = h + 2 + SLACK, h // 2 + 1
         costs = (
             subsets + 50 * sets * chance(subsets) ** 2 / 2,
             deletions + size + 50 * sets * chance(deletions) * (1 + 2 * size / deletions),
@@ -316,10 +317,15 @@ class Join:
         stars = saved(stars.where("keys >= need").select("a", "b"), "jaccard-stars")
         first = saved(self.links(stars, self.sets_of(_ends(stars))), "jaccard-links")
         comps = components(first)
-        members = shared.join(comps, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
-        members = saved(members.select("key", "cls", "n", "leader", "comp"), "jaccard-members")
-        spread = members.groupBy("key").agg(F.count("*").alias("g"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key", (F.col("g") > BUCKET).alias("large"))
-        open_ = saved(members.join(spread, "key"), "jaccard-open")
+        # buckets over BUCKET; few, as each has that many members
+        large_keys = shared.groupBy("key").agg(F.count("*").alias("g")).where(F.col("g") > BUCKET).select("key", F.lit(True).alias("large"))
+        members = shared.select("key", "cls", "n", "leader").join(large_keys, "key", "left").withColumn("large", F.coalesce("large", F.lit(False)))
+        members = saved(members.join(comps, "cls", "left").withColumn("comp", F.coalesce("comp", "cls")), "jaccard-members")
+        slack = (F.pmod("key", F.lit(2)) == 1) & F.col("large")
+        full = members.where(slack).groupBy("cls").agg(F.count("*").alias("k")).where(F.col("k") > SLACK).select("cls", F.lit(True).alias("full"))
+        members = members.join(full, "cls", "left").where(~slack | F.col("full").isNotNull()).drop("full")
+        spread = members.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
+        open_ = saved(members.join(spread, "key", "left_semi"), "jaccard-open")
         small = open_.where(~F.col("large"))
         left, right = small.select("key", *(F.col(c).alias(f"{c}1") for c in ("cls", "n", "comp"))), small.select("key", *(F.col(c).alias(f"{c}2") for c in ("cls", "n", "comp")))
         pairs = left.join(right, "key").where("cls1 < cls2 AND comp1 <> comp2").where(near("n1", "n2") & near("n2", "n1"))
