@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cache
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -39,14 +41,17 @@ def token_set_score(a: str, b: str) -> float:
     return out
 
 
-@F.pandas_udf("double")
-def _token_set_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([token_set_score(x or "", y or "") for x, y in zip(a, b)], dtype="float64")
+@cache
+def _token_set_ratio():
+    def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([token_set_score(x or "", y or "") for x, y in zip(a, b)], dtype="float64")
+
+    return F.pandas_udf(ratio, "double")
 
 
 def token_set_ratio(a: Column, b: Column) -> Column:
     """Of normalised strings, rounded to six places. Equal strings, the most frequent case, never reach Python's loop."""
-    return F.when((a == b) & (a != ""), F.lit(100.0)).otherwise(F.round(_token_set_ratio(a, b), 6))
+    return F.when((a == b) & (a != ""), F.lit(100.0)).otherwise(F.round(_token_set_ratio()(a, b), 6))
 
 
 def title_ratio(a: Column, b: Column) -> Column:

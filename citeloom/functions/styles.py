@@ -14,7 +14,7 @@ SUPPORTED_STYLES = ["apa", "mla", "ama", "chicago", "vancouver", "ieee", "harvar
 
 # ---- fixed names of the formats
 BIBTEX_TYPES = {"journal-article": "article", "book": "book", "book-chapter": "incollection", "proceedings-article": "inproceedings", "posted-content": "misc", "report": "techreport", "thesis": "phdthesis", "webpage": "misc"}
-RIS_TYPES = {"journal-article": "JOUR", "book": "BOOK", "book-chapter": "CHAP", "proceedings-article": "CONF", "posted-content": "UNPB", "report": "RPRT", "thesis": "THES"}
+RIS_TYPES = {"journal-article": "JOUR", "book": "BOOK", "book-chapter": "CHAP", "proceedings-article": "CONF", "posted-content": "JOUR", "report": "RPRT", "thesis": "THES"}
 # ---- end of fixed names
 
 
@@ -224,7 +224,7 @@ def format_intext(c, style: str, index: Column | None = None, page: Column | Non
 
 
 def citation_key(c) -> Column:
-    lead = F.coalesce(F.nullif(_family(_nth(_authors(c), 1)), F.lit("")), F.when(F.size(_authors(c)) == 0, F.lit("Anon")), F.lit(""))
+    lead = F.when(F.size(_authors(c)) == 0, F.lit("anon")).otherwise(_family(_nth(_authors(c), 1)))
     return _cat(F.regexp_replace(F.lower(lead), "[^a-z0-9]+", ""), F.coalesce(c["year"].cast("string"), F.lit("nd")))
 
 
@@ -243,13 +243,31 @@ def bibtex(c) -> Column:
     return F.concat_ws("\n", *lines)
 
 
-def ris(c) -> Column:
+def _page_ends(pages: Column) -> tuple[Column, Column]:
+    ends = F.split(F.replace(t.text(pages), F.lit("–"), F.lit("-")), "-", 2)
+    return F.trim(_nth(ends, 1)), F.when(F.size(ends) > 1, F.trim(_nth(ends, 2)))
+
+
+def _ris_lines(kind: Column, c, fields: list[tuple[str, Column]], tail: list[Column]) -> Column:
     line = lambda tag, value: F.when(~t.missing(value), _cat(f"{tag}  - ", value))
-    ends = F.split(t.text(c["pages"]), "[-–]", 2)
-    ranged = F.size(ends) > 1
-    who = F.transform(_authors(c), lambda a: _cat("AU  - ", F.array_join(F.filter(F.array(_family(a), t.text(a["given"])), lambda x: x != ""), ", ")))
-    return F.concat_ws(
-        "\n", _cat("TY  - ", _map(RIS_TYPES, t.text(c["type"]), "GEN")), who, line("TI", c["title"]), line("JO", c["container_title"]), line("PY", c["year"].cast("string")),
-        line("VL", c["volume"]), line("IS", c["issue"]), line("SP", F.trim(_nth(ends, 1))), F.when(ranged, line("EP", F.trim(_nth(ends, 2)))),
-        line("PB", c["publisher"]), line("DO", c["doi"]), line("UR", c["source_url"]), F.lit("ER  - "),
-    )
+    who = F.transform(_authors(c), lambda a: F.rtrim(_cat("AU  - ", a["family"], ", ", a["given"]), F.lit(", ")))
+    return F.concat_ws("\n", _cat("TY  - ", kind), who, *(line(tag, value) for tag, value in fields), *tail, F.lit("ER  - "))
+
+
+def ris(c) -> Column:
+    first, last = _page_ends(c["pages"])
+    fields = [("TI", c["title"]), ("PY", c["year"].cast("string")), ("JO", c["container_title"]), ("VL", c["volume"]), ("IS", c["issue"]), ("SP", first), ("EP", last), ("DO", c["doi"]), ("PB", c["publisher"])]
+    return _ris_lines(_map(RIS_TYPES, t.text(c["type"]), "GEN"), c, fields, [])
+
+
+def ris_grey(p) -> Column:
+    """Grey literature from the parsed entry."""
+    fields = [("TI", p["title"]), ("PY", p["year"].cast("string")), ("PB", p["publisher"]), ("UR", p["url"])]
+    return _ris_lines(F.lit("GEN"), p, fields, [F.lit("N1  - Grey literature; verified by URL resolution only.")])
+
+
+def bibtex_grey(p) -> Column:
+    line = lambda name, value: F.when(~t.missing(value), _cat(f"  {name} = {{", value, "},"))
+    who = F.array_join(F.transform(_authors(p), t.full_name), " and ")
+    fields = [("author", who), ("title", p["title"]), ("year", p["year"].cast("string")), ("publisher", p["publisher"]), ("url", p["url"])]
+    return F.concat_ws("\n", _cat("@misc{", F.lower(citation_key(p)), ","), *(line(n, v) for n, v in fields), F.lit("  note = {Grey literature; verified by URL resolution only}"), F.lit("}"))
