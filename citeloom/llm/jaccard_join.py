@@ -17,11 +17,13 @@ A set is indexed in its own band and probes the bands of the sizes that it can m
 of element hashes, so a deletion is a subtraction.
 
 Verification. Keys travel without the sets. In a sorted stream of keys every key has a
-leader, its least member. Round one verifies members against leaders (linear in the number of keys) and
+leader, its least member; buckets over ``BUCKET`` members are led by the member with the most of such
+buckets. Round one verifies members against leaders (linear in the number of keys) and
 takes components of the links found. Round two verifies the pairs of different components
-that remain: in small buckets pair by pair, and in buckets over ``BUCKET`` members by leader, in
+that remain: in small buckets pair by pair, and in large ones by leader, in
 blocks whose pairs are counted inside the task and leave it as a spanning forest. No pair of a bucket
-is skipped, and none is emitted for a large one.
+is skipped, and none is emitted for a large one. Before sets are sent anywhere, ``Sketch`` rules out
+pairs by a bound that never exceeds their true difference.
 
 Defined cases: null and empty texts have no elements and are linked with nothing; a text of fewer words
 than n is one element; rows without an id take no part and are components of their own (null); rows that
@@ -80,6 +82,35 @@ class Shingler:
             return np.unique(_mix(total))
 
 
+class Sketch:
+    """Counts and sums (mod 256) of a set's hashes in about n / 4 cells: two bytes a cell. Cells halve by adding
+    neighbours, so sketches of two sizes compare."""
+
+    @staticmethod
+    def of(elements: np.ndarray) -> bytes:
+        bits = max(0, int(np.ceil(np.log2(max(len(elements), 1) / 4)))) if len(elements) > 4 else 0
+        with np.errstate(over="ignore"):
+            values = _mix(elements + U64(0xE7037ED1A0B428DB))
+        cell = (values >> U64(64 - bits)).astype(np.int64) if bits else np.zeros(len(elements), np.int64)
+        counts = np.minimum(np.bincount(cell, minlength=1 << bits), 255).astype(np.uint8)
+        sums = np.bincount(cell, weights=(values & U64(255)).astype(np.float64), minlength=1 << bits).astype(np.int64) % 256
+        return counts.tobytes() + sums.astype(np.uint8).tobytes()
+
+    @staticmethod
+    def cells(data, size: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Counts and sums, folded to ``size`` cells."""
+        both = np.frombuffer(data, np.uint8).astype(np.int16).reshape(2, -1)
+        if size is not None and size < both.shape[1]:
+            both = both.reshape(2, size, -1).sum(2)
+        return both[0], both[1] % 256
+
+    @staticmethod
+    def bound(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+        """At most the size of the symmetric difference: a cell differs by its counts, or by two if only its sum does."""
+        more = np.abs(a[0] - b[0])
+        return (more + 2 * ((more == 0) & (a[1] != b[1]))).sum(-1, dtype=np.int64)
+
+
 def class_of(elements: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(elements.tobytes()) - (1 << 63)
 
@@ -140,7 +171,7 @@ class Bands:
 
 
 def signatures(docs: DataFrame, doc_id: str, text: str, words: int, bands: Bands) -> DataFrame:
-    """id, n, cls (0 without elements), keys."""
+    """id, n, cls (0 without elements), sketch, keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler(words)
@@ -150,11 +181,11 @@ def signatures(docs: DataFrame, doc_id: str, text: str, words: int, bands: Bands
             offsets = np.concatenate([[0], np.cumsum([len(k) for k in keys], dtype=np.int64)]).astype(np.int32)
             flat = np.concatenate(keys) if keys else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([class_of(s) if len(s) else 0 for s in sets], pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))],
-                names=["id", "n", "cls", "keys"],
+                [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([class_of(s) if len(s) else 0 for s in sets], pa.int64()), pa.array([Sketch.of(s) for s in sets], pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))],
+                names=["id", "n", "cls", "sketch", "keys"],
             )
 
-    return docs.select(F.col(doc_id).cast("long"), F.col(text)).mapInArrow(run, "id long, n long, cls long, keys array<long>")
+    return docs.select(F.col(doc_id).cast("long"), F.col(text)).mapInArrow(run, "id long, n long, cls long, sketch binary, keys array<long>")
 
 
 def buckets(keyed: DataFrame) -> DataFrame:
@@ -223,9 +254,34 @@ class Join:
         sets = rows.mapInArrow(run, "cls long, elements binary")
         return saved(sets.join(holders.select("cls"), "cls", "left_semi").dropDuplicates(["cls"]), "jaccard-elements")
 
-    def links(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    def sketches_of(self, wanted: DataFrame) -> DataFrame:
+        rows = self.all.where("n > 0 AND id IS NOT NULL").select("cls", "n", "sketch")
+        return rows.join(wanted.select("cls").distinct(), "cls", "left_semi").dropDuplicates(["cls"])
+
+    def likely(self, pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) that sketches do not rule out."""
+        percent = self.percent
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                total = batch.column(2).to_numpy() + batch.column(4).to_numpy()
+                least = np.zeros(len(total), np.int64)
+                for k, (x, y) in enumerate(zip(batch.column(3), batch.column(5))):
+                    x, y = x.as_buffer(), y.as_buffer()
+                    cells = min(len(x), len(y)) // 2
+                    least[k] = Sketch.bound(Sketch.cells(x, cells), Sketch.cells(y, cells))
+                yield batch.select(["a", "b"]).filter(pa.array((100 + percent) * least <= (100 - percent) * total))
+
+        sketches = self.sketches_of(_ends(pairs))
+        side = lambda c: sketches.select(F.col("cls").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}"))
+        both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "sa", "nb", "sb")
+        return saved(both.mapInArrow(run, "a long, b long"), "jaccard-likely")
+
+    def links(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) that reach the similarity."""
         percent = self.percent
+        pairs = self.likely(pairs)
+        sets = self.sets_of(_ends(pairs))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -239,17 +295,37 @@ class Join:
         both = pairs.join(sets.select(F.col("cls").alias("a"), F.col("elements").alias("x")), "a").join(sets.select(F.col("cls").alias("b"), F.col("elements").alias("y")), "b")
         return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
-    def links_in_blocks(self, members: DataFrame, sets: DataFrame) -> DataFrame:
-        """Links between different components inside the groups (leader, cls, comp), as a spanning forest for each pair of blocks."""
+    def links_in_blocks(self, members: DataFrame) -> DataFrame:
+        """Links between different components inside the groups (leader, cls, comp), as a spanning forest for each
+        pair of blocks. Sketches go to the blocks first; only members that they leave a partner send their sets."""
         percent = self.percent
         sizes = members.groupBy("leader").agg(F.count("*").alias("g"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
         dealt = members.join(sizes.select("leader", F.ceil(F.col("g") / BLOCK).cast("int").alias("blocks")), "leader")
         own = F.pmod(F.xxhash64("cls"), "blocks").cast("int")
         dealt = dealt.withColumn("own", own).select("leader", "cls", "comp", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-        dealt = dealt.select("leader", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "cls", "comp", "own").join(sets, "cls")
-        dealt = dealt.repartition("leader", "i", "j").sortWithinPartitions("leader", "i", "j", "cls")
+        dealt = dealt.select("leader", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "cls", "comp", "own")
 
-        def linked(rows: list[tuple[int, int, int, bytes]], i: int, j: int) -> list[tuple[int, int]]:
+        def apart(rows: list[tuple], i: int, j: int) -> np.ndarray:
+            """Pairs that are to be compared: of two components and, in a pair of blocks, one of each."""
+            comp, side = np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
+            out = comp[:, None] != comp[None]
+            return out & (side[:, None] != side[None]) if i != j else out
+
+        def close(rows: list[tuple], i: int, j: int) -> list[tuple]:
+            """The rows whose sketch leaves them a partner."""
+            size = min(len(r[3]) for r in rows) // 2
+            cells = [Sketch.cells(r[3], size) for r in rows]
+            counts, sums = np.stack([c for c, _ in cells]), np.stack([c for _, c in cells])
+            n, open_ = np.array([r[4] for r in rows]), apart(rows, i, j)
+            kept = np.zeros(len(rows), bool)
+            for a in range(len(rows)):
+                other = np.flatnonzero(open_[a])
+                if len(other):
+                    good = (100 + percent) * Sketch.bound((counts[a], sums[a]), (counts[other], sums[other])) <= (100 - percent) * (n[a] + n[other])
+                    kept[a] |= good.any()
+            return [(r[0], r[1], r[2]) for r, k in zip(rows, kept) if k]
+
+        def linked(rows: list[tuple], i: int, j: int) -> list[tuple[int, int]]:
             sets_ = [np.frombuffer(r[3], U64) for r in rows]
             n = np.array([len(s) for s in sets_])
             tokens, inverse, times = np.unique(np.concatenate(sets_), return_inverse=True, return_counts=True)
@@ -265,12 +341,9 @@ class Join:
                 x = np.zeros((len(rows), min(2048, width - a)), np.float32)
                 x[row[lo:hi], column[lo:hi] - a] = 1
                 same += x @ x.T
-            comp, side = np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
-            good = 100 * same.astype(np.int64) >= percent * (n[:, None] + n[None] - same.astype(np.int64))
-            good &= comp[:, None] != comp[None]
-            if i != j:
-                good &= side[:, None] != side[None]
-            parent = {c: c for c in comp.tolist()}
+            same = same.astype(np.int64)
+            good = (100 * same >= percent * (n[:, None] + n[None] - same)) & apart(rows, i, j)
+            parent = {r[1]: r[1] for r in rows}
 
             def root(c: int) -> int:
                 while parent[c] != c:
@@ -280,67 +353,83 @@ class Join:
 
             out = []
             for a, b in zip(*np.nonzero(np.triu(good, 1))):
-                ra, rb = root(int(comp[a])), root(int(comp[b]))
+                ra, rb = root(rows[a][1]), root(rows[b][1])
                 if ra != rb:
                     parent[ra] = rb
                     out.append((rows[a][0], rows[b][0]))
             return out
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def by_group(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[tuple, list]]:
+            """(leader, i, j) and its rows (cls, comp, own and what else comes), from a sorted stream."""
             group, held = None, []
-
-            def done() -> pa.RecordBatch:
-                found = linked(held, group[1], group[2]) if len(held) > 1 else []
-                return pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], names=["a", "b"])
-
             for batch in batches:
                 cols = [batch.column(c).to_pylist() for c in range(6)]
-                for k, (leader, i, j, cls, comp, own_) in enumerate(zip(*cols)):
+                more = [batch.column(c) for c in range(6, width)]
+                for k, (leader, i, j, *row) in enumerate(zip(*cols)):
                     if (leader, i, j) != group:
-                        if held:
-                            yield done()
+                        if len(held) > 1:
+                            yield group, held
                         group, held = (leader, i, j), []
-                    held.append((cls, comp, own_, batch.column(6)[k].as_py()))
-            if held:
-                yield done()
-
-        return dealt.select("leader", "i", "j", "cls", "comp", "own", "elements").mapInArrow(run, "a long, b long")
+                    held.append((*row, *(m[k].as_py() for m in more)))
+            if len(held) > 1:
+                yield group, held
+
+        def run_close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            names = ["leader", "i", "j", "cls", "comp", "own"]
+            types = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32())
+            for (leader, i, j), rows in by_group(batches, 8):
+                cols = list(zip(*((leader, i, j, *r) for r in close(rows, i, j)))) or [()] * 6
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, types)], names=names)
+
+        def run_linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for (_, i, j), rows in by_group(batches, 7):
+                found = linked(rows, i, j)
+                yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], names=["a", "b"])
+
+        key = ["leader", "i", "j"]
+        sorted_ = lambda df: df.repartition(*key).sortWithinPartitions(*key, "cls")
+        sketched = dealt.join(self.sketches_of(members), "cls").select(*key, "cls", "comp", "own", "sketch", "n")
+        left = saved(sorted_(sketched).mapInArrow(run_close, "leader long, i int, j int, cls long, comp long, own int"), "jaccard-close")
+        full = left.join(self.sets_of(left.select("cls")), "cls").select(*key, "cls", "comp", "own", "elements")
+        return sorted_(full).mapInArrow(run_linked, "a long, b long")
 
     def labels(self) -> DataFrame:
         """cls, comp for all classes that are linked with another."""
         # the keys of a class are the same for all its copies
         classes = self.classes.agg(F.first("n").alias("n"), F.first("keys").alias("keys"))
         shared = saved(buckets(classes.select(F.explode("keys").alias("key"), "cls", "n")), "jaccard-buckets")
-        need = F.when(F.pmod("key", F.lit(2)) == 1, 2).otherwise(1)
+        exact = F.pmod("key", F.lit(2)) == 1
+        need = F.when(exact, 2).otherwise(1)
         near = lambda a, b: 100 * F.col(a) >= self.percent * F.col(b)
-        stars = shared.where((F.col("pos") > 0) & near("leader_n", "n")).groupBy(F.col("leader").alias("a"), F.col("cls").alias("b")).agg(F.count("*").alias("keys"), F.min(need).alias("need"))
-        stars = saved(stars.where("keys >= need").select("a", "b"), "jaccard-stars")
-        first = saved(self.links(stars, self.sets_of(_ends(stars))), "jaccard-links")
-        comps = components(first)
-        # buckets over BUCKET; few, as each has that many members
+        # keys of buckets over BUCKET; few, as each has that many members
         large_keys = shared.groupBy("key").agg(F.count("*").alias("g")).where(F.col("g") > BUCKET).select("key", F.lit(True).alias("large"))
-        members = shared.select("key", "cls", "n", "leader").join(large_keys, "key", "left").withColumn("large", F.coalesce("large", F.lit(False)))
-        members = saved(members.join(comps, "cls", "left").withColumn("comp", F.coalesce("comp", "cls")), "jaccard-members")
-        slack = (F.pmod("key", F.lit(2)) == 1) & F.col("large")
+        members = saved(shared.join(large_keys, "key", "left").withColumn("large", F.coalesce("large", F.lit(False))), "jaccard-members")
+        slack = exact & F.col("large")
         full = members.where(slack).groupBy("cls").agg(F.count("*").alias("k")).where(F.col("k") > SLACK).select("cls", F.lit(True).alias("full"))
-        members = members.join(full, "cls", "left").where(~slack | F.col("full").isNotNull()).drop("full")
-        spread = members.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-        open_ = saved(members.join(spread, "key", "left_semi"), "jaccard-open")
-        small = open_.where(~F.col("large"))
-        left, right = small.select("key", *(F.col(c).alias(f"{c}1") for c in ("cls", "n", "comp"))), small.select("key", *(F.col(c).alias(f"{c}2") for c in ("cls", "n", "comp")))
+        large = saved(members.where("large").join(full, "cls", "left").where(~exact | F.col("full").isNotNull()).select("key", "cls"), "jaccard-large")
+        most = large.groupBy("cls").agg(F.count("*").alias("k"))
+        leaders = large.join(most, "cls").groupBy("key").agg(F.max_by("cls", F.struct("k", "cls")).alias("leader"))
+        large = saved(large.join(leaders, "key").select("leader", "cls").distinct(), "jaccard-led")
+        small = members.where("NOT large").select("key", "cls", "n", "leader", "leader_n", "pos")
+        stars = small.where((F.col("pos") > 0) & near("leader_n", "n")).groupBy(F.col("leader").alias("a"), F.col("cls").alias("b")).agg(F.count("*").alias("keys"), F.min(need).alias("need"))
+        stars = stars.where("keys >= need").select("a", "b").unionByName(large.where("leader <> cls").select(F.col("leader").alias("a"), F.col("cls").alias("b")))
+        stars = saved(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "jaccard-stars")
+        first = saved(self.links(stars), "jaccard-links")
+        comps = components(first)
+        labelled = lambda df: df.join(comps, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
+        small = labelled(small.select("key", "cls", "n"))
+        open_ = small.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
+        small = saved(small.join(open_, "key", "left_semi"), "jaccard-open")
+        left, right = (small.select("key", *(F.col(c).alias(f"{c}{k}") for c in ("cls", "n", "comp"))) for k in (1, 2))
         pairs = left.join(right, "key").where("cls1 < cls2 AND comp1 <> comp2").where(near("n1", "n2") & near("n2", "n1"))
         pairs = pairs.groupBy(F.col("cls1").alias("a"), F.col("cls2").alias("b")).agg(F.count("*").alias("keys"), F.min(need).alias("need"))
-        tried = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        pairs = saved(pairs.where("keys >= need").select("a", "b").join(tried, ["a", "b"], "left_anti"), "jaccard-pairs")
-        large = saved(open_.where("large").select("leader", "cls", "comp").distinct(), "jaccard-large")
-        sets = self.sets_of(_ends(pairs).unionByName(large.select("cls")))
-        second = self.links(pairs, sets).unionByName(self.links_in_blocks(large, sets))
-        second = saved(second, "jaccard-links")
+        pairs = saved(pairs.where("keys >= need").select("a", "b").join(stars, ["a", "b"], "left_anti"), "jaccard-pairs")
+        second = saved(self.links(pairs).unionByName(self.links_in_blocks(labelled(large))), "jaccard-links")
         return components(first.unionByName(second))
 
 
 def _ends(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.explode(F.array("a", "b")).alias("cls"))
+    return pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -363,7 +452,7 @@ def components(links: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 4, percent: int = 85) -> DataFrame:
     """For each row id, n_shingles, cls, component_id (the least id that links reach, its own included)."""
     join = Join(docs, doc_id, text, words, percent)
-    labelled = join.all.drop("keys").join(join.labels(), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
+    labelled = join.all.drop("keys", "sketch").join(join.labels(), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     labelled = saved(labelled, "jaccard-labelled")
     linked = (F.col("n") > 0) & F.col("id").isNotNull()
     least = labelled.where(linked).groupBy("comp").agg(F.min("id").alias("least"), F.count("*").alias("size")).where("size > 1").drop("size")
