@@ -17,6 +17,7 @@ import heapq
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,12 +30,15 @@ from pyspark.sql import functions as F
 
 from .shared import BROADCAST_BYTES, saved
 
-CACHED_WORDS, CACHED_CHARS, PORTION_BYTES = 600_000, 48, 4 << 20
+CACHED_WORDS, CACHED_CHARS, PORTION_BYTES = 600_000, 48, 8 << 20
 #: A character that a tokenizer gives an id of its own; words are joined by it to be encoded together.
 MARK = "°"
 #: Words whose parts can be told without the tokenizer: ASCII and Latin-1 but for spaces; and the
 #: tokenizer's own rule for parts, for these characters.
 PLAIN = re.compile("[!-~¡-ÿ]{1,48}")
+# the byte alphabet of such vocabularies: printable Latin-1 bytes are themselves, the others follow 255
+_OTHERS = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255)]
+ALPHABET = {b: chr(256 + i) for i, b in enumerate(_OTHERS)}
 PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[A-Za-zªµºÀ-ÖØ-öø-ÿ]+|[0-9²³¹¼½¾]|[^A-Za-zªµºÀ-ÖØ-öø-ÿ0-9²³¹¼½¾]+")
 
 
@@ -77,16 +81,28 @@ class WordEncoder:
         out.update(zip(rest, self._alone(rest)) if rest else ())
         return out
 
+    def _part(self, part: str) -> bytes:
+        """Ids of one part of a word, by the tokenizer's model; its alphabet stands for bytes."""
+        if not part.isascii():
+            part = part.encode().decode("latin-1").translate(ALPHABET)
+        return array("I", [t.id for t in self.tokenizer.model.tokenize(part)]).tobytes()
+
     def _encode(self, words: list[str]) -> dict[str, bytes]:
         """Words of Latin letters are taken apart as the tokenizer does, for their parts recur more often."""
-        plain = [w for w in words if PLAIN.fullmatch(w) and "<|" not in w]
-        parts = [PARTS.findall(w.lower()) for w in plain]
-        new = [p for p in set().union(*parts) if p not in self.parts]
-        if len(self.parts) + len(new) > CACHED_WORDS:
-            self.parts, new = {}, [*set().union(*parts)]
-        self.parts.update(self._together(new))
-        out = {w: b"".join(map(self.parts.__getitem__, p)) for w, p in zip(plain, parts)}
-        out.update(self._together([w for w in words if w not in out]))
+        out, rest, known = {}, [], self.parts
+        if len(known) > CACHED_WORDS:
+            known = self.parts = {}
+        for word in words:
+            if not PLAIN.fullmatch(word) or "<|" in word:
+                rest.append(word)
+                continue
+            ids = b""
+            for part in PARTS.findall(word.lower()):
+                if (own := known.get(part)) is None:
+                    own = known[part] = self._part(part)
+                ids += own
+            out[word] = ids
+        out.update(self._together(rest) if rest else ())
         return out
 
     def __call__(self, texts: pa.Array) -> list[np.ndarray]:
@@ -94,18 +110,20 @@ class WordEncoder:
         split = pc.ascii_split_whitespace(texts)
         numbered = split.flatten().dictionary_encode()
         words = numbered.dictionary.to_pylist()
-        new = [w for w in words if w not in self.known]
-        if len(self.known) + len(new) > CACHED_WORDS:
-            self.known, new = {}, words
-        found = self._encode(new)
-        self.known.update((w, ids) for w, ids in found.items() if len(w) <= CACHED_CHARS)
-        own = [self.known[w] if w in self.known else found[w] for w in words]
-        sizes = np.fromiter(map(len, own), np.int64, len(own)) // 4
-        starts = np.cumsum(sizes) - sizes
+        own = [*map(self.known.get, words)]
+        new = [w for w, ids in zip(words, own) if ids is None]
+        if new:
+            found = self._encode(new)
+            own = [found[w] if ids is None else ids for w, ids in zip(words, own)]
+            if len(self.known) + len(new) > CACHED_WORDS:
+                self.known = {}
+            self.known.update((w, ids) for w, ids in found.items() if len(w) <= CACHED_CHARS)
+        sizes = np.fromiter(map(len, own), np.int32, len(own)) // 4
+        starts = np.cumsum(sizes, dtype=np.int32) - sizes
         ids = np.frombuffer(b"".join(own), "<u4")
         word = numbered.indices.to_numpy(zero_copy_only=False)
-        ends = np.concatenate([[0], np.cumsum(sizes[word])])
-        flat = ids[np.repeat(starts[word] - ends[:-1], sizes[word]) + np.arange(ends[-1])]
+        ends = np.concatenate([np.zeros(1, np.int32), np.cumsum(sizes[word], dtype=np.int32)])
+        flat = ids[np.repeat(starts[word] - ends[:-1], sizes[word]) + np.arange(ends[-1], dtype=np.int32)]
         cuts = ends[split.offsets.to_numpy() - split.offsets[0].as_py()]
         return [flat[i:j] for i, j in zip(cuts, cuts[1:])]
 
