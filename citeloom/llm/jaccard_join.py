@@ -41,10 +41,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import saved, word_count
+from .shared import saved
 
 BUCKET, BLOCK = 32, 384
-BAND_RATIO, SLACK = 1.35, 4
+BAND_RATIO, SLACK = 1.5, 4
 #: Ids of documents to verify that are few enough to be sent to all tasks (8 bytes each).
 BROADCAST_IDS = 1_000_000
 U64 = np.uint64
@@ -70,7 +70,7 @@ class Shingler:
             return np.zeros(0, U64)
         known = self.known
         new = [w for w in {*words} if w not in known]
-        if len(known) + len(new) > 1_000_000:
+        if len(known) + len(new) > 500_000:
             self.known, new = {}, [*{*words}]
         self.known.update((w, xxhash.xxh3_64_intdigest(w)) for w in new)
         h = np.fromiter(map(self.known.__getitem__, words), U64, len(words))
@@ -170,54 +170,82 @@ class Bands:
         return np.concatenate(out).view(np.int64) if out else np.zeros(0, np.int64)
 
 
-def signatures(docs: DataFrame, doc_id: str, text: str, words: int, bands: Bands) -> DataFrame:
-    """id, n, cls (0 without elements), sketch, keys."""
+def signatures(docs: DataFrame, doc_id: str, text: str, words: int) -> DataFrame:
+    """id, n, cls (0 without elements), sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler(words)
         for batch in batches:
-            sets = [shingle(v.as_py()) for v in batch.column(1)]
-            keys = [bands.keys(s) if len(s) else np.zeros(0, np.int64) for s in sets]
-            offsets = np.concatenate([[0], np.cumsum([len(k) for k in keys], dtype=np.int64)]).astype(np.int32)
-            flat = np.concatenate(keys) if keys else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([class_of(s) if len(s) else 0 for s in sets], pa.int64()), pa.array([Sketch.of(s) for s in sets], pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))],
-                names=["id", "n", "cls", "sketch", "keys"],
-            )
+            n, cls, sketches = [], [], []
+            for value in batch.column(1):
+                elements = shingle(value.as_py())
+                n.append(len(elements))
+                cls.append(class_of(elements) if len(elements) else 0)
+                sketches.append(Sketch.of(elements))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.array(sketches, pa.binary())], names=["id", "n", "cls", "sketch"])
 
-    return docs.select(F.col(doc_id).cast("long"), F.col(text)).mapInArrow(run, "id long, n long, cls long, sketch binary, keys array<long>")
+    return docs.select(F.col(doc_id).cast("long"), F.col(text)).mapInArrow(run, "id long, n long, cls long, sketch binary")
+
+
+def keys_of(texts: DataFrame, words: int, bands: Bands) -> DataFrame:
+    """key, cls for each key of each text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingle, keys, classes, held = Shingler(words), [], [], 0
+
+        def rows() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.repeat(np.array(classes, np.int64), [len(k) for k in keys]))], names=["key", "cls"])
+
+        for batch in batches:
+            for value in batch.column(0):
+                elements = shingle(value.as_py())
+                if len(elements):
+                    keys.append(bands.keys(elements))
+                    classes.append(class_of(elements))
+                    held += len(keys[-1])
+                    if held > 500_000:
+                        yield rows()
+                        keys, classes, held = [], [], 0
+        if keys:
+            yield rows()
+
+    return texts.mapInArrow(run, "key long, cls long")
 
 
 def buckets(keyed: DataFrame) -> DataFrame:
-    """(key, cls, n) to key, pos, cls, n, leader, leader_n for the keys of several classes; the leader is the
-    least by n, then cls. A stream: a bucket is never held."""
+    """(key, cls) to key, pos, cls, leader for the keys of several classes; the leader is the least class.
+    A stream: a bucket is never held."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None  # key, leader, leader_n, next pos, written
+        last = None  # key, leader, next pos, class, written
         for batch in batches:
-            if not batch.num_rows:
+            key, cls = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            again = np.zeros(len(key), bool)  # rows that repeat a class
+            again[1:] = (key[1:] == key[:-1]) & (cls[1:] == cls[:-1])
+            if last and len(key):
+                again[0] = key[0] == last[0] and cls[0] == last[3]
+            key, cls = key[~again], cls[~again]
+            if not len(key):
                 continue
-            key, cls, n = (batch.column(i).to_numpy() for i in range(3))
             first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
             length = np.diff(np.append(first, len(key)))
             run_of = np.repeat(np.arange(len(first)), length)
-            leader, leader_n = cls[first].copy(), n[first].copy()
-            pos0, several = np.zeros(len(first), np.int64), length > 1
+            leader, pos0, several = cls[first].copy(), np.zeros(len(first), np.int64), length > 1
             extra = None
             if last and last[0] == key[0]:
-                leader[0], leader_n[0], pos0[0], several[0] = last[1], last[2], last[3], True
+                leader[0], pos0[0], several[0] = last[1], last[2], True
                 if not last[4]:
-                    extra = (last[0], 0, last[1], last[2], last[1], last[2])
-            last = (key[-1], leader[-1], leader_n[-1], pos0[-1] + length[-1], bool(several[-1]))
+                    extra = (last[0], 0, last[1], last[1])
+            last = (key[-1], leader[-1], pos0[-1] + length[-1], cls[-1], bool(several[-1]))
             keep = several[run_of]
             pos = np.arange(len(key)) - first[run_of] + pos0[run_of]
-            cols = [c[keep] for c in (key, pos, cls, n, leader[run_of], leader_n[run_of])]
+            cols = [c[keep] for c in (key, pos, cls, leader[run_of])]
             if extra:
                 cols = [np.append(c, np.array([e], np.int64)) for c, e in zip(cols, extra)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["key", "pos", "cls", "n", "leader", "leader_n"])
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["key", "pos", "cls", "leader"])
 
-    dealt = keyed.repartition("key").sortWithinPartitions("key", "n", "cls")
-    return dealt.mapInArrow(run, "key long, pos long, cls long, n long, leader long, leader_n long")
+    dealt = keyed.repartition("key").sortWithinPartitions("key", "cls")
+    return dealt.mapInArrow(run, "key long, pos long, cls long, leader long")
 
 
 class Join:
@@ -225,16 +253,26 @@ class Join:
 
     def __init__(self, docs: DataFrame, doc_id: str, text: str, words: int, percent: int):
         self.docs, self.doc_id, self.text, self.words, self.percent = docs.where(F.col(doc_id).isNotNull()), doc_id, text, words, percent
-        # how many documents a band has, by their words: an estimate is enough to weigh allocations
-        scale = F.floor(F.log(word_count(F.coalesce(F.col(text), F.lit(""))) + F.lit(1.0)) * 16)
-        counted = self.docs.groupBy(scale.alias("scale")).agg(F.count("*").alias("n")).collect()
+        self.all = saved(signatures(docs, doc_id, text, words), "jaccard-sets")
+        self.known = self.all.where("n > 0 AND id IS NOT NULL")
+        self.classes = self.known.groupBy("cls")
+        # how many sets a band has, on a scale of sixteen steps for each factor e: enough to weigh allocations
+        counted = self.known.groupBy(F.floor(F.log(F.col("n").cast("double")) * 16).alias("scale")).agg(F.count("*").alias("n")).collect()
         sizes, counts = Bands(percent), {}
         for r in counted:
             band = sizes.band(max(1, round(np.exp((r.scale + 0.5) / 16))))
             counts[band] = counts.get(band, 0) + r.n
         self.bands = Bands(percent, counts)
-        self.all = saved(signatures(docs, doc_id, text, words, self.bands), "jaccard-sets")
-        self.classes = self.all.where("n > 0 AND id IS NOT NULL").groupBy("cls")
+
+    def keyed(self) -> DataFrame:
+        """key, cls of every class: documents all of whose rows are copies of others are left out."""
+        copied = self.classes.agg(F.min("id").alias("first"), F.count("*").alias("rows")).where("rows > 1").drop("rows")
+        rows = self.known.select("id", "cls").join(copied, "cls", "left").groupBy("id").agg(F.min(F.coalesce(F.col("id") != F.col("first"), F.lit(False))).alias("copy"))
+        skipped = saved(rows.where("copy").select(F.col("id").alias("__skipped")), "jaccard-copies")
+        if skipped.count() <= BROADCAST_IDS:
+            skipped = F.broadcast(skipped)
+        texts = self.docs.join(skipped, F.col(self.doc_id).cast("long") == F.col("__skipped"), "left_anti").select(self.text)
+        return keys_of(texts, self.words, self.bands)
 
     def sets_of(self, wanted: DataFrame) -> DataFrame:
         """cls, elements for the classes in ``wanted`` (cls): their texts are read and cut again."""
@@ -247,16 +285,16 @@ class Join:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             shingle = Shingler(words)
             for batch in batches:
-                sets = [shingle(v.as_py()) for v in batch.column(1)]
-                yield pa.RecordBatch.from_arrays([pa.array([class_of(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["cls", "elements"])
+                for at in range(0, batch.num_rows, 500):
+                    sets = [shingle(v.as_py()) for v in batch.column(1).slice(at, 500)]
+                    yield pa.RecordBatch.from_arrays([pa.array([class_of(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["cls", "elements"])
 
         rows = self.docs.select(F.col(self.doc_id).cast("long").alias("__id"), self.text).join(ids, F.col("__id") == F.col("__wanted"), "left_semi")
         sets = rows.mapInArrow(run, "cls long, elements binary")
         return saved(sets.join(holders.select("cls"), "cls", "left_semi").dropDuplicates(["cls"]), "jaccard-elements")
 
     def sketches_of(self, wanted: DataFrame) -> DataFrame:
-        rows = self.all.where("n > 0 AND id IS NOT NULL").select("cls", "n", "sketch")
-        return rows.join(wanted.select("cls").distinct(), "cls", "left_semi").dropDuplicates(["cls"])
+        return self.known.select("cls", "n", "sketch").join(wanted.select("cls").distinct(), "cls", "left_semi").dropDuplicates(["cls"])
 
     def likely(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) that sketches do not rule out."""
@@ -395,12 +433,9 @@ class Join:
 
     def labels(self) -> DataFrame:
         """cls, comp for all classes that are linked with another."""
-        # the keys of a class are the same for all its copies
-        classes = self.classes.agg(F.first("n").alias("n"), F.first("keys").alias("keys"))
-        shared = saved(buckets(classes.select(F.explode("keys").alias("key"), "cls", "n")), "jaccard-buckets")
+        shared = saved(buckets(self.keyed()), "jaccard-buckets")
         exact = F.pmod("key", F.lit(2)) == 1
         need = F.when(exact, 2).otherwise(1)
-        near = lambda a, b: 100 * F.col(a) >= self.percent * F.col(b)
         # keys of buckets over BUCKET; few, as each has that many members
         large_keys = shared.groupBy("key").agg(F.count("*").alias("g")).where(F.col("g") > BUCKET).select("key", F.lit(True).alias("large"))
         members = saved(shared.join(large_keys, "key", "left").withColumn("large", F.coalesce("large", F.lit(False))), "jaccard-members")
@@ -410,18 +445,18 @@ class Join:
         most = large.groupBy("cls").agg(F.count("*").alias("k"))
         leaders = large.join(most, "cls").groupBy("key").agg(F.max_by("cls", F.struct("k", "cls")).alias("leader"))
         large = saved(large.join(leaders, "key").select("leader", "cls").distinct(), "jaccard-led")
-        small = members.where("NOT large").select("key", "cls", "n", "leader", "leader_n", "pos")
-        stars = small.where((F.col("pos") > 0) & near("leader_n", "n")).groupBy(F.col("leader").alias("a"), F.col("cls").alias("b")).agg(F.count("*").alias("keys"), F.min(need).alias("need"))
+        small = members.where("NOT large").select("key", "cls", "leader", "pos")
+        stars = small.where("pos > 0").groupBy(F.col("leader").alias("a"), F.col("cls").alias("b")).agg(F.count("*").alias("keys"), F.min(need).alias("need"))
         stars = stars.where("keys >= need").select("a", "b").unionByName(large.where("leader <> cls").select(F.col("leader").alias("a"), F.col("cls").alias("b")))
         stars = saved(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "jaccard-stars")
         first = saved(self.links(stars), "jaccard-links")
         comps = components(first)
         labelled = lambda df: df.join(comps, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
-        small = labelled(small.select("key", "cls", "n"))
+        small = labelled(small.select("key", "cls"))
         open_ = small.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
         small = saved(small.join(open_, "key", "left_semi"), "jaccard-open")
-        left, right = (small.select("key", *(F.col(c).alias(f"{c}{k}") for c in ("cls", "n", "comp"))) for k in (1, 2))
-        pairs = left.join(right, "key").where("cls1 < cls2 AND comp1 <> comp2").where(near("n1", "n2") & near("n2", "n1"))
+        left, right = (small.select("key", *(F.col(c).alias(f"{c}{k}") for c in ("cls", "comp"))) for k in (1, 2))
+        pairs = left.join(right, "key").where("cls1 < cls2 AND comp1 <> comp2")
         pairs = pairs.groupBy(F.col("cls1").alias("a"), F.col("cls2").alias("b")).agg(F.count("*").alias("keys"), F.min(need).alias("need"))
         pairs = saved(pairs.where("keys >= need").select("a", "b").join(stars, ["a", "b"], "left_anti"), "jaccard-pairs")
         second = saved(self.links(pairs).unionByName(self.links_in_blocks(labelled(large))), "jaccard-links")
@@ -452,7 +487,7 @@ def components(links: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 4, percent: int = 85) -> DataFrame:
     """For each row id, n_shingles, cls, component_id (the least id that links reach, its own included)."""
     join = Join(docs, doc_id, text, words, percent)
-    labelled = join.all.drop("keys", "sketch").join(join.labels(), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
+    labelled = join.all.drop("sketch").join(join.labels(), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     labelled = saved(labelled, "jaccard-labelled")
     linked = (F.col("n") > 0) & F.col("id").isNotNull()
     least = labelled.where(linked).groupBy("comp").agg(F.min("id").alias("least"), F.count("*").alias("size")).where("size > 1").drop("size")
