@@ -60,7 +60,7 @@ def split_entries(block: Column) -> Column:
     """The entries of a block: numbered (only where the whole block starts so twice, which one
     line start cannot), else line by line, else by empty lines, else after a full stop before a name."""
     text = F.array_join(block, "\n")
-    lines = F.filter(F.transform(block, F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(block, lambda s: F.trim(s)), lambda x: x != "")
     likely = F.size(F.filter(lines, looks_like_entry))
     # int() of a share of the lines: whole tenths avoid a different rounding
     enough = (F.size(lines) >= 2) & (likely >= F.greatest(F.lit(2), F.floor(F.size(lines) * 6 / 10).cast("int")))
@@ -110,7 +110,7 @@ def author_block(raw: Column, title: Column) -> Column:
 def _people(s: Column) -> Column:
     """Personal names by commas; initials that stand alone belong to the name before."""
     commas = F.regexp_replace(s, r"\s+(?:and|&)\s+", ", ")
-    parts = F.filter(F.transform(F.split(commas, ","), F.trim), lambda x: x != "")
+    parts = F.filter(F.transform(F.split(commas, ","), lambda s: F.trim(s)), lambda x: x != "")
     initials = lambda x: x.rlike(r"^(?:[A-Z]\.?\s*){1,4}$")
 
     def fold(state: Column, part: Column) -> Column:
@@ -130,7 +130,7 @@ def parse_authors(block: Column) -> Column:
     s = F.regexp_replace(s, r"(?i)[,\s]+et\s+al\.?\s*$", "")
     s = F.regexp_replace(s, r"(?i)[,\s]+and\s+(?:others|colleagues)\s*$", "")
     s = F.rtrim(F.trim(s), F.lit(",.;"))
-    sides = F.filter(F.transform(F.split(s, r"\s+(?:and|&)\s+"), F.trim), lambda x: x != "")
+    sides = F.filter(F.transform(F.split(s, r"\s+(?:and|&)\s+"), lambda s: F.trim(s)), lambda x: x != "")
     whole = lambda x: t.author(F.rtrim(x, F.lit(",.;")), F.lit(""))
     some, every = F.exists(sides, t.is_institution), F.forall(sides, t.is_institution)
     mixed = F.flatten(F.transform(sides, lambda x: F.when(t.is_institution(x), F.array(whole(x))).otherwise(_people(x))))

@@ -30,7 +30,7 @@ BRACKETS = r"(\([^()]{1,500}?\))"
 
 
 def _is_multiple(inner: Column) -> Column:
-    parts = F.filter(F.transform(F.split(inner, ";"), F.trim), lambda x: x != "")
+    parts = F.filter(F.transform(F.split(inner, ";"), lambda s: F.trim(s)), lambda x: x != "")
     return inner.contains(";") & (F.size(parts) >= 2) & (F.size(F.filter(parts, lambda x: x.rlike(r"\b(?:19|20)\d{2}\b"))) >= 2)
 
 
@@ -43,7 +43,7 @@ def citations_in(body: Column) -> Column:
     # a multiple citation is blanked, so that no pattern starts inside it
     rest = F.aggregate(several, body, lambda s, x: F.replace(s, F.concat(F.lit("("), x, F.lit(")")), F.lit("(;)")))
     found = F.flatten(F.array(*(F.regexp_extract_all(rest, F.lit(p), F.lit(1)) for p in PATTERNS)))
-    return F.array_distinct(F.concat(parts, F.transform(found, F.trim)))
+    return F.array_distinct(F.concat(parts, F.transform(found, lambda s: F.trim(s))))
 
 
 def expand_numbers(inner: Column) -> Column:

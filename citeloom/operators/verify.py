@@ -177,28 +177,28 @@ def audit(refs: DataFrame, works: DataFrame, dois: DataFrame, urls: DataFrame, s
 
 
 def duplicates(results: DataFrame) -> DataFrame:
-    """doc_id, idx1, idx2, reason for entries of a bibliography that are the same work. Equi-joins on the
-    document and DOI, record id or year; the first reason that holds counts."""
-    side = lambda n: results.select("doc_id", F.col("ref_idx").alias(f"idx{n}"), F.col("canonical").alias(f"c{n}"), F.col("parsed").alias(f"p{n}"))
-    a, b = side(1), side(2)
-    c1, c2, p1, p2 = (F.col(x) for x in ("c1", "c2", "p1", "p2"))
-
-    def pairs(key1: Column, key2: Column) -> DataFrame:
-        left, right = a.withColumn("k", key1).where("k IS NOT NULL"), b.withColumn("k", key2).where("k IS NOT NULL")
-        return left.join(right, ["doc_id", "k"]).where("idx1 < idx2").drop("k")
-
-    doi = lambda c: F.when(~t.missing(c["doi"]), F.lower(c["doi"]))
-    ident = lambda c: F.when(~t.missing(c["source_id"]), F.concat_ws("|", c["source"], c["source_id"]))
-    by_doi = pairs(doi(c1), doi(c2)).select("doc_id", "idx1", "idx2", F.lit(1).alias("rank"), F.concat(F.lit("shared DOI: "), c1["doi"]).alias("reason"))
-    by_record = pairs(ident(c1), ident(c2)).select("doc_id", "idx1", "idx2", F.lit(2).alias("rank"), F.concat(F.lit("shared "), c1["source"], F.lit(" ID: "), c1["source_id"]).alias("reason"))
-    year = lambda c: F.when(c.isNotNull(), F.coalesce(c["year"].cast("string"), F.lit("?")))
-    same = pairs(year(c1), year(c2)).where((sim.title_ratio(c1["title"], c2["title"]) >= NAMED_TITLE) & (sim.surname_overlap(c1["authors"], c2["authors"]) >= linkage.HALF_OF_NAMES))
-    same = same.where(_both(c1["title"], c2["title"])).select("doc_id", "idx1", "idx2", F.lit(3).alias("rank"), F.lit("identical canonical record").alias("reason"))
-    cited = lambda p: F.coalesce(p["year"].cast("string"), F.lit("?"))
-    parsed = pairs(cited(p1), cited(p2)).where((c1.isNull() | c2.isNull()) & _both(p1["title"], p2["title"])).where(sim.title_ratio(p1["title"], p2["title"]) >= NAMED_TITLE)
-    parsed = parsed.select("doc_id", "idx1", "idx2", F.lit(4).alias("rank"), F.lit("duplicate parsed title and year").alias("reason"))
-    rows = by_doi.unionByName(by_record).unionByName(same).unionByName(parsed)
-    return rows.groupBy("doc_id", "idx1", "idx2").agg(F.min_by("reason", "rank").alias("reason"))
+    """doc_id, idx1, idx2, reason for entries of a bibliography that are the same work. Each entry has a
+    key for each reason (DOI, record id, year of the record, year as parsed), so one equi-join finds the
+    pairs; the first reason that holds counts."""
+    c, p = F.col("canonical"), F.col("parsed")
+    year = lambda y: F.coalesce(y.cast("string"), F.lit("?"))
+    keys = [F.when(~t.missing(c["doi"]), F.lower(c["doi"])), F.when(~t.missing(c["source_id"]), F.concat_ws("|", c["source"], c["source_id"])), F.when(~t.missing(c["title"]), year(c["year"])), F.when(~t.missing(p["title"]), year(p["year"]))]
+    named = F.filter(F.array(*(F.struct(F.lit(i + 1).alias("rank"), k.alias("key")) for i, k in enumerate(keys))), lambda k: k["key"].isNotNull())
+    kept = lambda x: F.struct(*(x[f].alias(f) for f in ("doi", "source", "source_id", "title", "authors")))
+    rows = results.select("doc_id", "ref_idx", F.when(c.isNotNull(), kept(c)).alias("c"), p["title"].alias("p"), F.explode(named).alias("k")).select("doc_id", "k.rank", "k.key", "ref_idx", "c", "p")
+    a, b = (rows.select("doc_id", "rank", "key", F.col("ref_idx").alias(f"idx{n}"), F.col("c").alias(f"c{n}"), F.col("p").alias(f"p{n}")) for n in (1, 2))
+    pairs = a.join(b, ["doc_id", "rank", "key"]).where("idx1 < idx2")
+    rank, c1, c2 = F.col("rank"), F.col("c1"), F.col("c2")
+    pairs = pairs.where((rank < 3) | ((rank == 3) & (sim.surname_overlap(c1["authors"], c2["authors"]) >= linkage.HALF_OF_NAMES)) | ((rank == 4) & (c1.isNull() | c2.isNull())))
+    titles = lambda n: F.when(rank == 3, F.col(f"c{n}.title")).when(rank == 4, F.col(f"p{n}"))
+    pairs = pairs.withColumn("likeness", sim.title_ratio(titles(1), titles(2))).where((rank < 3) | (F.col("likeness") >= NAMED_TITLE))
+    reason = (
+        F.when(rank == 1, F.concat(F.lit("shared DOI: "), c1["doi"]))
+        .when(rank == 2, F.concat(F.lit("shared "), c1["source"], F.lit(" ID: "), c1["source_id"]))
+        .when(rank == 3, "identical canonical record")
+        .otherwise("duplicate parsed title and year")
+    )
+    return pairs.groupBy("doc_id", "idx1", "idx2").agg(F.min_by(reason, rank).alias("reason"))
 
 
 def tier_counts(results: DataFrame) -> DataFrame:

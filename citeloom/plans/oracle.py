@@ -40,6 +40,11 @@ def surnames(authors: str) -> str:
     return f"list_distinct(list_filter(list_transform(string_split({authors}, ';'), lambda a: {surname('split_part(a, chr(124), 1)')}), lambda s: s <> ''))"
 
 
+def lead_surnames(authors: str) -> str:
+    """In order; list_distinct does not keep it."""
+    return f"list_filter(list_transform(string_split({authors}, ';'), lambda a: {surname('split_part(a, chr(124), 1)')}), lambda s: s <> '')"
+
+
 def journal(x: str) -> str:
     names = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in words.JOURNAL_WORDS.items()) + "}"
     found = f"regexp_extract_all({fold(x)}, '[a-z]+\\.?|[0-9]+')"
@@ -200,8 +205,8 @@ asked AS (SELECT doc_id, ref_idx, year, authors, arxiv_id, title, unnest(list_di
 rare AS (SELECT * FROM asked JOIN df USING (term) QUALIFY row_number() OVER (PARTITION BY doc_id, ref_idx ORDER BY df, term) <= 4),
 hits AS (SELECT r.doc_id, r.ref_idx, t.source, t.source_id, count(*) AS shared, any_value(r.year) AS year, any_value(r.authors) AS authors, any_value(r.arxiv_id) AS arxiv_id, any_value(r.title) AS title FROM rare r JOIN terms t USING (term) GROUP BY ALL),
 fits AS (SELECT h.*, w.year AS w_year, CASE h.source WHEN 'openalex' THEN h.year IS NULL OR coalesce(h.year = w.year, false)
-    WHEN 'pubmed' THEN (h.year IS NULL OR coalesce(h.year = w.year, false)) AND (len({surnames('h.authors')}) = 0 OR list_contains({surnames('w.authors')}, {surnames('h.authors')}[1]))
-    WHEN 'arxiv' THEN h.arxiv_id = '' AND contains({title('w.title')}, {title('h.title')}) AND len(list_filter({surnames('h.authors')}[1:2], lambda x: NOT list_contains({surnames('w.authors')}, x))) = 0
+    WHEN 'pubmed' THEN (h.year IS NULL OR coalesce(h.year = w.year, false)) AND (len({surnames('h.authors')}) = 0 OR list_contains({surnames('w.authors')}, {lead_surnames('h.authors')}[1]))
+    WHEN 'arxiv' THEN h.arxiv_id = '' AND contains({title('w.title')}, {title('h.title')}) AND len(list_filter({lead_surnames('h.authors')}[1:2], lambda x: NOT list_contains({surnames('w.authors')}, x))) = 0
     ELSE true END AS fits FROM hits h JOIN works_v w ON w.source = h.source AND w.source_id = h.source_id),
 top5 AS (SELECT doc_id, ref_idx, source, source_id, shared FROM fits WHERE fits QUALIFY row_number() OVER (PARTITION BY doc_id, ref_idx, source ORDER BY shared DESC, abs(coalesce(year - w_year, 99)), source_id) <= 5)"""
 

@@ -12,7 +12,7 @@ from ..functions import styles
 from ..functions import text as t
 from ..operators import entries, intext, linkage, verify
 from ..sources import sinks
-from . import oracle
+from . import oracle, oracle_styles
 from .views import view
 
 KEY = linkage.KEY
@@ -274,4 +274,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: v for k, v in oracle.oracle_sql().items() if k in _QUERIES}
+    return {k: v for k, v in (oracle.oracle_sql() | oracle_styles.style_sql() | oracle_styles.intext_sql()).items() if k in _QUERIES}

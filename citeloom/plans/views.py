@@ -59,13 +59,13 @@ works_v AS (
 refs_v AS (
   SELECT CAST(doc_id - doc_id % 10 AS BIGINT) AS doc_id, CAST(doc_id % 10 + 1 AS INT) AS ref_idx, concat('entry ', CAST(doc_id AS STRING), CASE WHEN doc_id % 12 = 5 THEN ' et al.' ELSE '' END) AS raw_text,
     CASE WHEN doc_id % 12 IN (5, 6) THEN split_part(authors, ';', 1) WHEN doc_id % 12 = 11 THEN concat({_pick(INSTITUTIONS, 'doc_id', ';')}, '|') WHEN doc_id % 12 = 10 THEN 'Nobody|A' ELSE authors END AS authors,
-    CASE WHEN doc_id % 12 IN (10, 11) THEN concat('Invented title number ', CAST(doc_id AS STRING)) WHEN doc_id % 12 = 2 THEN concat(substring(title, 1, 3), 'x', substring(title, 5)) ELSE title END AS title,
-    year + CAST(CASE WHEN doc_id % 12 = 1 THEN 2 WHEN doc_id % 12 = 2 THEN 1 ELSE 0 END AS INT) AS year,
+    CASE WHEN doc_id % 12 IN (10, 11) THEN concat('Invented title number ', CAST(doc_id - doc_id % 12 AS STRING)) WHEN doc_id % 12 = 2 THEN concat(substring(title, 1, 3), 'x', substring(title, 5)) ELSE title END AS title,
+    year + CAST(CASE WHEN doc_id % 12 = 1 THEN 2 WHEN doc_id % 12 = 2 THEN 1 WHEN doc_id % 12 = 11 THEN -1 ELSE 0 END AS INT) AS year,
     CASE WHEN doc_id % 12 = 4 THEN short_journal WHEN doc_id % 12 >= 10 THEN '' ELSE journal END AS container_title,
     CASE WHEN doc_id % 12 = 7 THEN concat('0', volume) WHEN doc_id % 12 >= 10 THEN '' ELSE volume END AS volume, CASE WHEN doc_id % 12 >= 10 THEN '' ELSE issue END AS issue,
     CASE WHEN doc_id % 12 = 8 THEN concat(last_page, '–', first_page) WHEN doc_id % 12 = 9 THEN 'PMC1234567' WHEN doc_id % 12 >= 10 THEN '' WHEN doc_id % 24 = 0 THEN concat(first_page, '-', last_page) ELSE concat(first_page, '–', last_page) END AS pages,
     CASE WHEN doc_id % 12 = 11 THEN 'Agency Press' ELSE '' END AS publisher,
-    CASE WHEN doc_id % 12 = 3 THEN concat('10.9999/x', CAST(doc_id AS STRING)) WHEN doc_id % 12 >= 10 OR doc_id % 5 = 4 THEN '' ELSE doi END AS doi,
+    CASE WHEN doc_id % 40 = 21 THEN concat('10.', CAST(1000 + (doc_id - 1) % 9000 AS STRING), '/d', CAST(doc_id - 1 AS STRING)) WHEN doc_id % 12 = 3 THEN concat('10.9999/x', CAST(doc_id AS STRING)) WHEN doc_id % 12 >= 10 OR doc_id % 5 = 4 THEN '' ELSE doi END AS doi,
     CASE WHEN doc_id % 12 = 11 THEN concat('https://www.agency', CAST(doc_id AS STRING), '.gov/report') ELSE '' END AS url,
     CASE WHEN doc_id % 10 = 4 THEN concat(CAST(1000 + doc_id % 9000 AS STRING), '.', CAST(10000 + doc_id % 90000 AS STRING), 'v2') ELSE '' END AS arxiv_id,
     CASE WHEN doc_id % 10 = 9 THEN CAST(100000 + doc_id AS STRING) ELSE '' END AS pmid, '' AS isbn, 'journal-article' AS type
