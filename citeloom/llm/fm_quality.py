@@ -55,7 +55,7 @@ def features(text: str | None, words_seen: dict[str, int]) -> np.ndarray:
     for word, count in counts.items():
         at = words_seen.get(word)
         if at is None:
-            if len(words_seen) > 500_000:
+            if len(words_seen) > 200_000:
                 words_seen.clear()
             at = words_seen[word] = STATS + zlib.crc32(word.lower().encode("utf-8", "replace")) % HASHED
         x[at] += count
@@ -129,8 +129,9 @@ def score(docs: DataFrame, machine: Machine, text: str = "text", threshold: floa
         seen: dict[str, int] = {}
         for batch in batches:
             column = batch.column(batch.schema.names.index(text))
-            x = np.stack([features(v.as_py(), seen) for v in column]) if len(column) else np.zeros((0, STATS + HASHED), np.float32)
-            s = machine.score(x)
+            s = np.zeros(len(column))
+            for at in range(0, len(column), 1000):
+                s[at : at + 1000] = machine.score(np.stack([features(v.as_py(), seen) for v in column.slice(at, 1000)]))
             yield put(batch, ["score", "predicted"], [pa.array(s), pa.array((s >= threshold).astype(np.int32))])
 
     return docs.mapInArrow(run, with_columns(docs, "score double, predicted int"))

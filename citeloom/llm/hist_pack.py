@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .shared import BROADCAST_BYTES, saved
 
-CACHED_WORDS, CACHED_CHARS, PORTION_BYTES = 600_000, 48, 8 << 20
+CACHED_WORDS, CACHED_CHARS, PORTION_BYTES = 300_000, 48, 6 << 20
 #: A character that a tokenizer gives an id of its own; words are joined by it to be encoded together.
 MARK = "°"
 #: Words whose parts can be told without the tokenizer: ASCII and Latin-1 but for spaces; and the
@@ -44,9 +44,8 @@ PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[A-Za-zªµºÀ-ÖØ-öø-ÿ]+|[0-9
 
 class WordEncoder:
     """Ids of whole texts by a tokenizer that drops white space: words between spaces are
-    encoded alone and remembered, which gives the same ids as the text at once."""
-
-    _of_process: dict[str, WordEncoder] = {}
+    encoded alone and remembered, which gives the same ids as the text at once. What is
+    remembered goes with the task; a worker process would keep it beside all later ones."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -55,13 +54,6 @@ class WordEncoder:
         self.tokenizer, self.known, self.parts = Tokenizer.from_file(path), {}, {}
         self.mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids
 
-    @classmethod
-    def of(cls, path: str) -> WordEncoder:
-        """The worker process's own, so that its words outlive a task."""
-        if path not in cls._of_process:
-            cls._of_process[path] = cls(path)
-        return cls._of_process[path]
-
     def _alone(self, words: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
@@ -143,7 +135,7 @@ def cut_pieces(docs: DataFrame, tokenizer_path: str, seq_len: int, end_id: int,
     """doc_id, start, length, doc_tokens, task, nth (among the task's pieces of that length), ids (little-endian)."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = WordEncoder.of(tokenizer_path), np.array([end_id], "<u4").tobytes()
+        encode, end = WordEncoder(tokenizer_path), np.array([end_id], "<u4").tobytes()
         task, counts = TaskContext.get().partitionId(), [0] * (seq_len + 1)
         for batch in batches:
             texts = pc.fill_null(batch.column(1), "")

@@ -7,9 +7,10 @@ Candidates. Sizes are cut into bands. Two sets of Jaccard index t or more, the s
 band k, at most U) and the larger one, differ in at most H = U (1 - t) / t elements. The universe is
 cut by hash into m segments, and each band has the cheaper of two allocations (``allocate``):
 
-* subsets: m = H + 2 + SLACK segments. At most H of them can differ, so 2 + SLACK at least are
-  equal. A set leaves out its keys with large buckets (empty segments, common passages) if those are
-  not more than SLACK; a pair still has to share two other keys. A set with more of them keeps all;
+* subsets: m = H + NEED + slack segments. At most H of them can differ, so NEED + slack at least are
+  equal. Every set leaves out its ``slack`` keys of the largest buckets (empty segments, common
+  passages). By that one order of keys, what either set of a pair leaves out is a prefix of the keys that
+  they share, so they still share NEED;
 * deletions: m = H / 2 + 1 segments, indexed with their one-deletion neighbourhoods. One of them at
   least differs in one element or none, so a pair shares the key of a segment or of a segment less one element.
 
@@ -38,13 +39,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import saved
 
 BUCKET, BLOCK = 32, 384
-BAND_RATIO, SLACK = 1.5, 4
+BAND_RATIO, SLACK, NEED = 1.35, 4, 3
 #: Ids of documents to verify that are few enough to be sent to all tasks (8 bytes each).
 BROADCAST_IDS = 1_000_000
 U64 = np.uint64
@@ -70,7 +71,7 @@ class Shingler:
             return np.zeros(0, U64)
         known = self.known
         new = [w for w in {*words} if w not in known]
-        if len(known) + len(new) > 500_000:
+        if len(known) + len(new) > 300_000:
             self.known, new = {}, [*{*words}]
         self.known.update((w, xxhash.xxh3_64_intdigest(w)) for w in new)
         h = np.fromiter(map(self.known.__getitem__, words), U64, len(words))
@@ -132,28 +133,38 @@ class Bands:
         least = -(-size * self.percent // 100)
         return range(self.band(least), self.band(size) + 1)
 
-    def allocate(self, k: int, sets: int) -> tuple[int, bool]:
-        """(segments, deletions?) for a band with about so many sets: the way with fewer keys and chance candidates."""
+    def slack(self, k: int, h: int) -> int:
+        """Segments more than needed: about as many as are empty in the band's least sets."""
+        m, slack = h + NEED + SLACK, SLACK
+        for _ in range(8):
+            slack = min(SLACK + h // 4, SLACK + int(np.ceil(1.3 * m * np.exp(-self.edges[k] / m))))
+            m = h + NEED + slack
+        return slack
+
+    def allocate(self, k: int, sets: int) -> tuple[int, bool, int]:
+        """(segments, deletions?, slack) for a band with about so many sets: the way with fewer keys and chance candidates."""
         size = self.edges[k + 1] - 1
         h = size * (100 - self.percent) // self.percent
         if not h:
-            return 0, False  # only equal sets, which are one class
-        chance = lambda m: m * np.exp(-2 * size / m)  # noqa: E731  segments empty on both sides
-        subsets, deletions = h + 2 + SLACK, h // 2 + 1
+            return 0, False, 0  # only equal sets, which are one class
+        slack = self.slack(k, h)
+        subsets, deletions = h + NEED + slack, h // 2 + 1
+        empty = lambda m: m * np.exp(-size / m)  # noqa: E731  segments that chance leaves empty
         costs = (
-            subsets + 50 * sets * chance(subsets) ** 2 / 2,
-            deletions + size + 50 * sets * chance(deletions) * (1 + 2 * size / deletions),
+            subsets + 50 * sets * (max(0.0, empty(subsets) - slack) / subsets) ** 2 + (sets if size < 2.5 * subsets else 0),
+            deletions + size + 50 * sets * deletions * np.exp(-2 * size / deletions) * (1 + 2 * size / deletions),
         )
-        return (subsets, False) if costs[0] <= costs[1] else (deletions, True)
+        return (subsets, False, slack) if costs[0] <= costs[1] else (deletions, True, 0)
 
     def keys(self, elements: np.ndarray) -> np.ndarray:
-        """Keys of a set in all its bands; the last bit is 1 where a pair has to share two of them."""
+        """Keys of a set in all its bands; the last bit is 1 where a pair has to share NEED of them, six bits
+        before it are the band."""
         out = []
         with np.errstate(over="ignore"):
             values = _mix(elements ^ U64(0xA0761D6478BD642F))
             spread = _mix(elements)
             for k in self.partners(len(elements)):
-                m, deletions = self.plans[k]
+                m, deletions, _ = self.plans[k]
                 if not m:
                     continue
                 segment = (spread >> U64(32)) * U64(m) >> U64(32)
@@ -164,9 +175,9 @@ class Bands:
                 place = _mix(np.arange(m, dtype=U64) + U64(k << 40))
                 if deletions:
                     s = segment.astype(np.int64)
-                    out.append(_mix(np.concatenate([total + place, total[s] - values + place[s]])) & ~U64(1))
+                    out.append(_mix(np.concatenate([total + place, total[s] - values + place[s]])) & ~U64(127) | U64(2 * k))
                 else:
-                    out.append(_mix(total + place) | U64(1))
+                    out.append(_mix(total + place) & ~U64(127) | U64(2 * k + 1))
         return np.concatenate(out).view(np.int64) if out else np.zeros(0, np.int64)
 
 
@@ -203,7 +214,7 @@ def keys_of(texts: DataFrame, words: int, bands: Bands) -> DataFrame:
                     keys.append(bands.keys(elements))
                     classes.append(class_of(elements))
                     held += len(keys[-1])
-                    if held > 500_000:
+                    if held > 300_000:
                         yield rows()
                         keys, classes, held = [], [], 0
         if keys:
@@ -435,13 +446,15 @@ class Join:
         """cls, comp for all classes that are linked with another."""
         shared = saved(buckets(self.keyed()), "jaccard-buckets")
         exact = F.pmod("key", F.lit(2)) == 1
-        need = F.when(exact, 2).otherwise(1)
+        need = F.when(exact, NEED).otherwise(1)
         # keys of buckets over BUCKET; few, as each has that many members
-        large_keys = shared.groupBy("key").agg(F.count("*").alias("g")).where(F.col("g") > BUCKET).select("key", F.lit(True).alias("large"))
-        members = saved(shared.join(large_keys, "key", "left").withColumn("large", F.coalesce("large", F.lit(False))), "jaccard-members")
-        slack = exact & F.col("large")
-        full = members.where(slack).groupBy("cls").agg(F.count("*").alias("k")).where(F.col("k") > SLACK).select("cls", F.lit(True).alias("full"))
-        large = saved(members.where("large").join(full, "cls", "left").where(~exact | F.col("full").isNotNull()).select("key", "cls"), "jaccard-large")
+        large_keys = shared.groupBy("key").agg(F.count("*").alias("g")).where(F.col("g") > BUCKET).select("key", "g")
+        members = saved(shared.join(large_keys, "key", "left").withColumn("large", F.col("g").isNotNull()), "jaccard-members")
+        slacks = F.create_map(*(F.lit(x) for k, (_, _, slack) in enumerate(self.bands.plans) for x in (k, slack)))
+        band = F.pmod(F.shiftright("key", 1), F.lit(64)).cast("int")
+        nth = F.row_number().over(Window.partitionBy("cls", "band").orderBy(F.desc("g"), "key"))
+        large = members.where("large").select("key", "cls", "g", band.alias("band")).withColumn("nth", nth)
+        large = saved(large.where(F.col("nth") > F.try_element_at(slacks, F.col("band"))).select("key", "cls"), "jaccard-large")
         most = large.groupBy("cls").agg(F.count("*").alias("k"))
         leaders = large.join(most, "cls").groupBy("key").agg(F.max_by("cls", F.struct("k", "cls")).alias("leader"))
         large = saved(large.join(leaders, "key").select("leader", "cls").distinct(), "jaccard-led")
