@@ -57,8 +57,10 @@ def from_texts(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def from_bibtex(docs: DataFrame) -> DataFrame:
-    """Entries of BibTeX texts (doc_id, text). Braces may nest to three levels."""
-    inner = r"[^{}]*(?:\{[^{}]*(?:\{[^{}]*\}[^{}]*)*\}[^{}]*)*"
+    """Entries of BibTeX texts (doc_id, text). Braces may nest to four levels in an entry."""
+    inner = "[^{}]*"
+    for _ in range(4):
+        inner = rf"[^{{}}]*(?:\{{{inner}\}}[^{{}}]*)*"
     rows = docs.select("doc_id", F.posexplode(F.regexp_extract_all(t.text(F.col("text")), F.lit(rf"(?s)(@\w+\s*\{{{inner}\}})"), F.lit(1))).alias("pos", "raw_text"))
     rows = rows.withColumn("kind", F.lower(F.regexp_extract("raw_text", r"^@(\w+)", 1))).where(~F.col("kind").isin("comment", "string", "preamble"))
 
