@@ -75,7 +75,7 @@ def _marks() -> tuple[str, str, list[tuple[str, str]]]:
         if plain != c and len(plain) == 1:
             one.append(c)
             base.append(plain)
-        elif plain != c and 1 < len(plain) <= 3 and plain.isascii():
+        elif plain != c and 1 < len(plain) <= 3 and plain.isascii() and unicodedata.name(c).startswith("LATIN SMALL LIGATURE"):
             several.append((c, plain))
     return "".join(one), "".join(base), several
 
@@ -84,7 +84,7 @@ def strip_accents(column: Column) -> Column:
     """Compatibility decomposition without combining marks, for letters."""
     one, base, several = _marks()
     out = F.translate(text(column), one, base)
-    for c, plain in several[:40]:
+    for c, plain in several:
         out = F.replace(out, F.lit(c), F.lit(plain))
     return F.regexp_replace(out, r"\p{M}+", "")
 
