@@ -65,27 +65,30 @@ def decisive(refs: DataFrame, found: DataFrame) -> DataFrame:
 def title_search(refs: DataFrame, works: DataFrame, per_source: int = PER_SOURCE, terms: int = SEARCH_TERMS) -> DataFrame:
     """Up to ``per_source`` records of each source that share the most search terms with a title, with the
     source's own conditions; ties by distance in years, then source id."""
-    indexed = works.withColumn("term", F.explode(F.array_distinct(t.title_tokens(F.col("title"))))).select("term", F.struct(*WORK_FIELDS).alias("w"))
+    # the index holds what the sources' conditions need, not whole records; those join the few that are found
+    phrase = F.when(F.col("source") == "arxiv", t.normalize_title(F.col("title")))
+    indexed = works.select("source", "source_id", F.col("year").alias("w_year"), t.surnames(F.col("authors")).alias("known"), phrase.alias("phrase"), F.explode(F.array_distinct(t.title_tokens(F.col("title")))).alias("term"))
     common = indexed.groupBy("term").agg(F.count("*").alias("df"))
-    asked = refs.where(~t.missing(F.col("title"))).select(*KEY, "year", "authors", "title", "arxiv_id", F.explode(F.array_distinct(t.title_tokens(F.col("title")))).alias("term"))
+    asked = refs.where(~t.missing(F.col("title")))
+    asked = asked.select(*KEY, "year", F.slice(t.surnames(F.col("authors")), 1, 2).alias("names"), t.normalize_title(F.col("title")).alias("wanted"), t.missing(F.col("arxiv_id")).alias("no_arxiv"), F.explode(F.array_distinct(t.title_tokens(F.col("title")))).alias("term"))
     rank = F.row_number().over(Window.partitionBy(*KEY).orderBy("df", "term"))
     asked = asked.join(common, "term").withColumn("rank", rank).where(F.col("rank") <= terms).drop("rank", "df")
-    hits = asked.join(indexed, "term").groupBy(*KEY, F.col("w.source").alias("source"), F.col("w.source_id").alias("source_id"))
-    hits = hits.agg(F.count("*").alias("shared"), F.first("w").alias("w"), *(F.first(c).alias(c) for c in ("year", "authors", "title", "arxiv_id")))
-    names = F.slice(t.surnames(F.col("authors")), 1, 2)
+    year, w_year, names, known = (F.col(c) for c in ("year", "w_year", "names", "known"))
+    same_year = year.isNull() | (year == w_year)
     first = F.try_element_at(names, F.lit(1))
-    known = t.surnames(F.col("w.authors"))
-    same_year = F.col("year").isNull() | (F.col("year") == F.col("w.year"))
     fits = (
         F.when(F.col("source") == "openalex", same_year)
         .when(F.col("source") == "pubmed", same_year & (first.isNull() | F.array_contains(known, first)))
-        .when(F.col("source") == "arxiv", t.missing(F.col("arxiv_id")) & F.contains(t.normalize_title(F.col("w.title")), t.normalize_title(F.col("title"))) & (F.size(F.array_except(names, known)) == 0))
+        .when(F.col("source") == "arxiv", F.col("no_arxiv") & F.contains("phrase", "wanted") & (F.size(F.array_except(names, known)) == 0))
         .otherwise(True)
     )
-    order = [F.desc("shared"), F.abs(F.coalesce(F.col("year") - F.col("w.year"), F.lit(99))), F.col("source_id")]
-    place = F.row_number().over(Window.partitionBy(*KEY, "source").orderBy(*order))
+    hits = asked.join(indexed, "term").where(F.coalesce(fits, F.lit(False)))
+    hits = hits.groupBy(*KEY, "source", "source_id").agg(F.count("*").alias("shared"), F.min(F.abs(F.coalesce(year - w_year, F.lit(99)))).alias("apart"))
+    place = F.row_number().over(Window.partitionBy(*KEY, "source").orderBy(F.desc("shared"), "apart", "source_id"))
     limit = F.when(F.col("source") == "scholarly", F.least(F.lit(3), F.lit(per_source))).otherwise(per_source)
-    return hits.where(F.coalesce(fits, F.lit(False))).withColumn("place", place).where(F.col("place") <= limit).select(*KEY, "w")
+    found = hits.withColumn("place", place).where(F.col("place") <= limit).select(*KEY, "source", "source_id")
+    records = works.select("source", "source_id", F.struct(*WORK_FIELDS).alias("w"))
+    return found.join(records, ["source", "source_id"]).select(*KEY, "w")
 
 
 def candidates(refs: DataFrame, works: DataFrame, use_scholarly: bool = False, skip_search: bool = False) -> DataFrame:
