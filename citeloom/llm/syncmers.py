@@ -2,10 +2,13 @@
 
 A k-mer of code points is chosen if the least hash among its s-mers is the first or the last
 one. That depends on the k-mer alone, so equal passages give equal anchors wherever they
-stand. A document's fingerprint keeps the ``SIZE`` anchors of least hash out of its whole text, each
-with its position: ``hash@position`` in hex, sorted by hash, joined by dots. Likeness is the
-share of anchors that two documents have in common among the least of both (an estimate of
-their anchors' Jaccard index); ``aligned`` gives the shift at which most common anchors match.
+stand. A document's fingerprint keeps every anchor of its text in order of position, so it grows
+with the text: five bytes each (the hash and the gap to the anchor before, which is never above
+K - S), in base64. Two anchors that follow each other at the same gap in both documents match at
+one shift; an anchor is common if it does so with the one before or after it (where a document has
+one anchor only, if its hash is in the other). Likeness is the Jaccard index of the anchors: common
+ones over all of both, repeated ones as often as they stand; ``aligned`` gives the shift at which
+most anchors match.
 
 Defined cases: a text shorter than k is one anchor by its own hash; null and empty texts have the
 empty fingerprint, which is like itself (1) and unlike any other (0); equal texts have equal
@@ -15,8 +18,8 @@ table gives no rows; only id and text are read.
 
 from __future__ import annotations
 
+import base64
 import hashlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +27,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-K, S, SIZE = 24, 8, 64
+K, S = 24, 8
+ANCHOR = np.dtype([("hash", "<u4"), ("gap", "u1")])
+#: Characters of one batch of results.
+BATCH_CHARS = 8 << 20
 #: Ranges of ids: small ones for even tasks, larger ones where there would be too many edges for the driver.
 SMALL_PART, LARGE_PART, SMALL_PARTS = 16 << 20, 1 << 30, 50_000
 NO_ID, NAMES = -(1 << 63), ["part", "id", "key", "text", "halo"]
@@ -59,40 +65,65 @@ def anchors(text: str) -> tuple[np.ndarray, np.ndarray]:
     return (hashes >> np.uint64(32)).astype(np.uint32), at
 
 
-def fingerprint(text: str | None, size: int = SIZE) -> tuple[np.ndarray, np.ndarray]:
-    """The ``size`` least distinct anchor hashes, in order, with their first positions."""
-    hashes, at = anchors(text or "")
-    if len(hashes) > 4 * size:  # only the least matter; equal hashes are within the bound too
-        bound = np.partition(hashes, min(len(hashes) - 1, 3 * size))[min(len(hashes) - 1, 3 * size)]
-        near = hashes <= bound
-        kept, first = np.unique(hashes[near], return_index=True)
-        if len(kept) >= size:
-            return kept[:size], at[near][first[:size]]
-    kept, first = np.unique(hashes, return_index=True)
-    return kept[:size], at[first[:size]]
+def fingerprint(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """All anchors in order of position: hashes and positions."""
+    return anchors(text or "")
 
 
 def written(print_: tuple[np.ndarray, np.ndarray]) -> str:
-    return ".".join(f"{h:08x}@{p:x}" for h, p in zip(print_[0].tolist(), print_[1].tolist()))
+    out = np.empty(len(print_[0]), ANCHOR)
+    out["hash"], out["gap"] = print_[0], np.diff(print_[1], prepend=0)
+    return base64.b64encode(out.tobytes()).decode()
 
 
 def read(text: str) -> tuple[np.ndarray, np.ndarray]:
-    pairs = [x.split("@") for x in text.split(".") if x]
-    return np.array([int(h, 16) for h, _ in pairs], np.uint32), np.array([int(p, 16) for _, p in pairs], np.int64)
+    got = np.frombuffer(base64.b64decode(text), ANCHOR)
+    return got["hash"].astype(np.uint32), np.cumsum(got["gap"], dtype=np.int64)
 
 
-def likeness(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], size: int = SIZE) -> float:
-    if not len(a[0]) or not len(b[0]):
-        return float(len(a[0]) == len(b[0]))
-    both = np.union1d(a[0], b[0])[:size]
-    return float(np.isin(both, a[0]).__and__(np.isin(both, b[0])).sum() / len(both))
+def _links(a: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """One number for each two anchors that follow each other: their hashes and the gap."""
+    hashes = a[0].astype(np.uint64)
+    return ((hashes[:-1] << np.uint64(32)) | hashes[1:]) ^ (np.diff(a[1]).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
+def _in(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    known = np.sort(y)
+    return known[np.minimum(np.searchsorted(known, x), len(known) - 1)] == x
+
+
+def _matched(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[int, int]:
+    """How many anchors of each match the other's at a common shift."""
+    if len(a[0]) == 1 or len(b[0]) == 1:
+        return int(_in(a[0], b[0]).sum()), int(_in(b[0], a[0]).sum())
+    x, y = _links(a), _links(b)
+    counts = []
+    for links, others in ((x, y), (y, x)):
+        both = np.zeros(len(links) + 2, bool)
+        both[1:-1] = _in(links, others)
+        counts.append(int((both[1:] | both[:-1]).sum()))
+    return counts[0], counts[1]
+
+
+def likeness(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
+    n, m = len(a[0]), len(b[0])
+    if not n or not m:
+        return float(n == m)
+    common = sum(_matched(a, b)) / 2
+    return common / (n + m - common)
 
 
 def aligned(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[int, int]:
-    """(shift, common anchors at that shift): the shift from a to b that most common anchors agree on."""
-    _, i, j = np.intersect1d(a[0], b[0], return_indices=True)
-    votes = Counter((b[1][j] - a[1][i]).tolist())
-    return min(votes.items(), key=lambda v: (-v[1], abs(v[0]), v[0])) if votes else (0, 0)
+    """(shift, anchors that match at it): the shift from a to b that most pairs of equal anchors agree on."""
+    if not len(a[0]) or not len(b[0]):
+        return 0, 0
+    order = np.argsort(b[0], kind="stable")
+    hashes, at, least = b[0][order], b[1][order], int(a[1][-1])
+    votes = np.zeros(least + int(b[1][-1]) + 1, np.int64)
+    for p, i, j in zip(a[1].tolist(), np.searchsorted(hashes, a[0], "left").tolist(), np.searchsorted(hashes, a[0], "right").tolist()):
+        votes[at[i:j] - p + least] += 1
+    most = int(votes.max())
+    return (min((np.flatnonzero(votes == most) - least).tolist(), key=lambda v: (abs(v), v)), most) if most else (0, 0)
 
 
 def fingerprint_documents(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -161,9 +192,12 @@ def compare_with_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     dealt = dealt.repartition(len(edges) + 1, "part").sortWithinPartitions("part", "halo", F.desc("key"), F.desc("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())
+        names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
         held, held_part, closed = None, None, None
+        cols: tuple[list, ...] = ([], [], [], [], [], [], [])
+        chars = 0
         for batch in batches:
-            cols: tuple[list, ...] = ([], [], [], [], [], [], [])
             for part, id_, text, halo in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3), batch.column(4).to_pylist()):
                 if halo and closed == part:
                     continue  # rows that repeat the head's id: the first of them is the next document
@@ -177,9 +211,13 @@ def compare_with_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
                     row = (own_id, len(own), hashlib.sha256(edited.encode("utf-8", "replace")).hexdigest(), written(own_print), written(other), likeness(own_print, other), likeness(own_print, print_))
                     for col, v in zip(cols, row):
                         col.append(v)
+                    chars += len(row[3]) + len(row[4])
+                    if chars > BATCH_CHARS:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=names)
+                        cols, chars = ([], [], [], [], [], [], []), 0
                 closed = part if halo else None
                 held, held_part = (None if halo else (id_, text, print_)), part
-            types = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=names)
+            cols, chars = ([], [], [], [], [], [], []), 0
 
     return dealt.mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")

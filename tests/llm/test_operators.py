@@ -365,6 +365,39 @@ def test_syncmers_are_context_free():
     assert syncmers.read(syncmers.written(x))[0].tolist() == x[0].tolist()
 
 
+def test_syncmers_find_a_short_passage_in_long_texts():
+    r = random.Random(8)
+    passage = " ".join(word(r) for _ in range(60))
+    for n in (5_000, 20_000):
+        for _ in range(5):
+            a, b = ([word(r) + word(r) for _ in range(n)] for _ in range(2))
+            i, j = r.randrange(n), r.randrange(n)
+            x, y = (syncmers.fingerprint(" ".join([*t[:k], passage, *t[k:]])) for t, k in ((a, i), (b, j)))
+            shift = len(" ".join(b[:j])) + bool(j) - len(" ".join(a[:i])) - bool(i)
+            got, votes = syncmers.aligned(x, y)
+            assert got == shift and votes >= 10 and syncmers.likeness(x, y) > 0
+            assert all((p == q).all() for p, q in zip(syncmers.read(syncmers.written(x)), x))
+
+
+def brute_matched(a, b):
+    """Anchors of a that match one of b at the same shift as an anchor next to them does."""
+    links = lambda p: {(p[0][i], p[0][i + 1], p[1][i + 1] - p[1][i]) for i in range(len(p[0]) - 1)}
+    known = links(b)
+    hit = [(a[0][i], a[0][i + 1], a[1][i + 1] - a[1][i]) in known for i in range(len(a[0]) - 1)]
+    return sum(any(hit[max(i - 1, 0) : i + 1]) for i in range(len(a[0])))
+
+
+def test_syncmers_likeness(texts):
+    prints = [syncmers.fingerprint(t) for t in texts if len(t or "") < 5_000]
+    for a in prints:
+        assert syncmers.likeness(a, a) == 1
+        for b in prints[::7]:
+            if len(a[0]) > 1 and len(b[0]) > 1:
+                n, m = brute_matched(a, b), brute_matched(b, a)
+                assert syncmers.likeness(a, b) == (n + m) / 2 / (len(a[0]) + len(b[0]) - (n + m) / 2)
+    assert syncmers.likeness(syncmers.fingerprint("one"), syncmers.fingerprint("two")) == 0
+
+
 # ---- 9
 def test_quality_held_out(spark, docs, empty):
     table, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{n}.parquet") for n in ("documents", "labels"))
