@@ -28,13 +28,20 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _audit(spark: SparkSession, d: str, strictness: str = "default", skip_search: bool = True) -> DataFrame:
+def either(f):
+    """Registers ``f`` by identifiers alone, as its SQL has it, and with the title search as ``<name>_with_search``."""
+    _QUERIES[f.__name__] = lambda spark, d: f(spark, d, True)
+    _QUERIES[f"{f.__name__}_with_search"] = lambda spark, d: f(spark, d, False)
+    return f
+
+
+def _audit(spark: SparkSession, d: str, strictness: str = "default", skip_search: bool = False) -> DataFrame:
     return verify.audit(view(spark, d, "refs_v"), view(spark, d, "works_v"), view(spark, d, "doi_v"), view(spark, d, "url_v"), strictness, 2026, skip_search=skip_search)
 
 
-def _ranked(spark: SparkSession, d: str) -> DataFrame:
+def _ranked(spark: SparkSession, d: str, skip_search: bool = False) -> DataFrame:
     refs = view(spark, d, "refs_v")
-    return linkage.scored(refs, linkage.candidates(refs, view(spark, d, "works_v"), skip_search=True))
+    return linkage.scored(refs, linkage.candidates(refs, view(spark, d, "works_v"), skip_search=skip_search))
 
 
 @query
@@ -89,9 +96,9 @@ def surname_overlap(spark, d):
     return r.join(w, "doi").select(*KEY, "source", F.round(sim.surname_overlap(F.col("a"), F.col("b")), 6).alias("overlap"))
 
 
-@query
-def title_ratio(spark, d):
-    return _ranked(spark, d).select(*KEY, "w.source", "title_score")
+@either
+def title_ratio(spark, d, skip_search):
+    return _ranked(spark, d, skip_search).select(*KEY, "w.source", "title_score")
 
 
 @query
@@ -111,66 +118,66 @@ def title_search(spark, d):
     return found.join(terms, KEY).select(*KEY, "w.source", "w.source_id", shared.alias("shared"))
 
 
-@query
-def record_scores(spark, d):
-    return _ranked(spark, d).select(*KEY, "w.source", "w.source_id", "score", "place")
+@either
+def record_scores(spark, d, skip_search):
+    return _ranked(spark, d, skip_search).select(*KEY, "w.source", "w.source_id", "score", "place")
 
 
-@query
-def best_record(spark, d):
-    return linkage.best(_ranked(spark, d)).select(*KEY, "w.source", "w.source_id", "score")
+@either
+def best_record(spark, d, skip_search):
+    return linkage.best(_ranked(spark, d, skip_search)).select(*KEY, "w.source", "w.source_id", "score")
 
 
-@query
-def corroborators(spark, d):
-    return linkage.corroboration(_ranked(spark, d)).where("corroborates").select(*KEY, "w.source", "w.source_id")
+@either
+def corroborators(spark, d, skip_search):
+    return linkage.corroboration(_ranked(spark, d, skip_search)).where("corroborates").select(*KEY, "w.source", "w.source_id")
 
 
-@query
-def merged_metadata(spark, d):
-    rows = linkage.merged(linkage.corroboration(_ranked(spark, d)))
+@either
+def merged_metadata(spark, d, skip_search):
+    rows = linkage.merged(linkage.corroboration(_ranked(spark, d, skip_search)))
     fields = [t.text(F.col(f"canonical.{f}")).alias(f) for f in linkage.FILLED if f != "year"]
     return rows.select(*KEY, "canonical.source", "canonical.source_id", F.col("sources_agreeing").cast("int").alias("sources_agreeing"), "canonical.year", *fields, F.size("canonical.authors").alias("n_authors"))
 
 
-@query
-def discrepancies(spark, d):
-    return _audit(spark, d).select(*KEY, F.explode("discrepancies").alias("d")).select(*KEY, "d.field", "d.parsed_value", "d.canonical_value", "d.severity")
+@either
+def discrepancies(spark, d, skip_search):
+    return _audit(spark, d, skip_search=skip_search).select(*KEY, F.explode("discrepancies").alias("d")).select(*KEY, "d.field", "d.parsed_value", "d.canonical_value", "d.severity")
 
 
-@query
-def style_edits(spark, d):
-    return _audit(spark, d).select(*KEY, F.explode("style_edits").alias("e")).select(*KEY, "e.field", "e.original", "e.corrected")
+@either
+def style_edits(spark, d, skip_search):
+    return _audit(spark, d, skip_search=skip_search).select(*KEY, F.explode("style_edits").alias("e")).select(*KEY, "e.field", "e.original", "e.corrected")
 
 
-@query
-def audit_results(spark, d):
-    return _audit(spark, d).select(*KEY, "confidence", F.coalesce("score", F.lit(0.0)).alias("score"), F.col("sources_agreeing").cast("int").alias("sources_agreeing"))
+@either
+def audit_results(spark, d, skip_search):
+    return _audit(spark, d, skip_search=skip_search).select(*KEY, "confidence", F.coalesce("score", F.lit(0.0)).alias("score"), F.col("sources_agreeing").cast("int").alias("sources_agreeing"))
 
 
-@query
-def audit_tier_counts(spark, d):
-    return verify.tier_counts(_audit(spark, d))
+@either
+def audit_tier_counts(spark, d, skip_search):
+    return verify.tier_counts(_audit(spark, d, skip_search=skip_search))
 
 
-@query
-def audit_strict(spark, d):
-    return verify.tier_counts(_audit(spark, d, "strict"))
+@either
+def audit_strict(spark, d, skip_search):
+    return verify.tier_counts(_audit(spark, d, "strict", skip_search))
 
 
-@query
-def audit_relaxed(spark, d):
-    return verify.tier_counts(_audit(spark, d, "relaxed"))
+@either
+def audit_relaxed(spark, d, skip_search):
+    return verify.tier_counts(_audit(spark, d, "relaxed", skip_search))
 
 
 @query
 def audit_with_search(spark, d):
-    return _audit(spark, d, skip_search=False).select(*KEY, "confidence", "score", F.size("discrepancies").alias("n_discrepancies"), F.size("notes").alias("n_notes"))
+    return _audit(spark, d).select(*KEY, "confidence", "score", F.size("discrepancies").alias("n_discrepancies"), F.size("notes").alias("n_notes"))
 
 
-@query
-def duplicates(spark, d):
-    return verify.duplicates(_audit(spark, d))
+@either
+def duplicates(spark, d, skip_search):
+    return verify.duplicates(_audit(spark, d, skip_search=skip_search))
 
 
 @query

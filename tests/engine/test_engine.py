@@ -298,3 +298,11 @@ def test_queries_match_sql(spark):
         columns = sorted(got.columns)
         want = con.sql(f"select {', '.join(columns)} from ({statement})").fetchall()
         assert Counter(tuple(r) for r in got.select(*columns).collect()) == Counter(want), name
+
+
+def test_registered_search_finds_records_of_wrong_dois(spark):
+    queries = registry.queries()
+    by_id, whole = ({(r.doc_id, r.ref_idx) for r in queries[n](spark, SF).select("doc_id", "ref_idx").collect()} for n in ("best_record", "best_record_with_search"))
+    # class 3: a DOI that nobody has; those without other identifiers
+    wrong = {(i - i % 10, i % 10 + 1) for i in range(200) if i % 12 == 3 and i % 10 not in (4, 9) and i % 40 != 21}
+    assert not wrong & by_id and wrong <= whole and by_id <= whole
