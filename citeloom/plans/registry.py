@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import similarity as sim
@@ -106,16 +106,19 @@ def id_candidates(spark, d):
     return linkage.by_id(view(spark, d, "refs_v"), view(spark, d, "works_v")).select(*KEY, "w.source", "w.source_id").distinct()
 
 
+def _searched(spark: SparkSession, d: str, terms: int | None = None) -> DataFrame:
+    return linkage.title_search(view(spark, d, "refs_v"), view(spark, d, "works_v"), terms=terms).select(*KEY, "w.source", "w.source_id", "shared")
+
+
 @query
 def title_search(spark, d):
-    refs, works = view(spark, d, "refs_v"), view(spark, d, "works_v")
-    found = linkage.title_search(refs, works)
-    mine = F.slice(F.array_sort(F.array_distinct(t.title_tokens(F.col("title")))), 1, 1 << 20)
-    indexed = works.withColumn("term", F.explode(F.array_distinct(t.title_tokens(F.col("title"))))).groupBy("term").agg(F.count("*").alias("df"))
-    asked = refs.select(*KEY, F.explode(mine).alias("term")).join(indexed, "term").withColumn("n", F.row_number().over(Window.partitionBy(*KEY).orderBy("df", "term"))).where(F.col("n") <= linkage.SEARCH_TERMS)
-    terms = asked.groupBy(*KEY).agg(F.collect_list("term").alias("terms"))
-    shared = F.size(F.array_intersect("terms", F.array_distinct(t.title_tokens(F.col("w.title"))))).cast("long")
-    return found.join(terms, KEY).select(*KEY, "w.source", "w.source_id", shared.alias("shared"))
+    """By the rarest terms alone, as its SQL has it."""
+    return _searched(spark, d, linkage.SEARCH_TERMS)
+
+
+@query
+def title_search_all_terms(spark, d):
+    return _searched(spark, d)
 
 
 @either

@@ -306,3 +306,33 @@ def test_registered_search_finds_records_of_wrong_dois(spark):
     # class 3: a DOI that nobody has; those without other identifiers
     wrong = {(i - i % 10, i % 10 + 1) for i in range(200) if i % 12 == 3 and i % 10 not in (4, 9) and i % 40 != 21}
     assert not wrong & by_id and wrong <= whole and by_id <= whole
+
+
+def brute_search(refs, works, limit=5):
+    tokens = lambda x: set(x.split())
+    out = set()
+    for r in refs:
+        for source in {w["source"] for w in works}:
+            found = []
+            for i, w in enumerate(works):
+                n = len(tokens(r["title"]) & tokens(w["title"]))
+                fits = {"openalex": r["year"] in (None, w["year"]), "arxiv": r["title"] in w["title"]}.get(source, True)
+                if w["source"] == source and n and fits:
+                    found.append((-n, abs(r["year"] - w["year"]) if r["year"] else 99, f"{source}-{i}"))
+            out |= {(r["ref_idx"], source, i, -n) for n, _, i in sorted(found)[:limit]}
+    return out
+
+
+def test_title_search_counts_all_terms(spark):
+    r = random.Random(3)
+    some = [f"word{c}" for c in "abcdefghijklmnop"]
+    works = [{"source": r.choice(["crossref", "openalex", "semantic_scholar", "arxiv"]), "title": " ".join(r.choice(some[: r.choice([5, 16])]) for _ in range(r.randint(1, 9))), "year": r.randint(2000, 2003), "authors": []} for _ in range(300)]
+    titles = [" ".join(r.sample(some, r.randint(1, 12))) for _ in range(25)] + [" ".join(r.choice(works)["title"].split()[:4]) for _ in range(15)]
+    # shares most of its words with a record, but none of its four rarest
+    works += [{"source": "crossref", "title": " ".join(some[:8]), "year": 2001, "authors": []}] + [{"source": "crossref", "title": "raree rareb rarec rared", "year": 2001, "authors": []}]
+    titles.append(" ".join([*some[:8], "raree", "rareb", "rarec", "rared"]))
+    refs = [{"title": x, "year": r.choice([None, 2000, 2001, 2002]), "ref_idx": i + 1, "authors": []} for i, x in enumerate(titles)]
+    got = linkage.title_search(refs_of(spark, *refs), works_of(spark, *works))
+    got = {(x.ref_idx, x.source, x.source_id, x.shared) for x in got.select("ref_idx", "w.source", "w.source_id", "shared").collect()}
+    assert got == brute_search(refs, works)
+    assert (len(titles), "crossref", "crossref-300", 8) in got
