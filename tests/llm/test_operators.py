@@ -122,6 +122,18 @@ def test_cross_polytope_recall(spark, empty):
     assert cross_polytope.nearest(none, F.col("vec_id") % 50 == 0).count() == 0
 
 
+@pytest.mark.parametrize("dim", [64, 300])
+def test_cross_polytope_fills_up_small_tables(spark, dim):
+    r = np.random.default_rng(2)
+    for n in (1, 4, 6, 8, 30):
+        rows = [(i, r.normal(size=dim).tolist()) for i in range(n)]
+        df = spark.createDataFrame(rows + [rows[n - 1]] * 9, "vec_id long, embedding array<double>").coalesce(1)
+        got = defaultdict(list)
+        for q in cross_polytope.nearest(df, F.col("vec_id") < 4).collect():
+            got[q.query_id].append(q.vec_id)
+        assert all(len(got[i]) == len(set(got[i])) == min(5, n - 1) for i in range(min(4, n)))
+
+
 # ---- 3
 @pytest.mark.parametrize("limit", [1 << 26, 0])
 def test_packing_round_trip(docs, empty, limit):
