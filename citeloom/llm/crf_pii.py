@@ -6,7 +6,8 @@ and finds what the patterns leave out: spelled-out addresses ("name at host dot
 phone numbers without a plus sign. It is trained by the driver on the small table below and
 decoded by Viterbi, many chains at once in numpy.
 
-A span of the field must hold a digit, an at sign or the word "dot"; so a chain is a stretch of
+A span of the field must hold a digit, an at sign, the word "dot", the word "at" in brackets or
+"at" before a dotted name; so a chain is a stretch of
 tokens around those triggers (``REACH`` characters to either side, stretches that meet are
 one), and text without a trigger has no chain. A span that overlaps one of a pattern is left out.
 
@@ -72,7 +73,7 @@ def base_spans(text: str) -> list[Span]:
 
 # ---------------------------------------------------------------- the field
 TOKEN = re.compile(r"[^\W\d_]+|[0-9]+|[^\s]")
-TRIGGER = re.compile(r"[0-9]|@|\b[dD][oO][tT]\b")
+TRIGGER = re.compile(r"[0-9]|@|\b[dD][oO][tT]\b|[\[({<]\s{0,3}[aA][tT]\s{0,3}[\])}>]|\b[aA][tT]\s{1,3}(?=[\w-]{1,63}\.\w)")
 REACH = 60
 #: The labelled table: spans in {{kind|...}}. Small on purpose; everything else here is learnt from it.
 LABELLED = """
@@ -86,6 +87,15 @@ ask {{email|help (at) bank (dot) de}} or call
 {{email|peter at home dot fr}} is gone
 courriel {{email|marie (at) exemple (dot) fr}} merci
 kontakt {{email|info at firma dot de}} danke
+write to {{email|lee [at] host.org}} today
+mail {{email|jane (at) example.com}} for the keys
+send it to {{email|tom at shop.net}} soon
+please write to {{email|eva at haus.de}} today
+mail {{email|jon at mailhost.org}} for the keys
+contact {{email|lisa at firm.com}} please
+write to {{email|max at place.net}} now
+{{email|rosa [at] casa.es}} is gone
+ask {{email|nils (at) bank.de}} or call
 write to {{email|anna.berg@example.com}} today
 reach {{email|dik.41@mail7.example.com}} now and then
 call {{phone|(319) 555-5132}} now
@@ -147,6 +157,10 @@ a@b is short
 temperature 21.5 to 23.5 at 7
 ratio 1.5.2 beta at host 7
 he is at home dot he said
+read it at example.com today
+the shop is open at host.org now
+we met (at) noon. then we left
+look at home.then go
 """.strip().split("\n")
 
 

@@ -234,6 +234,15 @@ def test_pii_base_spans():
     assert not crf_pii.luhn("4425414259157785") and crf_pii.luhn("4425414259157784")
 
 
+def test_pii_field_without_digits_or_dots_spelled():
+    field = crf_pii.train()
+    seen = lambda x: [(k, x[a:b]) for k, a, b in crf_pii.added_spans([x], [crf_pii.base_spans(x)], field)[0]]
+    for own in ("kim [at] house.org", "olga (at) sample.com", "paul at market.net"):
+        assert seen(f"please write to {own} today") == [("email", own)]
+        assert seen(f"mail {own} for the keys") == [("email", own)]
+    assert seen("the cat sat at the door. it slept") == [] and seen("we met (at) the door") == []
+
+
 def test_pii_field_adds_spans(docs, empty, spark):
     field = crf_pii.train()
     seen = lambda x: [(k, x[a:b]) for k, a, b in crf_pii.added_spans([x], [crf_pii.base_spans(x)], field)[0]]
