@@ -7,12 +7,13 @@ gets the extra copy is drawn with the cube method, balanced on sizes and documen
 three documents with fractional probabilities move along the null space of the two
 constraints until one of them is 0 or 1; its place goes to the next document. That flight runs
 in every (source, salt) stream with three documents of memory and leaves at most two
-undecided; those few fly again per source, and the last two land at the nearest whole number, made up
-for among the last few hundred.
+undecided; those fly again in ever fewer streams until a source has one. Its last two land at the
+nearest whole number, and the last few hundred make up for that in both constraints.
 
 Draws come from hashes of the document, so reruns agree. Defined cases: null texts have size
 0; a null id or source is a value of its own (its source comes last); repeated rows are
-documents of their own; a source without any words has target 0; an empty table gives no
+documents of their own (which of the rows that repeat in all columns gets a copy more makes no
+difference); a source without any words has target 0; an empty table gives no
 rows; input columns named ``size``, ``source_size``, ``target``, ``copies`` or ``taken`` are replaced.
 """
 
@@ -26,9 +27,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import put, saved, text_of, with_columns, word_count
+from .shared import BROADCAST_BYTES, lean, put, saved, text_of, with_columns, word_count
 
 ROWS_PER_STREAM, STREAMS = 10_000, 64
+#: What a joined row of a key and its copies takes in memory, at most.
+SAMPLED_BYTES = 128
 EPS = 1e-9
 
 
@@ -97,15 +100,32 @@ class Flight:
         return self.open
 
 
-def repair(units: list[list], missing: float) -> None:
-    """Turns units over, the one that helps most first, while that brings the sum of sizes nearer
-    to what is missing (a large document that landed is made up for by smaller ones)."""
+def repair(units: list[list], size: float, count: float) -> None:
+    """Turns units over until their number and the sum of their sizes are as near to what is missing
+    of both as they can be: first single units, while the number is out by one or more, then pairs
+    of one in and one out, which leave the number as it is."""
+    sizes = np.array([x[1] for x in units], np.float64)
+    taken = np.array([x[0] == 1 for x in units], bool)
+    while round(count):
+        up = count > 0
+        able = np.flatnonzero(taken != up)
+        if not len(able):
+            break
+        at = able[np.abs((size if up else -size) - sizes[able]).argmin()]
+        taken[at] = up
+        size, count = size - (sizes[at] if up else -sizes[at]), count - (1 if up else -1)
     for _ in range(len(units)):
-        best = min(units, key=lambda x: abs(missing - x[1] * (1 - 2 * x[0])), default=None)
-        if best is None or abs(missing - best[1] * (1 - 2 * best[0])) >= abs(missing):
-            return
-        missing -= best[1] * (1 - 2 * best[0])
-        best[0] = 1 - best[0]
+        out, in_ = np.flatnonzero(~taken), np.flatnonzero(taken)
+        if not len(out) or not len(in_):
+            break
+        gain = sizes[out][:, None] - sizes[in_][None]
+        a, b = divmod(int(np.abs(size - gain).argmin()), len(in_))
+        if abs(size - gain[a, b]) >= abs(size):
+            break
+        taken[out[a]], taken[in_[b]] = True, False
+        size -= gain[a, b]
+    for x, value in zip(units, taken):
+        x[0] = float(value)
 
 
 def _units(batch: pa.RecordBatch, by: list[str]) -> Iterator[tuple[int, tuple, list]]:
@@ -146,7 +166,7 @@ def _fly(df: DataFrame, by: list[str]) -> DataFrame:
         for value, _, _, at in flight.open:
             yield put(at[0], ["__p"], [pa.array([value])])
 
-    return df.mapInArrow(fly, with_columns(df, "__p double"))
+    return df.mapInArrow(lean(fly), with_columns(df, "__p double"))
 
 
 def _land(df: DataFrame, by: list[str], kept: int = 512) -> DataFrame:
@@ -154,30 +174,32 @@ def _land(df: DataFrame, by: list[str], kept: int = 512) -> DataFrame:
     rows of a source stay at hand to make up for what landing adds or takes away."""
 
     def land(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flight, now, held, missing = Flight(), None, deque(), 0.0
+        flight, now, held, missing = Flight(), None, deque(), [0.0, 0.0]
 
         def row(unit: list) -> pa.RecordBatch:
             return put(unit[3], ["__p"], [pa.array([unit[0]])])
 
         def finish() -> Iterator[pa.RecordBatch]:
             units = [*held, *flight.land()]
-            repair(units, missing - sum(x[0] * x[1] for x in units))
+            repair(units, missing[0] - sum(x[0] * x[1] for x in units), missing[1] - sum(x[0] for x in units))
             yield from map(row, units)
 
         for batch in batches:
             for i, key, unit in _units(batch, by):
                 if key != now:
                     yield from finish()
-                    flight, now, held, missing = Flight(), key, deque(), 0.0
-                missing += unit[0] * unit[1]
+                    flight, now, held, missing = Flight(), key, deque(), [0.0, 0.0]
+                missing[0] += unit[0] * unit[1]
+                missing[1] += unit[0]
                 unit[3] = batch.slice(i, 1)
                 held.extend(flight.add(unit))
                 while len(held) > kept:
-                    missing -= held[0][0] * held[0][1]
+                    missing[0] -= held[0][0] * held[0][1]
+                    missing[1] -= held[0][0]
                     yield row(held.popleft())
         yield from finish()
 
-    return df.mapInArrow(land, with_columns(df, "__p double"))
+    return df.mapInArrow(lean(land), with_columns(df, "__p double"))
 
 
 def source_targets(sizes: DataFrame, max_repeat: float, weight_cycle: tuple[float, ...]) -> DataFrame:
@@ -192,34 +214,65 @@ def source_targets(sizes: DataFrame, max_repeat: float, weight_cycle: tuple[floa
     return spark.createDataFrame(data, "source string, source_size long, target double, salts int")
 
 
+def _sampled(units: DataFrame, max_repeat: float, weight_cycle: tuple[float, ...]) -> DataFrame:
+    """``units`` (with __source, __size, __h) and source_size, target, copies."""
+    goals = saved(source_targets(units.select(F.col("__source").alias("source"), F.col("__size").alias("size")), max_repeat, weight_cycle), "mix-targets")
+    g = goals.select(F.col("source").alias("__s"), "source_size", "target", F.col("salts").alias("__salts"))
+    ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
+    rows = units.join(g, F.col("__source").eqNullSafe(F.col("__s"))).drop("__s").withColumns({
+        "__whole": F.floor(ratio + EPS).cast("int"), "__p": F.greatest(ratio - F.floor(ratio + EPS), F.lit(0.0)),
+        "__draw": F.pmod(F.xxhash64("__h", F.lit(2)), F.lit(1 << 52)).cast("double") / float(1 << 52),
+    })
+    order = [F.desc("__size"), "__h"]  # the largest units are decided first, so what is left to land is small
+    undecided = (F.col("__p") > 0) & (F.col("__p") < 1)
+    salts, done, level = goals.agg(F.max("salts")).first()[0] or 1, None, 0
+    while True:
+        level += 1
+        own = rows.withColumn("__salt", F.pmod(F.xxhash64("__h", F.lit(level)), "__salts").cast("int"))
+        flown = own.repartition("__source", "__salt").sortWithinPartitions("__source", "__salt", *order)
+        flown = saved(_fly(flown, ["__source", "__salt"]).drop("__salt"), "mix-flight")
+        decided = flown.where(~undecided)
+        done = decided if done is None else done.unionByName(decided)
+        rows = flown.where(undecided)
+        if 2 * salts <= ROWS_PER_STREAM:
+            break
+        # every stream leaves two units at most: where these are many, they fly again in fewer streams
+        salts = -(-2 * salts // ROWS_PER_STREAM)
+        rows = rows.withColumn("__salts", F.ceil(2 * F.col("__salts") / ROWS_PER_STREAM).cast("int"))
+    last = rows.repartition("__source").sortWithinPartitions("__source", *order)
+    done = done.unionByName(_land(last, ["__source"]))
+    return done.withColumn("copies", F.col("__whole") + F.col("__p").cast("int")).drop("__whole", "__p", "__draw", "__salts")
+
+
 def mix_sources(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", max_repeat: float = 3.0,
     weight_cycle: tuple[float, ...] = (1.0, 2.0, 3.0), size: Column | None = None, columns: tuple[str, ...] | None = None,
 ) -> DataFrame:
     """The rows of ``docs`` (``columns`` of it; all by default) with size (words), source_size,
-    target (both of the source), copies (whole number, at most ``max_repeat``) and taken = copies x size."""
+    target (both of the source), copies (whole number, at most ``max_repeat``) and taken = copies x size.
+
+    Texts do not fly: units of a key (128 bits of hash over the row's columns), source and size do, and the
+    copies are joined back by key. Only where the text is not asked for, the rows asked for fly themselves."""
     own = ("size", "source_size", "target", "copies", "taken")
     keep = [c for c in (columns or docs.columns) if c not in own]
-    rows = docs.select(
-        *keep, F.col(source).alias("__source"), (word_count(text_of(text)) if size is None else size).alias("__size"),
-        F.xxhash64(F.col(doc_id), F.col(source)).alias("__h"),
-    )
+    size = word_count(text_of(text)) if size is None else size
+    hashed = [F.col(c) for c in dict.fromkeys([doc_id, source, text, *keep]) if not docs.schema[c].dataType.simpleString().startswith(("map", "variant"))]
+    unit = [F.col(source).alias("__source"), size.alias("__size"), F.xxhash64(*hashed).alias("__h")]
+    out = [*keep, F.col("__size").alias("size"), "source_size", "target", "copies", (F.col("copies") * F.col("__size")).alias("taken")]
     if text not in keep:
-        rows = saved(rows, "mix-rows")  # small without texts, which are then read only once
-    goals = saved(source_targets(rows.select(F.col("__source").alias("source"), F.col("__size").alias("size")), max_repeat, weight_cycle), "mix-targets")
-    g = goals.select(F.col("source").alias("__s"), "source_size", "target", "salts")
-    ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    rows = rows.join(g, F.col("__source").eqNullSafe(F.col("__s"))).withColumns({
-        "__whole": F.floor(ratio + EPS).cast("int"), "__p": F.greatest(ratio - F.floor(ratio + EPS), F.lit(0.0)),
-        "__salt": F.pmod(F.xxhash64("__h", F.lit(1)), "salts").cast("int"),
-        "__draw": F.pmod(F.xxhash64("__h", F.lit(2)), F.lit(1 << 52)).cast("double") / float(1 << 52),
-    }).drop("__s", "salts")
-    # the largest documents are decided first, so what is left to land is small
-    order = [F.desc("__size"), "__h"]
-    first = rows.repartition("__source", "__salt").sortWithinPartitions("__source", "__salt", *order)
-    first = saved(_fly(first, ["__source", "__salt"]), "mix-flight")
-    undecided = (F.col("__p") > 0) & (F.col("__p") < 1)
-    second = first.where(undecided).repartition("__source").sortWithinPartitions("__source", *order)
-    done = first.where(~undecided).unionByName(_land(second, ["__source"]))
-    copies = (F.col("__whole") + F.col("__p").cast("int")).alias("copies")
-    return done.select(*keep, F.col("__size").alias("size"), "source_size", "target", copies, (copies * F.col("__size")).alias("taken"))
+        rows = saved(docs.select(*keep, *unit), "mix-rows")
+        return _sampled(rows, max_repeat, weight_cycle).select(*out)
+    keys = ["__h", "__g"]
+    rows = docs.select(*keep, *unit, F.xxhash64(F.lit(2), *hashed).alias("__g"))
+    units = rows.groupBy(*keys).agg(F.first("__source").alias("__source"), F.first("__size").alias("__size"), F.count("*").alias("__rows"))
+    units = saved(units.withColumn("__nth", F.explode(F.sequence(F.lit(1), F.col("__rows").cast("int")))), "mix-units")
+    sampled = saved(_sampled(units, max_repeat, weight_cycle).drop("__source", "__size", "__nth"), "mix-sampled")
+    n, repeated = units.agg(F.count("*"), F.coalesce(F.max("__rows"), F.lit(1))).first()
+    once = sampled.where("__rows = 1")
+    joined = rows.join(F.broadcast(once) if n * SAMPLED_BYTES <= BROADCAST_BYTES else once, keys).select(*out)
+    if repeated > 1:
+        # rows that repeat in all columns: one of each meets all the copies of its key
+        several = sampled.where("__rows > 1")
+        first = rows.join(several.select(*keys).distinct(), keys, "left_semi").dropDuplicates(keys)
+        joined = joined.unionByName(first.join(several, keys).select(*out))
+    return joined

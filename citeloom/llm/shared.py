@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,11 +20,13 @@ SPACE = " \t\n\x0b\x0c\r"
 def workspace(spark: SparkSession) -> str:
     """The folder that all executors and the driver share.
 
-    It is the one the cluster names in ``spark.checkpoint.dir``. Only where that is
-    unset (tests on one machine) a temporary folder is made and used.
+    It is the one the cluster names in ``spark.checkpoint.dir``. Only where that is unset
+    and the session runs on one machine (tests), a temporary folder is made and used.
     """
     known = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not known:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         known = "file://" + tempfile.mkdtemp(prefix="citeloom-")
         spark.sparkContext.setCheckpointDir(known)
         known = spark.sparkContext.getCheckpointDir()
@@ -32,10 +35,31 @@ def workspace(spark: SparkSession) -> str:
 
 def saved(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as a table in the shared folder and read again: lineage ends there,
-    and a lost executor costs only the tasks that read the table next."""
-    path = f"{workspace(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    and a lost executor costs only the tasks that read the table next. The table is removed
+    when the application ends."""
+    spark = df.sparkSession
+    path = f"{workspace(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` for mapInArrow, whose memory goes back to the machine when a task ends: Spark keeps
+    its Python workers for later stages, which would add theirs to what the allocators hold."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (AttributeError, OSError):  # other C libraries have no such call
+                pass
+
+    return task
 
 
 def with_columns(schema_of: DataFrame, new: str, dropped: Iterable[str] = ()) -> str:
@@ -59,9 +83,10 @@ def text_of(column: str = "text") -> Column:
 
 
 def word_count(text: Column) -> Column:
-    """Number of maximal runs of characters other than ASCII white space."""
-    stripped = F.btrim(text, F.lit(SPACE))
-    return F.when(F.length(stripped) == 0, F.lit(0)).otherwise(F.size(F.split(stripped, r"[\x20\x09-\x0D]+"))).cast("long")
+    """Number of maximal runs of characters other than ASCII white space. Every run becomes one
+    mark and the marks are counted, so no array of words is made."""
+    marks = F.regexp_replace(text, r"[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++[\x20\x09-\x0D]*+", "x")
+    return F.when(F.btrim(text, F.lit(SPACE)) == "", F.lit(0)).otherwise(F.length(marks)).cast("long")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
