@@ -3,6 +3,9 @@
 A document is the set of its distinct word n-grams (as 64-bit hashes). Sets that are equal
 form a class, and only classes are joined.
 
+"Verify exactly" is by these 64-bit hashes: two different n-grams of two compared documents pass for one with a
+chance of 2^-64 each.
+
 Candidates. Sizes are cut into bands. Two sets of Jaccard index t or more, the smaller one (of
 band k, at most U) and the larger one, differ in at most H = U (1 - t) / t elements. The universe is
 cut by hash into m segments, and each band has the cheaper of two allocations (``allocate``):
@@ -42,12 +45,14 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import saved
+from .shared import lean, saved
 
 BUCKET, BLOCK = 32, 384
+#: Elements of the sets of one block, and words whose hashes a task keeps.
+BLOCK_ELEMENTS, KNOWN_WORDS = 1_000_000, 100_000
 BAND_RATIO, SLACK, NEED = 1.35, 4, 3
-#: Ids of documents to verify that are few enough to be sent to all tasks (8 bytes each).
-BROADCAST_IDS = 1_000_000
+#: Rows of one or two numbers that are few enough to be sent to all tasks (some 64 bytes each in a hashed relation).
+BROADCAST_IDS = 500_000
 U64 = np.uint64
 
 
@@ -71,7 +76,7 @@ class Shingler:
             return np.zeros(0, U64)
         known = self.known
         new = [w for w in {*words} if w not in known]
-        if len(known) + len(new) > 300_000:
+        if len(known) + len(new) > KNOWN_WORDS:
             self.known, new = {}, [*{*words}]
         self.known.update((w, xxhash.xxh3_64_intdigest(w)) for w in new)
         h = np.fromiter(map(self.known.__getitem__, words), U64, len(words))
@@ -157,7 +162,7 @@ class Bands:
         return (subsets, False, slack) if costs[0] <= costs[1] else (deletions, True, 0)
 
     def keys(self, elements: np.ndarray) -> np.ndarray:
-        """Keys of a set in all its bands; the last bit is 1 where a pair has to share NEED of them, six bits
+        """Keys of a set in all its bands; the last bit is 1 where a pair has to share NEED of them, seven bits
         before it are the band."""
         out = []
         with np.errstate(over="ignore"):
@@ -175,27 +180,27 @@ class Bands:
                 place = _mix(np.arange(m, dtype=U64) + U64(k << 40))
                 if deletions:
                     s = segment.astype(np.int64)
-                    out.append(_mix(np.concatenate([total + place, total[s] - values + place[s]])) & ~U64(127) | U64(2 * k))
+                    out.append(_mix(np.concatenate([total + place, total[s] - values + place[s]])) & ~U64(255) | U64(2 * k))
                 else:
-                    out.append(_mix(total + place) & ~U64(127) | U64(2 * k + 1))
+                    out.append(_mix(total + place) & ~U64(255) | U64(2 * k + 1))
         return np.concatenate(out).view(np.int64) if out else np.zeros(0, np.int64)
 
 
 def signatures(docs: DataFrame, doc_id: str, text: str, words: int) -> DataFrame:
-    """id, n, cls (0 without elements), sketch."""
+    """id, text_hash, n, cls (0 without elements), sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler(words)
         for batch in batches:
             n, cls, sketches = [], [], []
-            for value in batch.column(1):
+            for value in batch.column(2):
                 elements = shingle(value.as_py())
                 n.append(len(elements))
                 cls.append(class_of(elements) if len(elements) else 0)
                 sketches.append(Sketch.of(elements))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.array(sketches, pa.binary())], names=["id", "n", "cls", "sketch"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.array(sketches, pa.binary())], names=["id", "text_hash", "n", "cls", "sketch"])
 
-    return docs.select(F.col(doc_id).cast("long"), F.col(text)).mapInArrow(run, "id long, n long, cls long, sketch binary")
+    return docs.select(F.col(doc_id).cast("long"), F.xxhash64(text), F.col(text)).mapInArrow(lean(run), "id long, text_hash long, n long, cls long, sketch binary")
 
 
 def keys_of(texts: DataFrame, words: int, bands: Bands) -> DataFrame:
@@ -220,7 +225,7 @@ def keys_of(texts: DataFrame, words: int, bands: Bands) -> DataFrame:
         if keys:
             yield rows()
 
-    return texts.mapInArrow(run, "key long, cls long")
+    return texts.mapInArrow(lean(run), "key long, cls long")
 
 
 def buckets(keyed: DataFrame) -> DataFrame:
@@ -256,7 +261,7 @@ def buckets(keyed: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["key", "pos", "cls", "leader"])
 
     dealt = keyed.repartition("key").sortWithinPartitions("key", "cls")
-    return dealt.mapInArrow(run, "key long, pos long, cls long, leader long")
+    return dealt.mapInArrow(lean(run), "key long, pos long, cls long, leader long")
 
 
 class Join:
@@ -301,7 +306,7 @@ class Join:
                     yield pa.RecordBatch.from_arrays([pa.array([class_of(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["cls", "elements"])
 
         rows = self.docs.select(F.col(self.doc_id).cast("long").alias("__id"), self.text).join(ids, F.col("__id") == F.col("__wanted"), "left_semi")
-        sets = rows.mapInArrow(run, "cls long, elements binary")
+        sets = rows.mapInArrow(lean(run), "cls long, elements binary")
         return saved(sets.join(holders.select("cls"), "cls", "left_semi").dropDuplicates(["cls"]), "jaccard-elements")
 
     def sketches_of(self, wanted: DataFrame) -> DataFrame:
@@ -324,7 +329,7 @@ class Join:
         sketches = self.sketches_of(_ends(pairs))
         side = lambda c: sketches.select(F.col("cls").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}"))
         both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "sa", "nb", "sb")
-        return saved(both.mapInArrow(run, "a long, b long"), "jaccard-likely")
+        return saved(both.mapInArrow(lean(run), "a long, b long"), "jaccard-likely")
 
     def links(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) that reach the similarity."""
@@ -342,14 +347,17 @@ class Join:
                 yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
         both = pairs.join(sets.select(F.col("cls").alias("a"), F.col("elements").alias("x")), "a").join(sets.select(F.col("cls").alias("b"), F.col("elements").alias("y")), "b")
-        return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+        return both.select("a", "b", "x", "y").mapInArrow(lean(run), "a long, b long")
 
     def links_in_blocks(self, members: DataFrame) -> DataFrame:
         """Links between different components inside the groups (leader, cls, comp), as a spanning forest for each
         pair of blocks. Sketches go to the blocks first; only members that they leave a partner send their sets."""
         percent = self.percent
-        sizes = members.groupBy("leader").agg(F.count("*").alias("g"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
-        dealt = members.join(sizes.select("leader", F.ceil(F.col("g") / BLOCK).cast("int").alias("blocks")), "leader")
+        sketches = self.sketches_of(members)
+        members = members.join(sketches, "cls")
+        sizes = members.groupBy("leader").agg(F.count("*").alias("g"), F.sum("n").alias("elements"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
+        blocks = F.ceil(F.greatest(F.col("g") / BLOCK, F.col("elements") / BLOCK_ELEMENTS)).cast("int")
+        dealt = members.select("leader", "cls", "comp").join(sizes.select("leader", blocks.alias("blocks")), "leader")
         own = F.pmod(F.xxhash64("cls"), "blocks").cast("int")
         dealt = dealt.withColumn("own", own).select("leader", "cls", "comp", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
         dealt = dealt.select("leader", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "cls", "comp", "own")
@@ -437,10 +445,10 @@ class Join:
 
         key = ["leader", "i", "j"]
         sorted_ = lambda df: df.repartition(*key).sortWithinPartitions(*key, "cls")
-        sketched = dealt.join(self.sketches_of(members), "cls").select(*key, "cls", "comp", "own", "sketch", "n")
-        left = saved(sorted_(sketched).mapInArrow(run_close, "leader long, i int, j int, cls long, comp long, own int"), "jaccard-close")
+        sketched = dealt.join(sketches, "cls").select(*key, "cls", "comp", "own", "sketch", "n")
+        left = saved(sorted_(sketched).mapInArrow(lean(run_close), "leader long, i int, j int, cls long, comp long, own int"), "jaccard-close")
         full = left.join(self.sets_of(left.select("cls")), "cls").select(*key, "cls", "comp", "own", "elements")
-        return sorted_(full).mapInArrow(run_linked, "a long, b long")
+        return sorted_(full).mapInArrow(lean(run_linked), "a long, b long")
 
     def labels(self) -> DataFrame:
         """cls, comp for all classes that are linked with another."""
@@ -448,15 +456,15 @@ class Join:
         exact = F.pmod("key", F.lit(2)) == 1
         need = F.when(exact, NEED).otherwise(1)
         # keys of buckets over BUCKET; few, as each has that many members
-        large_keys = shared.groupBy("key").agg(F.count("*").alias("g")).where(F.col("g") > BUCKET).select("key", "g")
+        large_keys = few(saved(shared.groupBy("key").agg(F.count("*").alias("g")).where(F.col("g") > BUCKET).select("key", "g"), "jaccard-large-keys"))
         members = saved(shared.join(large_keys, "key", "left").withColumn("large", F.col("g").isNotNull()), "jaccard-members")
         slacks = F.create_map(*(F.lit(x) for k, (_, _, slack) in enumerate(self.bands.plans) for x in (k, slack)))
-        band = F.pmod(F.shiftright("key", 1), F.lit(64)).cast("int")
+        band = F.pmod(F.shiftright("key", 1), F.lit(128)).cast("int")
         nth = F.row_number().over(Window.partitionBy("cls", "band").orderBy(F.desc("g"), "key"))
         large = members.where("large").select("key", "cls", "g", band.alias("band")).withColumn("nth", nth)
         large = saved(large.where(F.col("nth") > F.try_element_at(slacks, F.col("band"))).select("key", "cls"), "jaccard-large")
         most = large.groupBy("cls").agg(F.count("*").alias("k"))
-        leaders = large.join(most, "cls").groupBy("key").agg(F.max_by("cls", F.struct("k", "cls")).alias("leader"))
+        leaders = few(saved(large.join(most, "cls").groupBy("key").agg(F.max_by("cls", F.struct("k", "cls")).alias("leader")), "jaccard-leaders"))
         large = saved(large.join(leaders, "key").select("leader", "cls").distinct(), "jaccard-led")
         small = members.where("NOT large").select("key", "cls", "leader", "pos")
         stars = small.where("pos > 0").groupBy(F.col("leader").alias("a"), F.col("cls").alias("b")).agg(F.count("*").alias("keys"), F.min(need).alias("need"))
@@ -476,6 +484,11 @@ class Join:
         return components(first.unionByName(second))
 
 
+def few(table: DataFrame) -> DataFrame:
+    """A written table, sent to all tasks by joins where it is measured to be small."""
+    return F.broadcast(table) if table.count() <= BROADCAST_IDS else table
+
+
 def _ends(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
 
@@ -498,19 +511,28 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 4, percent: int = 85) -> DataFrame:
-    """For each row id, n_shingles, cls, component_id (the least id that links reach, its own included)."""
+    """For each row id, text_hash, n_shingles, cls, comp (least class that links reach), component_id (least id so)."""
     join = Join(docs, doc_id, text, words, percent)
     labelled = join.all.drop("sketch").join(join.labels(), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     labelled = saved(labelled, "jaccard-labelled")
     linked = (F.col("n") > 0) & F.col("id").isNotNull()
     least = labelled.where(linked).groupBy("comp").agg(F.min("id").alias("least"), F.count("*").alias("size")).where("size > 1").drop("size")
     out = labelled.join(least, "comp", "left")
-    return out.select("id", F.col("n").alias("n_shingles"), "cls", F.when(linked, F.coalesce("least", "id")).otherwise(F.col("id")).alias("component_id"))
+    return out.select("id", "text_hash", F.col("n").alias("n_shingles"), "cls", "comp", F.when(linked, F.coalesce("least", "id")).otherwise(F.col("id")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` without the near-duplicates of another: of each component the rows of its least id stay, one
-    row for each id of them; rows without elements or id stay."""
-    found = near_duplicates(docs, doc_id, text, words, percent)
-    gone = found.where("component_id <> id").select(F.col("id").alias("__gone")).distinct()
-    return docs.join(gone, F.col(doc_id).cast("long") == F.col("__gone"), "left_anti")
+    """``docs`` with one row of each component: that of its least id (of rows that repeat the id, the one whose
+    text has the least hash; of rows that repeat both, one). Rows without elements or id stay."""
+    found = near_duplicates(docs, doc_id, text, words, percent).where("n_shingles > 0 AND id IS NOT NULL")
+    groups = found.groupBy("comp").agg(F.min(F.struct("id", "text_hash")).alias("first"), F.count("*").alias("size")).where("size > 1")
+    rows = saved(found.select("comp", "id", "text_hash").join(groups, "comp"), "jaccard-groups")
+    stays = (F.col("id") == F.col("first.id")) & (F.col("text_hash") == F.col("first.text_hash"))
+    gone = rows.where(~stays).select(F.col("id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
+    same = (F.col(doc_id).cast("long") == F.col("__id")) & (F.xxhash64(text) == F.col("__hash"))
+    out = docs.join(gone, same, "left_anti")
+    again = rows.where(stays).groupBy(F.col("id").alias("__id"), F.col("text_hash").alias("__hash")).agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    if again.limit(1).count():
+        repeated = docs.join(again, same).dropDuplicates(["__id", "__hash"]).drop("__id", "__hash")
+        out = out.join(again, same, "left_anti").unionByName(repeated)
+    return out
