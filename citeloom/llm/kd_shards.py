@@ -2,12 +2,11 @@
 
 Equal texts form a group, which is never split. Groups carry metadata coordinates; a node of
 the tree is split along its widest coordinate at the weighted median of bytes, until every
-leaf is one shard. A median is found by radix refinement: histograms of 256 cells per node
-are added up by the executors, the driver reads only the cell that holds the median and
-refines it. Coordinates end in bits of the group's hash, so ties on a coordinate (a
+leaf is one shard. A median is found by radix refinement: histograms of up to 4,096 cells per node
+are added up by the executors, and the cell that holds the median is refined. Coordinates end in bits of the group's hash, so ties on a coordinate (a
 source with a third of all rows) can be split anywhere.
 
-Defined cases: a null text has size 1 and all null texts are one group; null metadata count as
+Defined cases: a null text is an empty one: size 1, one group with the empty texts; null metadata count as
 the smallest value; repeated rows are rows of their own in the same shard; a group larger than a
 shard's share stays whole, and its shard is that much larger; an empty table gives no
 rows; input columns named ``size``, ``text_crc32``, ``shard`` or ``slot`` are replaced.
@@ -22,7 +21,9 @@ from pyspark.sql import functions as F
 
 from .shared import saved, text_of
 
-VALUE_BITS, HASH_BITS, DIGIT_BITS = 31, 31, 8
+VALUE_BITS, HASH_BITS, DIGIT_BITS = 31, 31, 12
+#: Cells of all nodes' histograms that the driver reads at once, at most (beyond 4,096 nodes 16 for each).
+MOST_CELLS = 1 << 16
 #: A median is fine enough when the cell that holds it has this share of the node's bytes.
 TOLERANCE = 1 / 4096
 ROWS_PER_BUCKET = 250_000
@@ -49,64 +50,73 @@ def _spread(groups: DataFrame, dims: list[str]) -> DataFrame:
     return groups.select("group_id", "bytes", "rows", *cols)
 
 
-def _medians(groups: DataFrame, node: Column, at: dict[int, tuple[str, float]]) -> dict[int, int]:
+def _with(points: DataFrame, rows: list[tuple[int, ...]], names: str) -> DataFrame:
+    """``points`` with what the driver knows of each node: a row of numbers for each, at most as many as shards."""
+    values = ", ".join("(" + ", ".join(f"{v}L" for v in row) + ")" for row in rows)
+    return points.join(F.broadcast(points.sparkSession.sql(f"SELECT * FROM VALUES {values} AS known({names})")), "node")
+
+
+def _coordinate(dims: int) -> Column:
+    """The coordinate with the number in column ``dim``."""
+    return reduce(lambda c, i: c.when(F.col("dim") == i, F.col(f"c{i}")), range(1, dims), F.when(F.col("dim") == 0, F.col("c0")))
+
+
+def _medians(points: DataFrame, dims: int, at: dict[int, tuple[int, float]]) -> dict[int, int]:
     """For each node {id: (coordinate, share)} the largest key of its lower part."""
-    coordinate = reduce(lambda c, x: c.when(node == x[0], F.col(x[1][0])), at.items(), F.when(F.lit(False), F.lit(0)))
-    inside = groups.select(node.alias("node"), coordinate.cast("long").alias("key"), "bytes").where(F.col("node").isin([*at]))
-    prefix = {n: 0 for n in at}
-    below = {n: 0 for n in at}
-    goal: dict[int, float] = {}
+    prefix, below = dict.fromkeys(at, 0), dict.fromkeys(at, 0)
     total: dict[int, int] = {}
     cut: dict[int, int] = {}
     left = VALUE_BITS + HASH_BITS
     while left > 0 and len(cut) < len(at):
-        step = min(DIGIT_BITS, left)
-        left -= step
         open_ = [n for n in at if n not in cut]
-        same = reduce(lambda a, b: a | b, ((F.col("node") == n) & (F.shiftright("key", left + step) == prefix[n]) for n in open_))
-        cells = inside.where(same).groupBy("node", F.shiftright("key", left).alias("cell")).agg(F.sum("bytes").alias("bytes")).collect()
+        step = min(left, DIGIT_BITS, max(4, (MOST_CELLS // len(open_)).bit_length() - 1))
+        left -= step
+        asked = _with(points, [(n, at[n][0], prefix[n]) for n in open_], "node, dim, prefix")
+        key = asked.select("node", "prefix", "bytes", _coordinate(dims).alias("key")).where(F.shiftright("key", left + step) == F.col("prefix"))
+        cells: dict[int, list] = {n: [] for n in open_}
+        for r in key.groupBy("node", F.shiftright("key", left).alias("cell")).agg(F.sum("bytes").alias("bytes")).collect():
+            cells[r.node].append((r.cell, r.bytes))
         for n in open_:
-            own = sorted((r.cell, r.bytes) for r in cells if r.node == n)
-            if n not in goal:
-                total[n] = sum(b for _, b in own)
-                goal[n] = total[n] * at[n][1]
-            done = below[n]
+            own = sorted(cells[n])
+            total.setdefault(n, sum(b for _, b in own))
+            goal, done = total[n] * at[n][1], below[n]
             for cell, size in own:
-                if done + size >= goal[n] or cell == own[-1][0]:
-                    fine = size <= TOLERANCE * total[n] or not left
-                    if fine:
-                        upper = done + size - goal[n] <= goal[n] - done
+                if done + size >= goal or cell == own[-1][0]:
+                    if size <= TOLERANCE * total[n] or not left:
+                        upper = done + size - goal <= goal - done
                         cut[n] = ((cell + upper) << left) - 1
                     prefix[n], below[n] = cell, done
                     break
                 done += size
-            else:
-                cut[n] = -1
     return cut
 
 
 def kd_tree(groups: DataFrame, dims: list[str], n_shards: int) -> DataFrame:
-    """group_id, bytes, rows, shard."""
-    points = saved(_spread(groups, dims), "kd-points")
-    node, leaves = F.lit(0), {0: (0, n_shards)}
+    """group_id, bytes, rows, shard. The node of each group is a column that every level writes anew,
+    so plans stay as small for a thousand shards as for two; there are log2 of the shards levels."""
+    points = saved(_spread(groups, dims).withColumn("node", F.lit(0).cast("long")), "kd-points")
+    leaves = {0: (0, n_shards)}  # node: its shards
     while any(hi - lo > 1 for lo, hi in leaves.values()):
-        extents = points.groupBy(node.alias("node")).agg(*(F.max(f"c{i}") - F.min(f"c{i}") for i in range(len(dims)))).collect()
+        extents = points.groupBy("node").agg(*(F.max(f"c{i}") - F.min(f"c{i}") for i in range(len(dims)))).collect()
         widest = {r[0]: max(range(len(dims)), key=lambda i: (r[i + 1] or 0, -i)) for r in extents}
-        at = {n: (f"c{widest[n]}", ((hi - lo) // 2) / (hi - lo)) for n, (lo, hi) in leaves.items() if hi - lo > 1 and n in widest}
-        cut = _medians(points, node, at) if at else {}
-        parts = {}
-        split = F.when(F.lit(False), F.lit(0))
+        at = {n: (widest[n], ((hi - lo) // 2) / (hi - lo)) for n, (lo, hi) in leaves.items() if hi - lo > 1 and n in widest}
+        cut = _medians(points, len(dims), at) if at else {}
+        parts, rows = {}, []
         for n, (lo, hi) in leaves.items():
-            mid = lo + max(1, (hi - lo) // 2)
-            if hi - lo == 1 or n not in cut:
-                parts[2 * n] = (lo, lo + 1)
-                split = split.when(node == n, F.lit(2 * n))
-            else:
-                parts[2 * n], parts[2 * n + 1] = (lo, mid), (mid, hi)
-                split = split.when(node == n, F.lit(2 * n) + (F.col(at[n][0]) > cut[n]).cast("int"))
-        node, leaves = split, parts
-    shard = reduce(lambda c, x: c.when(node == x[0], F.lit(x[1][0])), leaves.items(), F.when(F.lit(False), F.lit(0)))
-    return points.select("group_id", "bytes", "rows", shard.cast("int").alias("shard"))
+            if n in cut:
+                mid = lo + (hi - lo) // 2
+                low, high = len(parts), len(parts) + 1
+                parts[low], parts[high] = (lo, mid), (mid, hi)
+                rows.append((n, at[n][0], cut[n], low))
+            else:  # a leaf, or a node without rows: nothing is above this cut
+                rows.append((n, 0, 1 << 62, len(parts)))
+                parts[len(parts)] = (lo, lo + 1)
+        split = _with(points, rows, "node, dim, cut, low")
+        node = F.col("low") + (_coordinate(len(dims)) > F.col("cut")).cast("long")
+        points = saved(split.select("group_id", "bytes", "rows", *(f"c{i}" for i in range(len(dims))), node.alias("node")), "kd-points")
+        leaves = parts
+    shards = _with(points, [(n, lo) for n, (lo, _) in leaves.items()], "node, shard")
+    return shards.select("group_id", "bytes", "rows", F.col("shard").cast("int").alias("shard"))
 
 
 def shard_documents(
@@ -121,7 +131,7 @@ def shard_documents(
     dims = tuple(d for d in dims if d in docs.columns) or (order,)
     full = docs.withColumns({
         "__size": (F.octet_length(text_of(text)) + 1).cast("long"), "__crc": F.crc32(F.encode(text_of(text), "UTF-8")),
-        "__group": F.xxhash64(F.col(text), F.col(text).isNull()), **{f"__d{i}": _number(docs, d) for i, d in enumerate(dims)},
+        "__group": F.xxhash64(text_of(text)), **{f"__d{i}": _number(docs, d) for i, d in enumerate(dims)},
     })
     groups = full.groupBy(F.col("__group").alias("group_id")).agg(F.sum("__size").alias("bytes"), F.count("*").alias("rows"), *(F.min(f"__d{i}").alias(f"d{i}") for i in range(len(dims))))
     groups = saved(groups, "kd-groups")
