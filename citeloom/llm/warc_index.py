@@ -31,9 +31,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import saved
+from .shared import BROADCAST_BYTES, lean, saved
 
-ARCHIVE_BYTES, LINES_PER_BLOCK, LINES_PER_PART = 4 << 20, 1000, 500_000
+ARCHIVE_BYTES, LINES_PER_BLOCK = 4 << 20, 1000
+#: Lines of one range of the index (more where there would be over MOST_PARTS ranges), and lookups of a task.
+LINES_PER_PART, LEAST_PARTS, MOST_PARTS, LOOKUPS_PER_TASK = 50_000, 24, 100_000, 200_000
+#: What a repeated digest and its keeper take in memory, at most; salts of a digest where these are many.
+KEEPER_BYTES, SALTS = 256, 16
 DATE = "2024-01-01T00:00:00Z"
 
 
@@ -84,13 +88,23 @@ def parse_record(member: bytes) -> dict:
     }
 
 
+def _with_keepers(pages: DataFrame, repeats: DataFrame) -> DataFrame:
+    """``pages`` with keeper (null where the digest is not in ``repeats``). Payloads stay where they are
+    if the repeated digests are few; if not, pages are dealt by digest and a salt, so one payload fills no task."""
+    if repeats.count() * KEEPER_BYTES <= BROADCAST_BYTES:
+        return pages.join(F.broadcast(repeats), "digest", "left")
+    salted = pages.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int"))
+    copies = repeats.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return salted.join(copies, ["digest", "salt"], "left").drop("salt")
+
+
 def write_archives(pages: DataFrame, page_id: str = "page_id", url: str = "url", payload: str = "html", min_revisit_bytes: int = 1000) -> DataFrame:
     """One table of two kinds of rows: archives (archive, data) and captures (archive, url_key, page_id, at, length)."""
     pages = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).alias("url"), F.encode(F.coalesce(F.col(payload).cast("string"), F.lit("")), "UTF-8").alias("payload"))
     pages = pages.withColumn("digest", F.sha1("payload"))
     long_ = F.length("payload") >= min_revisit_bytes
     repeats = pages.where(long_).groupBy("digest").agg(F.max("page_id").alias("keeper"), F.count("*").alias("n")).where("n > 1").drop("n")
-    pages = pages.join(repeats, "digest", "left")
+    pages = _with_keepers(pages, saved(repeats, "warc-keepers"))
     pages = pages.withColumn("keeper", F.when(long_ & (F.coalesce("page_id", F.lit(-(1 << 63))) < F.col("keeper")), F.col("keeper")))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,7 +129,7 @@ def write_archives(pages: DataFrame, page_id: str = "page_id", url: str = "url",
         if buffer:
             yield _rows(([f"{task:06d}-{nth:06d}"], [b"".join(buffer)], [None], [None], [None], [None]))
 
-    return saved(pages.select("page_id", "url", "digest", "keeper", "payload").mapInArrow(write, "archive string, data binary, url_key string, page_id long, at long, length long"), "warc")
+    return saved(pages.select("page_id", "url", "digest", "keeper", "payload").mapInArrow(lean(write), "archive string, data binary, url_key string, page_id long, at long, length long"), "warc")
 
 
 def _rows(cols) -> pa.RecordBatch:
@@ -143,8 +157,9 @@ def build_index(captures: DataFrame, lines_per_block: int = LINES_PER_BLOCK) ->
             text = [_line(*row) for row in zip(*cols)]
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(text, pa.string())], names=["key", "line"])
 
-    sorted_ = captures.select("url_key", "page_id", "archive", "at", "length").mapInArrow(lines, "key string, line string")
-    n = max(8, -(-captures.count() // LINES_PER_PART))
+    sorted_ = captures.select("url_key", "page_id", "archive", "at", "length").mapInArrow(lean(lines), "key string, line string")
+    lines_in = captures.count()
+    n = max(LEAST_PARTS, min(MOST_PARTS, -(-lines_in // LINES_PER_PART)))
     sorted_ = sorted_.repartitionByRange(n, "key", "line").sortWithinPartitions("key", "line")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,7 +179,7 @@ def build_index(captures: DataFrame, lines_per_block: int = LINES_PER_BLOCK) ->
         if held:
             yield block()
 
-    return saved(sorted_.mapInArrow(pack, "block long, first string, data binary"), "warc-index")
+    return saved(sorted_.mapInArrow(lean(pack), "block long, first string, data binary"), "warc-index")
 
 
 def find_lines(lines: list[str], key: str) -> list[str]:
@@ -180,10 +195,9 @@ def find_lines(lines: list[str], key: str) -> list[str]:
 def locate(lookups: DataFrame, index: DataFrame) -> DataFrame:
     """archive, at, length of each capture that ``lookups`` (url_key, page_id) ask for."""
     spark = lookups.sparkSession
-    directory = index.select(F.shiftright("block", 32).alias("part"), "first", "block")
-    parts = directory.groupBy("part").agg(F.min("first").alias("first"), F.sort_array(F.collect_list(F.struct("first", "block"))).alias("entries"))
-    top = sorted((r["first"], r["part"]) for r in parts.select("first", "part").collect())
-    held = spark.sparkContext.broadcast(([f for f, _ in top], [p for _, p in top]))  # one key for LINES_PER_PART lines
+    directory = index.select(F.shiftright("block", 32).alias("part"), F.col("first").alias("key"), "block")
+    top = sorted((r.key, r.part) for r in directory.groupBy("part").agg(F.min("key").alias("key")).collect())
+    held = spark.sparkContext.broadcast(([f for f, _ in top], [p for _, p in top]))  # one key a range, MOST_PARTS at most
 
     def among(firsts: list[str], key: str) -> tuple[int, int]:
         """Lines of a key may begin in the stretch before the first one that starts with it."""
@@ -199,23 +213,37 @@ def locate(lookups: DataFrame, index: DataFrame) -> DataFrame:
                 found += numbers[a:b]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(keys, pa.string())], names=["part", "key"])
 
-    keys = lookups.select("url_key", "page_id").mapInArrow(part_of, "part long, key string").distinct()
+    keys = saved(lookups.select("url_key", "page_id").mapInArrow(lean(part_of), "part long, key string").distinct(), "warc-lookups")
+    # a range and its lookups meet in a task of their own, a range with many lookups in several
+    tasks, deals = [], 0
+    for r in keys.groupBy("part").count().collect():
+        n = -(-r["count"] // LOOKUPS_PER_TASK)
+        tasks.append((r.part, deals, n))
+        deals += n
+    if not tasks:
+        return spark.createDataFrame([], "archive string, at long, length long")
+    dealt = spark.createDataFrame(tasks, "part long, first_task int, tasks int")
+    entries = directory.join(F.broadcast(dealt), "part").select(F.explode(F.sequence("first_task", F.col("first_task") + F.col("tasks") - 1)).alias("task"), "key", "block")
+    asked = keys.join(F.broadcast(dealt), "part").select((F.col("first_task") + F.pmod(F.xxhash64("key"), "tasks").cast("int")).alias("task"), "key", F.lit(None).cast("long").alias("block"))
+    stream = entries.unionByName(asked).repartitionById(deals, F.col("task")).sortWithinPartitions("task", F.col("block").isNull(), "key")
 
     def block_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, firsts, numbers = None, [], []
+        task, firsts, numbers = None, [], []
         for batch in batches:
             found, blocks = [], []
-            entries = batch.column(2)
-            for i, (own, key) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
-                if own != part:
-                    part, both = own, entries[i].as_py()
-                    firsts, numbers = [e["first"] for e in both], [e["block"] for e in both]
+            for own, key, block in zip(*(c.to_pylist() for c in batch.columns)):
+                if own != task:
+                    task, firsts, numbers = own, [], []
+                if block is not None:
+                    firsts.append(key)
+                    numbers.append(block)
+                    continue
                 a, b = among(firsts, key)
                 found += [key] * (b - a)
                 blocks += numbers[a:b]
             yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), pa.array(found, pa.string())], names=["block", "key"])
 
-    out = keys.join(parts.select("part", "entries"), "part").select("part", "key", "entries").mapInArrow(block_of, "block long, key string")
+    out = stream.mapInArrow(lean(block_of), "block long, key string")
     asked = out.groupBy("block").agg(F.collect_list("key").alias("keys"))  # at most a block's lines, once each
 
     def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -229,7 +257,7 @@ def locate(lookups: DataFrame, index: DataFrame) -> DataFrame:
                         col.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.int64()))], names=["archive", "at", "length"])
 
-    return index.join(asked, "block").select("data", "keys").mapInArrow(lines, "archive string, at long, length long")
+    return index.join(asked, "block").select("data", "keys").mapInArrow(lean(lines), "archive string, at long, length long")
 
 
 RECORD = "page_id long, url string, record_type string, payload binary, payload_bytes long, payload_digest string, refers_to long"
@@ -248,7 +276,7 @@ def read_ranges(archives: DataFrame, ranges: DataFrame, payloads: bool = True) -
                 rows = [parse_record(view[w["at"] : w["at"] + w["length"]]) for w in wanted.as_py()]
                 yield pa.RecordBatch.from_arrays([pa.array([r[n] if payloads or n != "payload" else None for r in rows], t) for n, t in zip(names, types)], names=names)
 
-    return archives.join(asked, "archive").select("data", "r").mapInArrow(read, RECORD)
+    return archives.join(asked, "archive").select("data", "r").mapInArrow(lean(read), RECORD)
 
 
 def export_archives(table: DataFrame, folder: str) -> int:
@@ -264,7 +292,7 @@ def export_archives(table: DataFrame, folder: str) -> int:
                 os.replace(f"{folder}/{name}.warc.gz.part", f"{folder}/{name}.warc.gz")
             yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["n"])
 
-    return table.where("data IS NOT NULL").select("archive", "data").mapInArrow(write, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    return table.where("data IS NOT NULL").select("archive", "data").mapInArrow(lean(write), "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
 
 def round_trip(pages: DataFrame, page_id: str = "page_id", url: str = "url", payload: str = "html", min_revisit_bytes: int = 1000, payloads: bool = False) -> DataFrame:
