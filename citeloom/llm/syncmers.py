@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import lean, put, with_columns
+
 K, S = 24, 8
 ANCHOR = np.dtype([("hash", "<u4"), ("gap", "u1")])
 #: Characters of one batch of results.
@@ -41,6 +43,15 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
+def smer_hashes(codes: np.ndarray) -> np.ndarray:
+    """A hash for each S code points in a row, by doubling: of 2, 4 and 8."""
+    with np.errstate(over="ignore"):
+        x = codes.astype(np.uint64) + np.uint64(1)
+        for step, factor in ((1, 0x9E3779B97F4A7C15), (2, 0xC2B2AE3D27D4EB4F), (4, 0x165667B19E3779F9)):
+            x = x[:-step] * np.uint64(factor) + (x[step:] ^ (x[step:] >> np.uint64(31)))
+        return _mix(x)
+
+
 def anchors(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Hash (32 bits) and position of the text's closed syncmers."""
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -50,10 +61,7 @@ def anchors(text: str) -> tuple[np.ndarray, np.ndarray]:
         own = int.from_bytes(hashlib.blake2b(codes.tobytes(), digest_size=4).digest(), "little")
         return np.array([own], np.uint32), np.zeros(1, np.int64)
     with np.errstate(over="ignore"):
-        x = codes.astype(np.uint64) + np.uint64(1)
-        for step, factor in ((1, 0x9E3779B97F4A7C15), (2, 0xC2B2AE3D27D4EB4F), (4, 0x165667B19E3779F9)):
-            x = x[:-step] * np.uint64(factor) + (x[step:] ^ (x[step:] >> np.uint64(31)))
-        smers = _mix(x)  # of 8 code points each
+        smers = smer_hashes(codes)
         n = K - S + 1  # s-mers of a k-mer
         least = smers
         for step in (1, 2, 4, 8):  # least of 16
@@ -128,14 +136,12 @@ def aligned(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray])
 
 def fingerprint_documents(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with n_chars and fingerprint; input columns of such names are replaced."""
-    from .shared import put, with_columns
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [v.as_py() or "" for v in batch.column(batch.schema.names.index(text))]
             yield put(batch, ["n_chars", "fingerprint"], [pa.array([len(x) for x in texts], pa.int64()), pa.array([written(fingerprint(x)) for x in texts], pa.string())])
 
-    return docs.mapInArrow(run, with_columns(docs, "n_chars long, fingerprint string"))
+    return docs.mapInArrow(lean(run), with_columns(docs, "n_chars long, fingerprint string"))
 
 
 def _edges(keys: DataFrame, parts: int) -> np.ndarray:
@@ -189,7 +195,8 @@ def compare_with_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
                 yield pa.RecordBatch.from_arrays([to, *(c.take(pa.array(halo)) for c in own), pa.array([True] * len(halo))], names=NAMES)
 
     dealt = rows.mapInArrow(deal, "part int, id long, key long, text string, halo boolean")
-    dealt = dealt.repartition(len(edges) + 1, "part").sortWithinPartitions("part", "halo", F.desc("key"), F.desc("text"))
+    # one range a task: hashed range numbers would meet in one task and leave others empty
+    dealt = dealt.repartitionById(len(edges) + 1, F.col("part")).sortWithinPartitions("part", "halo", F.desc("key"), F.desc("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         types = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())
@@ -220,4 +227,4 @@ def compare_with_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=names)
             cols, chars = ([], [], [], [], [], [], []), 0
 
-    return dealt.mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return dealt.mapInArrow(lean(run), "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
