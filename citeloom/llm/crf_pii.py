@@ -9,7 +9,8 @@ decoded by Viterbi, many chains at once in numpy.
 A span of the field must hold a digit, an at sign, the word "dot", the word "at" in brackets or
 "at" before a dotted name; so a chain is a stretch of
 tokens around those triggers (``REACH`` characters to either side, stretches that meet are
-one), and text without a trigger has no chain. A span that overlaps one of a pattern is left out.
+one), and text without a trigger has no chain. A chain of any length is decoded exactly, window by window,
+in about 30 bytes a token. A span over ``LONGEST`` characters is no address or number and is left out. A span that overlaps one of a pattern is left out.
 
 Defined cases: null and empty texts have no spans; offsets are code points; input columns
 named like the new ones are replaced; repeated rows are labelled alike; an empty table gives no rows.
@@ -24,14 +25,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .shared import put, with_columns
+from .shared import lean, put, with_columns
 
+#: Characters of the texts that are labelled at once.
+CHARS = 2 << 20
 KINDS = ("email", "ip", "card", "phone")
 LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
-DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+# the repeats are possessive, so matching takes no memory that grows with a run's length
+DOMAIN = re.compile(r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 # a run of digits can only be entered at its start: the part before it would be taken too
 IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
-CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
+CARD = re.compile(r"[0-9]++(?:[ -][0-9]++)*+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 Span = tuple[str, int, int]
 
@@ -48,6 +52,12 @@ def _digits(s: str) -> str:
     return "".join(c for c in s if "0" <= c <= "9")
 
 
+def _octet(part: str) -> bool:
+    """At most 255, with any number of leading zeros."""
+    value = part.lstrip("0")
+    return len(value) <= 3 and int(value or "0") <= 255
+
+
 def base_spans(text: str) -> list[Span]:
     """Spans of the fixed patterns, by kind and start."""
     out: list[Span] = []
@@ -61,11 +71,12 @@ def base_spans(text: str) -> list[Span]:
             out.append(("email", start, m.end()))
             after = m.end()
         at = text.find("@", max(at + 1, after))
-    out += [("ip", *m.span()) for m in IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m.group().split("."))]
+    out += [("ip", *m.span()) for m in IP.finditer(text) if all(_octet(p) for p in m.group().split("."))]
     for m in CARD.finditer(text):
-        digits = _digits(m.group())
-        if 16 <= len(digits) <= 19 and luhn(digits):
-            out.append(("card", *m.span()))
+        if 16 <= m.end() - m.start() <= 2 * 19:
+            digits = _digits(m.group())
+            if 16 <= len(digits) <= 19 and luhn(digits):
+                out.append(("card", *m.span()))
     if "+" in text:
         out += [("phone", *m.span()) for m in PHONE.finditer(text) if 8 <= len(_digits(m.group())) <= 15]
     return out
@@ -73,8 +84,10 @@ def base_spans(text: str) -> list[Span]:
 
 # ---------------------------------------------------------------- the field
 TOKEN = re.compile(r"[^\W\d_]+|[0-9]+|[^\s]")
-TRIGGER = re.compile(r"[0-9]|@|\b[dD][oO][tT]\b|[\[({<]\s{0,3}[aA][tT]\s{0,3}[\])}>]|\b[aA][tT]\s{1,3}(?=[\w-]{1,63}\.\w)")
+TRIGGER = re.compile(r"[0-9]+|@|\b[dD][oO][tT]\b|[\[({<]\s{0,3}[aA][tT]\s{0,3}[\])}>]|\b[aA][tT]\s{1,3}(?=[\w-]{1,63}\.\w)")
 REACH = 60
+#: No address or number of the field is longer (longest mail address: 254 characters, spelled out some more).
+LONGEST = 512
 #: The labelled table: spans in {{kind|...}}. Small on purpose; everything else here is learnt from it.
 LABELLED = """
 write to {{email|anna dot berg at example dot com}} today
@@ -194,6 +207,8 @@ class Field:
     """Weights of (position in the window, shape) for each label, and of label pairs."""
 
     WINDOW = (-2, -1, 0, 1, 2)
+    #: Steps of Viterbi whose scores are held at once, and back pointers (a byte each) of one batch of chains.
+    STEPS, POINTERS = 1024, 16 << 20
 
     def __init__(self, vocabulary: dict[tuple[int, str], int], labels: list[str]):
         self.vocabulary, self.labels = vocabulary, labels
@@ -203,40 +218,66 @@ class Field:
         # a label that goes on can only follow its kind
         self.allowed = np.array([[not b.startswith("I-") or a[2:] == b[2:] for b in labels] for a in labels])
         self.start = np.array([not x.startswith("I-") for x in labels])
-
-    def rows(self, chain: list[str]) -> np.ndarray:
-        """For each token the numbers of its features; the last row of emit is for unknown ones and stays 0."""
-        none, n = len(self.vocabulary), len(chain)
-        get = self.vocabulary.get
-        return np.array([[get((k, chain[i + k] if 0 <= i + k < n else "end"), none) for k in self.WINDOW] for i in range(n)], np.int64).reshape(n, len(self.WINDOW))
-
-    def _scores(self, chains: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        lengths = np.array([len(c) for c in chains])
-        features = np.full((len(chains), lengths.max(), len(self.WINDOW)), len(self.vocabulary), np.int64)
-        for i, c in enumerate(chains):
-            features[i, : len(c)] = c
-        return features, lengths
+        # a chain is an array of shape numbers: 0 is beyond its ends, 1 an unknown shape
+        names = ["end", *sorted({v for _, v in vocabulary} - {"end"})]
+        self.codes = {v: i + (i > 0) for i, v in enumerate(names)}
+        self.rows_of = np.full((len(self.WINDOW), len(names) + 1), len(vocabulary), np.int64)
+        for (k, v), at in vocabulary.items():
+            self.rows_of[self.WINDOW.index(k), self.codes[v]] = at
+
+    def chain(self, text: str, start: int = 0, end: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Shape numbers, starts and ends of the tokens."""
+
+        def numbers() -> Iterator[int]:
+            last, get = -1, self.codes.get
+            for m in TOKEN.finditer(text, start, len(text) if end is None else end):
+                a, b = m.span()
+                yield a
+                yield b
+                yield get(("~" if a == last else "_") + shape(m.group()), 1)
+                last = b
+
+        flat = np.fromiter(numbers(), np.int64).reshape(-1, 3)
+        return flat[:, 2].astype(np.int32), flat[:, 0].copy(), flat[:, 1].copy()
+
+    def features(self, codes: np.ndarray, start: int = 0, end: int | None = None) -> np.ndarray:
+        """(chains, steps, window): the numbers of the features from step ``start`` on; chains are rows that end in 0.
+        The last row of emit is for unknown features and stays 0."""
+        end = codes.shape[1] if end is None else end
+        padded = np.zeros((len(codes), end - start + 4), np.int32)
+        lo, hi = max(0, start - 2), min(codes.shape[1], end + 2)
+        padded[:, lo - start + 2 : hi - start + 2] = codes[:, lo:hi]
+        return np.stack([self.rows_of[i][padded[:, 2 + k : 2 + k + end - start]] for i, k in enumerate(self.WINDOW)], axis=2)
 
     def decode(self, chains: list[np.ndarray]) -> list[np.ndarray]:
-        """Viterbi over many chains at once; chains of like length share a batch."""
-        out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(chains)
+        """Viterbi over many chains at once, of like length, in windows of steps that carry the best scores on:
+        of a step that is done only its back pointers stay (a byte for each label)."""
+        out: list[np.ndarray] = [np.zeros(0, np.int8)] * len(chains)
         order = sorted((i for i in range(len(chains)) if len(chains[i])), key=lambda i: len(chains[i]))
         move = np.where(self.allowed, self.move, -1e9)
         while order:
             longest = len(chains[order[-1]])
             cut = next((k for k, i in enumerate(order) if 2 * len(chains[i]) >= longest), 0)
-            take, order = order[max(cut, len(order) - 512) :], order[: max(cut, len(order) - 512)]
-            features, lengths = self._scores([chains[i] for i in take])
-            best = self.emit[features[:, 0]].sum(1) + self.first + np.where(self.start, 0, -1e9)
-            back = np.zeros((features.shape[1], len(take), len(self.labels)), np.int8)
-            for t in range(1, features.shape[1]):
-                way = best[:, :, None] + move[None]
-                back[t] = way.argmax(1)
-                new = way.max(1) + self.emit[features[:, t]].sum(1)
-                going = lengths > t
-                best[going] = new[going]
+            many = max(1, min(512, self.POINTERS // (longest * len(self.labels))))
+            take, order = order[max(cut, len(order) - many) :], order[: max(cut, len(order) - many)]
+            lengths = np.array([len(chains[i]) for i in take])
+            codes = np.zeros((len(take), longest), np.int32)
+            for row, i in enumerate(take):
+                codes[row, : lengths[row]] = chains[i]
+            back = np.zeros((longest, len(take), len(self.labels)), np.int8)
+            best = None
+            for at in range(0, longest, self.STEPS):
+                scores = self.emit[self.features(codes, at, min(longest, at + self.STEPS))].sum(2)
+                for t in range(at, at + scores.shape[1]):
+                    if best is None:
+                        best = scores[:, 0] + self.first + np.where(self.start, 0, -1e9)
+                        continue
+                    way = best[:, :, None] + move[None]
+                    back[t] = way.argmax(1)
+                    new = way.max(1) + scores[:, t - at]
+                    best = np.where((lengths > t)[:, None], new, best)
             for row, i in enumerate(take):
-                path = np.zeros(lengths[row], np.int64)
+                path = np.zeros(lengths[row], np.int8)
                 path[-1] = best[row].argmax()
                 for t in range(lengths[row] - 1, 0, -1):
                     path[t - 1] = back[t, row, path[t]]
@@ -245,7 +286,11 @@ class Field:
 
     def fit(self, chains: list[np.ndarray], labels: list[np.ndarray], steps: int = 250, rate: float = 0.1, penalty: float = 0.01) -> None:
         """Conditional likelihood by forward-backward over all chains at once, Adam steps."""
-        features, lengths = self._scores(chains)
+        lengths = np.array([len(c) for c in chains])
+        codes = np.zeros((len(chains), lengths.max()), np.int32)
+        for i, c in enumerate(chains):
+            codes[i, : len(c)] = c
+        features = self.features(codes)
         n, longest = features.shape[:2]
         gold = np.zeros((n, longest), np.int64)
         for i, y in enumerate(labels):
@@ -314,7 +359,7 @@ def train(table: list[str] = LABELLED) -> Field:
             for k in Field.WINDOW:
                 vocabulary.setdefault((k, c[i + k] if 0 <= i + k < len(c) else "end"), len(vocabulary))
     field = Field(vocabulary, labels)
-    field.fit([field.rows(c) for c in chains], gold)
+    field.fit([np.array([field.codes[v] for v in c], np.int32) for c in chains], gold)
     return field
 
 
@@ -342,24 +387,22 @@ def added_spans(texts: list[str], base: list[list[Span]], field: Field) -> list[
     chains, where = [], []
     for i, text in enumerate(texts):
         for a, b in stretches(text):
-            at = tokens(text, a, b)
-            chains.append(field.rows(shapes(text, at)))
-            where.append((i, at))
+            codes, starts, ends = field.chain(text, a, b)
+            chains.append(codes)
+            where.append((i, starts, ends))
     out: list[list[Span]] = [[] for _ in texts]
-    names = field.labels
-    for (i, at), path in zip(where, field.decode(chains)):
-        run: list | None = None
-        for (a, b), y in zip([*at, (0, 0)], [*(names[v] for v in path), "O"]):
-            if run and not y.startswith("I-"):
-                kind, s, e = run
-                part = texts[i][s:e]
-                if TRIGGER.search(part) and plausible(kind, part) and all(e <= s2 or s >= e2 for _, s2, e2 in base[i]):
-                    out[i].append((kind, s, e))
-                run = None
-            if y.startswith("B-"):
-                run = [y[2:], a, b]
-            elif run and y.startswith("I-"):
-                run[2] = b
+    begins = np.array([x.startswith("B-") for x in field.labels])
+    goes_on = np.array([x.startswith("I-") for x in field.labels])
+    for (i, starts, ends), path in zip(where, field.decode(chains)):
+        first = np.flatnonzero(begins[path])
+        stops = np.append(np.flatnonzero(~goes_on[path]), len(path))
+        for at, stop in zip(first, stops[np.searchsorted(stops, first, side="right")]):
+            kind, s, e = field.labels[path[at]][2:], int(starts[at]), int(ends[stop - 1])
+            if e - s > LONGEST:
+                continue
+            part = texts[i][s:e]
+            if TRIGGER.search(part) and plausible(kind, part) and all(e <= s2 or s >= e2 for _, s2, e2 in base[i]):
+                out[i].append((kind, s, e))
     return out
 
 
@@ -386,16 +429,24 @@ def find_pii(docs: DataFrame, text: str = "text", field: Field | None = None) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            base, all_ = [], []
-            for at in range(0, batch.num_rows, 512):
-                texts = [v or "" for v in batch.column(batch.schema.names.index(text)).slice(at, 512).to_pylist()]
-                own = [base_spans(x) for x in texts]
-                more = added_spans(texts, own, field)
-                base += [joined(x) for x in own]
-                all_ += [joined(x + y) for x, y in zip(own, more)]
+            base, all_, held, chars = [], [], [], 0
+
+            def flush() -> None:
+                own = [base_spans(x) for x in held]
+                base.extend(joined(x) for x in own)
+                all_.extend(joined(x + y) for x, y in zip(own, added_spans(held, own, field)))
+                held.clear()
+
+            for value in batch.column(batch.schema.names.index(text)):
+                held.append(value.as_py() or "")
+                chars += len(held[-1])
+                if len(held) == 512 or chars > CHARS:
+                    flush()
+                    chars = 0
+            flush()
             yield put(batch, ["base_spans", "spans"], [pa.array(base, pa.string()), pa.array(all_, pa.string())])
 
-    return docs.mapInArrow(run, with_columns(docs, "base_spans string, spans string"))
+    return docs.mapInArrow(lean(run), with_columns(docs, "base_spans string, spans string"))
 
 
 def redact(text: str, spans: str) -> str:

@@ -35,7 +35,7 @@ def op4_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_pii_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = crf_pii.find_pii(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
     counts = [F.regexp_count("base_spans", F.lit(f"{kind}:")).cast("long").alias(f"n_{kind}") for kind in crf_pii.KINDS]
-    return out.select("doc_id", *counts, F.sha2("base_spans", 256).alias("base_sha256"), "spans")
+    return out.select("doc_id", *counts, F.sha2("base_spans", 256).alias("base_sha256"), "spans", F.regexp_count("spans", F.lit(":[0-9]+:")).cast("long").alias("n_spans"))
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,8 +53,8 @@ def op8_syncmer_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_fm_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    machine = fm_quality.train(docs, table(spark, sf_dir, "labels"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars")
+    machine = fm_quality.train(docs, table(spark, sf_dir, "labels"), metadata=("n_chars",))
     return fm_quality.score(docs, machine).select("doc_id", fm_quality.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
