@@ -2,7 +2,7 @@
 
 A first pass hashes every line of at least ``min_chars`` code points (stripped of ASCII
 white space, A-Z lower-cased) to 128 bits and counts, per hash, the documents that hold
-it. Hashes of two or more documents are dealt to shards; each shard is turned into a
+it. Hashes of ``min_docs`` or more documents are dealt to shards; each shard is turned into a
 minimal perfect hash with three flat arrays behind it: fingerprints, counts and keepers
 (largest document id). Documents then probe those arrays; lines are never joined.
 
@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import BROADCAST_BYTES, SPACE, put, saved, with_columns
+from .shared import BROADCAST_BYTES, SPACE, lean, put, saved, with_columns
 
 NO_ID = -(1 << 63)
 KEYS_PER_SHARD = 100_000
@@ -159,13 +159,13 @@ def count_lines(docs: DataFrame, doc_id: str, text: str, min_chars: int) -> Data
             n = np.array(list(seen.values()), np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (keys[:, 0], keys[:, 1], n[:, 0], n[:, 1])], names=["h1", "h2", "n", "keeper"])
 
-    parts = docs.select(F.col(doc_id).cast("long"), F.col(text)).mapInArrow(count, "h1 long, h2 long, n long, keeper long")
+    parts = docs.select(F.col(doc_id).cast("long"), F.col(text)).mapInArrow(lean(count), "h1 long, h2 long, n long, keeper long")
     return parts.groupBy("h1", "h2").agg(F.sum("n").alias("n"), F.max("keeper").alias("keeper"))
 
 
-def build_index(lines: DataFrame) -> DataFrame:
-    """shard, n_shards, salts, index: one row of arrays for each shard of the lines' hashes."""
-    lines = saved(lines.where("n >= 2"), "line-counts")
+def build_index(lines: DataFrame, min_docs: int) -> DataFrame:
+    """shard, n_shards, salts, index: one row of arrays for each shard of the hashes of lines that ``min_docs`` documents hold."""
+    lines = saved(lines.where(F.col("n") >= min_docs), "line-counts")
     n_shards = max(64, -(-lines.count() // KEYS_PER_SHARD))
 
     def build(pdf):
@@ -216,7 +216,7 @@ def _probe_with_copies(docs: DataFrame, index: DataFrame, doc_id: str, text: str
                                 dropped[i].add(h)
             yield _cut(batch, text, ["n_lines", "n_dropped"], hashes, dropped)
 
-    return docs.mapInArrow(probe, with_columns(docs, f"{text} string, n_lines long, n_dropped long"))
+    return docs.mapInArrow(lean(probe), with_columns(docs, f"{text} string, n_lines long, n_dropped long"))
 
 
 def _probe_in_shards(docs: DataFrame, index: DataFrame, doc_id: str, text: str, min_docs: int, min_chars: int) -> DataFrame:
@@ -224,17 +224,19 @@ def _probe_in_shards(docs: DataFrame, index: DataFrame, doc_id: str, text: str,
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, ids = [], []
-            for id_, value in zip(batch.column(0).to_pylist(), batch.column(1)):
+            keys, ids, rows = [], [], []
+            for id_, row, value in zip(*(batch.column(c).to_pylist() for c in (0, 1)), batch.column(2)):
                 own = list(set(line_hashes(value.as_py(), min_chars)) - {None})
                 keys += own
                 ids += [NO_ID if id_ is None else id_] * len(own)
+                rows += [row] * len(own)
             pair = _halves(keys)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(pair[:, 0]), pa.array(pair[:, 1])], names=["id", "h1", "h2"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(rows, pa.int64()), pa.array(pair[:, 0]), pa.array(pair[:, 1])], names=["id", "row", "h1", "h2"])
 
-    probes = docs.select(F.col(doc_id).cast("long"), F.col(text)).mapInArrow(hashes, "id long, h1 long, h2 long").withColumn("shard", F.pmod("h1", F.lit(n_shards)).cast("int"))
-    probes = probes.join(index.select("shard", "salts"), "shard").select("shard", F.pmod(F.xxhash64("id"), "salts").cast("int").alias("salt"), "id", "h1", "h2", F.lit(None).cast("binary").alias("index"))
-    copies = index.select("shard", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), *(F.lit(None).cast("long").alias(c) for c in ("id", "h1", "h2")), "index")
+    # a row is known by its id and its text's hash: rows that share an id, or have none, keep lists of their own
+    probes = docs.select(F.col(doc_id).cast("long"), F.xxhash64(text), F.col(text)).mapInArrow(lean(hashes), "id long, row long, h1 long, h2 long").withColumn("shard", F.pmod("h1", F.lit(n_shards)).cast("int"))
+    probes = probes.join(index.select("shard", "salts"), "shard").select("shard", F.pmod(F.xxhash64("id", "row"), "salts").cast("int").alias("salt"), "id", "row", "h1", "h2", F.lit(None).cast("binary").alias("index"))
+    copies = index.select("shard", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), *(F.lit(None).cast("long").alias(c) for c in ("id", "row", "h1", "h2")), "index")
     both = copies.unionByName(probes)
     both = both.repartition("shard", "salt").sortWithinPartitions("shard", "salt", F.col("index").isNull())
 
@@ -254,11 +256,12 @@ def _probe_in_shards(docs: DataFrame, index: DataFrame, doc_id: str, text: str,
                 assert arrays is not None and (part.column(0).to_numpy() == shard).all()
                 keys = np.column_stack([part.column("h1").to_numpy(), part.column("h2").to_numpy()])
                 counts, keepers = arrays.probe(keys)
-                yield part.select(["id", "h1", "h2"]).filter(pa.array((counts >= min_docs) & (part.column("id").to_numpy() != keepers)))
+                yield part.select(["id", "row", "h1", "h2"]).filter(pa.array((counts >= min_docs) & (part.column("id").to_numpy() != keepers)))
 
-    gone = both.mapInArrow(probe, "id long, h1 long, h2 long").distinct()
-    gone = gone.groupBy("id").agg(F.collect_list(F.struct("h1", "h2")).alias("__gone")).withColumnRenamed("id", "__id")
-    joined = docs.join(gone, F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)) == F.col("__id"), "left").drop("__id")
+    gone = both.mapInArrow(lean(probe), "id long, row long, h1 long, h2 long").distinct()
+    gone = gone.groupBy(F.col("id").alias("__id"), F.col("row").alias("__row")).agg(F.collect_list(F.struct("h1", "h2")).alias("__gone"))  # a text's lines at most
+    same = (F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)) == F.col("__id")) & (F.xxhash64(text) == F.col("__row"))
+    joined = docs.join(gone, same, "left").drop("__id", "__row")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -268,13 +271,13 @@ def _probe_in_shards(docs: DataFrame, index: DataFrame, doc_id: str, text: str,
             hashes = [line_hashes(x.as_py(), min_chars) for x in batch.column(batch.schema.names.index(text))]
             yield _cut(batch, text, ["n_lines", "n_dropped"], hashes, dropped)
 
-    return joined.mapInArrow(cut, with_columns(docs, f"{text} string, n_lines long, n_dropped long"))
+    return joined.mapInArrow(lean(cut), with_columns(docs, f"{text} string, n_lines long, n_dropped long"))
 
 
 def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_docs: int = 3, min_chars: int = 20, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """``docs`` with the lines dropped that at least ``min_docs`` documents hold, except in the
     one with the largest id, and with n_lines (before) and n_dropped."""
-    index = build_index(count_lines(docs, doc_id, text, min_chars))
+    index = build_index(count_lines(docs, doc_id, text, min_chars), min_docs)
     size = index.select(F.coalesce(F.sum(F.length("index")), F.lit(0))).first()[0]
     probe = _probe_with_copies if size <= broadcast_bytes else _probe_in_shards
     return probe(docs, index, doc_id, text, min_docs, min_chars)
