@@ -14,6 +14,7 @@ clashing or not, play no part.
 from __future__ import annotations
 
 import heapq
+import json
 import os
 import re
 import zlib
@@ -28,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import BROADCAST_BYTES, saved
+from .shared import BROADCAST_BYTES, lean, saved
 
 CACHED_WORDS, CACHED_CHARS, PORTION_BYTES = 300_000, 48, 6 << 20
 #: A character that a tokenizer gives an id of its own; words are joined by it to be encoded together.
@@ -39,9 +40,23 @@ PLAIN = re.compile("[!-~¡-ÿ]{1,48}")
 # the byte alphabet of such vocabularies: printable Latin-1 bytes are themselves, the others follow 255
 _OTHERS = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255)]
 ALPHABET = {b: chr(256 + i) for i, b in enumerate(_OTHERS)}
+#: What these rules hold for: the tokenizer file's own normaliser and splitting, as it states them.
+#: A file that states others is used on whole texts.
+NORMALIZER = [("NFC", None), ("Replace", {"Regex": "\\s+"}), ("Lowercase", None)]
+SPLIT = {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}
 PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[A-Za-zªµºÀ-ÖØ-öø-ÿ]+|[0-9²³¹¼½¾]|[^A-Za-zªµºÀ-ÖØ-öø-ÿ0-9²³¹¼½¾]+")
 
 
+def splits_by_word(rules: dict) -> bool:
+    """Whether a tokenizer's file states the normaliser and splitting that ``PARTS`` stands for."""
+    try:
+        steps = [(x["type"], x.get("pattern")) for x in rules["normalizer"]["normalizers"]]
+        first, second = rules["pre_tokenizer"]["pretokenizers"]
+        return steps == NORMALIZER and first["pattern"] == SPLIT and first["behavior"] == "Removed" and first["invert"] and second["type"] == "ByteLevel" and not second["add_prefix_space"]
+    except (KeyError, TypeError, ValueError):
+        return False
+
+
 class WordEncoder:
     """Ids of whole texts by a tokenizer that drops white space: words between spaces are
     encoded alone and remembered, which gives the same ids as the text at once. What is
@@ -53,6 +68,7 @@ class WordEncoder:
 
         self.tokenizer, self.known, self.parts = Tokenizer.from_file(path), {}, {}
         self.mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids
+        self.by_word = splits_by_word(json.loads(self.tokenizer.to_str()))
 
     def _alone(self, words: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
@@ -99,6 +115,8 @@ class WordEncoder:
 
     def __call__(self, texts: pa.Array) -> list[np.ndarray]:
         """The ids of each text. Words are split and numbered by Arrow; Python sees each distinct one once."""
+        if not self.by_word:
+            return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]
         split = pc.ascii_split_whitespace(texts)
         numbered = split.flatten().dictionary_encode()
         words = numbered.dictionary.to_pylist()
@@ -155,7 +173,7 @@ def cut_pieces(docs: DataFrame, tokenizer_path: str, seq_len: int, end_id: int,
                     names=["doc_id", "start", "length", "doc_tokens", "task", "nth", "ids"],
                 )
 
-    return docs.select(F.col(doc_id).cast("long"), F.col(text)).mapInArrow(cut, "doc_id long, start long, length long, doc_tokens long, task int, nth long, ids binary")
+    return docs.select(F.col(doc_id).cast("long"), F.col(text)).mapInArrow(lean(cut), "doc_id long, start long, length long, doc_tokens long, task int, nth long, ids binary")
 
 
 def shortest_pack_first(histogram: dict[int, int], seq_len: int) -> list[tuple[int, tuple[tuple[int, int], ...]]]:
@@ -217,7 +235,7 @@ def pack(docs: DataFrame, tokenizer_path: str, seq_len: int = 2048, end_id: int
     # at most a few runs for each of seq_len lengths: patterns split and open once a length
     table = {k: tuple(np.array(c, np.int64) for c in zip(*sorted(v))) for k, v in runs.items()}
     held = spark.sparkContext.broadcast(table)
-    if before.count() * 32 <= broadcast_bytes:
+    if before.count() * 128 <= broadcast_bytes:
         before = F.broadcast(before)
 
     def place(length: pd.Series, rank: pd.Series) -> pd.DataFrame:
