@@ -122,6 +122,44 @@ def test_cross_polytope_recall(spark, empty):
     assert cross_polytope.nearest(none, F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_cross_polytope_other_lengths_scales_and_columns(spark):
+    """Each length by itself; huge and tiny components; an id that repeats; clashing columns; probes in order of their sums."""
+    r = np.random.default_rng(3)
+    rows = [(i, [float(v) * 10.0 ** (200 * (i % 3) - 200) for v in r.normal(size=8 if i % 2 else 5)]) for i in range(40)]
+    rows += [(2, rows[4][1]), (40, [1e-310, 0.0, 0.0, 0.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").selectExpr("*", "'x' AS id", "'x' AS v", "'x' AS query", "'x' AS key", "1 AS dim")
+    got = defaultdict(list)
+    for q in cross_polytope.nearest(df, F.col("vec_id") < 6).orderBy("query_id", "rank").collect():
+        got[q.query_id].append((q.vec_id, q.score))
+    own = {i: min(v for j, v in rows if j == i) for i in range(6)}
+    for i, v in own.items():
+        unit = lambda x: np.array(x) / np.abs(x).max() / np.linalg.norm(np.array(x) / np.abs(x).max())
+        best = sorted({(-round(float(unit(v) @ unit(w)), 9), j) for j, w in rows if j != i and len(w) == len(v)})[:5]
+        assert [j for j, _ in got[i]] == [j for _, j in best] and np.allclose([s for _, s in got[i]], [-s for s, _ in best])
+    hashes, x = cross_polytope.Hashes(6, 2, 1), r.normal(size=(4, 6))
+    both = [np.stack([y, -y], 2).reshape(4, -1) for y in hashes.turned(x, 0)]
+    keys = hashes.probes(x, 20)[:, 0]
+    for row in range(4):
+        total = both[0][row][:, None] + both[1][row][None]
+        best = np.argsort(-total, axis=None, kind="stable")[:20]
+        assert set(keys[row]) == set(hashes.key(0, [best // 16, best % 16]))
+    assert (hashes.cells(x)[:, 0] == keys[:, 0]).all()
+
+
+def test_cross_polytope_ranks_a_tenth(spark):
+    table = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    vectors = table.select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
+    asked, n = vectors.where("id % 10 = 0"), vectors.count()
+    pairs = cross_polytope.candidates(vectors, asked, {64: cross_polytope.plan_for(n, 64)}, cross_polytope.TABLES)
+    assert pairs.count() <= 0.1 * n * asked.count()
+    x = {r.id: np.array(r.v) / np.linalg.norm(r.v) for r in vectors.collect()}
+    hit = 0
+    for r in cross_polytope.nearest(table, F.col("vec_id") % 10 == 0).groupBy("query_id").agg(F.collect_list("vec_id").alias("ids")).collect():
+        best = sorted((-float(x[r.query_id] @ v), i) for i, v in x.items() if i != r.query_id)[:5]
+        hit += len({i for _, i in best} & set(r.ids))
+    assert hit >= 0.9 * 5 * asked.count()
+
+
 @pytest.mark.parametrize("dim", [64, 300])
 def test_cross_polytope_fills_up_small_tables(spark, dim):
     r = np.random.default_rng(2)
@@ -182,6 +220,17 @@ def test_packing_pads_little_and_joins_sequences(docs):
     assert used == histogram and total / (2048 * sum(c for c, _ in patterns)) > 0.98
 
 
+def test_word_rule_is_bound_to_the_file():
+    import json
+
+    from tokenizers import Tokenizer
+
+    rules = json.loads(Tokenizer.from_file(queries.TOKENIZER).to_str())
+    assert hist_pack.splits_by_word(rules)
+    rules["normalizer"] = None
+    assert not hist_pack.splits_by_word(rules)
+
+
 # ---- 4
 def test_kd_shards(docs, empty, spark):
     out = kd_shards.shard_documents(docs, 4, columns=("doc_id", "text", "key")).collect()
@@ -192,7 +241,7 @@ def test_kd_shards(docs, empty, spark):
         assert r["size"] == len(data) + 1 and r.text_crc32 == zlib.crc32(data)
         by_text[r.text].add(r.shard)
         slots[r.shard].append(r.slot)
-    assert all(len(s) == 1 for s in by_text.values())
+    assert all(len(s) == 1 for s in by_text.values()) and by_text[None] == by_text[""]
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
     assert kd_shards.shard_documents(empty, 4).count() == 0
     real = kd_shards.shard_documents(spark.read.parquet(f"{SF}/documents.parquet"), 8, columns=("doc_id",))
@@ -203,6 +252,50 @@ def test_kd_shards(docs, empty, spark):
     assert not re.search("Python|Arrow|Pandas", plan)
 
 
+def brute_kd(points, n_shards):
+    """{group: shard} of (group, bytes, coordinates): halves at the weighted median of the widest coordinate."""
+    out = {}
+
+    def split(own, lo, hi):
+        if hi - lo == 1 or not own:
+            out.update((g, lo) for g, _, _ in own)
+            return
+        widths = [max(c[i] for _, _, c in own) - min(c[i] for _, _, c in own) for i in range(len(own[0][2]))]
+        axis = widths.index(max(widths))
+        own = sorted(own, key=lambda p: p[2][axis])
+        half = (hi - lo) // 2
+        goal, done, at = sum(b for _, b, _ in own) * half / (hi - lo), 0, 0
+        while at < len(own) - 1 and done + own[at][1] < goal:
+            done += own[at][1]
+            at += 1
+        at += done + own[at][1] - goal <= goal - done
+        split(own[:at], lo, lo + half)
+        split(own[at:], lo + half, hi)
+
+    split(points, 0, n_shards)
+    return out
+
+
+def test_kd_tree_against_brute_force(docs, spark):
+    r = random.Random(8)
+    rows = [(i, r.randint(1, 5000), 1, float(r.randint(0, 3)), r.random() * 100) for i in range(400)]
+    groups = spark.createDataFrame(rows, "group_id long, bytes long, rows long, d0 double, d1 double")
+    points = [(x.group_id, x.bytes, (x.c0, x.c1)) for x in kd_shards._spread(groups, ["d0", "d1"]).collect()]
+    for n in (1, 3, 8):
+        assert {x.group_id: x.shard for x in kd_shards.kd_tree(groups, ["d0", "d1"], n).collect()} == brute_kd(points, n)
+
+
+def test_kd_shards_by_target_bytes(spark):
+    table = spark.read.parquet(f"{SF}/documents.parquet").where("length(text) < 4000")
+    total, largest = table.agg(F.sum(F.octet_length("text") + 1), F.max(F.octet_length("text") + 1)).first()
+    out = kd_shards.shard_documents(table, target_bytes=total // 50, columns=("doc_id",))
+    sizes = [x.s for x in out.groupBy("shard").agg(F.sum("size").alias("s")).collect()]
+    assert len(sizes) in (50, 51) and max(sizes) <= total / len(sizes) + 4 * largest
+    many = spark.range(20_000).select(F.col("id").alias("doc_id"), F.sha2(F.col("id").cast("string"), 256).alias("text"))
+    wide = kd_shards.shard_documents(many, target_bytes=20_000 * 65 // 200, columns=("doc_id",)).groupBy("shard").agg(F.sum("size").alias("s")).collect()
+    assert len(wide) == 200 and max(x.s for x in wide) <= 1.05 * 20_000 * 65 / 200
+
+
 # ---- 5
 RULES = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
@@ -234,6 +327,67 @@ def test_pii_base_spans():
     assert not crf_pii.luhn("4425414259157785") and crf_pii.luhn("4425414259157784")
 
 
+#: Lines that the field has not seen.
+HELD_OUT = """
+please mail {{email|nora at webhost dot net}} before noon
+my new address is {{email|paul.b (at) library (dot) org}} now
+{{email|sven [at] verein [dot] de}} schreibt dir
+send the form to {{email|office at school dot example dot org}} soon
+contact {{email|tina (at) studio.com}} today
+reach me: {{email|omar [at] clinic.org}} please
+write to {{email|luis at correo.es}} now
+ask {{email|k.hahn at uni dot de}} about it
+call {{phone|(408) 555-1834}} today
+phone {{phone|702-555-9911}} at night
+ring {{phone|303.555.4477}} or visit
+tel. {{phone|(030) 5550 1234}} bitte
+both {{phone|202-555-0101}} and {{phone|(617) 555-8822}} work
+we met at the station at 9 and left at 11
+chapter 7, pages 101-134 and table 5
+it cost 2,450.50 euros in 2021
+release 3.4.5 build 9001 of the tool
+the dot on the screen is red at night
+between 2001-2005 and on 2020-06-01
+read more at example.org tomorrow
+room 14 and room 208 at noon
+see figure (2) and equation (17)
+""".strip().split("\n")
+
+
+def test_pii_field_held_out():
+    field, found, wanted, right = crf_pii.train(), 0, 0, 0
+    for text, spans in map(crf_pii.parse_labelled, HELD_OUT):
+        base = crf_pii.base_spans(text)
+        got = set(base) | set(crf_pii.added_spans([text], [base], field)[0])
+        found, wanted, right = found + len(got), wanted + len(spans), right + len(got & set(spans))
+    assert right >= 0.9 * wanted and right >= 0.9 * found, (right, wanted, found)
+
+
+def test_pii_viterbi_against_enumeration():
+    import itertools
+
+    field, r = crf_pii.train(), np.random.default_rng(3)
+    field.STEPS = 2  # windows that are carried on
+    chains = [r.integers(1, len(field.codes) + 1, n).astype(np.int32) for n in (1, 2, 3, 4, 4)]
+    move = np.where(field.allowed, field.move, -1e9)
+    for chain, path in zip(chains, field.decode(chains)):
+        emit = field.emit[field.features(chain[None])[0]].sum(1)
+
+        def score(y, emit=emit):
+            return field.first[y[0]] + (0 if field.start[y[0]] else -1e9) + sum(emit[i, v] for i, v in enumerate(y)) + sum(move[a, b] for a, b in zip(y, y[1:]))
+
+        assert np.isclose(score(list(path)), max(score(y) for y in itertools.product(range(len(field.labels)), repeat=len(chain))))
+
+
+def test_pii_long_runs(spark):
+    zeros = "0" * 5_000 + "1.2.3.4"
+    assert crf_pii.base_spans(zeros) == [("ip", 0, len(zeros))]
+    texts = [zeros, "0123456789" * 1_000_000, "1 2-" * 20_000, "a." * 100_000 + "@" + "b." * 100_000, "1.1.1.1." * 5_000]
+    out = crf_pii.find_pii(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)).orderBy("doc_id").collect()
+    assert out[0].base_spans == f"ip:0:{len(zeros)}" and out[1].spans == "" and out[2].base_spans == ""
+    assert out[3].base_spans == f"email:0:{len(texts[3]) - 1}"
+
+
 def test_pii_field_without_digits_or_dots_spelled():
     field = crf_pii.train()
     seen = lambda x: [(k, x[a:b]) for k, a, b in crf_pii.added_spans([x], [crf_pii.base_spans(x)], field)[0]]
@@ -253,7 +407,7 @@ def test_pii_field_adds_spans(docs, empty, spark):
     for line in crf_pii.LABELLED:
         text, spans = crf_pii.parse_labelled(line)
         at = crf_pii.tokens(text)
-        path = field.decode([field.rows(crf_pii.shapes(text, at))])[0]
+        path = field.decode([field.chain(text)[0]])[0]
         gold = ["O"] * len(at)
         for kind, a, b in spans:
             own = [i for i, (s, e) in enumerate(at) if s >= a and e <= b]
@@ -354,6 +508,16 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc_index.round_trip(none).count() == 0
 
 
+def test_warc_many_keepers_lookups_and_clashing_columns(spark, monkeypatch):
+    rows = [(i, f"http://h{i % 3}.org/{i}", "z" * 2_000 if i % 2 else f"{i}" * 600) for i in range(200)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "'x' AS digest", "'x' AS keeper", "'x' AS payload", "1 AS salt", "'x' AS archive")
+    want = {r.page_id: (r.record_type, r.refers_to, r.payload_digest) for r in warc_index.round_trip(pages).collect()}
+    assert want[199][0] == "response" and want[197][:2] == ("revisit", 199) and len(want) == 200
+    for name, value in (("KEEPER_BYTES", 1 << 40), ("LOOKUPS_PER_TASK", 3), ("LINES_PER_PART", 20)):
+        monkeypatch.setattr(warc_index, name, value)
+    assert {r.page_id: (r.record_type, r.refers_to, r.payload_digest) for r in warc_index.round_trip(pages).collect()} == want
+
+
 # ---- 8
 @pytest.mark.parametrize("parts", [1, 4, None])
 def test_syncmers_with_next(docs, empty, parts):
@@ -400,6 +564,25 @@ def test_syncmers_find_a_short_passage_in_long_texts():
             assert all((p == q).all() for p, q in zip(syncmers.read(syncmers.written(x)), x))
 
 
+def test_closed_syncmer_rule():
+    """By the definition: an s-mer hash depends on its s code points alone; a k-mer is chosen if the least of its
+    k - s + 1 is at an edge; an anchor's hash depends on its k-mer alone."""
+    r = random.Random(4)
+    text = "".join(r.choice("abc dé漢\U0001F600") for _ in range(900))
+    text = text + text[100:400] + "aaaa" * 30
+    k, s = syncmers.K, syncmers.S
+    one = lambda x: int(syncmers.smer_hashes(np.array([ord(c) for c in x], np.uint32))[0])
+    hashes = [one(text[i : i + s]) for i in range(len(text) - s + 1)]
+    own, at = syncmers.anchors(text)
+    windows = [hashes[i : i + k - s + 1] for i in range(len(text) - k + 1)]
+    assert at.tolist() == [i for i, w in enumerate(windows) if min(w) in (w[0], w[-1])]
+    seen = {}
+    for h, i in zip(own.tolist(), at.tolist()):
+        assert seen.setdefault(text[i : i + k], h) == h
+        assert syncmers.anchors(text[i : i + k])[0].tolist() == [h]
+    assert len(set(seen.values())) == len(seen)
+
+
 def brute_matched(a, b):
     """Anchors of a that match one of b at the same shift as an anchor next to them does."""
     links = lambda p: {(p[0][i], p[0][i + 1], p[1][i + 1] - p[1][i]) for i in range(len(p[0]) - 1)}
@@ -435,6 +618,25 @@ def test_quality_held_out(spark, docs, empty):
     assert {r.score for r in fm_quality.score(docs, none).collect()} == {0.5}
 
 
+def test_quality_pairs_earn_over_linear(spark):
+    """Labels by an interaction: linear weights alone cannot learn it."""
+    r = np.random.default_rng(1)
+    x = np.concatenate([np.ones((3000, 1)), r.integers(0, 2, (3000, 6))], axis=1).astype(np.float32)
+    y = (x[:, 1] == x[:, 2]).astype(np.float64)
+    right = [((fm_quality.fit(x[:2000], y[:2000], rank=n).score(x[2000:]) >= 0.5) == y[2000:]).mean() for n in (0, fm_quality.RANK)]
+    assert right[0] < 0.65 and right[1] > 0.95
+
+
+def test_quality_metadata(spark, docs):
+    rows = [(i, "same words here", float(10 ** (5 * (i % 2)))) for i in range(60)] + [(60, "x", None), (61, None, float("nan"))]
+    table = spark.createDataFrame(rows, "doc_id long, text string, n_chars double")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    machine = fm_quality.train(table, labels, metadata=("n_chars",))
+    out = {r.doc_id: r for r in fm_quality.score(table, machine).collect()}
+    assert all(out[i].predicted == i % 2 for i in range(60)) and 0 <= out[60].score <= 1 and 0 <= out[61].score <= 1
+    assert fm_quality.score(table, machine).columns == [*table.columns, "score", "predicted"]
+
+
 def test_factorisation_machine_identity():
     r = np.random.default_rng(0)
     m = fm_quality.Machine(0.3, r.normal(size=7), r.normal(size=(7, 3)))
@@ -463,7 +665,7 @@ def test_mix(spark, docs, empty):
     for s, goal in zip(names, want):
         assert np.isclose(by[s][0]["target"], goal) and abs(sum(r["taken"] for r in by[s]) - goal) <= 0.02 * goal
         ratio = goal / by[s][0]["source_size"]
-        assert abs(sum(r["copies"] for r in by[s]) - ratio * len(by[s])) <= 0.25 * ratio * len(by[s])
+        assert abs(sum(r["copies"] for r in by[s]) - ratio * len(by[s])) <= 3
     again = {r.doc_id: r.copies for r in cube_mix.mix_sources(table.repartition(7)).collect()}
     assert again == {r["doc_id"]: r["copies"] for r in out}
     own = cube_mix.mix_sources(docs)
