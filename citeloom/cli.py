@@ -47,12 +47,18 @@ def main(argv: list[str] | None = None) -> int:
                 return 3
             sinks.suggestions(claims, works, args.style).write.mode("overwrite").json(args.out)
             return 0
-        refs, _ = files.read(spark, args.input)
+        refs, cited = files.read(spark, args.input)
         if refs.isEmpty():
             return 3
         results = verify.audit(refs, works, table(args.dois, "doi string"), table(args.urls, "url string, resolves boolean"), args.strictness, args.this_year, args.use_scholarly)
-        print(sinks.write_all(results, args.style, args.out, sinks.formats_for(args.input, args.formats)))
-        verify.tier_counts(results).show(truncate=False)
+        checks = {"duplicates": verify.duplicates(results)}
+        if not cited.isEmpty():
+            checks |= {"orphans": intext.orphans(cited, refs), "unused": intext.unused(cited, refs)}
+        print(sinks.write_all(results, args.style, args.out, sinks.formats_for(args.input, args.formats), **checks))
+        done = spark.read.parquet(f"{args.out}/results")
+        verify.tier_counts(done).show(truncate=False)
+        none = done.select("doc_id").limit(0)
+        sinks.counts(done, checks.get("orphans", none), checks.get("unused", none), checks["duplicates"]).show(truncate=False)
         return 0
     except AnalysisException as e:
         print(e, file=sys.stderr)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import cache
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import text as t
@@ -24,15 +24,9 @@ def _common_subsequence(a: str, b: str) -> int:
     return len(a) - row.bit_count()
 
 
-def token_set_score(a: str, b: str) -> float:
+def token_set_score(both: str, p: str, q: str) -> float:
     """0 to 100: the best insertion-deletion similarity among the common tokens and the two sides
-    with them; 100 where one side's tokens contain the other's."""
-    x, y = set(a.split()), set(b.split())
-    if not x or not y:
-        return 0.0
-    both, p, q = " ".join(sorted(x & y)), " ".join(sorted(x - y)), " ".join(sorted(y - x))
-    if both and (not p or not q):
-        return 100.0
+    with them; arguments are the common tokens and those of each side alone, sorted."""
     joint = 1 if both else 0
     left, right = len(both) + joint + len(p), len(both) + joint + len(q)
     out = 100 * 2 * (len(both) + joint + _common_subsequence(p, q)) / (left + right)
@@ -43,19 +37,41 @@ def token_set_score(a: str, b: str) -> float:
 
 @cache
 def _token_set_ratio():
-    def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([token_set_score(x or "", y or "") for x, y in zip(a, b)], dtype="float64")
+    def ratio(both: pd.Series, p: pd.Series, q: pd.Series) -> pd.Series:
+        seen: dict[tuple, float] = {}
 
-    return F.pandas_udf(ratio, "double")
+        def one(*sides) -> float | None:
+            if sides[1] is None:
+                return None
+            if sides not in seen:
+                seen[sides] = token_set_score(*sides)
+            return seen[sides]
 
+        return pd.Series([one(*x) for x in zip(both, p, q)], dtype="float64")
 
-def token_set_ratio(a: Column, b: Column) -> Column:
-    """Of normalised strings, rounded to six places. Equal strings, the most frequent case, never reach Python's loop."""
-    return F.when((a == b) & (a != ""), F.lit(100.0)).otherwise(F.round(_token_set_ratio()(a, b), 6))
+    return F.pandas_udf(ratio, "double")
 
 
-def title_ratio(a: Column, b: Column) -> Column:
-    return token_set_ratio(t.normalize_title(a), t.normalize_title(b))
+def with_ratio(rows: DataFrame, name: str, a: Column, b: Column) -> DataFrame:
+    """``rows`` with the token-set ratio of two arrays of tokens, rounded to six places. The sides are columns of
+    their own on the way, so that nothing is worked out twice. What needs no subsequence is decided by built-in
+    functions: no tokens on a side (0), equal sides or one that contains the other (100); for those Python is
+    given nulls. Pairs that repeat in a batch are scored once."""
+    tokens = lambda c: F.array_sort(F.array_distinct(F.coalesce(c, F.array().cast("array<string>"))))
+    rows = rows.withColumns({"__x": tokens(a), "__y": tokens(b)})
+    x, y, both, p, q = (F.col(c) for c in ("__x", "__y", "__both", "__p", "__q"))
+    join = lambda c: F.array_join(c, " ")
+    rows = rows.withColumns({"__both": join(F.array_intersect(x, y)), "__p": join(F.array_except(x, y)), "__q": join(F.array_except(y, x)), "__none": (F.size(x) == 0) | (F.size(y) == 0)})
+    contained = (both != "") & ((p == "") | (q == ""))
+    rows = rows.withColumn("__open", ~F.col("__none") & ~contained)
+    given = lambda c: F.when(F.col("__open"), c)
+    score = F.when(F.col("__none"), 0.0).when(~F.col("__open"), 100.0).otherwise(F.round(F.col("__score"), 6))
+    rows = rows.withColumn("__score", _token_set_ratio()(given(both), given(p), given(q)))
+    return rows.withColumn(name, score).drop("__x", "__y", "__both", "__p", "__q", "__none", "__open", "__score")
+
+
+def with_title_ratio(rows: DataFrame, name: str, a: Column, b: Column) -> DataFrame:
+    return with_ratio(rows, name, t.title_tokens(a), t.title_tokens(b))
 
 
 def surname_overlap(a: Column, b: Column) -> Column:

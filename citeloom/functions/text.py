@@ -110,11 +110,15 @@ def normalize_surname(column: Column) -> Column:
     return F.regexp_replace(_folded(column), "[^a-z]+", "")
 
 
-def normalize_journal(column: Column) -> Column:
+def journal_words(column: Column) -> Column:
     words = F.create_map(*(F.lit(x) for kv in JOURNAL_WORDS.items() for x in kv))
     found = F.regexp_extract_all(_folded(column), F.lit(r"([a-z]+\.?|[0-9]+)"), F.lit(1))
     spelled = F.transform(found, lambda t: F.coalesce(F.try_element_at(words, t), F.rtrim(t, F.lit("."))))
-    return F.array_join(F.filter(spelled, lambda t: (t != "") & ~t.isin(STOP_WORDS)), " ")
+    return F.filter(spelled, lambda t: (t != "") & ~t.isin(STOP_WORDS))
+
+
+def normalize_journal(column: Column) -> Column:
+    return F.array_join(journal_words(column), " ")
 
 
 def journal_tokens(column: Column) -> Column:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import similarity as sim
 from ..functions import text as t
 from ..schema import SOURCES
+from ..tables import kept
 
 KEY = ["doc_id", "ref_idx"]
 WORK_FIELDS = ["source", "source_id", "source_url", "authors", "title", "year", "container_title", "volume", "issue", "pages", "publisher", "doi", "arxiv_id", "pmid", "type"]
@@ -58,13 +59,14 @@ def by_id(refs: DataFrame, works: DataFrame) -> DataFrame:
 def decisive(refs: DataFrame, found: DataFrame) -> DataFrame:
     """Keys of references that need no search: two records by identifier, one with the cited DOI and title."""
     both = found.join(refs.select(*KEY, "doi", "title"), KEY)
-    strong = sim.same_doi(F.col("doi"), F.col("w.doi")) & ~t.missing(F.col("title")) & (sim.title_ratio(F.col("w.title"), F.col("title")) >= DECISIVE_TITLE)
+    both = sim.with_title_ratio(both, "likeness", F.col("w.title"), F.col("title"))
+    strong = sim.same_doi(F.col("doi"), F.col("w.doi")) & ~t.missing(F.col("title")) & (F.col("likeness") >= DECISIVE_TITLE)
     return both.groupBy(*KEY).agg(F.max(strong).alias("strong"), F.count("*").alias("n")).where("strong AND n >= 2").select(*KEY)
 
 
 def title_search(refs: DataFrame, works: DataFrame, per_source: int = PER_SOURCE, terms: int | None = None) -> DataFrame:
     """Up to ``per_source`` records of each source that share the most terms with a title, with the source's own
-    conditions; ties by distance in years, then source id. With w and shared. ``terms`` narrows each title to that many rarest terms.
+    conditions; ties by common surnames (CrossRef), distance in years, then source id. With w and shared. ``terms`` narrows each title to that many rarest terms.
 
     Exact: where the last of a source's best so far shares m of n terms, a record without any of the n - m + 1 rarest
     ones cannot be among them, so only those are looked up."""
@@ -75,7 +77,7 @@ def title_search(refs: DataFrame, works: DataFrame, per_source: int = PER_SOURCE
     common = indexed.groupBy("term").agg(F.count("*").alias("df"))
     about = [*KEY, "year", "names", "wanted", "no_arxiv"]
     asked = refs.where(~t.missing(F.col("title")))
-    asked = asked.select(*KEY, "year", F.slice(t.surnames(F.col("authors")), 1, 2).alias("names"), t.normalize_title(F.col("title")).alias("wanted"), t.missing(F.col("arxiv_id")).alias("no_arxiv"), F.explode(F.array_distinct(t.title_tokens(F.col("title")))).alias("term"))
+    asked = asked.select(*KEY, "year", F.slice(t.surnames(F.col("authors")), 1, 3).alias("names"), t.normalize_title(F.col("title")).alias("wanted"), t.missing(F.col("arxiv_id")).alias("no_arxiv"), F.explode(F.array_distinct(t.title_tokens(F.col("title")))).alias("term"))
     asked = asked.join(common, "term").groupBy(*about).agg(F.sort_array(F.collect_list(F.struct("df", "term"))).alias("terms")).withColumn("terms", F.col("terms.term"))
     if terms is not None:
         asked = asked.withColumn("terms", F.slice("terms", 1, terms))
@@ -86,14 +88,15 @@ def title_search(refs: DataFrame, works: DataFrame, per_source: int = PER_SOURCE
     inner = F.array_intersect("terms", F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0))))
     asked = asked.withColumn("looked", F.when(arxiv, F.when(F.size(inner) > 0, F.slice(inner, 1, 1)).otherwise(F.col("terms"))).otherwise(F.slice("terms", 1, SEARCH_TERMS)))
     asked = asked.withColumn("order", F.when(arxiv, F.col("looked")).otherwise(F.col("terms")))
-    hits = _hits(asked, indexed)
+    asked = kept(asked, "asked")
+    hits = kept(_hits(asked, indexed), "hits")
     if terms is None or terms > SEARCH_TERMS:
         last = F.row_number().over(Window.partitionBy(*KEY, "source").orderBy(F.desc("shared")))
         least = hits.withColumn("n", last).where(F.col("n") == F.col("limit")).select(*KEY, "source", F.col("shared").alias("least"))
         more = F.size("terms") - F.greatest(F.coalesce("least", F.lit(1)), F.lit(1)) + 1 - SEARCH_TERMS
         rest = asked.where(~arxiv & (F.size("terms") > SEARCH_TERMS)).join(least, [*KEY, "source"], "left").withColumn("more", more).where("more > 0")
         hits = hits.unionByName(_hits(rest.withColumn("looked", F.slice("terms", F.lit(SEARCH_TERMS + 1), F.col("more"))), indexed))
-    place = F.row_number().over(Window.partitionBy(*KEY, "source").orderBy(F.desc("shared"), "apart", "source_id"))
+    place = F.row_number().over(Window.partitionBy(*KEY, "source").orderBy(F.desc("shared"), F.desc("friends"), "apart", "source_id"))
     found = hits.withColumn("place", place).where(F.col("place") <= F.col("limit")).select(*KEY, "source", "source_id", "shared")
     records = works.select("source", "source_id", F.struct(*WORK_FIELDS).alias("w"))
     return found.join(records, ["source", "source_id"]).select(*KEY, "w", F.col("shared").cast("long").alias("shared"))
@@ -106,7 +109,7 @@ def _hits(asked: DataFrame, indexed: DataFrame) -> DataFrame:
     first = F.try_element_at(names, F.lit(1))
     fits = (
         F.when(F.col("source") == "pubmed", first.isNull() | F.array_contains(known, first))
-        .when(F.col("source") == "arxiv", F.col("no_arxiv") & F.contains("phrase", "wanted") & (F.size(F.array_except(names, known)) == 0))
+        .when(F.col("source") == "arxiv", F.col("no_arxiv") & F.contains("phrase", "wanted") & (F.size(F.array_except(F.slice(names, 1, 2), known)) == 0))
         .otherwise(True)
     )
     rows = asked.withColumn("term", F.explode("looked"))
@@ -114,14 +117,16 @@ def _hits(asked: DataFrame, indexed: DataFrame) -> DataFrame:
     same = rows.where(dated).join(indexed.withColumn("year", w_year), ["source", "term", "year"])
     hits = rows.where(~dated).join(indexed, ["source", "term"]).unionByName(same)
     hits = hits.where(F.coalesce(fits, F.lit(False)) & (F.try_element_at(F.array_intersect("order", "w_terms"), F.lit(1)) == F.col("term")))
-    hits = hits.withColumns({"shared": F.size(F.array_intersect("terms", "w_terms")), "apart": F.abs(F.coalesce(year - w_year, F.lit(99)))})
-    return hits.groupBy(*KEY, "source", "source_id", "limit").agg(F.max("shared").alias("shared"), F.min("apart").alias("apart"))
+    # CrossRef is asked with the first three surnames, which rank and do not exclude
+    friends = F.when(F.col("source") == "crossref", F.size(F.array_intersect(names, known))).otherwise(0)
+    hits = hits.withColumns({"shared": F.size(F.array_intersect("terms", "w_terms")), "friends": friends, "apart": F.abs(F.coalesce(year - w_year, F.lit(99)))})
+    return hits.groupBy(*KEY, "source", "source_id", "limit").agg(F.max("shared").alias("shared"), F.max("friends").alias("friends"), F.min("apart").alias("apart"))
 
 
 def candidates(refs: DataFrame, works: DataFrame, use_scholarly: bool = False, skip_search: bool = False) -> DataFrame:
     """By identifier, and by title for references that those do not decide; each record once."""
     works = works if use_scholarly else works.where("source <> 'scholarly'")
-    found = by_id(refs, works)
+    found = kept(by_id(refs, works), "by-id")
     if not skip_search:
         found = found.unionByName(title_search(refs.join(decisive(refs, found), KEY, "left_anti"), works).drop("shared"))
     return found.groupBy(*KEY, F.col("w.source").alias("s"), F.col("w.source_id").alias("i")).agg(F.first("w").alias("w")).drop("s", "i")
@@ -132,10 +137,10 @@ def scored(refs: DataFrame, found: DataFrame) -> DataFrame:
     r = {c: F.col(f"r.{c}") for c in ("authors", "title", "year", "doi")}
     w = {c: F.col(f"w.{c}") for c in ("authors", "title", "year", "doi")}
     rows = found.join(refs.select(*KEY, F.struct("authors", "title", "year", "doi").alias("r")), KEY)
-    rows = rows.withColumn("title_score", sim.title_ratio(r["title"], w["title"])).withColumn("score", sim.record_score(r, w, F.col("title_score"))).drop("r")
+    rows = sim.with_title_ratio(rows, "title_score", r["title"], w["title"]).withColumn("score", sim.record_score(r, w, F.col("title_score"))).drop("r")
     sandbox = ~t.missing(w["doi"]) & ~t.real_doi(w["doi"])
     place = F.row_number().over(Window.partitionBy(*KEY).orderBy(sandbox, F.desc("score"), source_rank(F.col("w.source")), F.col("w.source_id")))
-    return rows.withColumn("place", place.cast("int"))
+    return kept(rows.withColumn("place", place.cast("int")), "scored")
 
 
 def best(ranked: DataFrame) -> DataFrame:
@@ -147,7 +152,7 @@ def corroboration(ranked: DataFrame) -> DataFrame:
     whole = Window.partitionBy(*KEY).orderBy("place").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     rows = ranked.withColumn("best", F.first("w").over(whole))
     b, w = F.col("best"), F.col("w")
-    rows = rows.withColumn("likeness", sim.title_ratio(b["title"], w["title"]))
+    rows = sim.with_title_ratio(rows, "likeness", b["title"], w["title"])
     overlap = sim.surname_overlap(b["authors"], w["authors"])
     nameless = (F.size(F.coalesce(b["authors"], F.array().cast(f"array<{t.AUTHOR}>"))) == 0) | (F.size(F.coalesce(w["authors"], F.array().cast(f"array<{t.AUTHOR}>"))) == 0)
     names = (overlap >= HALF_OF_NAMES) | nameless
@@ -159,9 +164,9 @@ def corroboration(ranked: DataFrame) -> DataFrame:
 
 def merged(rows: DataFrame) -> DataFrame:
     """One row for each reference: canonical (the best record with gaps filled from corroborators, in order),
-    merged_from, score, sources_agreeing and corroborating (records by place)."""
+    merged_from, score, title_score, sources_agreeing and corroborating (records by place)."""
     order = F.when(F.col("corroborates"), F.col("place"))
-    aggs = [F.max_by("w", -F.col("place")).alias("b"), F.max(F.when(F.col("place") == 1, F.col("score"))).alias("score")]
+    aggs = [F.max_by("w", -F.col("place")).alias("b"), *(F.max(F.when(F.col("place") == 1, F.col(c))).alias(c) for c in ("score", "title_score"))]
     for field in FILLED:
         value = F.col(f"w.{field}")
         useful = value.isNotNull() if field == "year" else ~t.missing(value) & (t.real_doi(value) if field == "doi" else F.lit(True))
@@ -180,4 +185,4 @@ def merged(rows: DataFrame) -> DataFrame:
         values[field] = F.when(empty, F.coalesce(F.col(f"f_{field}.v"), own)).otherwise(own)
         origins.append(F.when(empty & F.col(f"f_{field}").isNotNull(), F.struct(F.lit(field).alias("key"), F.col(f"f_{field}.s").alias("value"))))
     canonical = F.struct(*(values.get(c, F.col(f"b.{c}")).alias(c) for c in WORK_FIELDS))
-    return rows.select(*KEY, "score", canonical.alias("canonical"), F.map_from_entries(F.filter(F.array(*origins), lambda x: x.isNotNull())).alias("merged_from"), "sources_agreeing", "corroborating")
+    return rows.select(*KEY, "score", "title_score", canonical.alias("canonical"), F.map_from_entries(F.filter(F.array(*origins), lambda x: x.isNotNull())).alias("merged_from"), "sources_agreeing", "corroborating")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import similarity as sim
 from ..functions import text as t
+from ..tables import kept
 from . import linkage
 from .linkage import KEY
 
@@ -156,17 +157,17 @@ def audit(refs: DataFrame, works: DataFrame, dois: DataFrame, urls: DataFrame, s
     discrepancies, style_edits, notes, merged_from, corroborating. ``dois`` (doi) are those that resolve,
     ``urls`` has (url, resolves)."""
     ranked = linkage.scored(refs, linkage.candidates(refs, works, use_scholarly, skip_search))
-    linked = linkage.merged(linkage.corroboration(ranked))
+    linked = kept(linkage.merged(linkage.corroboration(ranked)), "merged")
     known = dois.select(F.lower("doi").alias("known_doi")).distinct()
     pages = urls.groupBy(F.col("url").alias("known_url")).agg(F.max("resolves").alias("url_known"))
     rows = refs.join(linked, KEY, "left").join(known, F.lower("doi") == F.col("known_doi"), "left").join(pages, F.col("url") == F.col("known_url"), "left")
     parsed = F.struct(*(F.col(c) for c in refs.columns if c not in KEY))
     rows = rows.select(
-        *KEY, parsed.alias("parsed"), "canonical", "score", F.coalesce("sources_agreeing", F.lit(0)).alias("sources_agreeing"), "merged_from", "corroborating",
+        *KEY, parsed.alias("parsed"), "canonical", "score", "title_score", F.coalesce("sources_agreeing", F.lit(0)).alias("sources_agreeing"), "merged_from", "corroborating",
         F.when(~t.missing(F.col("doi")), F.col("known_doi").isNotNull()).alias("doi_known"), F.when(~t.missing(F.col("url")), F.coalesce("url_known", F.lit(False))).alias("url_known"),
     )
     r, c = F.col("parsed"), F.col("canonical")
-    rows = rows.withColumns({"title_score": sim.title_ratio(r["title"], c["title"]), "journal_score": sim.token_set_ratio(t.normalize_journal(r["container_title"]), t.normalize_journal(c["container_title"]))})
+    rows = sim.with_ratio(rows, "journal_score", t.journal_words(r["container_title"]), t.journal_words(c["container_title"]))
     none = "array<struct<field:string,parsed_value:string,canonical_value:string,severity:string>>"
     rows = rows.withColumn("discrepancies", F.when(c.isNotNull(), discrepancies(r, c, F.col("title_score"), F.col("journal_score"), F.col("doi_known"), this_year)).otherwise(F.array().cast(none)))
     edits = "array<struct<field:string,original:string,corrected:string,description:string>>"
@@ -191,7 +192,7 @@ def duplicates(results: DataFrame) -> DataFrame:
     rank, c1, c2 = F.col("rank"), F.col("c1"), F.col("c2")
     pairs = pairs.where((rank < 3) | ((rank == 3) & (sim.surname_overlap(c1["authors"], c2["authors"]) >= linkage.HALF_OF_NAMES)) | ((rank == 4) & (c1.isNull() | c2.isNull())))
     titles = lambda n: F.when(rank == 3, F.col(f"c{n}.title")).when(rank == 4, F.col(f"p{n}"))
-    pairs = pairs.withColumn("likeness", sim.title_ratio(titles(1), titles(2))).where((rank < 3) | (F.col("likeness") >= NAMED_TITLE))
+    pairs = sim.with_title_ratio(pairs, "likeness", titles(1), titles(2)).where((rank < 3) | (F.col("likeness") >= NAMED_TITLE))
     reason = (
         F.when(rank == 1, F.concat(F.lit("shared DOI: "), c1["doi"]))
         .when(rank == 2, F.concat(F.lit("shared "), c1["source"], F.lit(" ID: "), c1["source_id"]))

@@ -207,8 +207,16 @@ hits AS (SELECT r.doc_id, r.ref_idx, t.source, t.source_id, count(*) AS shared,
 fits AS (SELECT h.*, w.year AS w_year, CASE h.source WHEN 'openalex' THEN h.year IS NULL OR coalesce(h.year = w.year, false)
     WHEN 'pubmed' THEN (h.year IS NULL OR coalesce(h.year = w.year, false)) AND (len({surnames('h.authors')}) = 0 OR list_contains({surnames('w.authors')}, {lead_surnames('h.authors')}[1]))
     WHEN 'arxiv' THEN h.arxiv_id = '' AND contains({title('w.title')}, {title('h.title')}) AND len(list_filter({lead_surnames('h.authors')}[1:2], lambda x: NOT list_contains({surnames('w.authors')}, x))) = 0
-    ELSE true END AS fits FROM hits h JOIN works_v w ON w.source = h.source AND w.source_id = h.source_id),
-top5 AS (SELECT doc_id, ref_idx, source, source_id, shared FROM fits WHERE fits QUALIFY row_number() OVER (PARTITION BY doc_id, ref_idx, source ORDER BY shared DESC, abs(coalesce(year - w_year, 99)), source_id) <= 5)"""
+    ELSE true END AS fits, CASE h.source WHEN 'crossref' THEN len(list_filter({lead_surnames('h.authors')}[1:3], lambda x: list_contains({surnames('w.authors')}, x))) ELSE 0 END AS friends FROM hits h JOIN works_v w ON w.source = h.source AND w.source_id = h.source_id),
+top5 AS (SELECT doc_id, ref_idx, source, source_id, shared FROM fits WHERE fits QUALIFY row_number() OVER (PARTITION BY doc_id, ref_idx, source ORDER BY shared DESC, friends DESC, abs(coalesce(year - w_year, 99)), source_id) <= 5)"""
+_ALL_TERMS = _TERMS.replace(" QUALIFY row_number() OVER (PARTITION BY doc_id, ref_idx ORDER BY df, term) <= 4", "")
+#: Candidates by identifier and, where those do not decide, by title: takes the place of FOUND.
+SEARCHED = f"""{FOUND.replace("found AS", "by_id AS", 1)},{_ALL_TERMS},
+id_pairs AS (SELECT f.doc_id, f.ref_idx, r.doi <> '' AND f.w_doi <> '' AND lower(r.doi) = lower(f.w_doi) AND r.title <> '' AS same, {title('r.title')} AS nr, {title('f.w_title')} AS nw FROM by_id f JOIN refs_v r USING (doc_id, ref_idx)),
+{ratio('id_pairs', 'nr', 'nw', 'id_rated', 'id_score')},
+decided AS (SELECT doc_id, ref_idx FROM id_rated GROUP BY doc_id, ref_idx HAVING bool_or(same AND id_score >= 92) AND count(*) >= 2),
+found AS (SELECT * FROM by_id UNION SELECT t.doc_id, t.ref_idx, {W} FROM top5 t JOIN works_v w ON w.source = t.source AND w.source_id = t.source_id WHERE (t.doc_id, t.ref_idx) NOT IN (SELECT (doc_id, ref_idx) FROM decided))"""
+
 
 _LINES = """
 lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM paper_v),
@@ -226,10 +234,13 @@ named AS (SELECT doc_id, ref_idx, year, inst, CASE WHEN inst THEN {institution_k
 
 
 def oracle_sql() -> dict[str, str]:
+    from . import oracle_entries
+
     text = "regexp_extract(raw, {0}, {1})"
     year = f"TRY_CAST(coalesce(nullif({text.format(lit(chr(92) + '((1[6-9]' + chr(92) + 'd{2}|20' + chr(92) + 'd{2})' + chr(92) + 'b'), 1)}, ''), nullif({text.format(lit(r'\b(1[6-9]\d{2}|20\d{2})\s*;'), 1)}, ''), nullif({text.format(lit(r'\b(1[6-9]\d{2}|20\d{2})\b'), 1)}, '')) AS INT)"
     doi = f"lower({_DOI.format('raw')})"
     named_arxiv = text.format(lit(r"(?i)\barXiv:?\s*([a-z\-]+/\d{7}|\d{4}\.\d{4,5}(?:v\d+)?)\b"), 1)
+    ids = f"doc_id, {doi} AS doi, CASE WHEN {named_arxiv} <> '' THEN lower({named_arxiv}) ELSE {text.format(lit(r'\b(\d{4}\.\d{4,5}(?:v\d+)?)\b'), 1)} END AS arxiv_id, {text.format(lit(r'(?i)\bPMID:?\s*(\d{1,9})\b'), 1)} AS pmid, {year} AS year, CASE WHEN {doi} = '' THEN rtrim({text.format(lit(r'(https?://\S+)'), 1)}, '.,);') ELSE '' END AS url"
     host = "lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]*)', 1))"
     reputable = " OR ".join(f"ends_with({host}, '{d}') OR {host} = '{d.lstrip('.')}'" for d in words.REPUTABLE_HOSTS)
     tiers = "(VALUES ('hallucinated'), ('partial'), ('verified_with_style_edits'), ('verified_via_url'), ('verified')) AS v(confidence)"
@@ -238,12 +249,13 @@ def oracle_sql() -> dict[str, str]:
         "normalize_names": sql(f"SELECT doc_id, ref_idx, n, {surname('family')} AS surname, {institution_key('family')} AS institution_key, {institution('family')} AS institutional, upper(trim(given)[1:1]) AS initial FROM (SELECT doc_id, ref_idx, CAST(generate_subscripts(string_split(authors, ';'), 1) AS INT) AS n, split_part(unnest(string_split(authors, ';')), '|', 1) AS family, split_part(unnest(string_split(authors, ';')), '|', 2) AS given FROM refs_v)"),
         "journal_match": sql(f"SELECT doc_id, {journal('short_journal')} AS short_key, {journal('journal')} AS full_key, {abbreviates('short_journal', 'journal')} AS abbreviates, {abbreviates('journal', 'volume')} AS with_volume FROM base"),
         "reputable_hosts": f"SELECT page_id, ({reputable}) AS reputable FROM pages",
-        "extract_ids": sql(f"SELECT doc_id, {doi} AS doi, CASE WHEN {named_arxiv} <> '' THEN lower({named_arxiv}) ELSE {text.format(lit(r'\b(\d{4}\.\d{4,5}(?:v\d+)?)\b'), 1)} END AS arxiv_id, {text.format(lit(r'(?i)\bPMID:?\s*(\d{1,9})\b'), 1)} AS pmid, {year} AS year, CASE WHEN {doi} = '' THEN rtrim({text.format(lit(r'(https?://\S+)'), 1)}, '.,);') ELSE '' END AS url FROM raw_v"),
+        "extract_ids": sql(f"SELECT {ids} FROM raw_v"),
         "refs_block": sql(f"SELECT p.doc_id, {_BLOCK} AS block, {_BODY} AS body FROM paper_v p LEFT JOIN heads h USING (doc_id) LEFT JOIN ends e USING (doc_id)", _LINES),
         "surname_overlap": sql(f"SELECT r.doc_id, r.ref_idx, w.source, round({overlap('r.authors', 'w.authors')}, 6) AS overlap FROM refs_v r JOIN works_v w ON r.doi <> '' AND r.doi = w.doi"),
         "title_ratio": sql("SELECT doc_id, ref_idx, source, title_score FROM rated", SCORED),
         "id_candidates": sql("SELECT doc_id, ref_idx, source, source_id FROM found", FOUND),
         "title_search": sql("SELECT * FROM top5", _TERMS),
+        "title_search_all_terms": sql("SELECT * FROM top5", _ALL_TERMS),
         "record_scores": sql("SELECT doc_id, ref_idx, source, source_id, score, CAST(place AS INT) AS place FROM ranked", SCORED),
         "best_record": sql("SELECT doc_id, ref_idx, source, source_id, score FROM ranked WHERE place = 1", SCORED),
         "corroborators": sql("SELECT doc_id, ref_idx, source, source_id FROM corr WHERE corroborates", CORROBORATED),
@@ -267,7 +279,9 @@ def oracle_sql() -> dict[str, str]:
               LEFT JOIN merged m ON m.doc_id = a.doc_id AND m.ref_idx = a.ref_idx LEFT JOIN merged n ON n.doc_id = b.doc_id AND n.ref_idx = b.ref_idx WHERE m.doc_id IS NULL OR n.doc_id IS NULL),
             {ratio('t4', 'x', 'y', 'same4', 'ratio4')}"""),
     }
+    out |= oracle_entries.oracle_sql(f"SELECT raw, {ids} FROM raw_v")
     for strictness in ("default", "strict", "relaxed"):
         name = "audit_tier_counts" if strictness == "default" else f"audit_{strictness}"
         out[name] = sql(f"SELECT confidence, count(r.doc_id) AS n FROM {tiers} LEFT JOIN results r USING (confidence) GROUP BY confidence", results(strictness))
-    return out
+    searched = {f"{k}_with_search": v.replace(FOUND, SEARCHED) for k, v in out.items() if FOUND in v and k not in ("id_candidates",)}
+    return out | searched

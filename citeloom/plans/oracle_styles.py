@@ -74,7 +74,8 @@ p AS (SELECT *, {when('title', "rtrim(sc, '.') || '.'")} AS sentence, {when('tit
   CASE WHEN y <> '' AND vi <> '' AND pg <> '' THEN y || ';' || vi || ':' || pg || '.' WHEN y <> '' AND vi <> '' THEN y || ';' || vi || '.' WHEN y <> '' THEN y || '.' ELSE '' END AS dated FROM w)"""
 
 
-def style_sql() -> dict[str, str]:
+def expressions() -> dict[str, tuple[str, str]]:
+    """For each style the formatted reference and the citation in the text, over the rows of p."""
     article = "kind IN ('journal-article', 'posted-content')"
     ay, cy, hy = "(CASE WHEN y <> '' THEN '(' || y || ').' ELSE '(n.d.).' END)", "(CASE WHEN y <> '' THEN y ELSE 'n.d.' END)", "(CASE WHEN y <> '' THEN '(' || y || ')' ELSE '(no date)' END)"
     rest = joined(", ", when("volume", "'vol. ' || volume"), when("issue", "'no. ' || issue"), "y", when("pg", "'pp. ' || pg"))
@@ -105,10 +106,13 @@ def style_sql() -> dict[str, str]:
     shown = lambda mid, end, alone: f"(CASE WHEN len({fams}) = 0 THEN {alone} WHEN len({fams}) = 1 THEN '(' || {fams}[1] || {end} || ')' WHEN len({fams}) = 2 THEN '(' || {fams}[1] || {mid} || {fams}[2] || {end} || ')' ELSE '(' || {fams}[1] || ' et al.' || {end} || ')' END)"
     dated = shown("' & '", "', ' || (CASE WHEN y <> '' THEN y ELSE 'n.d.' END)", when("y", "'(' || y || ')'"))
     cited = {"mla": shown("' and '", "''", "''")} | dict.fromkeys(("apa", "chicago", "harvard"), dated) | dict.fromkeys(("ama", "vancouver", "ieee"), "'[7]'")
-    return {
-        f"format_{s}": sql(f"SELECT source, source_id, {tidy(f'CASE WHEN {article} THEN {a} WHEN kind = {lit(chr(98) + chr(111) + chr(111) + chr(107))} THEN {b} ELSE {o} END')} AS formatted, {cited[s]} AS cited FROM p", PIECES.lstrip(",\n"))
-        for s, (a, b, o) in bodies.items() if s in styles.SUPPORTED_STYLES
-    }
+    book = lit("book")
+    return {s: (tidy(f"CASE WHEN {article} THEN {a} WHEN kind = {book} THEN {b} ELSE {o} END"), cited[s]) for s, (a, b, o) in bodies.items()}
+
+
+def style_sql() -> dict[str, str]:
+    made = expressions()
+    return {f"format_{s}": sql(f"SELECT source, source_id, {made[s][0]} AS formatted, {made[s][1]} AS cited FROM p", PIECES.lstrip(",\n")) for s in styles.SUPPORTED_STYLES}
 
 
 _ENTRY = "(regexp_matches({0}, '^[A-Z0-9(\\[]') AND regexp_matches({0}, '\\(\\d{{4}}[a-z]?\\)|\\b(19|20)\\d{{2}}\\b') AND length({0}) > 30)"
@@ -154,6 +158,13 @@ hits AS (SELECT DISTINCT * FROM numbered UNION SELECT * FROM persons UNION SELEC
         "xcheck_matched": sql("SELECT doc_id, raw, array_to_string(list_sort(list(ref_idx)), ',') AS ref_idxs FROM hits GROUP BY doc_id, raw", ctes),
         "xcheck_orphans": sql("SELECT doc_id, pos, raw FROM citations c WHERE NOT EXISTS (SELECT 1 FROM hits h WHERE h.doc_id = c.doc_id AND h.raw = c.raw)", ctes),
         "xcheck_unused": sql("SELECT doc_id, ref_idx FROM refs_v r WHERE doc_id IN (SELECT doc_id FROM citations) AND NOT EXISTS (SELECT 1 FROM hits h WHERE h.doc_id = r.doc_id AND h.ref_idx = r.ref_idx)", ctes),
+        "xcheck_counts": sql(
+            f"""SELECT b.doc_id, coalesce(n_references, 0) AS n_references, coalesce(n_orphans, 0) AS n_orphans, coalesce(n_unused, 0) AS n_unused FROM (SELECT doc_id FROM refs_v UNION SELECT doc_id FROM lost) b
+            LEFT JOIN (SELECT doc_id, count(*) AS n_references FROM refs_v GROUP BY doc_id) USING (doc_id) LEFT JOIN (SELECT doc_id, count(*) AS n_orphans FROM lost GROUP BY doc_id) USING (doc_id) LEFT JOIN (SELECT doc_id, count(*) AS n_unused FROM idle GROUP BY doc_id) USING (doc_id)""",
+            f"""{ctes},
+            lost AS (SELECT doc_id, raw FROM citations c WHERE NOT EXISTS (SELECT 1 FROM hits h WHERE h.doc_id = c.doc_id AND h.raw = c.raw)),
+            idle AS (SELECT doc_id, ref_idx FROM refs_v r WHERE doc_id IN (SELECT doc_id FROM citations) AND NOT EXISTS (SELECT 1 FROM hits h WHERE h.doc_id = r.doc_id AND h.ref_idx = r.ref_idx))""",
+        ),
         "split_entries": sql("SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS INT) AS ref_idx, raw_text FROM found_ WHERE raw_text <> ''", split),
     }
 

@@ -12,7 +12,7 @@ from ..functions import styles
 from ..functions import text as t
 from ..operators import entries, intext, linkage, verify
 from ..sources import sinks
-from . import oracle, oracle_styles
+from . import oracle, oracle_reports, oracle_styles
 from .views import view
 
 KEY = linkage.KEY
@@ -213,6 +213,12 @@ def xcheck_unused(spark, d):
     return intext.unused(*_cited(spark, d))
 
 
+@query
+def xcheck_counts(spark, d):
+    cited, refs = _cited(spark, d)
+    return sinks.counts(refs, intext.orphans(cited, refs), intext.unused(cited, refs), refs.limit(0)).drop("n_duplicates")
+
+
 @query
 def claims(spark, d):
     return intext.claims(view(spark, d, "body_v"), text="body")
@@ -284,4 +290,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: v for k, v in (oracle.oracle_sql() | oracle_styles.style_sql() | oracle_styles.intext_sql()).items() if k in _QUERIES}
+    return {k: v for k, v in (oracle.oracle_sql() | oracle_styles.style_sql() | oracle_styles.intext_sql() | oracle_reports.oracle_sql()).items() if k in _QUERIES}

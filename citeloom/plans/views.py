@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as t
+from ..tables import kept
 
 FAMILIES = "Smith,Müller,García,O'Brien,Van Dyk,Lindström,Chen,Novak,Garcia-Lopez,Ibsen,Costa"
 GIVENS = "John,Anna Maria,Jean-Paul,K,Wei,José,Mary Ann,Ludwig,E. T.,Olga,Per"
@@ -103,11 +104,21 @@ def prefix() -> str:
     return "WITH " + CTES.strip()
 
 
-def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the tables above over ``sf_dir``; string authors become arrays of records."""
+def _made(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     df = spark.sql(f"WITH documents AS (SELECT * FROM {{docs}}), {CTES.strip()} SELECT * FROM {name}", docs=docs)
     if "authors" in df.columns:
         one = lambda x: t.author(F.split_part(x, F.lit("|"), F.lit(1)), F.split_part(x, F.lit("|"), F.lit(2)))
         df = df.withColumn("authors", F.transform(F.filter(F.split("authors", ";"), lambda x: x != ""), one))
     return df
+
+
+_WRITTEN: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """One of the tables above over ``sf_dir``, written once an application; string authors become arrays of records."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _WRITTEN:
+        _WRITTEN[key] = kept(_made(spark, sf_dir, name), name)
+    return _WRITTEN[key]

@@ -25,6 +25,7 @@ OPENALEX = "id string, title string, display_name string, publication_year int,
 PUBMED = "uid string, title string, pubdate string, epubdate string, fulljournalname string, source string, volume string, issue string, pages string, authors array<struct<name:string>>, articleids array<struct<idtype:string,value:string>>, pubtype array<string>"
 S2 = "paperId string, title string, year int, venue string, authors array<struct<name:string>>, externalIds struct<DOI:string,ArXiv:string,PubMed:string>"
 ARXIV = "id string, title string, published string, author array<struct<name:string>>, doi string"
+SCHOLARLY = "pub_url string, bib struct<title:string,author:string,pub_year:string,venue:string>"
 # ---- end of fixed names
 
 NONE = f"array<{t.AUTHOR}>"
@@ -109,7 +110,20 @@ def arxiv(rows: DataFrame, column: str = "value") -> DataFrame:
     })
 
 
-NORMALIZERS = {"crossref": crossref, "openalex": openalex, "pubmed": pubmed, "semantic_scholar": semantic_scholar, "arxiv": arxiv}
+def scholarly(rows: DataFrame, column: str = "value") -> DataFrame:
+    """Records of a scholar search; ``bib.author`` is a list of names (as JSON text here, since some are one string)."""
+    r = F.col("r")
+    rows = rows.select(F.from_json(column, SCHOLARLY).alias("r"))
+    b = r["bib"]
+    listed = F.coalesce(F.from_json(b["author"], "array<string>"), F.array().cast("array<string>"))
+    authors = F.transform(F.filter(listed, lambda a: ~t.missing(a)), lambda a: t.author_of(F.rtrim(F.trim(a), F.lit(",.;"))))
+    return _works(rows, {
+        "source": F.lit("scholarly"), "source_id": r["pub_url"], "source_url": r["pub_url"], "authors": authors, "title": b["title"],
+        "year": F.when(b["pub_year"].rlike(r"^\d+$"), b["pub_year"]).try_cast("int"), "container_title": b["venue"], "type": F.lit("journal-article"),
+    })
+
+
+NORMALIZERS = {"scholarly": scholarly, "crossref": crossref, "openalex": openalex, "pubmed": pubmed, "semantic_scholar": semantic_scholar, "arxiv": arxiv}
 
 
 def read_catalog(spark, paths: dict[str, str]) -> DataFrame:

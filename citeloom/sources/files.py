@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import os
 import re
 import zipfile
 from collections.abc import Iterator
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as t
 from ..operators import entries, intext
+from ..schema import INTEXT
 
 # ---- fixed names of the formats
 BIBTEX_TYPES = {"article": "journal-article", "book": "book", "conference": "proceedings-article", "incollection": "book-chapter", "inproceedings": "proceedings-article", "mastersthesis": "thesis", "misc": "unknown", "phdthesis": "thesis", "techreport": "report"}
@@ -24,6 +26,8 @@ RECORD = "author array<struct<family:string,given:string>>, title array<string>,
 RECORD_TYPES = {"article": "journal-article", "article-journal": "journal-article", "book": "book", "chapter": "book-chapter", "paper-conference": "proceedings-article", "report": "report", "thesis": "thesis", "webpage": "webpage"}
 # ---- end of fixed names
 
+#: Outside parsers, the better first; and the variable that names one for all calls.
+PARSERS, PARSER_VARIABLE = ("anystyle", "grobid"), "CITELOOM_PARSER"
 READERS = {".pdf": "pdf", ".docx": "docx", ".bib": "bibtex", ".ris": "ris"}
 REF_COLUMNS = ["doc_id", "ref_idx", "raw_text", "authors", "title", "year", "container_title", "volume", "issue", "pages", "publisher", "doi", "url", "arxiv_id", "pmid", "isbn", "type"]
 
@@ -140,22 +144,29 @@ def from_docx(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def read_pdf(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, path, text of PDF files, page by page; needs pdfplumber on the executors."""
+    """doc_id, path, text, error of PDF files, page by page; needs pdfplumber on the executors. A file that
+    cannot be read has an empty text and says why in error."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        try:
-            import pdfplumber
-        except ImportError as e:
-            raise RuntimeError("pdfplumber is needed to read .pdf files") from e
         for batch in batches:
-            texts = []
-            for data in batch.column(1):
-                with pdfplumber.open(io.BytesIO(data.as_py())) as pdf:
-                    texts.append("\n".join(page.extract_text() or "" for page in pdf.pages))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["path", "text"])
+            got = [pdf_text(data.as_py()) for data in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x for x, _ in got], pa.string()), pa.array([e for _, e in got], pa.string())], names=["path", "text", "error"])
 
-    rows = spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "path string, text string")
-    return rows.select(F.xxhash64("path").alias("doc_id"), "path", "text")
+    rows = spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "path string, text string, error string")
+    return rows.select(F.xxhash64("path").alias("doc_id"), "path", "text", "error")
+
+
+def pdf_text(data: bytes) -> tuple[str, str | None]:
+    """(text, None), or ('', reason)."""
+    try:
+        import pdfplumber
+
+        with pdfplumber.open(io.BytesIO(data)) as pdf:
+            return "\n".join(page.extract_text() or "" for page in pdf.pages), None
+    except ImportError:
+        return "", "pdfplumber is needed to read .pdf files"
+    except Exception as e:  # whatever a broken file makes the library raise is about that file alone
+        return "", f"{type(e).__name__}: {e}"
 
 
 def from_parser_records(rows: DataFrame, column: str = "value") -> DataFrame:
@@ -205,12 +216,46 @@ def backfill(parsed: DataFrame, raw: DataFrame) -> DataFrame:
     return rows.select("doc_id", "ref_idx", F.when(useful, a).otherwise(b).alias("x")).select("doc_id", "ref_idx", "x.*")
 
 
-def read(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame | None]:
-    """References and in-text citations of files by their suffix; everything but .pdf, .docx, .bib and .ris is text."""
-    suffix = next((s for s in READERS if path.lower().endswith(s)), "")
-    kind = READERS.get(suffix, "text")
-    if kind in ("bibtex", "ris"):
-        return (from_bibtex if kind == "bibtex" else from_ris)(read_texts(spark, path)), None
-    if kind == "docx":
-        return from_docx(read_docx(spark, path))
-    return from_texts((read_pdf if kind == "pdf" else read_texts)(spark, path))
+def parse(raw: DataFrame, backends: dict[str, DataFrame] | None = None, choice: str = "auto") -> DataFrame:
+    """Reference rows from raw entries (doc_id, ref_idx, raw_text) by the chosen parser. ``backends`` holds the answers
+    of outside parsers as reference rows (``from_parser_records``, ``from_tei``); 'auto' takes the first of
+    ``PARSERS`` that is there, a name takes that one; what they leave open, or all where there is none, is
+    parsed here ('regex'). The environment variable in ``PARSER_VARIABLE`` comes before ``choice``."""
+    choice = (os.environ.get(PARSER_VARIABLE) or choice or "auto").lower()
+    backends = backends or {}
+    order = [choice] if choice in PARSERS else [*PARSERS] if choice == "auto" else []
+    found = next((b for b in order if b in backends), None)
+    if found is None:
+        return entries.parse_entries(raw).select(*REF_COLUMNS)
+    return backfill(backends[found], raw)
+
+
+def _some(files: DataFrame, kinds: str) -> DataFrame:
+    suffix = F.lower(F.regexp_extract("path", r"(\.[A-Za-z]+)$", 1))
+    known = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for kv in READERS.items() for x in kv)), suffix), F.lit("text"))
+    return files.where(known == kinds)
+
+
+def read(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """References and in-text citations of the files under a path, each by its own suffix; everything but .pdf,
+    .docx, .bib and .ris is text. Readers whose suffix no file has are left out."""
+    listed = spark.read.format("binaryFile").load(path).select("path")
+    suffix = F.lower(F.regexp_extract("path", r"(\.[A-Za-z]+)$", 1))
+    kinds = {READERS.get(r.s, "text") for r in listed.select(suffix.alias("s")).distinct().collect()}
+    refs, cited = None, None
+
+    def add(more: tuple[DataFrame, DataFrame | None]) -> None:
+        nonlocal refs, cited
+        refs = more[0] if refs is None else refs.unionByName(more[0])
+        if more[1] is not None:
+            cited = more[1] if cited is None else cited.unionByName(more[1])
+
+    if kinds & {"text", "bibtex", "ris"} or not kinds:
+        texts = read_texts(spark, path)
+        for kind, reader in (("text", from_texts), ("bibtex", lambda x: (from_bibtex(x), None)), ("ris", lambda x: (from_ris(x), None))):
+            if kind in kinds or (not kinds and kind == "text"):
+                add(reader(_some(texts, kind)))
+    for kind, load, reader in (("docx", read_docx, from_docx), ("pdf", read_pdf, from_texts)):
+        if kind in kinds:
+            add(reader(_some(load(spark, path), kind)))
+    return refs, spark.createDataFrame([], INTEXT) if cited is None else cited
