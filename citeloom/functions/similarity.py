@@ -76,7 +76,11 @@ def with_title_ratio(rows: DataFrame, name: str, a: Column, b: Column) -> DataFr
 
 def surname_overlap(a: Column, b: Column) -> Column:
     """Common surnames among the smaller number of them; 0 where one side has none."""
-    x, y = t.surnames(a), t.surnames(b)
+    return overlap(t.surnames(a), t.surnames(b))
+
+
+def overlap(x: Column, y: Column) -> Column:
+    """``surname_overlap`` of surnames that are normalised already."""
     least = F.least(F.size(x), F.size(y))
     return F.when(least > 0, F.size(F.array_intersect(x, y)) / least).otherwise(F.lit(0.0))
 
@@ -93,9 +97,9 @@ def same_doi(a: Column, b: Column) -> Column:
     return ~t.missing(a) & ~t.missing(b) & (F.lower(t.text(a)) == F.lower(t.text(b)))
 
 
-def record_score(ref: dict[str, Column], work: dict[str, Column], title_score: Column) -> Column:
-    """Weighted agreement of a reference and a record, 0 to 96.5."""
-    names = F.when(F.size(F.coalesce(ref["authors"], F.array().cast(f"array<{t.AUTHOR}>"))) == 0, 60.0).otherwise(surname_overlap(ref["authors"], work["authors"]) * 100)
+def record_score(ref: dict[str, Column], work: dict[str, Column], title_score: Column, common: Column) -> Column:
+    """Weighted agreement of a reference and a record, 0 to 96.5; ``common`` is the overlap of their surnames."""
+    names = F.when(F.size(F.coalesce(ref["authors"], F.array().cast(f"array<{t.AUTHOR}>"))) == 0, 60.0).otherwise(common * 100)
     total = 0.55 * title_score + 0.25 * names + 0.15 * year_score(ref["year"], work["year"]) + 0.05 * F.when(same_doi(ref["doi"], work["doi"]), 30).otherwise(0)
     sandbox = ~t.missing(work["doi"]) & ~t.real_doi(work["doi"])
     total = total - F.when(sandbox, 15).otherwise(0)

@@ -31,25 +31,31 @@ def source_rank(source: Column) -> Column:
     return F.coalesce(F.array_position(F.array(*map(F.lit, SOURCES)), source), F.lit(len(SOURCES) + 1)).cast("int")
 
 
+def _keys(title: Column, authors: Column) -> Column:
+    """What titles and names are compared by, worked out once for each record and each reference, not for each pair."""
+    return F.struct(t.title_tokens(title).alias("tokens"), t.surnames(authors).alias("names"))
+
+
 def _work(works: DataFrame) -> DataFrame:
-    return works.select(F.struct(*WORK_FIELDS).alias("w"))
+    """w (the record) and k (its keys)."""
+    return works.select(F.struct(*WORK_FIELDS).alias("w"), _keys(F.col("title"), F.col("authors")).alias("k"))
 
 
 def by_doi(refs: DataFrame, works: DataFrame) -> DataFrame:
     cited = refs.where(~t.missing(F.col("doi"))).select(*KEY, F.lower("doi").alias("id"))
     known = _work(works.where(F.col("source").isin("crossref", "openalex") & ~t.missing(F.col("doi")))).withColumn("id", F.lower("w.doi"))
-    return cited.join(known, "id").select(*KEY, "w")
+    return cited.join(known, "id").select(*KEY, "w", "k")
 
 
 def by_pmid(refs: DataFrame, works: DataFrame) -> DataFrame:
     cited = refs.where(~t.missing(F.col("pmid"))).select(*KEY, F.col("pmid").alias("id"))
-    return cited.join(_work(works.where("source = 'pubmed'")).withColumn("id", F.col("w.pmid")), "id").select(*KEY, "w")
+    return cited.join(_work(works.where("source = 'pubmed'")).withColumn("id", F.col("w.pmid")), "id").select(*KEY, "w", "k")
 
 
 def by_arxiv(refs: DataFrame, works: DataFrame) -> DataFrame:
     bare = lambda c: F.regexp_replace(F.lower(c), r"v\d+$", "")
     cited = refs.where(~t.missing(F.col("arxiv_id"))).select(*KEY, bare("arxiv_id").alias("id"))
-    return cited.join(_work(works.where("source = 'arxiv'")).withColumn("id", bare("w.arxiv_id")), "id").select(*KEY, "w")
+    return cited.join(_work(works.where("source = 'arxiv'")).withColumn("id", bare("w.arxiv_id")), "id").select(*KEY, "w", "k")
 
 
 def by_id(refs: DataFrame, works: DataFrame) -> DataFrame:
@@ -58,8 +64,8 @@ def by_id(refs: DataFrame, works: DataFrame) -> DataFrame:
 
 def decisive(refs: DataFrame, found: DataFrame) -> DataFrame:
     """Keys of references that need no search: two records by identifier, one with the cited DOI and title."""
-    both = found.join(refs.select(*KEY, "doi", "title"), KEY)
-    both = sim.with_title_ratio(both, "likeness", F.col("w.title"), F.col("title"))
+    both = found.join(refs.select(*KEY, "doi", "title", t.title_tokens(F.col("title")).alias("tokens")), KEY)
+    both = sim.with_ratio(both, "likeness", F.col("k.tokens"), F.col("tokens"))
     strong = sim.same_doi(F.col("doi"), F.col("w.doi")) & ~t.missing(F.col("title")) & (F.col("likeness") >= DECISIVE_TITLE)
     return both.groupBy(*KEY).agg(F.max(strong).alias("strong"), F.count("*").alias("n")).where("strong AND n >= 2").select(*KEY)
 
@@ -98,8 +104,8 @@ def title_search(refs: DataFrame, works: DataFrame, per_source: int = PER_SOURCE
         hits = hits.unionByName(_hits(rest.withColumn("looked", F.slice("terms", F.lit(SEARCH_TERMS + 1), F.col("more"))), indexed))
     place = F.row_number().over(Window.partitionBy(*KEY, "source").orderBy(F.desc("shared"), F.desc("friends"), "apart", "source_id"))
     found = hits.withColumn("place", place).where(F.col("place") <= F.col("limit")).select(*KEY, "source", "source_id", "shared")
-    records = works.select("source", "source_id", F.struct(*WORK_FIELDS).alias("w"))
-    return found.join(records, ["source", "source_id"]).select(*KEY, "w", F.col("shared").cast("long").alias("shared"))
+    records = works.select("source", "source_id", F.struct(*WORK_FIELDS).alias("w"), _keys(F.col("title"), F.col("authors")).alias("k"))
+    return found.join(records, ["source", "source_id"]).select(*KEY, "w", "k", F.col("shared").cast("long").alias("shared"))
 
 
 def _hits(asked: DataFrame, indexed: DataFrame) -> DataFrame:
@@ -129,15 +135,16 @@ def candidates(refs: DataFrame, works: DataFrame, use_scholarly: bool = False, s
     found = kept(by_id(refs, works), "by-id")
     if not skip_search:
         found = found.unionByName(title_search(refs.join(decisive(refs, found), KEY, "left_anti"), works).drop("shared"))
-    return found.groupBy(*KEY, F.col("w.source").alias("s"), F.col("w.source_id").alias("i")).agg(F.first("w").alias("w")).drop("s", "i")
+    return found.groupBy(*KEY, F.col("w.source").alias("s"), F.col("w.source_id").alias("i")).agg(F.first("w").alias("w"), F.first("k").alias("k")).drop("s", "i")
 
 
 def scored(refs: DataFrame, found: DataFrame) -> DataFrame:
     """Candidates with title_score, score and place (1 is the best). Sandbox DOIs come after all others."""
     r = {c: F.col(f"r.{c}") for c in ("authors", "title", "year", "doi")}
     w = {c: F.col(f"w.{c}") for c in ("authors", "title", "year", "doi")}
-    rows = found.join(refs.select(*KEY, F.struct("authors", "title", "year", "doi").alias("r")), KEY)
-    rows = sim.with_title_ratio(rows, "title_score", r["title"], w["title"]).withColumn("score", sim.record_score(r, w, F.col("title_score"))).drop("r")
+    rows = found.join(refs.select(*KEY, F.struct("authors", "title", "year", "doi").alias("r"), _keys(F.col("title"), F.col("authors")).alias("rk")), KEY)
+    rows = sim.with_ratio(rows, "title_score", F.col("rk.tokens"), F.col("k.tokens"))
+    rows = rows.withColumn("score", sim.record_score(r, w, F.col("title_score"), sim.overlap(F.col("rk.names"), F.col("k.names")))).drop("r", "rk")
     sandbox = ~t.missing(w["doi"]) & ~t.real_doi(w["doi"])
     place = F.row_number().over(Window.partitionBy(*KEY).orderBy(sandbox, F.desc("score"), source_rank(F.col("w.source")), F.col("w.source_id")))
     return kept(rows.withColumn("place", place.cast("int")), "scored")
@@ -150,16 +157,16 @@ def best(ranked: DataFrame) -> DataFrame:
 def corroboration(ranked: DataFrame) -> DataFrame:
     """Candidates with best (record) and corroborates: like title, near year, and same DOI or common names; each URL once."""
     whole = Window.partitionBy(*KEY).orderBy("place").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    rows = ranked.withColumn("best", F.first("w").over(whole))
+    rows = ranked.withColumns({"best": F.first("w").over(whole), "bk": F.first("k").over(whole)})
     b, w = F.col("best"), F.col("w")
-    rows = sim.with_title_ratio(rows, "likeness", b["title"], w["title"])
-    overlap = sim.surname_overlap(b["authors"], w["authors"])
+    rows = sim.with_ratio(rows, "likeness", F.col("bk.tokens"), F.col("k.tokens"))
+    overlap = sim.overlap(F.col("bk.names"), F.col("k.names"))
     nameless = (F.size(F.coalesce(b["authors"], F.array().cast(f"array<{t.AUTHOR}>"))) == 0) | (F.size(F.coalesce(w["authors"], F.array().cast(f"array<{t.AUTHOR}>"))) == 0)
     names = (overlap >= HALF_OF_NAMES) | nameless
     good = (F.col("place") > 1) & ~t.missing(w["title"]) & (F.col("likeness") >= CORROBORATING_TITLE) & sim.close_years(b["year"], w["year"]) & (sim.same_doi(b["doi"], w["doi"]) | names)
     rows = rows.withColumns({"names_agree": names, "good": F.coalesce(good, F.lit(False))})
     once = F.row_number().over(Window.partitionBy(*KEY, "good", w["source"], w["source_url"]).orderBy("place")) == 1
-    return rows.withColumn("corroborates", F.col("good") & once).drop("good")
+    return rows.withColumn("corroborates", F.col("good") & once).drop("good", "bk")
 
 
 def merged(rows: DataFrame) -> DataFrame:
