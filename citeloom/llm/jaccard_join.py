@@ -42,7 +42,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import lean, saved
@@ -51,6 +51,8 @@ BUCKET, BLOCK = 32, 384
 #: Elements of the sets of one block, and words whose hashes a task keeps.
 BLOCK_ELEMENTS, KNOWN_WORDS = 1_000_000, 100_000
 BAND_RATIO, SLACK, NEED = 1.35, 4, 3
+#: Links of one document that meet in one place, at most.
+HUB = 4096
 #: Rows of one or two numbers that are few enough to be sent to all tasks (some 64 bytes each in a hashed relation).
 BROADCAST_IDS = 500_000
 U64 = np.uint64
@@ -116,6 +118,28 @@ class Sketch:
         more = np.abs(a[0] - b[0])
         return (more + 2 * ((more == 0) & (a[1] != b[1]))).sum(-1, dtype=np.int64)
 
+    @classmethod
+    def possible(cls, a: pa.Array, b: pa.Array, sizes: np.ndarray, percent: int) -> np.ndarray:
+        """Which of the pairs of sketches (of sets of so many elements together) may reach the similarity."""
+        least = np.zeros(len(sizes), np.int64)
+        for k, (x, y) in enumerate(zip(a, b)):
+            x, y = x.as_buffer(), y.as_buffer()
+            cells = min(len(x), len(y)) // 2
+            least[k] = cls.bound(cls.cells(x, cells), cls.cells(y, cells))
+        return (100 + percent) * least <= (100 - percent) * sizes
+
+    @classmethod
+    def stacked(cls, sketches: list) -> tuple[np.ndarray, np.ndarray]:
+        size = min(len(s) for s in sketches) // 2
+        cells = [cls.cells(s, size) for s in sketches]
+        return np.stack([c for c, _ in cells]), np.stack([c for _, c in cells])
+
+    @classmethod
+    def near(cls, stack: tuple[np.ndarray, np.ndarray], a: int, others: np.ndarray, n: np.ndarray, percent: int) -> np.ndarray:
+        """Which of the others in a stack may reach the similarity with its row ``a``."""
+        bound = cls.bound((stack[0][a], stack[1][a]), (stack[0][others], stack[1][others]))
+        return (100 + percent) * bound <= (100 - percent) * (n[a] + n[others])
+
 
 def class_of(elements: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(elements.tobytes()) - (1 << 63)
@@ -186,7 +210,7 @@ class Bands:
         return np.concatenate(out).view(np.int64) if out else np.zeros(0, np.int64)
 
 
-def signatures(docs: DataFrame, doc_id: str, text: str, words: int) -> DataFrame:
+def signatures(docs: DataFrame, doc_id: str, text: str, words: int, sketch: type = Sketch) -> DataFrame:
     """id, text_hash, n, cls (0 without elements), sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,7 +221,7 @@ def signatures(docs: DataFrame, doc_id: str, text: str, words: int) -> DataFrame
                 elements = shingle(value.as_py())
                 n.append(len(elements))
                 cls.append(class_of(elements) if len(elements) else 0)
-                sketches.append(Sketch.of(elements))
+                sketches.append(sketch.of(elements))
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.array(sketches, pa.binary())], names=["id", "text_hash", "n", "cls", "sketch"])
 
     return docs.select(F.col(doc_id).cast("long"), F.xxhash64(text), F.col(text)).mapInArrow(lean(run), "id long, text_hash long, n long, cls long, sketch binary")
@@ -267,26 +291,46 @@ def buckets(keyed: DataFrame) -> DataFrame:
 class Join:
     """One run of the join: its documents, parameters and written tables."""
 
+    sketch = Sketch
+
     def __init__(self, docs: DataFrame, doc_id: str, text: str, words: int, percent: int):
         self.docs, self.doc_id, self.text, self.words, self.percent = docs.where(F.col(doc_id).isNotNull()), doc_id, text, words, percent
-        self.all = saved(signatures(docs, doc_id, text, words), "jaccard-sets")
+        self.all = saved(signatures(docs, doc_id, text, words, self.sketch), "jaccard-sets")
         self.known = self.all.where("n > 0 AND id IS NOT NULL")
         self.classes = self.known.groupBy("cls")
+        self.allot()
+
+    def allot(self) -> None:
         # how many sets a band has, on a scale of sixteen steps for each factor e: enough to weigh allocations
         counted = self.known.groupBy(F.floor(F.log(F.col("n").cast("double")) * 16).alias("scale")).agg(F.count("*").alias("n")).collect()
-        sizes, counts = Bands(percent), {}
+        sizes, counts = Bands(self.percent), {}
         for r in counted:
             band = sizes.band(max(1, round(np.exp((r.scale + 0.5) / 16))))
             counts[band] = counts.get(band, 0) + r.n
-        self.bands = Bands(percent, counts)
+        self.bands = Bands(self.percent, counts)
 
-    def keyed(self) -> DataFrame:
-        """key, cls of every class: documents all of whose rows are copies of others are left out."""
+    def enough(self) -> Column:
+        """Aggregate: are the keys that a pair shares as many as it needs?"""
+        need = F.when(F.pmod("key", F.lit(2)) == 1, NEED).otherwise(1)
+        return F.count("*") >= F.min(need)
+
+    def band(self) -> Column:
+        """The keys of a class among which it leaves out ``slack`` of the largest."""
+        return F.pmod(F.shiftright("key", 1), F.lit(128)).cast("int")
+
+    def slack(self) -> Column:
+        return F.try_element_at(F.create_map(*(F.lit(x) for k, (_, _, slack) in enumerate(self.bands.plans) for x in (k, slack))), F.col("band"))
+
+    def copies(self) -> DataFrame:
+        """Ids of documents all of whose rows are copies of others (__skipped)."""
         copied = self.classes.agg(F.min("id").alias("first"), F.count("*").alias("rows")).where("rows > 1").drop("rows")
         rows = self.known.select("id", "cls").join(copied, "cls", "left").groupBy("id").agg(F.min(F.coalesce(F.col("id") != F.col("first"), F.lit(False))).alias("copy"))
         skipped = saved(rows.where("copy").select(F.col("id").alias("__skipped")), "jaccard-copies")
-        if skipped.count() <= BROADCAST_IDS:
-            skipped = F.broadcast(skipped)
+        return few(skipped)
+
+    def keyed(self) -> DataFrame:
+        """key, cls of every class: documents all of whose rows are copies of others are left out."""
+        skipped = self.copies()
         texts = self.docs.join(skipped, F.col(self.doc_id).cast("long") == F.col("__skipped"), "left_anti").select(self.text)
         return keys_of(texts, self.words, self.bands)
 
@@ -313,22 +357,18 @@ class Join:
         return self.known.select("cls", "n", "sketch").join(wanted.select("cls").distinct(), "cls", "left_semi").dropDuplicates(["cls"])
 
     def likely(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) that sketches do not rule out."""
-        percent = self.percent
+        """The pairs (a, b) that sizes and sketches do not rule out."""
+        percent, sketch = self.percent, self.sketch
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                total = batch.column(2).to_numpy() + batch.column(4).to_numpy()
-                least = np.zeros(len(total), np.int64)
-                for k, (x, y) in enumerate(zip(batch.column(3), batch.column(5))):
-                    x, y = x.as_buffer(), y.as_buffer()
-                    cells = min(len(x), len(y)) // 2
-                    least[k] = Sketch.bound(Sketch.cells(x, cells), Sketch.cells(y, cells))
-                yield batch.select(["a", "b"]).filter(pa.array((100 + percent) * least <= (100 - percent) * total))
+                sizes = batch.column(2).to_numpy() + batch.column(4).to_numpy()
+                yield batch.select(["a", "b"]).filter(pa.array(sketch.possible(batch.column(3), batch.column(5), sizes, percent)))
 
         sketches = self.sketches_of(_ends(pairs))
         side = lambda c: sketches.select(F.col("cls").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}"))
         both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "sa", "nb", "sb")
+        both = both.where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
         return saved(both.mapInArrow(lean(run), "a long, b long"), "jaccard-likely")
 
     def links(self, pairs: DataFrame) -> DataFrame:
@@ -352,7 +392,7 @@ class Join:
     def links_in_blocks(self, members: DataFrame) -> DataFrame:
         """Links between different components inside the groups (leader, cls, comp), as a spanning forest for each
         pair of blocks. Sketches go to the blocks first; only members that they leave a partner send their sets."""
-        percent = self.percent
+        percent, sketch = self.percent, self.sketch
         sketches = self.sketches_of(members)
         members = members.join(sketches, "cls")
         sizes = members.groupBy("leader").agg(F.count("*").alias("g"), F.sum("n").alias("elements"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
@@ -370,16 +410,13 @@ class Join:
 
         def close(rows: list[tuple], i: int, j: int) -> list[tuple]:
             """The rows whose sketch leaves them a partner."""
-            size = min(len(r[3]) for r in rows) // 2
-            cells = [Sketch.cells(r[3], size) for r in rows]
-            counts, sums = np.stack([c for c, _ in cells]), np.stack([c for _, c in cells])
+            stack = sketch.stacked([r[3] for r in rows])
             n, open_ = np.array([r[4] for r in rows]), apart(rows, i, j)
             kept = np.zeros(len(rows), bool)
             for a in range(len(rows)):
                 other = np.flatnonzero(open_[a])
                 if len(other):
-                    good = (100 + percent) * Sketch.bound((counts[a], sums[a]), (counts[other], sums[other])) <= (100 - percent) * (n[a] + n[other])
-                    kept[a] |= good.any()
+                    kept[a] = sketch.near(stack, a, other, n, percent).any()
             return [(r[0], r[1], r[2]) for r, k in zip(rows, kept) if k]
 
         def linked(rows: list[tuple], i: int, j: int) -> list[tuple[int, int]]:
@@ -453,22 +490,18 @@ class Join:
     def labels(self) -> DataFrame:
         """cls, comp for all classes that are linked with another."""
         shared = saved(buckets(self.keyed()), "jaccard-buckets")
-        exact = F.pmod("key", F.lit(2)) == 1
-        need = F.when(exact, NEED).otherwise(1)
         # keys of buckets over BUCKET; few, as each has that many members
         large_keys = few(saved(shared.groupBy("key").agg(F.count("*").alias("g")).where(F.col("g") > BUCKET).select("key", "g"), "jaccard-large-keys"))
         members = saved(shared.join(large_keys, "key", "left").withColumn("large", F.col("g").isNotNull()), "jaccard-members")
-        slacks = F.create_map(*(F.lit(x) for k, (_, _, slack) in enumerate(self.bands.plans) for x in (k, slack)))
-        band = F.pmod(F.shiftright("key", 1), F.lit(128)).cast("int")
         nth = F.row_number().over(Window.partitionBy("cls", "band").orderBy(F.desc("g"), "key"))
-        large = members.where("large").select("key", "cls", "g", band.alias("band")).withColumn("nth", nth)
-        large = saved(large.where(F.col("nth") > F.try_element_at(slacks, F.col("band"))).select("key", "cls"), "jaccard-large")
+        large = members.where("large").select("key", "cls", "g", self.band().alias("band")).withColumn("nth", nth)
+        large = saved(large.where(F.col("nth") > self.slack()).select("key", "cls"), "jaccard-large")
         most = large.groupBy("cls").agg(F.count("*").alias("k"))
         leaders = few(saved(large.join(most, "cls").groupBy("key").agg(F.max_by("cls", F.struct("k", "cls")).alias("leader")), "jaccard-leaders"))
         large = saved(large.join(leaders, "key").select("leader", "cls").distinct(), "jaccard-led")
         small = members.where("NOT large").select("key", "cls", "leader", "pos")
-        stars = small.where("pos > 0").groupBy(F.col("leader").alias("a"), F.col("cls").alias("b")).agg(F.count("*").alias("keys"), F.min(need).alias("need"))
-        stars = stars.where("keys >= need").select("a", "b").unionByName(large.where("leader <> cls").select(F.col("leader").alias("a"), F.col("cls").alias("b")))
+        stars = small.where("pos > 0").groupBy(F.col("leader").alias("a"), F.col("cls").alias("b")).agg(self.enough().alias("enough"))
+        stars = stars.where("enough").select("a", "b").unionByName(large.where("leader <> cls").select(F.col("leader").alias("a"), F.col("cls").alias("b")))
         stars = saved(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "jaccard-stars")
         first = saved(self.links(stars), "jaccard-links")
         comps = components(first)
@@ -478,8 +511,8 @@ class Join:
         small = saved(small.join(open_, "key", "left_semi"), "jaccard-open")
         left, right = (small.select("key", *(F.col(c).alias(f"{c}{k}") for c in ("cls", "comp"))) for k in (1, 2))
         pairs = left.join(right, "key").where("cls1 < cls2 AND comp1 <> comp2")
-        pairs = pairs.groupBy(F.col("cls1").alias("a"), F.col("cls2").alias("b")).agg(F.count("*").alias("keys"), F.min(need).alias("need"))
-        pairs = saved(pairs.where("keys >= need").select("a", "b").join(stars, ["a", "b"], "left_anti"), "jaccard-pairs")
+        pairs = pairs.groupBy(F.col("cls1").alias("a"), F.col("cls2").alias("b")).agg(self.enough().alias("enough"))
+        pairs = saved(pairs.where("enough").select("a", "b").join(stars, ["a", "b"], "left_anti"), "jaccard-pairs")
         second = saved(self.links(pairs).unionByName(self.links_in_blocks(labelled(large))), "jaccard-links")
         return components(first.unionByName(second))
 
@@ -495,12 +528,18 @@ def _ends(pairs: DataFrame) -> DataFrame:
 
 def components(links: DataFrame) -> DataFrame:
     """cls, comp (its component's least cls) for every end of a link. Each round takes the least label
-    among neighbours and then the label's label, so a path halves; rounds end when no label changes."""
+    among neighbours and then the label's label, so a path halves; rounds end when no label changes. An end with more
+    than ``HUB`` links gives its label to so many parts of them at a time."""
     edges = links.where("a <> b").select("a", "b")
-    edges = saved(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "component-edges")
+    edges = saved(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "component-ends")
+    hubs = few(saved(edges.groupBy("b").agg(F.ceil(F.count("*") / HUB).cast("int").alias("salts")).where("salts > 1"), "component-hubs"))
+    edges = edges.join(hubs, "b", "left").select("a", "b", F.coalesce(F.pmod(F.xxhash64("a"), "salts"), F.lit(0)).cast("int").alias("salt"))
+    edges = saved(edges, "component-edges")
     labels = saved(edges.groupBy(F.col("a").alias("cls")).agg(F.least(F.min("b"), F.first("a")).alias("comp")), "component-labels")
     while True:
-        around = edges.join(labels.select(F.col("cls").alias("b"), "comp"), "b").groupBy(F.col("a").alias("cls")).agg(F.min("comp").alias("near"))
+        at_b = labels.select(F.col("cls").alias("b"), "comp").join(hubs, "b", "left")
+        at_b = at_b.select("b", "comp", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)).alias("salt"))
+        around = edges.join(at_b, ["b", "salt"]).groupBy(F.col("a").alias("cls")).agg(F.min("comp").alias("near"))
         hop = labels.join(around, "cls").select("cls", F.col("comp").alias("old"), F.least("comp", "near").alias("comp"))
         jump = labels.select(F.col("cls").alias("comp"), F.col("comp").alias("far"))
         new = saved(hop.join(jump, "comp", "left").select("cls", "old", F.least("comp", "far").alias("comp")), "component-labels")
@@ -510,9 +549,9 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 4, percent: int = 85) -> DataFrame:
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 4, percent: int = 85, way: type[Join] = Join) -> DataFrame:
     """For each row id, text_hash, n_shingles, cls, comp (least class that links reach), component_id (least id so)."""
-    join = Join(docs, doc_id, text, words, percent)
+    join = way(docs, doc_id, text, words, percent)
     labelled = join.all.drop("sketch").join(join.labels(), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     labelled = saved(labelled, "jaccard-labelled")
     linked = (F.col("n") > 0) & F.col("id").isNotNull()

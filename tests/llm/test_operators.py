@@ -700,7 +700,7 @@ def test_queries_match_sql(spark):
     import duckdb
 
     con = duckdb.connect()
-    for name in ("documents", "pages"):
+    for name in ("documents", "pages", "conversations", "benchmark"):
         con.sql(f"create view {name} as select * from '{SF}/{name}.parquet'")
     for name, statement in queries.oracle_sql().items():
         got = queries.queries()[name](spark, SF)
