@@ -31,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import lean, saved
@@ -39,7 +39,6 @@ from .shared import lean, saved
 SHARD_DOCS, SHARD_POSTINGS = 2048, 400_000
 NO_ID = -(1 << 63)
 OPENED, BLOCK_BYTES = 512, 8 << 20
-TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 #: Bytes of a UTF-8 text as terms have them: A-Z lower-cased, what belongs to no term a space.
 FOLD = bytes(b if b > 0x7F or chr(b).isalnum() else 0x20 for b in range(256)).lower()
 
@@ -48,17 +47,16 @@ def terms_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "replace").translate(FOLD).split()
 
 
-def term_count(text: Column) -> Column:
-    """Number of terms of a text: each becomes one mark, with what surrounds it."""
-    gap = TERM.replace("[^", "[") + "*+"
-    return F.when(F.regexp_like(text, F.lit(TERM)), F.length(F.regexp_replace(text, f"{gap}{TERM}++{gap}", "x"))).otherwise(0).cast("long")
+def collection(docs: DataFrame, text: str) -> tuple[int, int]:
+    """(N, L), summed over tasks."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counts = [len(terms_of(v.as_py())) for v in batch.column(0)]
+            yield pa.RecordBatch.from_arrays([pa.array([sum(c > 0 for c in counts)]), pa.array([sum(counts)])], names=["docs", "terms"])
 
-def collection(docs: DataFrame, text: str) -> tuple[int, int]:
-    """(N, L)"""
-    counted = docs.select(term_count(F.coalesce(text, F.lit(""))).alias("n"))
-    row = counted.where("n > 0").agg(F.count("*").alias("N"), F.sum("n").alias("L")).first()
-    return row.N, row.L or 0
+    row = docs.select(text).mapInArrow(lean(run), "docs long, terms long").agg(F.sum("docs").alias("N"), F.sum("terms").alias("L")).first()
+    return row.N or 0, row.L or 0
 
 
 def impacts(tf: np.ndarray, n: np.ndarray, N: int, L: int) -> np.ndarray:
