@@ -494,10 +494,11 @@ class Join:
         large_keys = few(saved(shared.groupBy("key").agg(F.count("*").alias("g")).where(F.col("g") > BUCKET).select("key", "g"), "jaccard-large-keys"))
         members = saved(shared.join(large_keys, "key", "left").withColumn("large", F.col("g").isNotNull()), "jaccard-members")
         nth = F.row_number().over(Window.partitionBy("cls", "band").orderBy(F.desc("g"), "key"))
-        large = members.where("large").select("key", "cls", "g", self.band().alias("band")).withColumn("nth", nth)
-        large = saved(large.where(F.col("nth") > self.slack()).select("key", "cls"), "jaccard-large")
-        most = large.groupBy("cls").agg(F.count("*").alias("k"))
-        leaders = few(saved(large.join(most, "cls").groupBy("key").agg(F.max_by("cls", F.struct("k", "cls")).alias("leader")), "jaccard-leaders"))
+        most = F.count("*").over(Window.partitionBy("cls"))  # large buckets of a class
+        large = members.where("large").select("key", "cls", "g", self.band().alias("band")).repartition("cls")
+        large = large.withColumn("nth", nth).withColumn("k", most).where(F.col("nth") > self.slack())
+        large = saved(large.select("key", "cls", "k"), "jaccard-large")
+        leaders = few(saved(large.groupBy("key").agg(F.max_by("cls", F.struct("k", "cls")).alias("leader")), "jaccard-leaders"))
         large = saved(large.join(leaders, "key").select("leader", "cls").distinct(), "jaccard-led")
         small = members.where("NOT large").select("key", "cls", "leader", "pos")
         stars = small.where("pos > 0").groupBy(F.col("leader").alias("a"), F.col("cls").alias("b")).agg(self.enough().alias("enough"))
@@ -556,6 +557,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     labelled = saved(labelled, "jaccard-labelled")
     linked = (F.col("n") > 0) & F.col("id").isNotNull()
     least = labelled.where(linked).groupBy("comp").agg(F.min("id").alias("least"), F.count("*").alias("size")).where("size > 1").drop("size")
+    least = few(saved(least, "jaccard-least"))
     out = labelled.join(least, "comp", "left")
     return out.select("id", "text_hash", F.col("n").alias("n_shingles"), "cls", "comp", F.when(linked, F.coalesce("least", "id")).otherwise(F.col("id")).alias("component_id"))
 
