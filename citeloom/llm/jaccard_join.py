@@ -21,8 +21,8 @@ A set is indexed in its own band and probes the bands of the sizes that it can m
 of element hashes, so a deletion is a subtraction.
 
 Verification. Keys travel without the sets. In a sorted stream of keys every key has a
-leader, its least member; buckets over ``BUCKET`` members are led by the member with the most of such
-buckets. Round one verifies members against leaders (linear in the number of keys) and
+leader, its least member; buckets over ``BUCKET`` members are led by the member with the most keys that it
+shares with others. Round one verifies members against leaders (linear in the number of keys) and
 takes components of the links found. Round two verifies the pairs of different components
 that remain: in small buckets pair by pair, and in large ones by leader, in
 blocks whose pairs are counted inside the task and leave it as a spanning forest. No pair of a bucket
@@ -491,15 +491,13 @@ class Join:
         """cls, comp for all classes that are linked with another."""
         shared = saved(buckets(self.keyed()), "jaccard-buckets")
         # keys of buckets over BUCKET; few, as each has that many members
-        large_keys = few(saved(shared.groupBy("key").agg(F.count("*").alias("g")).where(F.col("g") > BUCKET).select("key", "g"), "jaccard-large-keys"))
+        counted = shared.select("key", "cls", F.count("*").over(Window.partitionBy("cls")).alias("k"))
+        large_keys = counted.groupBy("key").agg(F.count("*").alias("g"), F.max_by("cls", F.struct("k", "cls")).alias("centre")).where(F.col("g") > BUCKET)
+        large_keys = few(saved(large_keys.select("key", "g", "centre"), "jaccard-large-keys"))
         members = saved(shared.join(large_keys, "key", "left").withColumn("large", F.col("g").isNotNull()), "jaccard-members")
         nth = F.row_number().over(Window.partitionBy("cls", "band").orderBy(F.desc("g"), "key"))
-        most = F.count("*").over(Window.partitionBy("cls"))  # large buckets of a class
-        large = members.where("large").select("key", "cls", "g", self.band().alias("band")).repartition("cls")
-        large = large.withColumn("nth", nth).withColumn("k", most).where(F.col("nth") > self.slack())
-        large = saved(large.select("key", "cls", "k"), "jaccard-large")
-        leaders = few(saved(large.groupBy("key").agg(F.max_by("cls", F.struct("k", "cls")).alias("leader")), "jaccard-leaders"))
-        large = saved(large.join(leaders, "key").select("leader", "cls").distinct(), "jaccard-led")
+        large = members.where("large").select("key", "cls", F.col("centre").alias("leader"), "g", self.band().alias("band")).withColumn("nth", nth)
+        large = saved(large.where(F.col("nth") > self.slack()).select("leader", "cls").distinct(), "jaccard-led")
         small = members.where("NOT large").select("key", "cls", "leader", "pos")
         stars = small.where("pos > 0").groupBy(F.col("leader").alias("a"), F.col("cls").alias("b")).agg(self.enough().alias("enough"))
         stars = stars.where("enough").select("a", "b").unionByName(large.where("leader <> cls").select(F.col("leader").alias("a"), F.col("cls").alias("b")))
