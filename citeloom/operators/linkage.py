@@ -13,13 +13,11 @@ from ..functions import similarity as sim
 from ..functions import text as t
 from ..schema import SOURCES
 from ..tables import kept
+from . import titles
 
 KEY = ["doc_id", "ref_idx"]
 WORK_FIELDS = ["source", "source_id", "source_url", "authors", "title", "year", "container_title", "volume", "issue", "pages", "publisher", "doi", "arxiv_id", "pmid", "type"]
 FILLED = ["doi", "container_title", "volume", "issue", "pages", "publisher", "arxiv_id", "pmid", "year"]
-#: Terms of a title that are looked up at first: its rarest tokens in the catalogue. Others follow only where
-#: a record without these could still be among the best.
-SEARCH_TERMS = 4
 PER_SOURCE = 5
 
 # ---- thresholds of the linkage rules (fixed values)
@@ -70,65 +68,13 @@ def decisive(refs: DataFrame, found: DataFrame) -> DataFrame:
     return both.groupBy(*KEY).agg(F.max(strong).alias("strong"), F.count("*").alias("n")).where("strong AND n >= 2").select(*KEY)
 
 
-def title_search(refs: DataFrame, works: DataFrame, per_source: int = PER_SOURCE, terms: int | None = None) -> DataFrame:
-    """Up to ``per_source`` records of each source that share the most terms with a title, with the source's own
-    conditions; ties by common surnames (CrossRef), distance in years, then source id. With w and shared. ``terms`` narrows each title to that many rarest terms.
-
-    Exact: where the last of a source's best so far shares m of n terms, a record without any of the n - m + 1 rarest
-    ones cannot be among them, so only those are looked up."""
-    # the index holds what the sources' conditions need, not whole records; those join the few that are found
-    phrase = F.when(F.col("source") == "arxiv", t.normalize_title(F.col("title")))
-    indexed = works.select("source", "source_id", F.col("year").alias("w_year"), t.surnames(F.col("authors")).alias("known"), phrase.alias("phrase"), F.array_distinct(t.title_tokens(F.col("title"))).alias("w_terms"))
-    indexed = indexed.withColumn("term", F.explode("w_terms"))
-    common = indexed.groupBy("term").agg(F.count("*").alias("df"))
-    about = [*KEY, "year", "names", "wanted", "no_arxiv"]
-    asked = refs.where(~t.missing(F.col("title")))
-    asked = asked.select(*KEY, "year", F.slice(t.surnames(F.col("authors")), 1, 3).alias("names"), t.normalize_title(F.col("title")).alias("wanted"), t.missing(F.col("arxiv_id")).alias("no_arxiv"), F.explode(F.array_distinct(t.title_tokens(F.col("title")))).alias("term"))
-    asked = asked.join(common, "term").groupBy(*about).agg(F.sort_array(F.collect_list(F.struct("df", "term"))).alias("terms")).withColumn("terms", F.col("terms.term"))
-    if terms is not None:
-        asked = asked.withColumn("terms", F.slice("terms", 1, terms))
-    asked = asked.crossJoin(F.broadcast(works.select("source").distinct())).where((F.col("source") != "arxiv") | F.col("no_arxiv"))
-    asked = asked.withColumn("limit", F.when(F.col("source") == "scholarly", F.least(F.lit(3), F.lit(per_source))).otherwise(per_source))
-    # a phrase that holds the title has all of its words as terms but for the first and the last: one of them finds it
-    arxiv, words = F.col("source") == "arxiv", F.split("wanted", " ")
-    inner = F.array_intersect("terms", F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0))))
-    asked = asked.withColumn("looked", F.when(arxiv, F.when(F.size(inner) > 0, F.slice(inner, 1, 1)).otherwise(F.col("terms"))).otherwise(F.slice("terms", 1, SEARCH_TERMS)))
-    asked = asked.withColumn("order", F.when(arxiv, F.col("looked")).otherwise(F.col("terms")))
-    asked = kept(asked, "asked")
-    hits = kept(_hits(asked, indexed), "hits")
-    if terms is None or terms > SEARCH_TERMS:
-        last = F.row_number().over(Window.partitionBy(*KEY, "source").orderBy(F.desc("shared")))
-        least = hits.withColumn("n", last).where(F.col("n") == F.col("limit")).select(*KEY, "source", F.col("shared").alias("least"))
-        more = F.size("terms") - F.greatest(F.coalesce("least", F.lit(1)), F.lit(1)) + 1 - SEARCH_TERMS
-        rest = asked.where(~arxiv & (F.size("terms") > SEARCH_TERMS)).join(least, [*KEY, "source"], "left").withColumn("more", more).where("more > 0")
-        hits = hits.unionByName(_hits(rest.withColumn("looked", F.slice("terms", F.lit(SEARCH_TERMS + 1), F.col("more"))), indexed))
-    place = F.row_number().over(Window.partitionBy(*KEY, "source").orderBy(F.desc("shared"), F.desc("friends"), "apart", "source_id"))
-    found = hits.withColumn("place", place).where(F.col("place") <= F.col("limit")).select(*KEY, "source", "source_id", "shared")
+def title_search(refs: DataFrame, works: DataFrame, per_source: int = PER_SOURCE) -> DataFrame:
+    """Up to ``per_source`` records of each source that share the most terms with a title (``titles.search``), with w, k and shared."""
+    found = titles.search(refs, works, per_source).select(*KEY, "source", "source_id", "shared")
     records = works.select("source", "source_id", F.struct(*WORK_FIELDS).alias("w"), _keys(F.col("title"), F.col("authors")).alias("k"))
     return found.join(records, ["source", "source_id"]).select(*KEY, "w", "k", F.col("shared").cast("long").alias("shared"))
 
 
-def _hits(asked: DataFrame, indexed: DataFrame) -> DataFrame:
-    """Records that fit and hold one of the terms in ``looked``, with the number of all terms shared. A pair is
-    found at the first term that it shares in ``order``, and only there."""
-    year, w_year, names, known = (F.col(c) for c in ("year", "w_year", "names", "known"))
-    first = F.try_element_at(names, F.lit(1))
-    fits = (
-        F.when(F.col("source") == "pubmed", first.isNull() | F.array_contains(known, first))
-        .when(F.col("source") == "arxiv", F.col("no_arxiv") & F.contains("phrase", "wanted") & (F.size(F.array_except(F.slice(names, 1, 2), known)) == 0))
-        .otherwise(True)
-    )
-    rows = asked.withColumn("term", F.explode("looked"))
-    dated = F.col("source").isin("openalex", "pubmed") & year.isNotNull()  # of the same year: part of the key
-    same = rows.where(dated).join(indexed.withColumn("year", w_year), ["source", "term", "year"])
-    hits = rows.where(~dated).join(indexed, ["source", "term"]).unionByName(same)
-    hits = hits.where(F.coalesce(fits, F.lit(False)) & (F.try_element_at(F.array_intersect("order", "w_terms"), F.lit(1)) == F.col("term")))
-    # CrossRef is asked with the first three surnames, which rank and do not exclude
-    friends = F.when(F.col("source") == "crossref", F.size(F.array_intersect(names, known))).otherwise(0)
-    hits = hits.withColumns({"shared": F.size(F.array_intersect("terms", "w_terms")), "friends": friends, "apart": F.abs(F.coalesce(year - w_year, F.lit(99)))})
-    return hits.groupBy(*KEY, "source", "source_id", "limit").agg(F.max("shared").alias("shared"), F.max("friends").alias("friends"), F.min("apart").alias("apart"))
-
-
 def candidates(refs: DataFrame, works: DataFrame, use_scholarly: bool = False, skip_search: bool = False) -> DataFrame:
     """By identifier, and by title for references that those do not decide; each record once."""
     works = works if use_scholarly else works.where("source <> 'scholarly'")

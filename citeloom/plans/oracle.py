@@ -200,18 +200,15 @@ def results(strictness: str) -> str:
 
 _TERMS = f"""
 terms AS (SELECT source, source_id, unnest(list_distinct(list_filter(string_split({title('title')}, ' '), lambda x: x <> ''))) AS term FROM works_v),
-df AS (SELECT term, count(*) AS df FROM terms GROUP BY term),
 asked AS (SELECT doc_id, ref_idx, year, authors, arxiv_id, title, unnest(list_distinct(list_filter(string_split({title('title')}, ' '), lambda x: x <> ''))) AS term FROM refs_v WHERE title <> ''),
-rare AS (SELECT * FROM asked JOIN df USING (term) QUALIFY row_number() OVER (PARTITION BY doc_id, ref_idx ORDER BY df, term) <= 4),
-hits AS (SELECT r.doc_id, r.ref_idx, t.source, t.source_id, count(*) AS shared, any_value(r.year) AS year, any_value(r.authors) AS authors, any_value(r.arxiv_id) AS arxiv_id, any_value(r.title) AS title FROM rare r JOIN terms t USING (term) GROUP BY ALL),
+hits AS (SELECT r.doc_id, r.ref_idx, t.source, t.source_id, count(*) AS shared, any_value(r.year) AS year, any_value(r.authors) AS authors, any_value(r.arxiv_id) AS arxiv_id, any_value(r.title) AS title FROM asked r JOIN terms t USING (term) GROUP BY ALL),
 fits AS (SELECT h.*, w.year AS w_year, CASE h.source WHEN 'openalex' THEN h.year IS NULL OR coalesce(h.year = w.year, false)
     WHEN 'pubmed' THEN (h.year IS NULL OR coalesce(h.year = w.year, false)) AND (len({surnames('h.authors')}) = 0 OR list_contains({surnames('w.authors')}, {lead_surnames('h.authors')}[1]))
     WHEN 'arxiv' THEN h.arxiv_id = '' AND contains({title('w.title')}, {title('h.title')}) AND len(list_filter({lead_surnames('h.authors')}[1:2], lambda x: NOT list_contains({surnames('w.authors')}, x))) = 0
     ELSE true END AS fits, CASE h.source WHEN 'crossref' THEN len(list_filter({lead_surnames('h.authors')}[1:3], lambda x: list_contains({surnames('w.authors')}, x))) ELSE 0 END AS friends FROM hits h JOIN works_v w ON w.source = h.source AND w.source_id = h.source_id),
 top5 AS (SELECT doc_id, ref_idx, source, source_id, shared FROM fits WHERE fits QUALIFY row_number() OVER (PARTITION BY doc_id, ref_idx, source ORDER BY shared DESC, friends DESC, abs(coalesce(year - w_year, 99)), source_id) <= 5)"""
-_ALL_TERMS = _TERMS.replace(" QUALIFY row_number() OVER (PARTITION BY doc_id, ref_idx ORDER BY df, term) <= 4", "")
 #: Candidates by identifier and, where those do not decide, by title: takes the place of FOUND.
-SEARCHED = f"""{FOUND.replace("found AS", "by_id AS", 1)},{_ALL_TERMS},
+SEARCHED = f"""{FOUND.replace("found AS", "by_id AS", 1)},{_TERMS},
 id_pairs AS (SELECT f.doc_id, f.ref_idx, r.doi <> '' AND f.w_doi <> '' AND lower(r.doi) = lower(f.w_doi) AND r.title <> '' AS same, {title('r.title')} AS nr, {title('f.w_title')} AS nw FROM by_id f JOIN refs_v r USING (doc_id, ref_idx)),
 {ratio('id_pairs', 'nr', 'nw', 'id_rated', 'id_score')},
 decided AS (SELECT doc_id, ref_idx FROM id_rated GROUP BY doc_id, ref_idx HAVING bool_or(same AND id_score >= 92) AND count(*) >= 2),
@@ -254,8 +251,7 @@ def oracle_sql() -> dict[str, str]:
         "surname_overlap": sql(f"SELECT r.doc_id, r.ref_idx, w.source, round({overlap('r.authors', 'w.authors')}, 6) AS overlap FROM refs_v r JOIN works_v w ON r.doi <> '' AND r.doi = w.doi"),
         "title_ratio": sql("SELECT doc_id, ref_idx, source, title_score FROM rated", SCORED),
         "id_candidates": sql("SELECT doc_id, ref_idx, source, source_id FROM found", FOUND),
-        "title_search": sql("SELECT * FROM top5", _TERMS),
-        "title_search_all_terms": sql("SELECT * FROM top5", _ALL_TERMS),
+        "title_search_all_terms": sql("SELECT * FROM top5", _TERMS),
         "record_scores": sql("SELECT doc_id, ref_idx, source, source_id, score, CAST(place AS INT) AS place FROM ranked", SCORED),
         "best_record": sql("SELECT doc_id, ref_idx, source, source_id, score FROM ranked WHERE place = 1", SCORED),
         "corroborators": sql("SELECT doc_id, ref_idx, source, source_id FROM corr WHERE corroborates", CORROBORATED),
@@ -283,5 +279,5 @@ def oracle_sql() -> dict[str, str]:
     for strictness in ("default", "strict", "relaxed"):
         name = "audit_tier_counts" if strictness == "default" else f"audit_{strictness}"
         out[name] = sql(f"SELECT confidence, count(r.doc_id) AS n FROM {tiers} LEFT JOIN results r USING (confidence) GROUP BY confidence", results(strictness))
-    searched = {f"{k}_with_search": v.replace(FOUND, SEARCHED) for k, v in out.items() if FOUND in v and k not in ("id_candidates",)}
-    return out | searched
+    audited = {k: v for k, v in out.items() if FOUND in v and k != "id_candidates"}
+    return out | {k: v.replace(FOUND, SEARCHED) for k, v in audited.items()} | {f"{k}_by_id": v for k, v in audited.items()}

@@ -29,9 +29,9 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def either(f):
-    """Registers ``f`` by identifiers alone, as its SQL has it, and with the title search as ``<name>_with_search``."""
-    _QUERIES[f.__name__] = lambda spark, d: f(spark, d, True)
-    _QUERIES[f"{f.__name__}_with_search"] = lambda spark, d: f(spark, d, False)
+    """Registers ``f`` over the whole audit, and over candidates by identifiers alone as ``<name>_by_id``."""
+    _QUERIES[f.__name__] = lambda spark, d: f(spark, d, False)
+    _QUERIES[f"{f.__name__}_by_id"] = lambda spark, d: f(spark, d, True)
     return f
 
 
@@ -106,19 +106,9 @@ def id_candidates(spark, d):
     return linkage.by_id(view(spark, d, "refs_v"), view(spark, d, "works_v")).select(*KEY, "w.source", "w.source_id").distinct()
 
 
-def _searched(spark: SparkSession, d: str, terms: int | None = None) -> DataFrame:
-    return linkage.title_search(view(spark, d, "refs_v"), view(spark, d, "works_v"), terms=terms).select(*KEY, "w.source", "w.source_id", "shared")
-
-
-@query
-def title_search(spark, d):
-    """By the rarest terms alone, as its SQL has it."""
-    return _searched(spark, d, linkage.SEARCH_TERMS)
-
-
 @query
 def title_search_all_terms(spark, d):
-    return _searched(spark, d)
+    return linkage.title_search(view(spark, d, "refs_v"), view(spark, d, "works_v")).select(*KEY, "w.source", "w.source_id", "shared")
 
 
 @either

@@ -6,6 +6,10 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Rows of a few short columns that are few enough to be sent to all tasks.
+BROADCAST_ROWS = 500_000
 
 
 def workspace(spark: SparkSession) -> str:
@@ -28,3 +32,8 @@ def kept(df: DataFrame, name: str) -> DataFrame:
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def measured(table: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """A written table of short rows, sent to all tasks by joins where it is counted to be small."""
+    return F.broadcast(table) if table.count() <= rows else table

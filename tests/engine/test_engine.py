@@ -13,6 +13,7 @@ from citeloom.functions import similarity as sim
 from citeloom.functions import styles
 from citeloom.functions import text as t
 from citeloom.operators import entries, intext, linkage, verify
+from citeloom.operators import titles as titles_of
 from citeloom.plans import registry
 from citeloom.schema import REFS, WORKS
 from citeloom.sources import access, catalog, files, sinks
@@ -360,7 +361,7 @@ def test_queries_match_sql(spark):
         con.sql(f"create view {name} as select * from '{SF}/{name}.parquet'")
     queries = registry.queries()
     for name, statement in registry.oracle_sql().items():
-        if name in ("audit_strict", "audit_relaxed", "record_scores", "corroborators") or (name.endswith("_with_search") and name != "audit_results_with_search"):
+        if name.endswith("_by_id") or name in ("audit_strict", "audit_relaxed", "record_scores", "corroborators", "audit_tier_counts", "title_ratio", "best_record"):
             continue  # the same plans as their neighbours
         got = queries[name](spark, SF)
         columns = sorted(got.columns)
@@ -370,7 +371,7 @@ def test_queries_match_sql(spark):
 
 def test_registered_search_finds_records_of_wrong_dois(spark):
     queries = registry.queries()
-    by_id, whole = ({(r.doc_id, r.ref_idx) for r in queries[n](spark, SF).select("doc_id", "ref_idx").collect()} for n in ("best_record", "best_record_with_search"))
+    by_id, whole = ({(r.doc_id, r.ref_idx) for r in queries[n](spark, SF).select("doc_id", "ref_idx").collect()} for n in ("best_record_by_id", "best_record"))
     # class 3: a DOI that nobody has; those without other identifiers
     wrong = {(i - i % 10, i % 10 + 1) for i in range(200) if i % 12 == 3 and i % 10 not in (4, 9) and i % 40 != 21}
     assert not wrong & by_id and wrong <= whole and by_id <= whole
@@ -391,7 +392,10 @@ def brute_search(refs, works, limit=5):
     return out
 
 
-def test_title_search_counts_all_terms(spark):
+@pytest.mark.parametrize("span,rare,first,visits", [(1024, 64, 4, 20_000), (7, 2, 1, 3), (7, 0, 1, 5)])
+def test_title_search_counts_all_terms(spark, monkeypatch, span, rare, first, visits):
+    for name, value in (("RANGE", span), ("RARE", rare), ("FIRST", first), ("VISITS", visits)):
+        monkeypatch.setattr(titles_of, name, value)
     r = random.Random(3)
     some = [f"word{c}" for c in "abcdefghijklmnop"]
     works = [{"source": r.choice(["crossref", "openalex", "semantic_scholar", "arxiv"]), "title": " ".join(r.choice(some[: r.choice([5, 16])]) for _ in range(r.randint(1, 9))), "year": r.randint(2000, 2003), "authors": []} for _ in range(300)]
@@ -404,3 +408,27 @@ def test_title_search_counts_all_terms(spark):
     got = {(x.ref_idx, x.source, x.source_id, x.shared) for x in got.select("ref_idx", "w.source", "w.source_id", "shared").collect()}
     assert got == brute_search(refs, works)
     assert (len(titles), "crossref", "crossref-300", 8) in got
+
+
+def test_title_search_with_a_word_in_every_title(spark, monkeypatch):
+    """No pair of title and record is made by the common word: a visit returns a range's best only, and is split over tasks."""
+    for name, value in (("RANGE", 50), ("RARE", 4), ("VISITS", 20)):
+        monkeypatch.setattr(titles_of, name, value)
+    made = []
+    kept = titles_of.kept
+    monkeypatch.setattr(titles_of, "kept", lambda df, name: made.append((name, kept(df, name))) or made[-1][1])
+    works = [{"source": "crossref", "title": f"common own{i}", "year": 1990 + i % 30, "authors": []} for i in range(1000)]
+    refs = [{"title": f"common own{7 * i}", "year": 2000, "ref_idx": i + 1, "authors": []} for i in range(120)]
+    got = linkage.title_search(refs_of(spark, *refs), works_of(spark, *works)).select("ref_idx", "w.title", "w.year", "shared").collect()
+    assert len(got) == 600 and {(x.ref_idx, x.title) for x in got if x.shared == 2} == {(x["ref_idx"], x["title"]) for x in refs}
+    assert all(x.year == 2000 for x in got if x.shared == 1)
+    rows = {name: [df.count() for n, df in made if n == name] for name in ("title-visits", "title-hits")}
+    assert sum(rows["title-visits"]) < 120 * 20 and all(h <= 5 * v for h, v in zip(rows["title-hits"], rows["title-visits"]))
+
+
+def test_title_search_of_repeated_ids_nulls_and_empty_tables(spark):
+    works = [{"source": "crossref", "source_id": "same", "title": "alpha beta gamma", "year": 2000, "authors": []}] * 9 + [{"source": "crossref", "source_id": f"x{i}", "title": "alpha beta", "year": None, "authors": []} for i in range(3)]
+    refs = refs_of(spark, {"title": "alpha beta gamma", "year": None, "ref_idx": 1, "authors": []}, {"title": None, "year": 2000, "ref_idx": 2, "authors": None}, {"title": "", "year": 2000, "ref_idx": 3, "authors": []})
+    found = titles_of.search(refs, works_of(spark, *works))
+    assert sorted((x.ref_idx, x.source_id, x.shared, x.place) for x in found.collect()) == [(1, "same", 3, 1), (1, "x0", 2, 2), (1, "x1", 2, 3), (1, "x2", 2, 4)]
+    assert titles_of.search(refs, works_of(spark).limit(0)).count() == titles_of.search(refs.limit(0), works_of(spark, *works)).count() == 0
