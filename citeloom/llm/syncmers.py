@@ -10,7 +10,8 @@ one anchor only, if its hash is in the other). Likeness is the Jaccard index of
 ones over all of both, repeated ones as often as they stand; ``aligned`` gives the shift at which
 most anchors match.
 
-Defined cases: a text shorter than k is one anchor by its own hash; null and empty texts have the
+Defined cases: a text without a closed syncmer (all shorter than k, some of up to 38 characters) is one anchor by
+its own hash; null and empty texts have the
 empty fingerprint, which is like itself (1) and unlike any other (0); equal texts have equal
 fingerprints; documents that repeat an id follow each other in order of their text; an empty
 table gives no rows; only id and text are read.
@@ -52,14 +53,19 @@ def smer_hashes(codes: np.ndarray) -> np.ndarray:
         return _mix(x)
 
 
+def own_anchor(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A whole text as one anchor."""
+    own = int.from_bytes(hashlib.blake2b(codes.tobytes(), digest_size=4).digest(), "little")
+    return np.array([own], np.uint32), np.zeros(1, np.int64)
+
+
 def anchors(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Hash (32 bits) and position of the text's closed syncmers."""
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    if not len(codes):
+        return np.zeros(0, np.uint32), np.zeros(0, np.int64)
     if len(codes) < K:
-        if not len(codes):
-            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
-        own = int.from_bytes(hashlib.blake2b(codes.tobytes(), digest_size=4).digest(), "little")
-        return np.array([own], np.uint32), np.zeros(1, np.int64)
+        return own_anchor(codes)
     with np.errstate(over="ignore"):
         smers = smer_hashes(codes)
         n = K - S + 1  # s-mers of a k-mer
@@ -69,6 +75,8 @@ def anchors(text: str) -> tuple[np.ndarray, np.ndarray]:
         least = np.minimum(least[:-1], least[1:])  # of 17
         ends = len(smers) - n + 1
         at = np.flatnonzero((smers[:ends] == least) | (smers[n - 1 :] == least))
+        if not len(at):  # up to 38 characters may hold no closed syncmer
+            return own_anchor(codes)
         hashes = _mix(smers[at] + smers[at + S] * np.uint64(0x9E3779B97F4A7C15) + smers[at + 2 * S] * np.uint64(0xC2B2AE3D27D4EB4F))
     return (hashes >> np.uint64(32)).astype(np.uint32), at
 

@@ -564,6 +564,18 @@ def test_syncmers_find_a_short_passage_in_long_texts():
             assert all((p == q).all() for p, q in zip(syncmers.read(syncmers.written(x)), x))
 
 
+def test_every_text_has_an_anchor():
+    """Of lengths 1 to 60: different texts are never alike by having no anchor, equal ones always are."""
+    r = random.Random(12)
+    for n in range(1, 61):
+        some = {"".join(r.choice("abcdefgh ") for _ in range(n)) for _ in range(40)}
+        prints = {x: syncmers.fingerprint(x) for x in some}
+        assert all(len(p[0]) for p in prints.values())
+        for x in some:
+            assert syncmers.likeness(prints[x], syncmers.fingerprint(x)) == 1
+            assert n < 3 or sum(syncmers.likeness(prints[x], prints[y]) == 1 for y in some) == 1
+
+
 def test_closed_syncmer_rule():
     """By the definition: an s-mer hash depends on its s code points alone; a k-mer is chosen if the least of its
     k - s + 1 is at an edge; an anchor's hash depends on its k-mer alone."""
