@@ -75,15 +75,18 @@ def anchors(text: str) -> tuple[np.ndarray, np.ndarray]:
         least = np.minimum(least[:-1], least[1:])  # of 17
         ends = len(smers) - n + 1
         at = np.flatnonzero((smers[:ends] == least) | (smers[n - 1 :] == least))
-        if not len(at):  # up to 38 characters may hold no closed syncmer
-            return own_anchor(codes)
         hashes = _mix(smers[at] + smers[at + S] * np.uint64(0x9E3779B97F4A7C15) + smers[at + 2 * S] * np.uint64(0xC2B2AE3D27D4EB4F))
     return (hashes >> np.uint64(32)).astype(np.uint32), at
 
 
 def fingerprint(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """All anchors in order of position: hashes and positions."""
-    return anchors(text or "")
+    """All anchors in order of position: hashes and positions. Every text but the empty one has some: up to 38 characters
+    may hold no closed syncmer, and then are one anchor as a whole."""
+    text = text or ""
+    found = anchors(text)
+    if len(found[0]) or not text:
+        return found
+    return own_anchor(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32))
 
 
 def written(print_: tuple[np.ndarray, np.ndarray]) -> str:
