@@ -63,30 +63,58 @@ def strip_chars(column: Column, chars: str) -> Column:
     return F.rtrim(column, F.lit(chars))
 
 
+#: Letters of the Latin script end here; a class asks first whether a character lies above.
+LATIN = 0x24F
+
+
+def _class(codes: list[int]) -> str:
+    """Sorted code points as a pattern's character class, without its outer brackets. Characters up to ``LATIN`` are told
+    by one comparison from the many ranges above."""
+
+    def ranges(some: list[int]) -> str:
+        out: list[list[int]] = []
+        for code in some:
+            if out and code == out[-1][1] + 1:
+                out[-1][1] = code
+            else:
+                out.append([code, code])
+        return "".join(rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in out)
+
+    return ranges([c for c in codes if c <= LATIN]) + rf"[\x{{{LATIN + 1:X}}}-\x{{10FFFF}}&&[{ranges([c for c in codes if c > LATIN])}]]"
+
+
 @cache
-def _marks() -> tuple[str, str, list[tuple[str, str]]]:
-    """Letters that decompose to one base letter and marks, and those that become several letters."""
-    one, base, several = [], [], []
-    for code in range(0xA0, min(sys.maxunicode, 0xFFFF)):
+def _marks() -> tuple[str, str, str, str, str]:
+    """Characters that decompose to one other and marks, and what to; classes of those that become several characters, letters
+    or digits among them (what else they become is dropped like themselves), and of combining marks; the several, as a map's text.
+    Decomposed syllables of Hangul hold no character that any normal form here keeps, so they stay whole."""
+    one, base, several, marks = [], [], [], []
+    for code in range(0xA0, sys.maxunicode + 1):
         c = chr(code)
-        if 0xAC00 <= code <= 0xD7A3 or not c.isalpha():
+        if 0xAC00 <= code <= 0xD7A3 or 0xD800 <= code <= 0xDFFF:
             continue
         plain = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
-        if plain != c and len(plain) == 1:
+        if not plain:
+            marks.append(code)
+        elif plain != c and len(plain) == 1:
             one.append(c)
             base.append(plain)
-        elif plain != c and 1 < len(plain) <= 3 and plain.isascii() and unicodedata.name(c).startswith("LATIN SMALL LIGATURE"):
-            several.append((c, plain))
-    return "".join(one), "".join(base), several
+        elif plain != c and any(x.isascii() and (x.isalnum() or x in " <>") for x in plain):
+            several.append((code, plain))
+    told = "\x01".join(f"{chr(code)}\x02{plain}" for code, plain in several)
+    return "".join(one), "".join(base), _class([code for code, _ in several]), _class(marks), told
 
 
 def strip_accents(column: Column) -> Column:
-    """Compatibility decomposition without combining marks, for letters."""
-    one, base, several = _marks()
+    """Compatibility decomposition without combining marks, over all planes. Built-in functions only; the character by
+    character way is taken by texts that hold a character which becomes several."""
+    one, base, several, marks, told = _marks()
     out = F.translate(text(column), one, base)
-    for c, plain in several:
-        out = F.replace(out, F.lit(c), F.lit(plain))
-    return F.regexp_replace(out, r"\p{M}+", "")
+    pieces = F.regexp_extract_all(out, F.lit(f"([{several}]|(?:(?![{several}])(?s:.))+)"), F.lit(1))
+    mapped = F.str_to_map(F.lit(told), F.lit("\x01"), F.lit("\x02"))
+    spelled = F.array_join(F.transform(pieces, lambda p: F.coalesce(F.try_element_at(mapped, p), p)), "")
+    out = F.when(out.rlike(f"[{several}]"), spelled).otherwise(out)
+    return F.regexp_replace(out, f"[{marks}]+", "")
 
 
 def _folded(column: Column) -> Column:

@@ -243,6 +243,7 @@ def oracle_sql() -> dict[str, str]:
     tiers = "(VALUES ('hallucinated'), ('partial'), ('verified_with_style_edits'), ('verified_via_url'), ('verified')) AS v(confidence)"
     out = {
         "normalize_title_docs": f"SELECT doc_id, md5({title('text')}) AS title_md5 FROM documents",
+        "normalize_compatible_docs": f"SELECT doc_id, md5({title('text')}) AS title_md5 FROM documents",
         "normalize_names": sql(f"SELECT doc_id, ref_idx, n, {surname('family')} AS surname, {institution_key('family')} AS institution_key, {institution('family')} AS institutional, upper(trim(given)[1:1]) AS initial FROM (SELECT doc_id, ref_idx, CAST(generate_subscripts(string_split(authors, ';'), 1) AS INT) AS n, split_part(unnest(string_split(authors, ';')), '|', 1) AS family, split_part(unnest(string_split(authors, ';')), '|', 2) AS given FROM refs_v)"),
         "journal_match": sql(f"SELECT doc_id, {journal('short_journal')} AS short_key, {journal('journal')} AS full_key, {abbreviates('short_journal', 'journal')} AS abbreviates, {abbreviates('journal', 'volume')} AS with_volume FROM base"),
         "reputable_hosts": f"SELECT page_id, ({reputable}) AS reputable FROM pages",

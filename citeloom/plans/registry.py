@@ -12,7 +12,8 @@ from ..functions import styles
 from ..functions import text as t
 from ..operators import entries, intext, linkage, verify
 from ..sources import sinks
-from . import oracle, oracle_reports, oracle_styles
+from ..tables import kept
+from . import oracle, oracle_reports, oracle_styles, records
 from .views import view
 
 KEY = linkage.KEY
@@ -49,6 +50,15 @@ def normalize_title_docs(spark, d):
     return _read(spark, d, "documents").select("doc_id", F.md5(t.normalize_title(F.col("text"))).alias("title_md5"))
 
 
+@query
+def normalize_compatible_docs(spark, d):
+    """As ``normalize_title_docs`` of texts whose digits are subscripts and whose small letters are full-width: the same keys."""
+    small = "abcdefghijklmnopqrstuvwxyz"
+    wide = "".join(chr(ord(c) + 0xFEE0) for c in small)
+    text = F.translate("text", small + "0123456789", wide + "".join(chr(0x2080 + k) for k in range(10)))
+    return _read(spark, d, "documents").select("doc_id", F.md5(t.normalize_title(F.replace(text, F.lit("ｆｉ"), F.lit("ﬁ")))).alias("title_md5"))
+
+
 @query
 def normalize_names(spark, d):
     a = view(spark, d, "refs_v").select(*KEY, F.posexplode("authors").alias("p", "a"))
@@ -180,7 +190,7 @@ def intext_citations(spark, d):
 
 
 def _cited(spark, d) -> tuple[DataFrame, DataFrame]:
-    return intext.intext(view(spark, d, "body_v"), body="body"), view(spark, d, "refs_v")
+    return kept(intext.intext(view(spark, d, "body_v"), body="body"), "citations"), view(spark, d, "refs_v")
 
 
 @query
@@ -276,8 +286,8 @@ def api_breaker(spark, d):
 
 
 def queries() -> dict:
-    return dict(_QUERIES)
+    return _QUERIES | records.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: v for k, v in (oracle.oracle_sql() | oracle_styles.style_sql() | oracle_styles.intext_sql() | oracle_reports.oracle_sql()).items() if k in _QUERIES}
+    return {k: v for k, v in (oracle.oracle_sql() | oracle_styles.style_sql() | oracle_styles.intext_sql() | oracle_reports.oracle_sql() | records.oracle_sql()).items() if k in queries()}

@@ -7,6 +7,7 @@ import os
 import re
 import zipfile
 from collections.abc import Iterator
+from functools import reduce
 from xml.etree import ElementTree
 
 import pyarrow as pa
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 from ..functions import text as t
 from ..operators import entries, intext
 from ..schema import INTEXT
+from . import bibliography
 
 # ---- fixed names of the formats
 BIBTEX_TYPES = {"article": "journal-article", "book": "book", "conference": "proceedings-article", "incollection": "book-chapter", "inproceedings": "proceedings-article", "mastersthesis": "thesis", "misc": "unknown", "phdthesis": "thesis", "techreport": "report"}
@@ -47,37 +49,25 @@ def _map(names: dict[str, str], key: Column) -> Column:
     return F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for kv in names.items() for x in kv)), key), F.lit("unknown"))
 
 
-def read_texts(spark: SparkSession, path: str) -> DataFrame:
+def read_texts(spark: SparkSession, path: str | list[str], glob: str | None = None) -> DataFrame:
     """doc_id (hash of the path), path, text: one row for each text or Markdown file."""
-    rows = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("text"))
+    rows = spark.read.text(path, wholetext=True, pathGlobFilter=glob).select(F.input_file_name().alias("path"), F.col("value").alias("text"))
     return rows.select(F.xxhash64("path").alias("doc_id"), "path", "text")
 
 
-def from_texts(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """References and in-text citations of documents (doc_id, text)."""
-    parsed = entries.parse_entries(entries.entries(docs)).select(*REF_COLUMNS)
+def from_texts(docs: DataFrame, backends: dict[str, DataFrame] | None = None, parser: str = "auto") -> tuple[DataFrame, DataFrame]:
+    """References and in-text citations of documents (doc_id, text), by the chosen parser (``parse``)."""
+    parsed = parse(entries.entries(docs), backends, parser)
     bodies = docs.select("doc_id", entries.body_text(F.col("text")).alias("body"))
     return parsed, intext.intext(bodies, body="body")
 
 
-def from_bibtex(docs: DataFrame) -> DataFrame:
-    """Entries of BibTeX texts (doc_id, text). Braces may nest to four levels in an entry."""
-    inner = "[^{}]*"
-    for _ in range(4):
-        inner = rf"[^{{}}]*(?:\{{{inner}\}}[^{{}}]*)*"
-    rows = docs.select("doc_id", F.posexplode(F.regexp_extract_all(t.text(F.col("text")), F.lit(rf"(?s)(@\w+\s*\{{{inner}\}})"), F.lit(1))).alias("pos", "raw_text"))
-    rows = rows.withColumn("kind", F.lower(F.regexp_extract("raw_text", r"^@(\w+)", 1))).where(~F.col("kind").isin("comment", "string", "preamble"))
-
-    def field(name: str) -> Column:
-        braced = F.regexp_extract("raw_text", rf"(?is)[,{{\s]{name}\s*=\s*\{{({inner})\}}", 1)
-        other = F.regexp_extract("raw_text", rf"(?is)[,{{\s]{name}\s*=\s*(?:\"([^\"]*)\"|(\w+))", 1)
-        bare = F.regexp_extract("raw_text", rf"(?is)[,{{\s]{name}\s*=\s*(\w+)", 1)
-        return F.trim(F.regexp_replace(F.coalesce(t.nullif(braced), t.nullif(other), bare), r"\s+", " "))
-
+def _bibtex_refs(rows: DataFrame) -> DataFrame:
+    """Reference rows from entries (doc_id, ref_idx, kind, raw_text, fields)."""
+    field = lambda name: t.text(F.try_element_at("fields", F.lit(name)))
     either = lambda a, b: F.coalesce(t.nullif(field(a)), field(b))
     doi = F.coalesce(t.nullif(t.doi_of(field("doi"))), F.lower(field("doi")))
     people = F.filter(F.split(field("author"), " and "), lambda a: F.trim(a) != "")
-    rows = rows.withColumn("ref_idx", (F.col("pos") + 1).cast("int"))
     return _refs(rows, {
         "raw_text": F.col("raw_text"), "title": F.trim(F.btrim(field("title"), F.lit("{}"))), "year": t.year_of(field("year")), "container_title": either("journal", "booktitle"), "volume": field("volume"),
         "issue": either("number", "issue"), "pages": F.replace(field("pages"), F.lit("--"), F.lit("-")), "publisher": field("publisher"), "doi": doi, "url": field("url"),
@@ -85,21 +75,47 @@ def from_bibtex(docs: DataFrame) -> DataFrame:
     })
 
 
-def from_ris(docs: DataFrame) -> DataFrame:
-    """Records of RIS texts (doc_id, text): lines of tags up to ER."""
-    rows = docs.select("doc_id", F.posexplode(F.filter(F.split(t.text(F.col("text")), r"(?m)^ER  -.*$"), lambda r: r.rlike(r"(?m)^TY  - "))).alias("pos", "raw_text"))
-    rows = rows.withColumn("ref_idx", (F.col("pos") + 1).cast("int"))
+def _by_text(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("doc_id", F.col("owner").cast("long"))
+
+
+def _by_file(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("doc_id", F.xxhash64("owner"))
+
+
+def from_bibtex(docs: DataFrame) -> DataFrame:
+    """References of whole BibTeX texts (doc_id, text), numbered without gaps; broken entries are left out."""
+    return _bibtex_refs(_by_text(bibliography.bibtex_in_texts(docs)[0]))
+
+
+def read_bibtex(spark: SparkSession, path: str | list[str], glob: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """References of BibTeX files, read by splits, and the broken entries (owner, block, place, kind, raw_text, error)."""
+    found, broken = bibliography.bibtex_in_files(spark, path, glob)
+    return _bibtex_refs(_by_file(found)), broken
+
+
+def _ris_refs(rows: DataFrame) -> DataFrame:
     every = lambda tag: F.regexp_extract_all("raw_text", F.lit(rf"(?m)^{tag}  - ?(.*?)\s*$"), F.lit(1))
     one = lambda name: t.text(F.coalesce(*(t.nullif(t.text(F.try_element_at(every(tag), F.lit(1)))) for tag in RIS_FIELDS[name])))
     first, last = one("first"), one("last")
     people = F.concat(every("AU"), every("A1"))
     return _refs(rows, {
-        "raw_text": F.trim("raw_text"), "title": one("title"), "year": t.year_of(one("year")), "container_title": one("journal"), "volume": one("volume"), "issue": one("issue"),
+        "raw_text": F.col("raw_text"), "title": one("title"), "year": t.year_of(one("year")), "container_title": one("journal"), "volume": one("volume"), "issue": one("issue"),
         "pages": F.when((first != "") & (last != ""), F.concat(first, F.lit("-"), last)).otherwise(first), "doi": F.lower(one("doi")), "publisher": one("publisher"), "url": one("url"),
         "authors": F.transform(F.filter(people, lambda a: a != ""), lambda a: t.author_of(F.rtrim(F.trim(a), F.lit(",.;")))), "type": _map(RIS_TYPES, t.text(F.try_element_at(every("TY"), F.lit(1)))),
     })
 
 
+def from_ris(docs: DataFrame) -> DataFrame:
+    """References of whole RIS texts (doc_id, text)."""
+    return _ris_refs(_by_text(bibliography.ris_in_texts(docs)))
+
+
+def read_ris(spark: SparkSession, path: str | list[str], glob: str | None = None) -> DataFrame:
+    """References of RIS files, read by splits."""
+    return _ris_refs(_by_file(bibliography.ris_in_files(spark, path, glob)))
+
+
 def docx_runs(data: bytes) -> list[tuple[int, str, bool]]:
     """(paragraph, text, superscript) of a .docx file's runs; none where it is not one."""
     try:
@@ -115,7 +131,12 @@ def docx_runs(data: bytes) -> list[tuple[int, str, bool]]:
     return out
 
 
-def read_docx(spark: SparkSession, path: str) -> DataFrame:
+def _binary(spark: SparkSession, path: str | list[str], glob: str | None) -> DataFrame:
+    reader = spark.read.format("binaryFile")
+    return (reader.option("pathGlobFilter", glob) if glob else reader).load(path)
+
+
+def read_docx(spark: SparkSession, path: str | list[str], glob: str | None = None) -> DataFrame:
     """doc_id, path, text, superscripts: paragraphs joined by newlines, and numeric citations in superscript runs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,19 +152,19 @@ def read_docx(spark: SparkSession, path: str) -> DataFrame:
                 marks.append([f"[{x}]" for x in dict.fromkeys(found)])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(marks, pa.list_(pa.string()))], names=["path", "text", "superscripts"])
 
-    rows = spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "path string, text string, superscripts array<string>")
+    rows = _binary(spark, path, glob).select("path", "content").mapInArrow(run, "path string, text string, superscripts array<string>")
     return rows.select(F.xxhash64("path").alias("doc_id"), "path", "text", "superscripts")
 
 
-def from_docx(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def from_docx(docs: DataFrame, backends: dict[str, DataFrame] | None = None, parser: str = "auto") -> tuple[DataFrame, DataFrame]:
     """As ``from_texts``, with superscript citations after the others, each string once."""
-    refs, cited = from_texts(docs.select("doc_id", "text"))
+    refs, cited = from_texts(docs.select("doc_id", "text"), backends, parser)
     more = docs.select("doc_id", F.posexplode("superscripts").alias("pos", "raw")).withColumn("pos", (F.col("pos") + 1_000_000).cast("int"))
     more = more.join(cited.select("doc_id", "raw"), ["doc_id", "raw"], "left_anti").withColumns(intext.parse_citation(F.col("raw")))
     return refs, cited.unionByName(more.select(*cited.columns))
 
 
-def read_pdf(spark: SparkSession, path: str) -> DataFrame:
+def read_pdf(spark: SparkSession, path: str | list[str], glob: str | None = None) -> DataFrame:
     """doc_id, path, text, error of PDF files, page by page; needs pdfplumber on the executors. A file that
     cannot be read has an empty text and says why in error."""
 
@@ -152,7 +173,7 @@ def read_pdf(spark: SparkSession, path: str) -> DataFrame:
             got = [pdf_text(data.as_py()) for data in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x for x, _ in got], pa.string()), pa.array([e for _, e in got], pa.string())], names=["path", "text", "error"])
 
-    rows = spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "path string, text string, error string")
+    rows = _binary(spark, path, glob).select("path", "content").mapInArrow(run, "path string, text string, error string")
     return rows.select(F.xxhash64("path").alias("doc_id"), "path", "text", "error")
 
 
@@ -186,21 +207,25 @@ def from_parser_records(rows: DataFrame, column: str = "value") -> DataFrame:
 
 
 def from_tei(rows: DataFrame, column: str = "value") -> DataFrame:
-    """Reference rows from TEI biblStruct elements as XML (doc_id, ref_idx, column), by XPath functions."""
+    """Reference rows from TEI biblStruct elements as XML (doc_id, ref_idx, column), by XPath functions; those without
+    title and authors are left out."""
     x = F.regexp_replace(F.col(column), r'\sxmlns(:\w+)?="[^"]*"', "")
     rows = rows.withColumn("__x", x)
     at = lambda path: F.trim(t.text(F.xpath_string("__x", F.lit(path))))
     either = lambda a, b: F.coalesce(t.nullif(at(a)), at(b))
-    given = F.xpath("__x", F.lit("//author/persName[surname]/forename[1]/text()"))
-    family = F.xpath("__x", F.lit("//author/persName/surname/text()"))
-    authors = F.transform(family, lambda f, i: t.author(F.trim(f), F.when(F.size(given) == F.size(family), F.trim(t.text(F.try_element_at(given, i + 1)))).otherwise("")))
+    # names one by one: a person's own forename, or none
+    inside = lambda p, tag: F.trim(t.text(F.regexp_extract(p, rf"<{tag}\b[^>]*>([^<]*)", 1)))
+    plain = lambda c: F.replace(F.replace(F.replace(c, F.lit("&lt;"), F.lit("<")), F.lit("&gt;"), F.lit(">")), F.lit("&amp;"), F.lit("&"))
+    people = F.flatten(F.transform(F.regexp_extract_all("__x", F.lit(r"(?s)<author\b[^>]*>(.*?)</author>"), F.lit(1)), lambda a: F.regexp_extract_all(a, F.lit(r"(?s)<persName\b[^>]*>(.*?)</persName>"), F.lit(1))))
+    authors = F.filter(F.transform(people, lambda p: t.author(plain(inside(p, "surname")), plain(inside(p, "forename")))), lambda a: a["family"] != "")
     page = at("//biblScope[@unit='page']")
     ends = F.concat(at("//biblScope[@unit='page']/@from"), F.lit("-"), at("//biblScope[@unit='page']/@to"))
-    return _refs(rows, {
+    out = _refs(rows, {
         "authors": authors, "title": either("//title[@level='a']", "//title"), "year": F.regexp_extract(either("//date[@type='published']/@when", "//date[@type='published']"), r"^(\d{4})", 1).try_cast("int"),
         "container_title": either("//title[@level='j']", "//title[@level='m']"), "volume": at("//biblScope[@unit='volume']"), "issue": at("//biblScope[@unit='issue']"),
-        "pages": F.when(page != "", page).when(F.length(ends) > 1, ends), "doi": F.lower(at("//idno[@type='DOI']")), "type": F.lit("unknown"), "raw_text": F.lit(""),
+        "pages": F.when(page != "", page).when(F.length(ends) > 1, ends), "doi": F.lower(at("//idno[@type='DOI']")), "type": F.lit("unknown"), "url": at("//ptr/@target"), "raw_text": F.col(column),
     })
+    return out.where((F.col("title") != "") | (F.size("authors") > 0))
 
 
 def backfill(parsed: DataFrame, raw: DataFrame) -> DataFrame:
@@ -230,32 +255,49 @@ def parse(raw: DataFrame, backends: dict[str, DataFrame] | None = None, choice:
     return backfill(backends[found], raw)
 
 
-def _some(files: DataFrame, kinds: str) -> DataFrame:
-    suffix = F.lower(F.regexp_extract("path", r"(\.[A-Za-z]+)$", 1))
-    known = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for kv in READERS.items() for x in kv)), suffix), F.lit("text"))
-    return files.where(known == kinds)
-
-
-def read(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """References and in-text citations of the files under a path, each by its own suffix; everything but .pdf,
-    .docx, .bib and .ris is text. Readers whose suffix no file has are left out."""
-    listed = spark.read.format("binaryFile").load(path).select("path")
-    suffix = F.lower(F.regexp_extract("path", r"(\.[A-Za-z]+)$", 1))
-    kinds = {READERS.get(r.s, "text") for r in listed.select(suffix.alias("s")).distinct().collect()}
-    refs, cited = None, None
-
-    def add(more: tuple[DataFrame, DataFrame | None]) -> None:
-        nonlocal refs, cited
-        refs = more[0] if refs is None else refs.unionByName(more[0])
-        if more[1] is not None:
-            cited = more[1] if cited is None else cited.unionByName(more[1])
-
-    if kinds & {"text", "bibtex", "ris"} or not kinds:
-        texts = read_texts(spark, path)
-        for kind, reader in (("text", from_texts), ("bibtex", lambda x: (from_bibtex(x), None)), ("ris", lambda x: (from_ris(x), None))):
-            if kind in kinds or (not kinds and kind == "text"):
-                add(reader(_some(texts, kind)))
-    for kind, load, reader in (("docx", read_docx, from_docx), ("pdf", read_pdf, from_texts)):
-        if kind in kinds:
-            add(reader(_some(load(spark, path), kind)))
-    return refs, spark.createDataFrame([], INTEXT) if cited is None else cited
+def _globs(spark: SparkSession, path: str | list[str]) -> dict[str, str | None]:
+    """Kind of reader and the glob of its files' suffixes, for the kinds that are there; files without a suffix are
+    texts, for which there is no glob (None)."""
+    listed = spark.read.format("binaryFile").load(path).select(F.regexp_extract("path", r"(\.[A-Za-z]+)$", 1).alias("s"))
+    kinds: dict[str, list[str]] = {}
+    for r in listed.distinct().collect():
+        kinds.setdefault(READERS.get(r.s.lower(), "text"), []).append(r.s)
+    return {kind: None if "" in suffixes else "*{" + ",".join(sorted(suffixes)) + "}" for kind, suffixes in kinds.items()}
+
+
+def _texts(spark: SparkSession, path: str | list[str], glob: str | None) -> DataFrame:
+    texts = read_texts(spark, path, glob)
+    return texts if glob else texts.where(~F.lower(F.regexp_extract("path", r"(\.[A-Za-z]+)$", 1)).isin([*READERS]))
+
+
+def read_documents(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """doc_id, path, text, error of the text, .docx and .pdf files under a path."""
+    globs, none = _globs(spark, path), F.lit(None).cast("string").alias("error")
+    loads = {"text": lambda g: _texts(spark, path, g).withColumn("error", none), "docx": lambda g: read_docx(spark, path, g).drop("superscripts").withColumn("error", none), "pdf": lambda g: read_pdf(spark, path, g)}
+    found = [loads[kind](glob).select("doc_id", "path", "text", "error") for kind, glob in globs.items() if kind in loads]
+    return reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], "doc_id long, path string, text string, error string")
+
+
+def unreadable(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """path, place, error of what under a path cannot be read: PDF files and BibTeX entries."""
+    globs = _globs(spark, path)
+    out = spark.createDataFrame([], "path string, place long, error string")
+    if "pdf" in globs:
+        out = out.unionByName(read_pdf(spark, path, globs["pdf"]).where("error IS NOT NULL").select("path", F.lit(0).cast("long").alias("place"), "error"))
+    if "bibtex" in globs:
+        broken = read_bibtex(spark, path, globs["bibtex"])[1]
+        out = out.unionByName(broken.select(F.col("owner").alias("path"), (F.col("block") + F.col("place")).alias("place"), F.concat_ws(": ", "error", F.substring("raw_text", 1, 80)).alias("error")))
+    return out
+
+
+def read(spark: SparkSession, path: str | list[str], backends: dict[str, DataFrame] | None = None, parser: str = "auto") -> tuple[DataFrame, DataFrame]:
+    """References and in-text citations of the files under a path, each by its own suffix and opened by its own reader only;
+    everything but .pdf, .docx, .bib and .ris is text. ``unreadable`` says what could not be read."""
+    globs = _globs(spark, path)
+    readers = {
+        "text": lambda g: from_texts(_texts(spark, path, g), backends, parser), "bibtex": lambda g: (read_bibtex(spark, path, g)[0], None), "ris": lambda g: (read_ris(spark, path, g), None),
+        "docx": lambda g: from_docx(read_docx(spark, path, g), backends, parser), "pdf": lambda g: from_texts(read_pdf(spark, path, g), backends, parser),
+    }
+    found = [readers[kind](globs[kind]) for kind in readers if kind in globs] or [from_texts(read_texts(spark, path), backends, parser)]
+    cited = [c for _, c in found if c is not None]
+    return reduce(DataFrame.unionByName, [r for r, _ in found]), reduce(DataFrame.unionByName, cited) if cited else spark.createDataFrame([], INTEXT)
