@@ -100,6 +100,9 @@ url_v AS (SELECT concat('https://www.agency', CAST(doc_id AS STRING), '.gov/repo
 """
 
 
+NAMES = ("base", "works_v", "refs_v", "raw_v", "body_v", "paper_v", "doi_v", "url_v")
+
+
 def prefix() -> str:
     return "WITH " + CTES.strip()
 
