@@ -66,7 +66,11 @@ def oracle_sql() -> dict[str, str]:
     choose = lambda g, k, kind: f"CASE WHEN confidence = 'verified_via_url' THEN {g} WHEN known AND confidence <> 'hallucinated' THEN {k} ELSE {_removed(kind)} END"
     snippet = "coalesce(nullif(r_title, ''), nullif(raw_text[1:80], ''), '(no title)')"
     clean = f"""CASE WHEN confidence = 'hallucinated' THEN '[REMOVED — hallucinated entry could not be verified: "' || {snippet} || '"]' WHEN confidence = 'verified_via_url' OR NOT known THEN trim(raw_text) ELSE {expressions()['apa'][0]} END"""
+    # the whole entry where it changes: what an edit script gives when it is rejected, and when it is applied
+    changes = f"""SELECT doc_id, ref_idx, trim(raw_text) AS rejected, {expressions()['apa'][0]} AS applied FROM p WHERE known AND confidence IN ('partial', 'verified_with_style_edits')"""
+    changes = f"SELECT *, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY ref_idx) AS INT) AS nth FROM ({changes}) WHERE rejected <> applied"
     return {
+        "tracked_changes": sql(changes, ctes + PIECES.replace("FROM works_v", "FROM told")),
         "bibtex": sql(f"SELECT doc_id, ref_idx, {choose(grey, entry, 'BibTeX')} AS entry FROM told", ctes),
         "ris": sql(f"SELECT doc_id, ref_idx, {choose(ris_grey, ris, 'RIS')} AS entry FROM told", ctes),
         "clean_bibliography": sql(f"SELECT doc_id, ref_idx, {clean} AS entry FROM p", ctes + PIECES.replace("FROM works_v", "FROM told")),

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import similarity as sim
-from ..functions import styles
+from ..functions import edits, styles
 from ..functions import text as t
 from ..operators import entries, intext, linkage, verify
 from ..sources import sinks
@@ -257,6 +257,13 @@ def clean_bibliography(spark, d):
     return sinks.clean_bibliography(_audit(spark, d), "apa")
 
 
+@query
+def tracked_changes(spark, d):
+    """Each correction as its edit script has it: all changes rejected, and all applied."""
+    rows = sinks.token_changes(_audit(spark, d), "apa").withColumn("nth", F.row_number().over(Window.partitionBy("doc_id").orderBy("ref_idx")))
+    return rows.select(*KEY, edits.with_changes(F.col("edits"), "insert").alias("rejected"), edits.with_changes(F.col("edits"), "delete").alias("applied"), "nth")
+
+
 @query
 def markdown_entries(spark, d):
     return sinks.markdown_entries(_audit(spark, d), "apa")

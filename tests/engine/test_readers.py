@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from citeloom import cli
+from citeloom.functions import edits as edits_of
 from citeloom.functions import text as t
 from citeloom.sources import bibliography, files, sinks
 
@@ -132,3 +133,55 @@ def test_folding_of_every_code_point(spark):
     assert all(map(str.__eq__, rows.surname, (re.sub("[^a-z]+", "", folded(x)) for x in rows.x)))
     some = spark.createDataFrame([("CO₂ capture in H₂O",), ("２０２０ review",), ("x²",), ("𝐀lpha ﬁne",), (None,)], "x string")
     assert [r[0] for r in some.select(t.normalize_title(F.col("x"))).collect()] == ["co2 capture h2o", "2020 review", "x2", "alpha fine", ""]
+
+
+def test_edit_scripts_give_both_texts():
+    from citeloom.functions.edits import script
+
+    r = random.Random(4)
+    word = lambda: r.choice(["a", "bb", "c,", "d.", "é", " ", "  ", "(2)", "J"])
+
+    def common(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            last, row = row, [0]
+            for j, y in enumerate(b):
+                row.append(last[j] + 1 if x == y else max(last[j + 1], row[j]))
+        return row[-1]
+
+    for _ in range(300):
+        a, b = ("".join(word() for _ in range(r.randint(0, 14))) for _ in range(2))
+        got = script(a, b)
+        assert "".join(x for op, x in got if op != "insert") == a and "".join(x for op, x in got if op != "delete") == b
+        assert all(x for _, x in got) and all(p[0] != q[0] for p, q in zip(got, got[1:]))
+        tokens = edits_of.TOKEN.findall
+        assert sum(len(tokens(x)) for op, x in got if op == "keep") >= common(tokens(a), tokens(b)) - 2
+    assert script("Smith, J. (2014). A study.", "Smith, J. (2015). A study.") == [("keep", "Smith, J. ("), ("delete", "2014"), ("insert", "2015"), ("keep", "). A study.")]
+
+
+def test_tracked_changes_by_token(spark):
+    import io
+    import zipfile
+    from xml.etree import ElementTree
+
+    from test_engine import CITED, refs_of, works_of
+
+    from citeloom.operators import verify
+
+    refs = refs_of(spark, CITED | {"year": 2011, "raw_text": "Smith, J. (2011). A Test Paper."}, CITED | {"raw_text": "Smith J, A Test Paper <b> 2020."}, {"raw_text": "Ghost", "title": "None such"})
+    none = spark.createDataFrame([("10.1234/test",)], "doi string"), spark.createDataFrame([], "url string, resolves boolean")
+    results = verify.audit(refs, works_of(spark, {"source": "crossref"}, {"source": "openalex"}), *none).cache()
+    whole = {r.ref_idx: r for r in sinks.tracked_changes(results, "apa").collect()}
+    rows = sorted(sinks.token_changes(results, "apa").collect())
+    assert [r.ref_idx for r in rows] == sorted(whole) == [1, 2]
+    at = 1000
+    for r in rows:
+        assert "".join(e.text for e in r.edits if e.op != "insert") == whole[r.ref_idx].original and "".join(e.text for e in r.edits if e.op != "delete") == whole[r.ref_idx].corrected
+        assert r.rev_id == at and any(e.op == "keep" for e in r.edits)
+        at += sum(e.op != "keep" for e in r.edits)
+    content = sinks.docx_reports(results, "apa", by_token=True).first().content
+    document = zipfile.ZipFile(io.BytesIO(content)).read("word/document.xml").decode()
+    ids = [int(x) for x in re.findall(r'w:id="(\d+)"', document)]
+    assert ids == list(range(1000, at))
+    shown = ["".join(x.text or "" for x in p.iter() if x.tag.endswith("}t")) for p in ElementTree.fromstring(document).iter() if p.tag.endswith("}p")]
+    assert shown == [whole[1].corrected, whole[2].corrected, ""]
