@@ -184,4 +184,4 @@ def test_tracked_changes_by_token(spark):
     ids = [int(x) for x in re.findall(r'w:id="(\d+)"', document)]
     assert ids == list(range(1000, at))
     shown = ["".join(x.text or "" for x in p.iter() if x.tag.endswith("}t")) for p in ElementTree.fromstring(document).iter() if p.tag.endswith("}p")]
-    assert shown == [whole[1].corrected, whole[2].corrected, ""]
+    assert shown == [whole[1].corrected, whole[2].corrected, "Ghost"]
