@@ -19,12 +19,13 @@ JOURNAL_WORDS = {
     "am.": "american", "amer.": "american", "conf": "conference", "conf.": "conference", "int": "international", "int.": "international",
     "j": "journal", "j.": "journal", "natl.": "national", "proc": "proceedings", "proc.": "proceedings", "rev.": "review",
 }
-INSTITUTION_WORDS = """
-academy administration agency alliance association authority board bureau center centers centre college commission
-committee company consortium corporation council court department federation force foundation government group hospital
-initiative institute kingdom league ministry nations network office organisation organization panel project register
-registry republic school service society states task trust union university
-""".split()
+INSTITUTION_WORDS = [
+    "academy", "administration", "agency", "alliance", "association", "authority", "board", "bureau", "center", "centers", "centre",
+    "college", "commission", "committee", "company", "consortium", "corporation", "council", "court", "department", "federation", "force",
+    "foundation", "government", "group", "hospital", "initiative", "institute", "kingdom", "league", "ministry", "nations", "network",
+    "office", "organisation", "organization", "panel", "project", "register", "registry", "republic", "school", "service", "society",
+    "states", "task", "trust", "union", "university",
+]
 CONNECTIVES = ["&", "and", "for", "in", "of", "on", "the", "to"]
 JOURNAL_CONNECTIVES = ["a", "an", "and", "for", "in", "of", "on", "the"]
 NOT_SURNAMES = ["al", "and", "cf", "et", "in", "see", "the"]

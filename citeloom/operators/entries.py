@@ -11,7 +11,6 @@ from ..functions import text as t
 HEADING = r"(?i)^\s*(references|bibliography|works\s+cited|literature\s+cited|citations|reference\s+list)\s*:?\s*$"
 NEXT_HEADING = r"(?i)^\s*(appendix|appendices|supplementary|supporting\s+information|acknowledge?ments?|figures?|tables?|index|notes?|glossary|abbreviations?)\b"
 LETTER_HEADING = r"^\s*[A-Z]\.\s+[A-Z]"
-NUMBERED = r"^\s*(?:\[\d{1,3}\]|\d{1,3}[.)])\s+"
 QUOTED_TITLE = "[\"“]([^\"”]{4,300})[\"”]"
 TITLE_AFTER_YEAR = r"\(\d{4}[a-z]?\)\.\s*([^.]{4,300})\."
 TITLE_AFTER_AUTHORS = r"\.\s+([A-Z][^.]{4,300})\."

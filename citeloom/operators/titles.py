@@ -31,6 +31,9 @@ from ..tables import kept, measured
 
 KEY = ["doc_id", "ref_idx"]
 RANGE, RARE, FIRST, VISITS = 1024, 64, 4, 20_000
+#: Ranges (of some 60 bytes) whose years are sent to all tasks; beyond these, titles that may need ranges without a rare
+#: term meet them by source.
+SPANS = 2_000_000
 #: Years apart where a year is not known.
 UNDATED = 99
 
@@ -209,7 +212,7 @@ def search(refs: DataFrame, works: DataFrame, per_source: int = 5) -> DataFrame:
     apart and id, under the source's own conditions. Titles without a known term, null ids and empty tables have no rows."""
     index = build_index(works)
     asked = asked_titles(refs, term_ranges(index), per_source)
-    spans = measured(kept(index.select("source", "range", "low", "high", "undated"), "title-ranges"))
+    spans = measured(kept(index.select("source", "range", "low", "high"), "title-ranges"), SPANS)
     near = F.when(F.col("year").between(F.col("low"), F.col("high")), 0).otherwise(F.least(F.abs(F.col("year") - F.col("low")), F.abs(F.col("year") - F.col("high"))))
     apart = F.least(F.coalesce(near, F.lit(UNDATED)), F.lit(UNDATED)).cast("int")
     friends = F.when(F.col("source") == "crossref", F.size("names")).otherwise(0)
