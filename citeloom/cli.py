@@ -29,6 +29,7 @@ def _arguments(argv: list[str] | None) -> argparse.Namespace:
     audit.add_argument("--strictness", choices=verify.STRICTNESS, default="default")
     for name in ("strict", "relaxed"):
         audit.add_argument(f"--{name}", dest="strictness", action="store_const", const=name)
+    audit.add_argument("--layout", choices=sinks.LAYOUTS, default="folders")
     audit.add_argument("--this-year", type=int, default=2026)
     audit.add_argument("--dois", help="table of DOIs that resolve (doi)")
     audit.add_argument("--urls", help="table of URLs (url, resolves)")
@@ -72,7 +73,7 @@ def main(argv: list[str] | None = None) -> int:
         checks = {"duplicates": verify.duplicates(results)}
         if not cited.isEmpty():
             checks |= {"orphans": intext.orphans(cited, refs), "unused": intext.unused(cited, refs)}
-        print(sinks.write_all(results, args.style, args.out, sinks.formats_for(args.input, ",".join(args.formats) if args.formats else None), **checks))
+        print(sinks.write_all(results, args.style, args.out, sinks.formats_for(args.input, ",".join(args.formats) if args.formats else None), layout=args.layout, **checks))
         done = spark.read.parquet(f"{args.out}/results")
         verify.tier_counts(done).show(truncate=False)
         none = done.select("doc_id").limit(0)

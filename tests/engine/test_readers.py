@@ -135,6 +135,21 @@ def test_folding_of_every_code_point(spark):
     assert [r[0] for r in some.select(t.normalize_title(F.col("x"))).collect()] == ["co2 capture h2o", "2020 review", "x2", "alpha fine", ""]
 
 
+def test_layouts_hold_the_same_texts(spark, tmp_path):
+    from test_engine import CITED, GREY, refs_of, works_of
+
+    from citeloom.operators import verify
+
+    none = spark.createDataFrame([("10.1234/test",)], "doi string"), spark.createDataFrame([], "url string, resolves boolean")
+    results = verify.audit(refs_of(spark, CITED, GREY), works_of(spark, {"source": "crossref"}), *none)
+    folders = sinks.write_all(results, "apa", f"{tmp_path}/f", ["ris"])
+    table = sinks.write_all(results, "apa", f"{tmp_path}/t", ["ris"], layout="table")
+    rows = [r.value for r in spark.read.parquet(table["ris"]).orderBy("doc_id", "ref_idx").collect()]
+    assert "\n".join(rows).split() == " ".join(r.value for r in spark.read.text(folders["ris"], wholetext=True).collect()).split() and len(rows) == 2
+    with pytest.raises(ValueError):
+        sinks.write_all(results, "apa", f"{tmp_path}/x", layout="odd")
+
+
 def test_edit_scripts_give_both_texts():
     from citeloom.functions.edits import script
 
