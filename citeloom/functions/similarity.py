@@ -52,26 +52,57 @@ def _token_set_ratio():
     return F.pandas_udf(ratio, "double")
 
 
-def with_ratio(rows: DataFrame, name: str, a: Column, b: Column) -> DataFrame:
-    """``rows`` with the token-set ratio of two arrays of tokens, rounded to six places. The sides are columns of
-    their own on the way, so that nothing is worked out twice. What needs no subsequence is decided by built-in
-    functions: no tokens on a side (0), equal sides or one that contains the other (100); for those Python is
-    given nulls. Pairs that repeat in a batch are scored once."""
+def _with_sides(rows: DataFrame, a: Column, b: Column) -> DataFrame:
+    """``rows`` with the common tokens of two arrays (__both), those of each side alone (__p, __q), and whether built-in
+    functions leave the ratio open (__open): both sides have tokens, and none contains the other."""
     tokens = lambda c: F.array_sort(F.array_distinct(F.coalesce(c, F.array().cast("array<string>"))))
     rows = rows.withColumns({"__x": tokens(a), "__y": tokens(b)})
     x, y, both, p, q = (F.col(c) for c in ("__x", "__y", "__both", "__p", "__q"))
     join = lambda c: F.array_join(c, " ")
     rows = rows.withColumns({"__both": join(F.array_intersect(x, y)), "__p": join(F.array_except(x, y)), "__q": join(F.array_except(y, x)), "__none": (F.size(x) == 0) | (F.size(y) == 0)})
     contained = (both != "") & ((p == "") | (q == ""))
-    rows = rows.withColumn("__open", ~F.col("__none") & ~contained)
-    given = lambda c: F.when(F.col("__open"), c)
-    score = F.when(F.col("__none"), 0.0).when(~F.col("__open"), 100.0).otherwise(F.round(F.col("__score"), 6))
-    rows = rows.withColumn("__score", _token_set_ratio()(given(both), given(p), given(q)))
-    return rows.withColumn(name, score).drop("__x", "__y", "__both", "__p", "__q", "__none", "__open", "__score")
+    return rows.withColumn("__open", ~F.col("__none") & ~contained).drop("__x", "__y")
+
+
+def _ratio_at(common: Column) -> Column:
+    """The ratio of open sides whose own tokens had a common subsequence of this length."""
+    n, p, q = (F.length(c) for c in ("__both", "__p", "__q"))
+    joint = F.when(n > 0, 1).otherwise(0)
+    left, right = n + joint + p, n + joint + q
+    with_one = F.when(n > 0, F.greatest(100 * (1 - (joint + p) / (n + left)), 100 * (1 - (joint + q) / (n + right))))
+    return F.round(F.greatest(200.0 * (n + joint + common) / (left + right), F.coalesce(with_one, F.lit(0.0))), 6)
+
 
+def _decided(otherwise: Column) -> Column:
+    return F.when(F.col("__none"), 0.0).when(~F.col("__open"), 100.0).otherwise(otherwise)
 
-def with_title_ratio(rows: DataFrame, name: str, a: Column, b: Column) -> DataFrame:
-    return with_ratio(rows, name, t.title_tokens(a), t.title_tokens(b))
+
+def with_ratio_bounds(rows: DataFrame, least: str, most: str, a: Column, b: Column) -> DataFrame:
+    """``rows`` with bounds of the token-set ratio by built-in functions: no common subsequence of the tokens that differ,
+    and one as long as the shorter side. They are the ratio where it needs no subsequence."""
+    rows = _with_sides(rows, a, b)
+    bounds = {least: _decided(_ratio_at(F.lit(0))), most: _decided(_ratio_at(F.least(F.length("__p"), F.length("__q"))))}
+    return rows.withColumns(bounds).drop("__both", "__p", "__q", "__none", "__open")
+
+
+def with_ratio(rows: DataFrame, name: str, a: Column, b: Column, asked: Column | None = None, least: float = 0.0) -> DataFrame:
+    """``rows`` with the token-set ratio of two arrays of tokens, rounded to six places; null where it is not ``asked`` for,
+    or where lengths show that it is under ``least``. The sides are columns of
+    their own on the way, so that nothing is worked out twice. What needs no subsequence is decided by built-in
+    functions: no tokens on a side (0), equal sides or one that contains the other (100); for those, and where the
+    answer is null, Python is given nulls. Pairs that repeat in a batch are scored once."""
+    rows = _with_sides(rows.withColumn("__asked", F.lit(True) if asked is None else F.coalesce(asked, F.lit(False))), a, b)
+    if least > 0:
+        able = _decided(_ratio_at(F.least(F.length("__p"), F.length("__q")))) >= least
+        rows = rows.withColumn("__asked", F.col("__asked") & able)
+    given = lambda c: F.when(F.col("__asked") & F.col("__open"), F.col(c))
+    rows = rows.withColumn("__score", _token_set_ratio()(given("__both"), given("__p"), given("__q")))
+    score = F.when(F.col("__asked"), _decided(F.round(F.col("__score"), 6)))
+    return rows.withColumn(name, score).drop("__both", "__p", "__q", "__none", "__open", "__asked", "__score")
+
+
+def with_title_ratio(rows: DataFrame, name: str, a: Column, b: Column, asked: Column | None = None, least: float = 0.0) -> DataFrame:
+    return with_ratio(rows, name, t.title_tokens(a), t.title_tokens(b), asked, least)
 
 
 def surname_overlap(a: Column, b: Column) -> Column:

@@ -156,8 +156,8 @@ def audit(refs: DataFrame, works: DataFrame, dois: DataFrame, urls: DataFrame, s
     """One row for each reference: doc_id, ref_idx, parsed, canonical, confidence, score, sources_agreeing,
     discrepancies, style_edits, notes, merged_from, corroborating. ``dois`` (doi) are those that resolve,
     ``urls`` has (url, resolves)."""
-    ranked = linkage.scored(refs, linkage.candidates(refs, works, use_scholarly, skip_search))
-    linked = kept(linkage.merged(linkage.corroboration(ranked)), "merged")
+    found = linkage.candidates(refs, works, use_scholarly, skip_search)
+    linked = kept(linkage.merged(linkage.linked(refs, found)), "merged")
     known = dois.select(F.lower("doi").alias("known_doi")).distinct()
     pages = urls.groupBy(F.col("url").alias("known_url")).agg(F.max("resolves").alias("url_known"))
     rows = refs.join(linked, KEY, "left").join(known, F.lower("doi") == F.col("known_doi"), "left").join(pages, F.col("url") == F.col("known_url"), "left")
@@ -192,7 +192,7 @@ def duplicates(results: DataFrame) -> DataFrame:
     rank, c1, c2 = F.col("rank"), F.col("c1"), F.col("c2")
     pairs = pairs.where((rank < 3) | ((rank == 3) & (sim.surname_overlap(c1["authors"], c2["authors"]) >= linkage.HALF_OF_NAMES)) | ((rank == 4) & (c1.isNull() | c2.isNull())))
     titles = lambda n: F.when(rank == 3, F.col(f"c{n}.title")).when(rank == 4, F.col(f"p{n}"))
-    pairs = sim.with_title_ratio(pairs, "likeness", titles(1), titles(2)).where((rank < 3) | (F.col("likeness") >= NAMED_TITLE))
+    pairs = sim.with_title_ratio(pairs, "likeness", titles(1), titles(2), rank >= 3, NAMED_TITLE).where((rank < 3) | (F.col("likeness") >= NAMED_TITLE))
     reason = (
         F.when(rank == 1, F.concat(F.lit("shared DOI: "), c1["doi"]))
         .when(rank == 2, F.concat(F.lit("shared "), c1["source"], F.lit(" ID: "), c1["source_id"]))
