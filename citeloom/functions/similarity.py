@@ -77,14 +77,6 @@ def _decided(otherwise: Column) -> Column:
     return F.when(F.col("__none"), 0.0).when(~F.col("__open"), 100.0).otherwise(otherwise)
 
 
-def with_ratio_bounds(rows: DataFrame, least: str, most: str, a: Column, b: Column) -> DataFrame:
-    """``rows`` with bounds of the token-set ratio by built-in functions: no common subsequence of the tokens that differ,
-    and one as long as the shorter side. They are the ratio where it needs no subsequence."""
-    rows = _with_sides(rows, a, b)
-    bounds = {least: _decided(_ratio_at(F.lit(0))), most: _decided(_ratio_at(F.least(F.length("__p"), F.length("__q"))))}
-    return rows.withColumns(bounds).drop("__both", "__p", "__q", "__none", "__open")
-
-
 def with_ratio(rows: DataFrame, name: str, a: Column, b: Column, asked: Column | None = None, least: float = 0.0) -> DataFrame:
     """``rows`` with the token-set ratio of two arrays of tokens, rounded to six places; null where it is not ``asked`` for,
     or where lengths show that it is under ``least``. The sides are columns of

@@ -85,79 +85,38 @@ def candidates(refs: DataFrame, works: DataFrame, use_scholarly: bool = False, s
     return found.groupBy(*KEY, F.col("w.source").alias("s"), F.col("w.source_id").alias("i")).agg(F.first("w").alias("w"), F.first("k").alias("k")).drop("s", "i")
 
 
-def _paired(refs: DataFrame, found: DataFrame) -> DataFrame:
-    """Candidates with the reference (r), its keys (rk), the overlap of surnames and whether the DOI is one of a sandbox."""
-    rows = found.join(refs.select(*KEY, F.struct("authors", "title", "year", "doi").alias("r"), _keys(F.col("title"), F.col("authors")).alias("rk")), KEY)
-    return rows.withColumns({"names": sim.overlap(F.col("rk.names"), F.col("k.names")), "sandbox": ~t.missing(F.col("w.doi")) & ~t.real_doi(F.col("w.doi"))})
-
-
-def _score(title_score: str) -> Column:
-    r, w = ({c: F.col(f"{x}.{c}") for c in ("authors", "title", "year", "doi")} for x in ("r", "w"))
-    return sim.record_score(r, w, F.col(title_score), F.col("names"))
-
-
-def _order() -> list[Column]:
-    """Those of a sandbox after all others, by score, by source, by id."""
-    return [F.col("sandbox"), F.desc("score"), source_rank(F.col("w.source")), F.col("w.source_id")]
-
-
 def scored(refs: DataFrame, found: DataFrame) -> DataFrame:
     """Candidates with title_score, score and place (1 is the best). Sandbox DOIs come after all others."""
-    rows = sim.with_ratio(_paired(refs, found), "title_score", F.col("rk.tokens"), F.col("k.tokens")).withColumn("score", _score("title_score"))
-    rows = rows.withColumn("place", F.row_number().over(Window.partitionBy(*KEY).orderBy(*_order())).cast("int"))
-    return kept(rows.drop("r", "rk", "names", "sandbox"), "scored")
-
-
-def contenders(refs: DataFrame, found: DataFrame) -> DataFrame:
-    """Candidates (as ``_paired`` gives them) with contends: whether one may still be the best. Surnames, years and DOIs are
-    scored exactly and the title within bounds; who at its most stays under another at its least is out."""
-    rows = sim.with_ratio_bounds(_paired(refs, found), "least", "most", F.col("rk.tokens"), F.col("k.tokens"))
-    level = lambda ratio: F.struct(~F.col("sandbox"), _score(ratio))
-    return rows.withColumn("contends", level("most") >= F.max(level("least")).over(Window.partitionBy(*KEY)))
-
-
-def linked(refs: DataFrame, found: DataFrame) -> DataFrame:
-    """What ``corroboration(scored(refs, found))`` says of best records and corroborators, and those rows alone. Titles are
-    compared for contenders, for records that agree with the best one in all else, and for corroborators."""
-    rows = sim.with_ratio(contenders(refs, found), "title_score", F.col("rk.tokens"), F.col("k.tokens"), F.col("contends"))
-    rows = rows.withColumn("score", F.when(F.col("contends"), _score("title_score")))
-    first = Window.partitionBy(*KEY).orderBy(F.desc("contends"), *_order())
-    rows = rows.withColumn("place", F.row_number().over(first))
-    rows = _against_best(rows, first.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).where((F.col("place") == 1) | F.col("good"))
-    rows = sim.with_ratio(rows, "later", F.col("rk.tokens"), F.col("k.tokens"), F.col("title_score").isNull())
-    rows = rows.withColumn("title_score", F.coalesce("title_score", "later")).withColumn("score", _score("title_score"))
-    rows = rows.withColumn("place", F.row_number().over(Window.partitionBy(*KEY).orderBy(F.col("place") > 1, *_order())).cast("int"))
-    return _once(rows).drop("r", "rk", "names", "sandbox", "least", "most", "contends", "later")
+    r = {c: F.col(f"r.{c}") for c in ("authors", "title", "year", "doi")}
+    w = {c: F.col(f"w.{c}") for c in ("authors", "title", "year", "doi")}
+    rows = found.join(refs.select(*KEY, F.struct("authors", "title", "year", "doi").alias("r"), _keys(F.col("title"), F.col("authors")).alias("rk")), KEY)
+    rows = sim.with_ratio(rows, "title_score", F.col("rk.tokens"), F.col("k.tokens"))
+    rows = rows.withColumn("score", sim.record_score(r, w, F.col("title_score"), sim.overlap(F.col("rk.names"), F.col("k.names")))).drop("r", "rk")
+    sandbox = ~t.missing(w["doi"]) & ~t.real_doi(w["doi"])
+    place = F.row_number().over(Window.partitionBy(*KEY).orderBy(sandbox, F.desc("score"), source_rank(F.col("w.source")), F.col("w.source_id")))
+    return kept(rows.withColumn("place", place.cast("int")), "scored")
 
 
 def best(ranked: DataFrame) -> DataFrame:
     return ranked.where("place = 1").drop("place")
 
 
-def _against_best(rows: DataFrame, whole) -> DataFrame:
-    """``rows`` with best (the first of ``whole``), likeness to it (null where it can't matter), names_agree and good."""
-    rows = rows.withColumns({"best": F.first("w").over(whole), "bk": F.first("k").over(whole)})
+def corroboration(ranked: DataFrame) -> DataFrame:
+    """Candidates with best (record) and corroborates: like title, near year, and same DOI or common names; each URL once.
+    likeness is null where a record fails in all but the title, or where lengths show that its title does."""
+    whole = Window.partitionBy(*KEY).orderBy("place").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rows = ranked.withColumns({"best": F.first("w").over(whole), "bk": F.first("k").over(whole)})
     b, w = F.col("best"), F.col("w")
     overlap = sim.overlap(F.col("bk.names"), F.col("k.names"))
     nameless = (F.size(F.coalesce(b["authors"], F.array().cast(f"array<{t.AUTHOR}>"))) == 0) | (F.size(F.coalesce(w["authors"], F.array().cast(f"array<{t.AUTHOR}>"))) == 0)
     rows = rows.withColumn("names_agree", (overlap >= HALF_OF_NAMES) | nameless)
     agrees = (F.col("place") > 1) & ~t.missing(w["title"]) & sim.close_years(b["year"], w["year"]) & (sim.same_doi(b["doi"], w["doi"]) | F.col("names_agree"))
     rows = sim.with_ratio(rows, "likeness", F.col("bk.tokens"), F.col("k.tokens"), agrees, CORROBORATING_TITLE)
-    return rows.withColumn("good", F.coalesce(agrees & (F.col("likeness") >= CORROBORATING_TITLE), F.lit(False)))
-
-
-def _once(rows: DataFrame) -> DataFrame:
-    """corroborates: the first good row of each URL."""
-    once = F.row_number().over(Window.partitionBy(*KEY, "good", F.col("w.source"), F.col("w.source_url")).orderBy("place")) == 1
+    rows = rows.withColumn("good", F.coalesce(F.col("likeness") >= CORROBORATING_TITLE, F.lit(False)))
+    once = F.row_number().over(Window.partitionBy(*KEY, "good", w["source"], w["source_url"]).orderBy("place")) == 1
     return rows.withColumn("corroborates", F.col("good") & once).drop("good", "bk")
 
 
-def corroboration(ranked: DataFrame) -> DataFrame:
-    """Candidates with best (record) and corroborates: like title, near year, and same DOI or common names; each URL once.
-    likeness is null for those whose title need not be compared."""
-    return _once(_against_best(ranked, Window.partitionBy(*KEY).orderBy("place").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-
-
 def merged(rows: DataFrame) -> DataFrame:
     """One row for each reference: canonical (the best record with gaps filled from corroborators, in order),
     merged_from, score, title_score, sources_agreeing and corroborating (records by place)."""

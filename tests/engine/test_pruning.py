@@ -1,4 +1,4 @@
-"""Bounds of the title ratio and what they save: the pruned path against the one that scores every pair."""
+"""What the lengths of titles save: likeness to the best record only where it can decide."""
 
 import random
 
@@ -6,51 +6,41 @@ from pyspark.sql import functions as F
 
 from citeloom.functions import similarity as sim
 from citeloom.operators import linkage
-from citeloom.plans.views import view
+from test_engine import refs_of, works_of
 
-from test_engine import SF, refs_of, works_of
 
-
-def linked_both_ways(refs, found):
-    whole = linkage.corroboration(linkage.scored(refs, found)).where("place = 1 OR corroborates")
-    pruned = linkage.linked(refs, found).where("place = 1 OR corroborates")
-    row = lambda x: (x.doc_id, x.ref_idx, x.w.source, x.w.source_id, x.place == 1, x.corroborates, x.names_agree, x.title_score, x.score, x.likeness if x.corroborates else None)
-    # places are those among the rows that are left
-    by_place = lambda rows: [row(x) for x in sorted(rows, key=lambda x: (x.doc_id, x.ref_idx, x.place))]
-    return by_place(whole.collect()), by_place(pruned.collect())
-
-
-def test_bounds_hold_the_ratio(spark):
+def test_ratio_where_asked_and_able(spark):
     r = random.Random(8)
     words = ["alpha", "alpah", "beta", "bet", "gamma", "a", "delta epsilon", "é"]
     side = lambda: " ".join(r.choice(words) for _ in range(r.randint(0, 5))).split()
     df = spark.createDataFrame([(i, side(), side()) for i in range(400)], "i int, a array<string>, b array<string>")
-    rows = sim.with_ratio_bounds(sim.with_ratio(df, "ratio", F.col("a"), F.col("b")), "low", "high", F.col("a"), F.col("b"))
-    rows = sim.with_ratio(rows, "high_only", F.col("a"), F.col("b"), F.col("i") % 2 == 0, 60.0).collect()
-    assert all(x.low <= x.ratio <= x.high for x in rows) and any(x.low < x.ratio < x.high for x in rows)
-    assert all(x.high_only == (x.ratio if x.i % 2 == 0 and x.high >= 60 else None) for x in rows)
-    assert any(x.i % 2 == 0 and x.high < 60 for x in rows)
+    rows = sim.with_ratio(df, "ratio", F.col("a"), F.col("b"))
+    rows = sim.with_ratio(rows, "some", F.col("a"), F.col("b"), F.when(F.col("i") % 4 < 2, F.col("i") % 4 == 0), 60.0).collect()
+    assert all(x.some == x.ratio for x in rows if x.i % 4 == 0 and (x.some is not None or x.ratio >= 60))
+    assert all(x.some is None for x in rows if x.i % 4)
+    left_out = [x for x in rows if x.i % 4 == 0 and x.some is None]
+    assert left_out and all(x.ratio < 60 for x in left_out)
+    assert any(x.some is not None and x.some < 60 for x in rows)
 
 
-def test_pruned_linkage_is_the_whole_one(spark):
-    refs, works = view(spark, SF, "refs_v"), view(spark, SF, "works_v")
-    whole, pruned = linked_both_ways(refs, linkage.candidates(refs, works))
-    assert whole == pruned and len(whole) > 100
+def test_corroborators_as_if_every_title_were_compared(spark):
     r = random.Random(5)
     some = ["alpha", "beta", "gamma", "delta", "alphas", "betas", "gama"]
     title = lambda: " ".join(r.choice(some) for _ in range(r.randint(0, 4)))
     people = lambda: [(r.choice(["Ash", "Bee", "Cole"]), "A", "") for _ in range(r.randint(0, 2))]
-    record = lambda i: {"source": r.choice(["crossref", "openalex", "pubmed"]), "source_id": f"x{i}", "source_url": r.choice(["u", "v", f"w{i}"]), "title": title(), "year": r.choice([None, 2000, 2001, 2005]), "doi": r.choice(["", "10.1234/a", "10.1234/b", "10.65215/c"]), "authors": people()}
+    record = lambda i: {"source": r.choice(["crossref", "openalex", "pubmed"]), "source_id": f"x{i}", "source_url": r.choice(["u", "v", f"w{i}"]), "title": title(), "year": r.choice([None, 2000, 2001, 2005]), "doi": r.choice(["", "10.1234/a", "10.1234/b"]), "authors": people()}
     works = works_of(spark, *(record(i) for i in range(60)))
-    refs = refs_of(spark, *({"ref_idx": i, "title": title(), "year": r.choice([None, 2000, 2002]), "doi": r.choice(["", "10.1234/a"]), "authors": people()} for i in range(50)))
-    # every record is a candidate of every reference here, as few of them are pairs that a search would bring together
-    found = refs.select("doc_id", "ref_idx").crossJoin(linkage._work(works))
-    whole, pruned = linked_both_ways(refs, found)
-    assert whole == pruned and sum(x[5] for x in whole) > 50
-
-
-def test_few_pairs_need_a_subsequence(spark):
-    refs, works = view(spark, SF, "refs_v"), view(spark, SF, "works_v")
-    rows = linkage.contenders(refs, linkage.candidates(refs, works))
-    undecided = rows.where("least < most").agg(F.count("*").alias("n"), F.count_if("contends").alias("asked")).first()
-    assert undecided.asked * 10 < undecided.n, undecided
+    refs = refs_of(spark, *({"ref_idx": i, "title": title(), "year": r.choice([None, 2000, 2002]), "doi": r.choice(["", "10.1234/a"]), "authors": people()} for i in range(40)))
+    # 60 records are candidates of 40 references, as few of them are pairs that a search would bring together
+    ranked = linkage.scored(refs, refs.select("doc_id", "ref_idx").crossJoin(linkage._work(works)))
+    rows = sim.with_title_ratio(linkage.corroboration(ranked), "full", F.col("best.title"), F.col("w.title"))
+    rows = rows.withColumn("common", sim.surname_overlap(F.col("best.authors"), F.col("w.authors"))).collect()
+    expected = {}
+    for x in sorted(rows, key=lambda x: x.place):
+        near = x.best.year is None or x.w.year is None or abs(x.best.year - x.w.year) <= 1
+        same = (x.best.doi and x.best.doi == x.w.doi) or x.common >= 0.5 or not x.best.authors or not x.w.authors
+        if x.place > 1 and x.w.title and near and same and x.full >= 88:
+            expected.setdefault((x.ref_idx, x.w.source, x.w.source_url), x.w.source_id)
+    got = {(x.ref_idx, x.w.source, x.w.source_url): x.w.source_id for x in rows if x.corroborates}
+    assert got == expected and len(got) == sum(x.corroborates for x in rows) > 50
+    assert any(x.likeness is None for x in rows)
