@@ -64,10 +64,10 @@ def _with_sides(rows: DataFrame, a: Column, b: Column) -> DataFrame:
     return rows.withColumn("__open", ~F.col("__none") & ~contained).drop("__x", "__y")
 
 
-def _ratio_at(common: Column) -> Column:
-    """The ratio of open sides whose own tokens had a common subsequence of this length."""
+def _most() -> Column:
+    """Upper bound of the ratio of open sides: the shorter side's own tokens are a subsequence of the other's."""
     n, p, q = (F.length(c) for c in ("__both", "__p", "__q"))
-    joint = F.when(n > 0, 1).otherwise(0)
+    common, joint = F.least(p, q), F.when(n > 0, 1).otherwise(0)
     left, right = n + joint + p, n + joint + q
     with_one = F.when(n > 0, F.greatest(100 * (1 - (joint + p) / (n + left)), 100 * (1 - (joint + q) / (n + right))))
     return F.round(F.greatest(200.0 * (n + joint + common) / (left + right), F.coalesce(with_one, F.lit(0.0))), 6)
@@ -85,8 +85,7 @@ def with_ratio(rows: DataFrame, name: str, a: Column, b: Column, asked: Column |
     answer is null, Python is given nulls. Pairs that repeat in a batch are scored once."""
     rows = _with_sides(rows.withColumn("__asked", F.lit(True) if asked is None else F.coalesce(asked, F.lit(False))), a, b)
     if least > 0:
-        able = _decided(_ratio_at(F.least(F.length("__p"), F.length("__q")))) >= least
-        rows = rows.withColumn("__asked", F.col("__asked") & able)
+        rows = rows.withColumn("__asked", F.col("__asked") & (_decided(_most()) >= least))
     given = lambda c: F.when(F.col("__asked") & F.col("__open"), F.col(c))
     rows = rows.withColumn("__score", _token_set_ratio()(given("__both"), given("__p"), given("__q")))
     score = F.when(F.col("__asked"), _decided(F.round(F.col("__score"), 6)))
