@@ -6,11 +6,11 @@ and finds what the patterns leave out: spelled-out addresses ("name at host dot
 phone numbers without a plus sign. It is trained by the driver on the small table below and
 decoded by Viterbi, many chains at once in numpy.
 
-A span of the field must hold a digit, an at sign, the word "dot", the word "at" in brackets or
-"at" before a dotted name; so a chain is a stretch of
-tokens around those triggers (``REACH`` characters to either side, stretches that meet are
-one), and text without a trigger has no chain. A chain of any length is decoded exactly, window by window,
-in about 30 bytes a token. A span over ``LONGEST`` characters is no address or number and is left out. A span that overlaps one of a pattern is left out.
+Every token of every text is scored, by numpy over many joined texts at once. A token that no span can cover in a
+best path, by an upper bound on what any span over it can gain (``Field.open``), is outside whatever the rest is; such tokens cut
+a text into short chains, which are decoded exactly by Viterbi, window by window, in about 30 bytes a token. No word, length or
+distance decides which parts are looked at. Of what the field finds, numbers must pass the value checks of the patterns (digits, Luhn, octets), and a span that overlaps one of
+a pattern is left out.
 
 Defined cases: null and empty texts have no spans; offsets are code points; input columns
 named like the new ones are replaced; repeated rows are labelled alike; an empty table gives no rows.
@@ -18,7 +18,12 @@ named like the new ones are replaced; repeated rows are labelled alike; an empty
 
 from __future__ import annotations
 
+import bisect
+import functools
+import itertools
 import re
+import sys
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -84,10 +89,7 @@ def base_spans(text: str) -> list[Span]:
 
 # ---------------------------------------------------------------- the field
 TOKEN = re.compile(r"[^\W\d_]+|[0-9]+|[^\s]")
-TRIGGER = re.compile(r"[0-9]+|@|\b[dD][oO][tT]\b|[\[({<]\s{0,3}[aA][tT]\s{0,3}[\])}>]|\b[aA][tT]\s{1,3}(?=[\w-]{1,63}\.\w)")
-REACH = 60
-#: No address or number of the field is longer (longest mail address: 254 characters, spelled out some more).
-LONGEST = 512
+SPACE = re.compile(r"\s")
 #: The labelled table: spans in {{kind|...}}. Small on purpose; everything else here is learnt from it.
 LABELLED = """
 write to {{email|anna dot berg at example dot com}} today
@@ -174,44 +176,156 @@ read it at example.com today
 the shop is open at host.org now
 we met (at) noon. then we left
 look at home.then go
+{{email|nora at webbox point net}} is mine
+{{email|olaf at letters point net}}
+{{email|ute at post punkt de}}
+{{email|Max.Roth (a) sample.org}}
+{{email|Eva.Lind (at) example.com}}
+{{email|sam at mailhost dot org}}
+tel {{phone|03099887766}}
+call {{phone|0172 4443322}}
+please call {{phone|0151 2223344}} or write
+mail {{email|emil at firma punkt de}} bitte
+write to {{email|carla at correo punto es}} now
+contact {{email|kim at post point org}} today
+schreib an {{email|uwe at haus punkt de}} heute
+courriel {{email|luc at exemple point fr}} merci
+courriel {{email|anne.roy (a) exemple.fr}} merci
+write to {{email|Jane.Doe (a) example.org}} today
+mail {{email|Bob.Lee (at) example.com}} please
+contact {{email|tim (a) host.net}} now
+kontakt {{email|eva.maier [a] firma.de}} danke
+call {{phone|0171 5552671}} today
+call {{phone|0160 4421987}} now
+tel {{phone|03012345678}} bitte
+tel {{phone|0301 234567}} after six
+tel. {{phone|08912345670}} or visit
+tel: {{phone|0221 4567890}} today
+phone {{phone|02071234567}} at night
+telefon {{phone|0304 567 890}} danke
+mobile {{phone|07700 900123}} please
+fax {{phone|020 7946 0958}} only
+dial {{phone|4155552671}} now
+ring {{phone|0171 5552671}} tonight
+order 0171 5552671 was late
+invoice 03012345678 of may
+token = "681c09b8e90e7e8c9575180f595f646cf2969054" is secret
+token = "9B0b3c6a43eb78aa99cbd7049c572391524f37a8"
+= "9233A8ECF7C5B09FE5949719B6B82BC439E9329B"!! THE!! END
+build 1234567 of 2019 and 20190102 after
+call the shop at nine and tel us
+the phone is at the door. it rang
+a point at the end of the line
+he looks at one point in the hall
+the point is at issue
+at this point in time
+they met at noon (a) and (b) later
+see (a) the first.then (b) the other
+we were at the market. then we left
+the cat sat at the door. it slept
+he was at work. she was at home. both came
+look at page 7. it is at the end
+je suis à la maison et il est au point
+the old house stood on a hill and many people came there each day
+some words of plain text go on, and on; nothing here is an address
+Er ging nach Hause und las ein Buch, das auf dem Tisch lag
+El perro corre por la calle, y la casa es grande
+La maison est grande et le chat dort sur la table
+They said: this is all, and more (or less) will come - one day
+"Yes," said the man, "we are here." And so it was
+| a | b | c |
+he was a at
+so it is a at in the
+of a at to the house
+they ran at. Soon it was late
+is on at. Here at. They at. Went
+all at once they came. At | noon
+it ended. At | last a at it
+the end.
+At | one at
+look at it at
+the way is heal. Es was so
+send to {{email|juan at tienda.es}} today
+write to {{email|ana at libro.es}} please
+contact {{email|rob.s (at) school (dot) org}} now
+the address is {{email|lea.m (at) museum (dot) net}} today
+ask {{email|t.hill at city dot de}} about it
+either {{phone|303-555-0188}} and {{phone|(720) 555-0143}} work
+el perro de la casa es de la gente de aqui. de eso se trata. Es asi
+les gens de la ville de nice. de rien. Il est de la region
+word. word. word. Word. Word. Word. word. De. de. Es. es. it. is
+to to to to de de de de es es es es com net org at at at at dot dot
+ER IS DE MAN, ES IST SO. DE LA CASA. THE END!! OF!! IT!! ALL!! IT
+the ### end *** of ### it. ### all,%%% was$$$ here&&& and. Then&&& more***
+lines ended. Es began. De la nada. And. At noon. It is. To go.
+# Title of the page
+- one item of a list
+* another item, and one more
+https://example.com/path/page.html is a page
+see http://www.example.org/a/b?c=d for more
 """.strip().split("\n")
 
 
-def tokens(text: str, start: int = 0, end: int | None = None) -> list[tuple[int, int]]:
-    return [m.span() for m in TOKEN.finditer(text, start, len(text) if end is None else end)]
+def tokens(text: str) -> list[tuple[int, int]]:
+    return [m.span() for m in TOKEN.finditer(text)]
 
 
-def shape(word: str) -> str:
-    """The word's form: digits by number, letters by case and length, signs as they are."""
+#: Longest word that can have a shape of its own, in ASCII letters (eight bytes are one number).
+CUE_LETTERS = 8
+CASES = ("x", "X", "Xx")
+DIGITS = ("d1", "d2", "d3", "d4", "d5", "d6-12", "d13+")
+
+
+def shape(word: str, cues: frozenset[str]) -> str:
+    """The word's form: digits by number, cue words as they are, other letters by case and length, signs as they are."""
     if "0" <= word[0] <= "9":
-        return f"d{len(word)}" if len(word) <= 5 else "d6-12" if len(word) < 13 else "d13+"
+        return DIGITS[min(len(word), 6 if len(word) < 13 else 7) - 1]
     if word[0].isalpha():
-        low = word.lower()
-        if low in ("at", "dot"):
+        if (low := word.lower()) in cues:
             return low
-        case = "x" if word.islower() else "X" if word.isupper() else "Xx"
-        return case + ("1" if len(word) == 1 else "")
+        return ("x" if word.islower() else "X" if word.isupper() else "Xx") + ("1" if len(word) == 1 else "")
     return word if word.isascii() else "sign"
 
 
-def shapes(text: str, spans: list[tuple[int, int]]) -> list[str]:
-    """A token's shape, and whether it touches the one before."""
+def shapes(text: str, spans: list[tuple[int, int]], cues: frozenset[str]) -> list[str]:
+    """A token's shape, and whether it touches the one before; ``Field.scan`` gives the same for many texts."""
     out, last = [], -1
     for a, b in spans:
-        out.append(("~" if a == last else "_") + shape(text[a:b]))
+        out.append(("~" if a == last else "_") + shape(text[a:b], cues))
         last = b
     return out
 
 
+LETTER, DIGIT, SIGN, LOWER, UPPER, TITLE, ALPHA = (1 << i for i in range(7))
+
+
+@functools.cache
+def _classes() -> np.ndarray:
+    """Of each code point: what token it belongs to, and its case."""
+    every = "".join(map(chr, range(sys.maxunicode + 1)))
+    out = np.full(len(every), SIGN, np.uint8)
+    for m in re.finditer(r"\s+", every):
+        out[m.start() : m.end()] = 0
+    out[48:58] = DIGIT
+    for m in re.finditer(r"[^\W\d_]+", every):
+        flags = [LETTER | LOWER * c.islower() | UPPER * c.isupper() | TITLE * (c.istitle() and not c.isupper()) | ALPHA * c.isalpha() for c in m.group()]
+        out[m.start() : m.end()] = flags
+    return out
+
+
+def _packed(word: str) -> int:
+    return int.from_bytes(word.encode("ascii"), "little")
+
+
 class Field:
     """Weights of (position in the window, shape) for each label, and of label pairs."""
 
     WINDOW = (-2, -1, 0, 1, 2)
-    #: Steps of Viterbi whose scores are held at once, and back pointers (a byte each) of one batch of chains.
-    STEPS, POINTERS = 1024, 16 << 20
+    #: Tokens that are scored at once, steps of Viterbi whose scores are held at once, and back pointers (a byte each) of one batch of chains.
+    BLOCK, STEPS, POINTERS = 1 << 16, 1024, 16 << 20
 
-    def __init__(self, vocabulary: dict[tuple[int, str], int], labels: list[str]):
-        self.vocabulary, self.labels = vocabulary, labels
+    def __init__(self, vocabulary: dict[tuple[int, str], int], labels: list[str], cues: frozenset[str] = frozenset()):
+        self.vocabulary, self.labels, self.cues = vocabulary, labels, cues
         self.emit = np.zeros((len(vocabulary) + 1, len(labels)))
         self.move = np.zeros((len(labels), len(labels)))
         self.first = np.zeros(len(labels))
@@ -224,106 +338,183 @@ class Field:
         self.rows_of = np.full((len(self.WINDOW), len(names) + 1), len(vocabulary), np.int64)
         for (k, v), at in vocabulary.items():
             self.rows_of[self.WINDOW.index(k), self.codes[v]] = at
-
-    def chain(self, text: str, start: int = 0, end: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Shape numbers, starts and ends of the tokens."""
-
-        def numbers() -> Iterator[int]:
-            last, get = -1, self.codes.get
-            for m in TOKEN.finditer(text, start, len(text) if end is None else end):
-                a, b = m.span()
-                yield a
-                yield b
-                yield get(("~" if a == last else "_") + shape(m.group()), 1)
-                last = b
-
-        flat = np.fromiter(numbers(), np.int64).reshape(-1, 3)
-        return flat[:, 2].astype(np.int32), flat[:, 0].copy(), flat[:, 1].copy()
-
-    def features(self, codes: np.ndarray, start: int = 0, end: int | None = None) -> np.ndarray:
-        """(chains, steps, window): the numbers of the features from step ``start`` on; chains are rows that end in 0.
+        # shape numbers by (form, touches the one before): ASCII signs, other signs, digits, letters, cue words
+        words = sorted((w for w in cues if w.isascii() and len(w) <= CUE_LETTERS), key=_packed)
+        self.words = np.array([_packed(w) for w in words], np.uint64)
+        forms = [*map(chr, range(128)), "sign", *DIGITS, *(c + one for c in CASES for one in ("", "1")), *words]
+        self.forms = np.array([[self.codes.get(touch + f, 1) for touch in "_~"] for f in forms], np.int32)
+
+    def scan(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Shape numbers, starts and ends of the tokens; long texts are read in parts that end at white space."""
+        parts, at = [], 0
+        while at < len(text):
+            m = SPACE.search(text, at + CHARS)
+            end = m.start() if m else len(text)
+            codes, starts, ends = self._scan(text[at:end])
+            parts.append((codes, starts + at, ends + at))
+            at = end
+        return tuple(np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+    def _scan(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+        classes = _classes()[points]
+        kind = classes & (LETTER | DIGIT | SIGN)
+        cut = np.ones(len(kind) + 1, bool)
+        cut[1:-1] = (kind[1:] != kind[:-1]) | (kind[1:] == SIGN)
+        starts, ends = np.flatnonzero(cut[:-1] & (kind > 0)), np.flatnonzero(cut[1:] & (kind > 0)) + 1
+        if not len(starts):
+            return np.zeros(0, np.int32), starts, ends
+        first, size, kinds = points[starts], ends - starts, kind[starts]
+        flags = np.bitwise_or.reduceat(classes, starts) & (LOWER | UPPER | TITLE)
+        form = np.minimum(first, 128).astype(np.int64)
+        digits = kinds == DIGIT
+        form[digits] = 129 + np.where(size < 13, np.minimum(size, 6), 7)[digits] - 1
+        letters = np.flatnonzero(kinds == LETTER)
+        case = np.where(flags[letters] == LOWER, 0, np.where(flags[letters] == UPPER, 1, 2))
+        form[letters] = np.where(classes[starts[letters]] & ALPHA, 136 + 2 * case + (size[letters] == 1), 128)
+        if len(self.words):
+            short = letters[size[letters] <= CUE_LETTERS]
+            packed, plain = np.zeros(len(short), np.uint64), np.ones(len(short), bool)
+            for k in range(CUE_LETTERS):
+                has = np.flatnonzero(size[short] > k)
+                c = points[starts[short[has]] + k]
+                plain[has] &= c < 128
+                packed[has] |= (c | 32).astype(np.uint64) << np.uint64(8 * k)
+            place = np.minimum(np.searchsorted(self.words, packed), len(self.words) - 1)
+            hit = plain & (self.words[place] == packed)
+            form[short[hit]] = 142 + place[hit]
+        touches = np.zeros(len(starts), np.int64)
+        touches[1:] = starts[1:] == ends[:-1]
+        return self.forms[form, touches], starts, ends
+
+    def features(self, codes: np.ndarray) -> np.ndarray:
+        """(chains, steps, window): the numbers of the features of chains that have two numbers of context at both ends.
         The last row of emit is for unknown features and stays 0."""
-        end = codes.shape[1] if end is None else end
-        padded = np.zeros((len(codes), end - start + 4), np.int32)
-        lo, hi = max(0, start - 2), min(codes.shape[1], end + 2)
-        padded[:, lo - start + 2 : hi - start + 2] = codes[:, lo:hi]
-        return np.stack([self.rows_of[i][padded[:, 2 + k : 2 + k + end - start]] for i, k in enumerate(self.WINDOW)], axis=2)
+        steps = codes.shape[1] - 4
+        return np.stack([self.rows_of[i][codes[:, 2 + k : 2 + k + steps]] for i, k in enumerate(self.WINDOW)], axis=2)
+
+    def scores(self, codes: np.ndarray) -> np.ndarray:
+        """Scores of the labels at each step of chains with context."""
+        steps = codes.shape[1] - 4
+        return sum(self.emit[self.rows_of[i]][codes[:, 2 + k : 2 + k + steps]] for i, k in enumerate(self.WINDOW))
+
+    def open(self, codes: np.ndarray, token: np.ndarray) -> np.ndarray:
+        """Which places of ``codes`` (two zeros before and after each chain, ``token`` elsewhere) a span may cover in a best path.
+        A span's gain over O in its place is the scores and moves within it, and at most ``enter`` and ``leave`` at its ends
+        whatever is beside it; a place that no span of gain 0 or more covers is O. The best gain over all spans that cover a
+        place is that of their parts up to it and after it, which running sums and running maxima give for all places at once.
+        Takes some 120 bytes a place."""
+        out = np.zeros(len(codes), bool)
+        gain = np.full((len(self.labels), len(codes)), -1e3, np.float32)
+        for at in range(0, len(codes) - 4, self.BLOCK):
+            end = min(len(codes) - 4, at + self.BLOCK)
+            score = self.scores(codes[None, at : end + 4])[0]
+            gain[:, at + 2 : end + 2] = np.where(token[at + 2 : end + 2], (score - score[:, :1]).T, -1e3)
+        enter = np.maximum((self.move - self.move[:, :1]).max(0), self.first - self.first[0])
+        leave = np.maximum((self.move - self.move[:1])[:, self.start].max(1), 0.0)
+        for i in np.flatnonzero(~self.start):
+            b = self.labels.index("B-" + self.labels[i][2:])
+            to_inner, on = self.move[b, i] - self.move[0, 0], self.move[i, i] - self.move[0, 0]
+            runs = np.cumsum(gain[i] + on, dtype=np.float64)
+            begun = gain[b] + enter[b]
+            upto = np.full(len(codes), -np.inf)  # best part that goes on here
+            upto[1:] = runs[1:] + np.maximum.accumulate((begun - runs)[:-1] + (to_inner - on))
+            rest = leave[i] - runs + np.maximum.accumulate(runs[::-1])[::-1]  # best of what follows one that goes on here
+            follows = np.full(len(codes), leave[b])  # and one that begins here
+            follows[:-1] = np.maximum(follows[:-1], gain[i][1:] + to_inner + rest[1:])
+            out |= np.maximum(begun + follows, upto + rest) > -0.01
+        return out & token
 
     def decode(self, chains: list[np.ndarray]) -> list[np.ndarray]:
-        """Viterbi over many chains at once, of like length, in windows of steps that carry the best scores on:
-        of a step that is done only its back pointers stay (a byte for each label)."""
-        out: list[np.ndarray] = [np.zeros(0, np.int8)] * len(chains)
-        order = sorted((i for i in range(len(chains)) if len(chains[i])), key=lambda i: len(chains[i]))
+        """Best labels of each chain."""
+        gap = np.zeros(2, np.int32)
+        codes = np.concatenate([gap, *(x for c in chains for x in (c, gap))]).astype(np.int32)
+        at = np.cumsum([2, *(len(c) + 2 for c in chains)])
+        path = self.best(codes, np.concatenate([np.arange(a, a + len(c)) for a, c in zip(at, chains)]) if chains else np.zeros(0, np.int64))
+        return [path[a : a + len(c)] for a, c in zip(at, chains)]
+
+    def best(self, codes: np.ndarray, places: np.ndarray) -> np.ndarray:
+        """Best labels of all chains in ``codes``, whose tokens are at ``places``; two zeros are before and after each chain."""
+        path, token = np.zeros(len(codes), np.int8), np.zeros(len(codes), bool)
+        token[places] = True
+        edge = np.diff(self.open(codes, token).astype(np.int8), prepend=0, append=0)
+        begins, ends = np.flatnonzero(edge > 0), np.flatnonzero(edge < 0)
         move = np.where(self.allowed, self.move, -1e9)
-        while order:
-            longest = len(chains[order[-1]])
-            cut = next((k for k, i in enumerate(order) if 2 * len(chains[i]) >= longest), 0)
-            many = max(1, min(512, self.POINTERS // (longest * len(self.labels))))
-            take, order = order[max(cut, len(order) - many) :], order[: max(cut, len(order) - many)]
-            lengths = np.array([len(chains[i]) for i in take])
-            codes = np.zeros((len(take), longest), np.int32)
-            for row, i in enumerate(take):
-                codes[row, : lengths[row]] = chains[i]
-            back = np.zeros((longest, len(take), len(self.labels)), np.int8)
-            best = None
-            for at in range(0, longest, self.STEPS):
-                scores = self.emit[self.features(codes, at, min(longest, at + self.STEPS))].sum(2)
-                for t in range(at, at + scores.shape[1]):
-                    if best is None:
-                        best = scores[:, 0] + self.first + np.where(self.start, 0, -1e9)
-                        continue
-                    way = best[:, :, None] + move[None]
-                    back[t] = way.argmax(1)
-                    new = way.max(1) + scores[:, t - at]
-                    best = np.where((lengths > t)[:, None], new, best)
-            for row, i in enumerate(take):
-                path = np.zeros(lengths[row], np.int8)
-                path[-1] = best[row].argmax()
-                for t in range(lengths[row] - 1, 0, -1):
-                    path[t - 1] = back[t, row, path[t]]
-                out[i] = path
-        return out
-
-    def fit(self, chains: list[np.ndarray], labels: list[np.ndarray], steps: int = 250, rate: float = 0.1, penalty: float = 0.01) -> None:
-        """Conditional likelihood by forward-backward over all chains at once, Adam steps."""
-        lengths = np.array([len(c) for c in chains])
-        codes = np.zeros((len(chains), lengths.max()), np.int32)
-        for i, c in enumerate(chains):
-            codes[i, : len(c)] = c
-        features = self.features(codes)
-        n, longest = features.shape[:2]
-        gold = np.zeros((n, longest), np.int64)
-        for i, y in enumerate(labels):
-            gold[i, : len(y)] = y
-        live = np.arange(longest)[None] < lengths[:, None]
+        opening = np.where(token[begins - 1][:, None], move[0], self.first + np.where(self.start, 0, -1e9))
+        closing = np.where(token[np.minimum(ends, len(token) - 1)][:, None], move[:, 0], 0.0)
+        order = np.argsort(ends - begins, kind="stable")
+        while len(order):
+            longest = int(ends[order[-1]] - begins[order[-1]])
+            many = max(1, min(8192, self.POINTERS // (longest * len(self.labels))))
+            cut = max(int(np.searchsorted((ends - begins)[order], (longest + 1) // 2)), len(order) - many)
+            order, take = order[:cut], order[cut:]
+            self._viterbi(codes, path, begins[take], ends[take], opening[take], closing[take], move)
+        return path
+
+    def _viterbi(self, codes: np.ndarray, path: np.ndarray, begins: np.ndarray, ends: np.ndarray, opening: np.ndarray, closing: np.ndarray, move: np.ndarray) -> None:
+        """Labels of chains of like length, at once, in windows of steps that carry the best scores on: of a step that is done
+        only its back pointers stay (a byte for each label)."""
+        lengths, rows = ends - begins, np.arange(len(begins))
+        longest = int(lengths.max())
+        back = np.zeros((longest, len(begins), len(self.labels)), np.int8)
+        best = opening
+        for at in range(0, longest, self.STEPS):
+            steps = min(self.STEPS, longest - at)
+            near = np.minimum(begins[:, None] + at + np.arange(-2, steps + 2), len(codes) - 1)
+            scores = self.scores(codes[near])
+            for t in range(at, at + steps):
+                if t == 0:
+                    best = best + scores[:, 0]
+                    continue
+                way = best[:, :, None] + move[None]
+                back[t] = way.argmax(1)
+                best = np.where((lengths > t)[:, None], way.max(1) + scores[:, t - at], best)
+        label = (best + closing).argmax(1).astype(np.int8)
+        for t in range(longest - 1, -1, -1):
+            live = lengths > t
+            path[begins[live] + t] = label[live]
+            label = np.where(live, back[t, rows, label], label)
+
+    def fit(self, chains: list[np.ndarray], labels: list[np.ndarray], steps: int = 250, rate: float = 0.1, penalty: float = 0.01, margin: tuple[float, float] = (8.0, 4.0)) -> None:
+        """Conditional likelihood with a margin, by forward-backward over all chains at once, Adam steps: a wrong label is
+        given ``margin`` more where O is right, and where another is, so what is learnt leaves plain text alone by far."""
+        order = sorted(range(len(chains)), key=lambda i: -len(chains[i]))
+        lengths = np.array([len(chains[i]) for i in order])
+        n, longest, count = len(order), int(lengths.max()), len(self.labels)
+        codes, gold = np.zeros((n, longest + 4), np.int32), np.zeros((n, longest), np.int64)
+        for row, i in enumerate(order):
+            codes[row, 2 : 2 + lengths[row]], gold[row, : lengths[row]] = chains[i], labels[i]
+        live = np.arange(longest) < lengths[:, None]
+        alive = live.sum(0)  # chains are sorted by length: those with a step t are the first alive[t]
+        used = np.zeros((live.sum(), len(self.emit)))  # how often each token has each feature
+        for k in range(len(self.WINDOW)):
+            np.add.at(used, (np.arange(len(used)), self.features(codes)[:, :, k][live]), 1)
+        right = np.eye(count)[gold]
+        wrong = (np.where(gold == 0, *margin)[..., None] * (1 - right))[live]
+        linked = live[:, 1:]
+        moves = (right[:, :-1][linked].T @ right[:, 1:][linked]) / n
         params = [self.emit, self.move, self.first]
         first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
-        wall, one = np.where(self.allowed, 0.0, -1e9), np.eye(len(self.labels))
+        wall = np.where(self.allowed, 0.0, -1e9)
         fold = lambda x, axis: (m := x.max(axis, keepdims=True)).squeeze(axis) + np.log(np.exp(x - m).sum(axis))
         for step in range(1, steps + 1):
-            unary = self.emit[features].sum(2)
+            unary = np.zeros((n, longest, count))
+            unary[live] = used @ self.emit + wrong
             unary[:, 0] += self.first + np.where(self.start, 0, -1e9)
             move = self.move + wall
-            ahead, behind = np.zeros_like(unary), np.zeros_like(unary)
-            ahead[:, 0] = unary[:, 0]
+            ahead, behind = unary.copy(), np.zeros_like(unary)
             for t in range(1, longest):
-                new = fold(ahead[:, t - 1, :, None] + move[None], 1) + unary[:, t]
-                ahead[:, t] = np.where(live[:, t, None], new, ahead[:, t - 1])
+                m = alive[t]
+                ahead[:m, t] += fold(ahead[:m, t - 1, :, None] + move, 1)
             for t in range(longest - 2, -1, -1):
-                new = fold(move[None] + (unary[:, t + 1] + behind[:, t + 1])[:, None, :], 2)
-                behind[:, t] = np.where(live[:, t + 1, None], new, 0.0)
-            z = fold(ahead[:, -1], 1)
-            node = np.exp(np.minimum(ahead + behind - z[:, None, None], 0)) * live[..., None]
-            diff = (node - one[gold] * live[..., None]) / n
-            g_emit = np.zeros_like(self.emit)
-            for k in range(len(self.WINDOW)):
-                np.add.at(g_emit, features[:, :, k].ravel(), diff.reshape(-1, diff.shape[-1]))
-            g_move = np.zeros_like(self.move)
-            for t in range(1, longest):
-                pair = ahead[:, t - 1, :, None] + move[None] + (unary[:, t] + behind[:, t])[:, None, :] - z[:, None, None]
-                g_move += (np.exp(np.minimum(pair, 0)) * live[:, t, None, None]).sum(0) / n
-                g_move -= (one[gold[:, t - 1]][:, :, None] * one[gold[:, t]][:, None, :] * live[:, t, None, None]).sum(0) / n
-            grads = [g_emit + penalty * self.emit / n * 10, g_move + penalty * self.move / n * 10, diff[:, 0].sum(0)]
+                m = alive[t + 1]
+                behind[:m, t] = fold(move + (unary[:m, t + 1] + behind[:m, t + 1])[:, None, :], 2)
+            z = fold(ahead[np.arange(n), lengths - 1], 1)
+            diff = np.zeros_like(unary)
+            diff[live] = (np.exp(np.minimum(ahead + behind - z[:, None, None], 0)) - right)[live] / n
+            pair = ahead[:, :-1, :, None] + (unary + behind)[:, 1:, None, :] - z[:, None, None, None]
+            g_move = np.exp(np.minimum(pair[linked] + move, 0)).sum(0) / n - moves
+            grads = [used.T @ diff[live] + penalty * self.emit / n * 10, g_move + penalty * self.move / n * 10, diff[:, 0].sum(0)]
             for p, g, a, b in zip(params, grads, first, second):
                 a += 0.1 * (g - a)
                 b += 0.01 * (g * g - b)
@@ -341,79 +532,81 @@ def parse_labelled(line: str) -> tuple[str, list[Span]]:
     return text + line[at:], spans
 
 
+def _labels(text: str, at: list[tuple[int, int]], spans: list[Span]) -> list[str]:
+    """The label of each token."""
+    out = ["O"] * len(at)
+    for kind, a, b in spans:
+        own = [i for i, (s, e) in enumerate(at) if s >= a and e <= b]
+        for i in own:
+            out[i] = ("B-" if i == own[0] else "I-") + kind
+    return out
+
+
+def cue_words(table: list[str], lines: int = 2) -> frozenset[str]:
+    """Words of ASCII letters that are part of a span, or stand within two tokens before one, in ``lines`` lines or more."""
+    seen: Counter[str] = Counter()
+    for text, spans in map(parse_labelled, table):
+        at = tokens(text)
+        marks = _labels(text, at, spans)
+        near = {i + k for i, y in enumerate(marks) if y != "O" for k in ((-2, -1, 0) if y[0] == "B" else (0,)) if i + k >= 0}
+        words = {text[slice(*at[i])].lower() for i in near}
+        seen.update(w for w in words if w.isascii() and w.isalpha() and 1 < len(w) <= CUE_LETTERS)
+    return frozenset(w for w, n in seen.items() if n >= lines)
+
+
 def train(table: list[str] = LABELLED) -> Field:
     labels = ["O", *(f"{b}-{k}" for k in KINDS for b in "BI")]
+    cues = cue_words(table)
     chains, gold = [], []
-    for text, spans in map(parse_labelled, table):
+    again = [" ".join([w] * 8) for w in (*sorted(cues), "x", "X", "X1", "word", "Word", "WORD")]  # a word over and over is no span
+    for text, spans in map(parse_labelled, [*table, *again]):
         at = tokens(text)
-        y = ["O"] * len(at)
-        for kind, a, b in spans:
-            own = [i for i, (s, e) in enumerate(at) if s >= a and e <= b]
-            for i in own:
-                y[i] = ("B-" if i == own[0] else "I-") + kind
-        chains.append(shapes(text, at))
-        gold.append(np.array([labels.index(v) for v in y]))
+        chains.append(shapes(text, at, cues))
+        gold.append(np.array([labels.index(v) for v in _labels(text, at, spans)]))
     vocabulary: dict[tuple[int, str], int] = {}
     for c in chains:
         for i in range(len(c)):
             for k in Field.WINDOW:
                 vocabulary.setdefault((k, c[i + k] if 0 <= i + k < len(c) else "end"), len(vocabulary))
-    field = Field(vocabulary, labels)
+    field = Field(vocabulary, labels, cues)
     field.fit([np.array([field.codes[v] for v in c], np.int32) for c in chains], gold)
     return field
 
 
-def stretches(text: str) -> list[tuple[int, int]]:
-    """Parts of the text around triggers, cut at white space where there is some within reach."""
-    out: list[list[int]] = []
-    for m in TRIGGER.finditer(text):
-        a, b = max(0, m.start() - REACH), min(len(text), m.end() + REACH)
-        if out and a <= out[-1][1]:
-            out[-1][1] = b
-        else:
-            out.append([a, b])
-    ends = []
-    for a, b in out:
-        if a:
-            a = next((i + 1 for i in range(a, min(a + REACH, b)) if text[i].isspace()), a)
-        if b < len(text):
-            b = next((i for i in range(b, max(b - REACH, a), -1) if text[i - 1].isspace()), b)
-        ends.append((a, b))
-    return ends
-
-
 def added_spans(texts: list[str], base: list[list[Span]], field: Field) -> list[list[Span]]:
     """Spans by the field that keep clear of the patterns' spans."""
-    chains, where = [], []
-    for i, text in enumerate(texts):
-        for a, b in stretches(text):
-            codes, starts, ends = field.chain(text, a, b)
-            chains.append(codes)
-            where.append((i, starts, ends))
     out: list[list[Span]] = [[] for _ in texts]
+    codes, starts, ends = field.scan("\n".join(texts))
+    offsets = np.cumsum([0, *(len(t) + 1 for t in texts)])
+    owner = np.searchsorted(offsets, starts, side="right") - 1
+    places = np.arange(len(codes)) + 2 * (owner + 1)  # two places stay free around each text
+    padded = np.zeros(len(codes) + 2 * (len(texts) + 1), np.int32)
+    padded[places] = codes
+    path = field.best(padded, places)[places]
     begins = np.array([x.startswith("B-") for x in field.labels])
     goes_on = np.array([x.startswith("I-") for x in field.labels])
-    for (i, starts, ends), path in zip(where, field.decode(chains)):
-        first = np.flatnonzero(begins[path])
-        stops = np.append(np.flatnonzero(~goes_on[path]), len(path))
-        for at, stop in zip(first, stops[np.searchsorted(stops, first, side="right")]):
-            kind, s, e = field.labels[path[at]][2:], int(starts[at]), int(ends[stop - 1])
-            if e - s > LONGEST:
-                continue
-            part = texts[i][s:e]
-            if TRIGGER.search(part) and plausible(kind, part) and all(e <= s2 or s >= e2 for _, s2, e2 in base[i]):
-                out[i].append((kind, s, e))
+    first = np.flatnonzero(begins[path])
+    stops = np.append(np.flatnonzero(~goes_on[path]), len(path))
+    clear: dict[int, tuple[list[int], list[int]]] = {}
+    for at, stop in zip(first, stops[np.searchsorted(stops, first, side="right")]):
+        i = int(owner[at])
+        kind, s, e = field.labels[path[at]][2:], int(starts[at] - offsets[i]), int(ends[stop - 1] - offsets[i])
+        if i not in clear:
+            own = sorted((a, b) for _, a, b in base[i])
+            clear[i] = [a for a, _ in own], list(itertools.accumulate((b for _, b in own), max))
+        before = bisect.bisect_left(clear[i][0], e)
+        if (not before or clear[i][1][before - 1] <= s) and plausible(kind, texts[i][s:e]):
+            out[i].append((kind, s, e))
     return out
 
 
 def plausible(kind: str, part: str) -> bool:
     """The same checks on values that the patterns make."""
-    digits = _digits(part)
     if kind == "email":
-        spelled = re.search(r"\bat\b\W*(?:the|a|an|this|that|each|every)\b", part, re.I)
-        return not spelled and bool(re.search(r"\w.*(@|\bat\b).*(\.|\bdot\b).*\w", part, re.I))
+        return True
+    digits = _digits(part)
     if kind == "ip":
-        return len(p := part.split(".")) == 4 and all(x.isascii() and x.isdigit() and len(x) <= 3 and int(x) <= 255 for x in p)
+        return len(p := part.split(".")) == 4 and all(x.isascii() and x.isdigit() and _octet(x) for x in p)
     if kind == "card":
         return 16 <= len(digits) <= 19 and luhn(digits)
     return 8 <= len(digits) <= 15

@@ -371,7 +371,8 @@ def test_pii_viterbi_against_enumeration():
     chains = [r.integers(1, len(field.codes) + 1, n).astype(np.int32) for n in (1, 2, 3, 4, 4)]
     move = np.where(field.allowed, field.move, -1e9)
     for chain, path in zip(chains, field.decode(chains)):
-        emit = field.emit[field.features(chain[None])[0]].sum(1)
+        emit = field.emit[field.features(np.pad(chain, 2)[None])[0]].sum(1)
+        assert np.allclose(emit, field.scores(np.pad(chain, 2)[None])[0])
 
         def score(y, emit=emit):
             return field.first[y[0]] + (0 if field.start[y[0]] else -1e9) + sum(emit[i, v] for i, v in enumerate(y)) + sum(move[a, b] for a, b in zip(y, y[1:]))
@@ -379,6 +380,67 @@ def test_pii_viterbi_against_enumeration():
         assert np.isclose(score(list(path)), max(score(y) for y in itertools.product(range(len(field.labels)), repeat=len(chain))))
 
 
+def test_pii_scan_equals_token_by_token():
+    field, r = crf_pii.train(), random.Random(5)
+    parts = ["at ", "DOT", "dot", "a", "é", "É", "\u01c5", "²", "½", "1", "12", "\u0663", " ", "\n", "\x1c", ".", "(", "@", "—", "ß", "point", "Tel", "call", "0301", "😀", "_"]
+    for _ in range(2000):
+        text = "".join(r.choice(parts) for _ in range(r.randint(0, 30)))
+        at = crf_pii.tokens(text)
+        codes, starts, ends = field.scan(text)
+        assert list(zip(starts, ends)) == at
+        assert list(codes) == [field.codes.get(x, 1) for x in crf_pii.shapes(text, at, field.cues)]
+
+
+def test_pii_closed_places_are_outside():
+    """Paths over the open places alone are those over all places, for fields with any weights."""
+    r = np.random.default_rng(11)
+    field = crf_pii.train()
+    for scale in (0.3, 1.0, 3.0):
+        field.emit, field.move, field.first = (r.normal(0, scale, x.shape) for x in (field.emit, field.move, field.first))
+        field.emit[-1] = 0
+        field.emit[:, 0] += 2 * scale
+        chains = [r.integers(1, len(field.codes) + 1, n).astype(np.int32) for n in r.integers(1, 60, 60)]
+        cut = field.decode(chains)
+        field.open = lambda codes, token: token
+        whole = field.decode(chains)
+        del field.open
+        assert all((a == b).all() for a, b in zip(cut, whole)) and sum((a == 0).sum() for a in cut) > 0
+
+
+#: Forms without digits, "at" or "dot" near, and numbers without a plus sign or brackets.
+HELD_OUT_FORMS = """
+call {{phone|0171 5552671}}
+tel {{phone|03012345678}}
+{{email|rita at mailbox point net}}
+{{email|Jane.Doe (a) example.org}}
+mail {{email|hugo at werk punkt de}} bitte
+you can write to {{email|nina at press point org}} if you like
+ask {{email|Tom.Hill (a) sample.net}} about it
+please call {{phone|0152 7788990}} today
+phone {{phone|02079460000}} at night
+the town was old and the river ran by it for years
+el libro de la mesa es de la casa de al lado. Es todo
+les enfants de la rue sont de retour. De rien
+THE END OF IT ALL!! IT WAS DE FACTO OVER
+one one one one one one one. two. two. two.
+the point of the talk was clear to all at once
+order 7781 of 2014 and part 33-1
+""".strip().split("\n")
+
+
+def test_pii_forms_without_a_trigger_in_whole_texts():
+    field, found, wanted, right = crf_pii.train(), 0, 0, 0
+    lines = [crf_pii.parse_labelled(x) for x in HELD_OUT_FORMS]
+    got = crf_pii.added_spans([x for x, _ in lines], [crf_pii.base_spans(x) for x, _ in lines], field)
+    for (text, spans), own in zip(lines, got):
+        assert own == crf_pii.added_spans([text], [crf_pii.base_spans(text)], field)[0]
+        found, wanted, right = found + len(own), wanted + len(spans), right + len(set(own) & set(spans))
+    assert right >= 0.9 * wanted and right >= 0.9 * found, (right, wanted, found)
+    # far from anything that looks like an address, and after parts that are scanned one by one
+    text = "the river ran on and on, " * 200_000 + "call 0171 5552671"
+    assert crf_pii.added_spans([text], [[]], field) == [[("phone", len(text) - 12, len(text))]]
+
+
 def test_pii_long_runs(spark):
     zeros = "0" * 5_000 + "1.2.3.4"
     assert crf_pii.base_spans(zeros) == [("ip", 0, len(zeros))]
@@ -407,7 +469,7 @@ def test_pii_field_adds_spans(docs, empty, spark):
     for line in crf_pii.LABELLED:
         text, spans = crf_pii.parse_labelled(line)
         at = crf_pii.tokens(text)
-        path = field.decode([field.chain(text)[0]])[0]
+        path = field.decode([field.scan(text)[0]])[0]
         gold = ["O"] * len(at)
         for kind, a, b in spans:
             own = [i for i, (s, e) in enumerate(at) if s >= a and e <= b]
