@@ -260,6 +260,7 @@ def oracle_sql() -> dict[str, str]:
         "discrepancies": sql("SELECT doc_id, ref_idx, d.field AS field, d.parsed AS parsed_value, d.canonical AS canonical_value, d.severity AS severity FROM (SELECT doc_id, ref_idx, unnest(diffs) AS d FROM differed)", DIFFERED),
         "style_edits": sql("SELECT doc_id, ref_idx, field, original, corrected FROM kept", EDITED),
         "audit_results": sql("SELECT doc_id, ref_idx, confidence, score, CAST(sources_agreeing AS INT) AS sources_agreeing FROM results", results("default")),
+        "audit_again": sql("SELECT doc_id, ref_idx, confidence, score, CAST(sources_agreeing AS INT) AS sources_agreeing FROM results", results("default")),
         "xcheck_keys": sql("SELECT doc_id, ref_idx, year, name, inst AS institutional FROM named", _KEYS),
         "claims": sql(f"SELECT doc_id, CAST(generate_subscripts(c, 1) - 1 AS INT) AS pos, trim(unnest(c)) AS claim FROM (SELECT doc_id, regexp_extract_all(body, {lit(intext.CLAIM)}, 1) AS c FROM body_v)"),
         "cache_keys": "SELECT page_id, left(sha256(url), 32) AS cache_key FROM pages",
