@@ -68,6 +68,7 @@ class WordEncoder:
 
         self.tokenizer, self.known, self.parts = Tokenizer.from_file(path), {}, {}
         self.mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids
+        self.model = self.tokenizer.model  # each look-up of it would make a new object
         self.by_word = splits_by_word(json.loads(self.tokenizer.to_str()))
 
     def _alone(self, words: list[str]) -> list[bytes]:
@@ -93,7 +94,7 @@ class WordEncoder:
         """Ids of one part of a word, by the tokenizer's model; its alphabet stands for bytes."""
         if not part.isascii():
             part = part.encode().decode("latin-1").translate(ALPHABET)
-        return array("I", [t.id for t in self.tokenizer.model.tokenize(part)]).tobytes()
+        return array("I", [t.id for t in self.model.tokenize(part)]).tobytes()
 
     def _encode(self, words: list[str]) -> dict[str, bytes]:
         """Words of Latin letters are taken apart as the tokenizer does, for their parts recur more often."""
@@ -101,6 +102,12 @@ class WordEncoder:
         if len(known) > CACHED_WORDS:
             known = self.parts = {}
         for word in words:
+            if word.isascii() and word.isalpha() and len(word) <= CACHED_CHARS:  # one part: most words, told without patterns
+                part = word.lower()
+                if (ids := known.get(part)) is None:
+                    ids = known[part] = self._part(part)
+                out[word] = ids
+                continue
             if not PLAIN.fullmatch(word) or "<|" in word:
                 rest.append(word)
                 continue
@@ -119,7 +126,7 @@ class WordEncoder:
             return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]
         split = pc.ascii_split_whitespace(texts)
         numbered = split.flatten().dictionary_encode()
-        words = numbered.dictionary.to_pylist()
+        words = numbered.dictionary.to_numpy(zero_copy_only=False).tolist()  # some times faster than to_pylist
         own = [*map(self.known.get, words)]
         new = [w for w, ids in zip(words, own) if ids is None]
         if new:
