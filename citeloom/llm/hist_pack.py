@@ -29,9 +29,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import BROADCAST_BYTES, lean, saved
+from .shared import BROADCAST_BYTES, batches_of, lean, saved
 
-CACHED_WORDS, CACHED_CHARS, PORTION_BYTES = 300_000, 48, 6 << 20
+CACHED_WORDS, CACHED_CHARS, PORTION_BYTES, LAID_WORDS = 300_000, 48, 6 << 20, 1 << 17
 #: A character that a tokenizer gives an id of its own; words are joined by it to be encoded together.
 MARK = "°"
 #: Words whose parts can be told without the tokenizer: ASCII and Latin-1 but for spaces; and the
@@ -47,6 +47,12 @@ SPLIT = {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]
 PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[A-Za-zªµºÀ-ÖØ-öø-ÿ]+|[0-9²³¹¼½¾]|[^A-Za-zªµºÀ-ÖØ-öø-ÿ0-9²³¹¼½¾]+")
 
 
+def rules_of(tokenizer) -> dict:
+    """The normaliser and splitting of a tokenizer as its file states them, without its vocabulary, which is large once parsed."""
+    stated = {"normalizer": tokenizer.normalizer, "pre_tokenizer": tokenizer.pre_tokenizer}
+    return {name: json.loads(step.__getstate__()) for name, step in stated.items() if step is not None}
+
+
 def splits_by_word(rules: dict) -> bool:
     """Whether a tokenizer's file states the normaliser and splitting that ``PARTS`` stands for."""
     try:
@@ -60,16 +66,17 @@ def splits_by_word(rules: dict) -> bool:
 class WordEncoder:
     """Ids of whole texts by a tokenizer that drops white space: words between spaces are
     encoded alone and remembered, which gives the same ids as the text at once. What is
-    remembered goes with the task; a worker process would keep it beside all later ones."""
+    remembered goes with the task; a worker process would keep it beside all later ones. Words and
+    their parts are remembered together: a part is a word with the same ids, so most words are kept once."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cached_words: int = CACHED_WORDS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known, self.parts = Tokenizer.from_file(path), {}, {}
+        self.tokenizer, self.known, self.cached_words = Tokenizer.from_file(path), {}, cached_words
         self.mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids
         self.model = self.tokenizer.model  # each look-up of it would make a new object
-        self.by_word = splits_by_word(json.loads(self.tokenizer.to_str()))
+        self.by_word = splits_by_word(rules_of(self.tokenizer))
 
     def _alone(self, words: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
@@ -98,12 +105,13 @@ class WordEncoder:
 
     def _encode(self, words: list[str]) -> dict[str, bytes]:
         """Words of Latin letters are taken apart as the tokenizer does, for their parts recur more often."""
-        out, rest, known = {}, [], self.parts
-        if len(known) > CACHED_WORDS:
-            known = self.parts = {}
+        out, rest = {}, []
+        if len(self.known) > self.cached_words:
+            self.known = {}
+        known = self.known
         for word in words:
             if word.isascii() and word.isalpha() and len(word) <= CACHED_CHARS:  # one part: most words, told without patterns
-                part = word.lower()
+                part = word if word.islower() else word.lower()
                 if (ids := known.get(part)) is None:
                     ids = known[part] = self._part(part)
                 out[word] = ids
@@ -116,14 +124,19 @@ class WordEncoder:
                 if (own := known.get(part)) is None:
                     own = known[part] = self._part(part)
                 ids += own
-            out[word] = ids
-        out.update(self._together(rest) if rest else ())
+            out[word] = known[word] = ids
+        if rest:
+            found = self._together(rest)
+            out.update(found)
+            known.update((w, ids) for w, ids in found.items() if len(w) <= CACHED_CHARS)
         return out
 
-    def __call__(self, texts: pa.Array) -> list[np.ndarray]:
-        """The ids of each text. Words are split and numbered by Arrow; Python sees each distinct one once."""
+    def __call__(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """The ids of each text. Words are split and numbered by Arrow; Python sees each distinct one once. Ids are
+        laid out for a few texts at a time."""
         if not self.by_word:
-            return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]
+            yield from (np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts.to_pylist(), add_special_tokens=False))
+            return
         split = pc.ascii_split_whitespace(texts)
         numbered = split.flatten().dictionary_encode()
         words = numbered.dictionary.to_numpy(zero_copy_only=False).tolist()  # some times faster than to_pylist
@@ -132,22 +145,23 @@ class WordEncoder:
         if new:
             found = self._encode(new)
             own = [found[w] if ids is None else ids for w, ids in zip(words, own)]
-            if len(self.known) + len(new) > CACHED_WORDS:
-                self.known = {}
-            self.known.update((w, ids) for w, ids in found.items() if len(w) <= CACHED_CHARS)
+            del found
+        del words, new
         sizes = np.fromiter(map(len, own), np.int32, len(own)) // 4
         starts = np.cumsum(sizes, dtype=np.int32) - sizes
         ids = np.frombuffer(b"".join(own), "<u4")
-        word = numbered.indices.to_numpy(zero_copy_only=False)
-        ends = np.concatenate([np.zeros(1, np.int32), np.cumsum(sizes[word], dtype=np.int32)])
-        flat = ids[np.repeat(starts[word] - ends[:-1], sizes[word]) + np.arange(ends[-1], dtype=np.int32)]
-        cuts = ends[split.offsets.to_numpy() - split.offsets[0].as_py()]
-        return [flat[i:j] for i, j in zip(cuts, cuts[1:])]
-
-
-def portions(texts: pa.Array, size: int) -> Iterator[tuple[int, int]]:
-    """Ranges of rows of about ``size`` bytes of text each."""
-    ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
+        del own
+        numbers, offsets = numbered.indices.to_numpy(zero_copy_only=False), split.offsets.to_numpy() - split.offsets[0].as_py()
+        for a, b in steps(offsets[1:], LAID_WORDS):
+            word = numbers[offsets[a] : offsets[b]]
+            ends = np.concatenate([np.zeros(1, np.int32), np.cumsum(sizes[word], dtype=np.int32)])
+            flat = ids[np.repeat(starts[word] - ends[:-1], sizes[word]) + np.arange(ends[-1], dtype=np.int32)]
+            cuts = ends[offsets[a : b + 1] - offsets[a]]
+            yield from (flat[i:j] for i, j in zip(cuts, cuts[1:]))
+
+
+def steps(ends: np.ndarray, size: int) -> Iterator[tuple[int, int]]:
+    """Ranges of rows, of at least one, that grow the sums ``ends`` by ``size`` at most."""
     start = 0
     while start < len(ends):
         base = ends[start - 1] if start else 0
@@ -156,15 +170,20 @@ def portions(texts: pa.Array, size: int) -> Iterator[tuple[int, int]]:
         start = stop
 
 
-def cut_pieces(docs: DataFrame, tokenizer_path: str, seq_len: int, end_id: int, doc_id: str, text: str) -> DataFrame:
+def portions(texts: pa.Array, size: int) -> Iterator[tuple[int, int]]:
+    """Ranges of rows of about ``size`` bytes of text each."""
+    return steps(np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False)), size)
+
+
+def cut_pieces(docs: DataFrame, tokenizer_path: str, seq_len: int, end_id: int, doc_id: str, text: str, portion_bytes: int = PORTION_BYTES, cached_words: int = CACHED_WORDS) -> DataFrame:
     """doc_id, start, length, doc_tokens, task, nth (among the task's pieces of that length), ids (little-endian)."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = WordEncoder(tokenizer_path), np.array([end_id], "<u4").tobytes()
+        encode, end = WordEncoder(tokenizer_path, cached_words), np.array([end_id], "<u4").tobytes()
         task, counts = TaskContext.get().partitionId(), [0] * (seq_len + 1)
         for batch in batches:
             texts = pc.fill_null(batch.column(1), "")
-            for a, b in portions(texts, PORTION_BYTES):
+            for a, b in portions(texts, portion_bytes):
                 cols: tuple[list, ...] = ([], [], [], [], [], [], [])
                 for id_, ids in zip(batch.column(0).slice(a, b - a).to_pylist(), encode(texts.slice(a, b - a))):
                     ids = ids.tobytes() + end
@@ -227,11 +246,13 @@ def places(patterns: list[tuple[int, tuple[tuple[int, int], ...]]]) -> list[tupl
     return out
 
 
-def pack(docs: DataFrame, tokenizer_path: str, seq_len: int = 2048, end_id: int = 1, doc_id: str = "doc_id", text: str = "text", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, seq_len: int = 2048, end_id: int = 1, doc_id: str = "doc_id", text: str = "text", broadcast_bytes: int = BROADCAST_BYTES, portion_bytes: int = PORTION_BYTES, cached_words: int = CACHED_WORDS) -> DataFrame:
     """Pieces with their ids (binary, little-endian unsigned 32-bit): doc_id, start, length,
-    doc_tokens, ids, sequence_id, offset."""
+    doc_tokens, ids, sequence_id, offset. ``portion_bytes`` of text are encoded at once and some ``cached_words``
+    remembered between portions: less of both takes less memory and more time, for the same pieces."""
     spark = docs.sparkSession
-    pieces = saved(cut_pieces(docs, tokenizer_path, seq_len, end_id, doc_id, text), "pieces")
+    with batches_of(spark, portion_bytes):
+        pieces = saved(cut_pieces(docs, tokenizer_path, seq_len, end_id, doc_id, text, portion_bytes, cached_words), "pieces")
     counts = saved(pieces.groupBy("length", "task").agg(F.count("*").alias("n")), "piece-counts")
     before = F.expr("sum(n) OVER (PARTITION BY length ORDER BY task) - n AS before")
     before = saved(counts.select("length", "task", before), "piece-ranks")
