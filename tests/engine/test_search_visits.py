@@ -49,3 +49,14 @@ def test_titles_of_the_same_words_are_added_up_once(spark, monkeypatch):
     assert len(added) == 1 and best[0] == best[3] and {x[3] for x in best[0]} == {0} and {x[3] for x in best[2]} == {titles.UNDATED}
     here.best("crossref", 1990, [], None, ["thing", "own3"], 5, 1)
     assert len(added) == 2
+
+
+def test_of_many_ties_only_the_last_places_are_put_in_order(spark, monkeypatch):
+    works = works_of(spark, *({"source": "crossref", "title": "that" if i % 3 else "that own", "year": 2000, "authors": []} for i in range(400)))
+    (batch,) = titles.build_index(works).withColumnsRenamed({"terms": "index_terms", "names": "index_names"}).toArrow().to_batches()
+    here, sorted_, lexsort = titles.Range(batch, 0), [], np.lexsort
+    monkeypatch.setattr(titles.np, "lexsort", lambda keys: sorted_.append(len(keys[0])) or lexsort(keys))
+    ids = sorted((-(i % 3 == 0), f"crossref-{i}") for i in range(400))
+    assert [(x[0], x[1]) for x in here.best("crossref", None, [], None, ["that", "own"], 5, 1)] == [(i, 2) for _, i in ids[:5]]
+    assert [x[0] for x in here.best("crossref", None, [], None, ["that"], 5, 1)] == sorted(i for _, i in ids)[:5]
+    assert max(sorted_) <= 10
